@@ -1,6 +1,6 @@
 """All registered queries; importing the modules registers them."""
 
-from letterloom.plans import messages, threads
+from letterloom.plans import bodies, messages, threads
 from letterloom.plans.registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "messages", "threads"]
+__all__ = ["ORACLES", "QUERIES", "bodies", "messages", "threads"]
