@@ -29,7 +29,7 @@ def due(messages: DataFrame, offsets: DataFrame, keys: DataFrame, sources: DataF
     """Per consumer key the messages at or after its offset of their source.
 
     A source the key has not seen yet starts at ``default_since``. The bound is inclusive,
-    so the row on it is delivered again. The earliest bound of any key is pushed to the scan.
+    so the row on it is delivered again.
     """
     # The source list is configuration: it rides along with each key as a short array.
     listed = [F.struct(F.lit(p).alias("source"), F.lit(o).alias("source_ord"))
@@ -87,7 +87,7 @@ def clear_offsets(offsets: DataFrame, key: str) -> DataFrame:
     return offsets.where(F.col("key") != key)
 
 
-def assign_refs(listing: DataFrame, refs: DataFrame, order) -> DataFrame:
+def assign_refs(listing: DataFrame, refs: DataFrame, order: list[str], newest_first: bool = False) -> DataFrame:
     """Known ids keep their number, new ids get the next ones in listing order.
 
     Returns only the new rows. The listing may be a whole corpus: it is range-sorted, and
@@ -96,7 +96,8 @@ def assign_refs(listing: DataFrame, refs: DataFrame, order) -> DataFrame:
     first = listing.where("id <> ''").select("id", *order).dropDuplicates(["id"])
     fresh = first.join(refs.select("id"), "id", "left_anti")
     start = refs.agg(F.coalesce(F.max("ref"), F.lit(0))).first()[0]
-    return number_rows(fresh, [*order, "id"], "ref").select("id", (F.col("ref") + start).cast("bigint").alias("ref"))
+    way = [F.desc(c) if newest_first else F.asc(c) for c in order]
+    return number_rows(fresh, [*way, F.asc("id")], "ref").select("id", (F.col("ref") + start).cast("bigint").alias("ref"))
 
 
 def continuation(messages: DataFrame, counts: int) -> DataFrame:

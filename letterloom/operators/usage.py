@@ -56,9 +56,8 @@ def status(contacts: DataFrame, rules: DataFrame, log: DataFrame, cached: DataFr
     """The few numbers of a status page as ``(section, name, value)``."""
     people = contacts.agg(F.count_distinct("alias").alias("a"), F.count("*").alias("i"))
     parts = [
-        people.select(F.inline(F.array(
-            F.struct(F.lit("contacts").alias("section"), F.lit("aliases").alias("name"), F.col("a").alias("value")),
-            F.struct(F.lit("contacts"), F.lit("identifiers"), F.col("i"))))),
+        people.select(F.lit("contacts").alias("section"), F.explode(F.create_map(
+            F.lit("aliases"), F.col("a"), F.lit("identifiers"), F.col("i"))).alias("name", "value")),
         rules.agg(F.count("*").alias("value")).select(
             F.lit("filters").alias("section"), F.lit("rules").alias("name"), "value"),
         rollup(log).select(F.lit("usage").alias("section"), F.concat_ws(":", "level", "name").alias("name"),

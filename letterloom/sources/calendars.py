@@ -162,7 +162,7 @@ def ical_events(raw: DataFrame, detail: bool = False) -> DataFrame:
     inner = F.regexp_replace(
         F.regexp_replace("block", r"(?is)\nEND:VEVENT.*$", "\n"), r"(?ims)^BEGIN:(\w+).*?^END:\1\s*$", "")
     events = events.withColumn("lines", F.filter(
-        F.transform(F.split(inner, "\n"), F.trim), lambda x: x != "")).drop("block")
+        F.transform(F.split(inner, "\n"), lambda x: F.trim(x)), lambda x: x != "")).drop("block")
     names = ("UID", "DTSTART", "DTEND", "DURATION", "SUMMARY", "STATUS", "LOCATION", "ORGANIZER",
              "RECURRENCE-ID", "DESCRIPTION", "URL", "RRULE", "CREATED", "LAST-MODIFIED")
     events = events.withColumns({n: F.get(_lines_of(n), F.lit(0)) for n in names}).withColumn(

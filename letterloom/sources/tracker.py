@@ -38,7 +38,7 @@ def category(kind: Column, title: Column, reason: Column) -> Column:
 
 
 def _path(url: Column) -> Column:
-    return F.split(F.trim(F.lit("/"), F.coalesce(F.try_parse_url(url, F.lit("PATH")), F.lit(""))), "/")
+    return F.split(F.trim(F.coalesce(F.try_parse_url(url, F.lit("PATH")), F.lit("")), F.lit("/")), "/")
 
 
 def repository(url: Column) -> Column:
