@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from letterloom.functions import patterns as P
-from letterloom.functions.headers import strip
+from letterloom.functions.headers import SPACES, once, strip
 
 
 def is_html(text: Column) -> Column:
@@ -28,8 +28,7 @@ def strip_replies(df: DataFrame, name: str) -> DataFrame:
     df = df.withColumn("_at", F.regexp_instr("_copy", F.lit(P.REPLY_HEADER)))
     before = F.substring(F.col("_copy"), F.lit(1), F.col("_at") - 1)
     n_lines = F.length(before) - F.length(F.replace(before, F.lit("\n")))
-    head = F.regexp_replace(
-        F.array_join(F.slice(_lines(text), F.lit(1), n_lines), "\n"), r"(?U)\s+$", "")
+    head = F.rtrim(F.array_join(F.slice(_lines(text), F.lit(1), n_lines), "\n"), F.lit(SPACES))
     df = df.withColumn(name, F.when(F.col("_at") > 0, head).otherwise(text))
     unquoted = F.array_join(F.filter(_lines(text), lambda x: ~x.rlike(P.QUOTED_LINE)), "\n")
     return df.withColumn(
@@ -37,11 +36,13 @@ def strip_replies(df: DataFrame, name: str) -> DataFrame:
 
 
 def _opens_signature(line: Column) -> Column:
-    line = strip(line)
-    return (
-        line.rlike(P.SIGNATURE)
-        | F.translate(line, "*_", "").rlike(P.SIGNATURE)
-        | line.rlike(P.CONFIDENTIALITY))
+    def opens(line):
+        return (
+            line.rlike(P.SIGNATURE)
+            | F.translate(line, "*_", "").rlike(P.SIGNATURE)
+            | line.rlike(P.CONFIDENTIALITY))
+
+    return once(strip(line), opens)
 
 
 def strip_signature(df: DataFrame, name: str) -> DataFrame:

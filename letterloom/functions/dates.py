@@ -67,7 +67,8 @@ def parse_mail_date(text: Column) -> Column:
 def to_iso(text: Column) -> Column:
     """A mail or ISO date as UTC ISO text; anything else stays as it is."""
     ts = F.coalesce(parse_iso(text), parse_mail_date(text))
-    return F.coalesce(iso_z(ts), text)
+    return F.when(text.rlike(r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}Z$"), text).otherwise(
+        F.coalesce(iso_z(ts), text))
 
 
 def to_utc_iso(text: Column, zone: Column) -> Column:

@@ -19,33 +19,40 @@ def either(*values) -> Column:
     return F.coalesce(*[F.nullif(v, F.lit("")) for v in values], F.lit(""))
 
 
+# Every character that counts as white space, as a trim set and as a pattern.
+SPACES = "".join(map(chr, [*range(9, 14), *range(28, 33), 133, 160, 5760, *range(8192, 8203), 8232, 8233, 8239, 8287, 12288]))
+SPACE = "[" + r"\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000" + "]"
+
+
+def once(value: Column, use) -> Column:
+    """``use(value)`` with ``value`` computed a single time, however often ``use`` names it."""
+    return F.get(F.transform(F.array(value), lambda x: use(x)), F.lit(0))
+
+
 def strip(text: Column) -> Column:
     """Trim every kind of white space, not only blanks."""
-    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+    return F.btrim(text, F.lit(SPACES))
 
 
 def collapse_spaces(text: Column) -> Column:
-    return F.trim(F.regexp_replace(text, r"(?U)\s+", " "))
+    return F.trim(F.regexp_replace(text, f"{SPACE}+", " "))
 
 
 def address(text: Column) -> Column:
     """The last non-empty ``<...>``, else the whole text, with the domain in lower case."""
-    inner = F.regexp_extract(text, r"(?s).*<([^>]+)>", 1)
-    bare = strip(F.when(inner != "", inner).otherwise(text))
-    parts = F.split(bare, "@")
-    return F.when(
-        F.size(parts) == 2, F.concat(parts[0], F.lit("@"), F.lower(parts[1]))
-    ).otherwise(bare)
+    def lower_domain(bare):
+        parts = F.split(bare, "@")
+        return F.when(
+            F.size(parts) == 2, F.concat(parts[0], F.lit("@"), F.lower(parts[1]))).otherwise(bare)
+
+    return once(strip(F.regexp_replace(text, r"(?s)^.*<([^>]+)>.*$", "$1")), lower_domain)
 
 
 def subject(text: Column) -> Column:
     """Fold a pile of reply and forward marks into the one that came first."""
-    rest = strip(F.regexp_replace(text, r"(?iU)^(?:(?:Re|Fwd?)\s*:\s*)+", ""))
-    return (
-        F.when(text.rlike(r"(?iU)^Fwd?\s*:"), F.concat(F.lit("Fwd: "), rest))
-        .when(text.rlike(r"(?iU)^Re\s*:"), F.concat(F.lit("Re: "), rest))
-        .otherwise(rest)
-    )
+    marks = r"\s*:\s*(?:(?:Re|Fwd?)\s*:\s*)*"
+    text = F.regexp_replace(text, f"(?i)^Fwd?{marks}", "Fwd: ")
+    return F.regexp_replace(text, f"(?i)^Re{marks}", "Re: ")
 
 
 def header(name: str, value: Column) -> Column:
@@ -53,7 +60,7 @@ def header(name: str, value: Column) -> Column:
     value = collapse_spaces(value)
     name = name.strip().lower()
     if name == "date":
-        return dates.to_iso(value)
+        return once(value, dates.to_iso)
     if name in ("from", "sender", "to", "cc", "bcc"):
         return address(value)
     return subject(value) if name == "subject" else value
@@ -65,8 +72,11 @@ def clean_headers(df, names=("sender", "to", "cc", "subject", "date")):
 
 
 def _cut(text: Column, limit: int) -> Column:
-    head = F.regexp_replace(F.substring(text, 1, 77), r"(?U)\s+$", "")
-    return F.when(F.length(text) > limit, F.concat(head, F.lit("..."))).otherwise(text)
+    def short(text):
+        head = F.rtrim(F.substring(text, 1, 77), F.lit(SPACES))
+        return F.when(F.length(text) > limit, F.concat(head, F.lit("..."))).otherwise(text)
+
+    return once(text, short)
 
 
 def snippet_field(text: Column) -> Column:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from datetime import datetime
 
 from pyspark.errors import PySparkException
@@ -23,18 +24,10 @@ def sender_contains(sender: str) -> Column:
     return F.lower(_text("sender")).contains(sender.lower())
 
 
-def sender_domain() -> Column:
-    """The part after the last ``@`` in lower case; NULL where there is no address."""
-    sender = F.lower(_text("sender"))
-    domain = F.expr("trim(BOTH '> ' FROM substring_index(lower(coalesce(sender, '')), '@', -1))")
-    return F.when(sender.contains("@"), domain)
-
-
 def domain_matches(domain: str) -> Column:
-    """The domain itself or one below it."""
-    wanted = domain.lower().lstrip("@")
-    return F.coalesce(
-        (sender_domain() == wanted) | sender_domain().endswith("." + wanted), F.lit(False))
+    """An address, not just a name, in the domain itself or one below it."""
+    wanted = re.escape(domain.lower().lstrip("@"))
+    return _text("sender").rlike(rf"(?iu)@[> ]*(?:[^@]*\.)?{wanted}[> ]*$")
 
 
 def text_contains(query: str) -> Column:

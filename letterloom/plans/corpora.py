@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from letterloom.functions.headers import clean_headers
 from letterloom.schema import SOURCES, struct
+from letterloom.session import widen
 
 # Relative bounds count from here; the orders end shortly before.
 NOW = datetime(2001, 8, 2, tzinfo=timezone.utc)
@@ -30,7 +31,8 @@ SOURCE_ROWS = [
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+    """A given table; one that is a single file is spread before work is done on its rows."""
+    return widen(spark.read.parquet(f"{folder}/{name}.parquet"))
 
 
 def sources(spark: SparkSession) -> DataFrame:

@@ -120,8 +120,8 @@ def render_thread(spark, folder):
 @query("render_convo", CHATS + r"""
 , tok AS (SELECT thread_id, sender, CASE WHEN count(*) OVER (PARTITION BY thread_id, sender[1]) = 1 THEN upper(sender[1]) ELSE upper(sender[1]) || sender[2:] END AS token FROM (SELECT DISTINCT thread_id, sender FROM chat)),
 flat AS (SELECT *, trim(replace(regexp_replace(body, '\s+', ' ', 'g'), '|', '/')) AS f, coalesce(date[1:10] <> lag(date[1:10]) OVER (PARTITION BY thread_id ORDER BY idx), true) AS opens,
-  min(date[1:4]) OVER (PARTITION BY thread_id) <> max(date[1:4]) OVER (PARTITION BY thread_id) AS years FROM at)
-SELECT thread_id, idx, '|' || CASE WHEN opens THEN strftime(CAST(date[1:10] AS DATE), CASE WHEN years THEN '%-d %b %y ' ELSE '%-d %b ' END) ELSE '' END || date[12:16] || '|' || token || '|'
+  min(date[1:4]) OVER (PARTITION BY thread_id) <> max(date[1:4]) OVER (PARTITION BY thread_id) AS years FROM num)
+SELECT thread_id, idx, '|' || CASE WHEN opens AND years THEN strftime(CAST(date[1:10] AS DATE), '%-d %b %y ') WHEN opens THEN strftime(CAST(date[1:10] AS DATE), '%-d %b ') ELSE '' END || date[12:16] || '|' || token || '|'
   || CASE WHEN length(f) > 77 THEN rtrim(substr(f, 1, 77)) || '...' ELSE f END || '|' AS line FROM flat JOIN tok USING (thread_id, sender)
 UNION ALL SELECT thread_id, 0, 'THREAD|' || thread_id || '|' || head || '|' || n || ' msgs' FROM num WHERE idx = 1""")
 def render_convo(spark, folder):

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from letterloom.functions import dates
 from letterloom.functions import patterns as P
-from letterloom.functions.headers import either, lit_map, strip_mailto
+from letterloom.functions.headers import either, lit_map, once, strip_mailto
 from letterloom.operators.agenda import duration_minutes, pattern_text, rule_text
 from letterloom.schema import EVENT_DETAILS, EVENTS, conform
 from letterloom.sources.landing import first_where, prefixed, text
@@ -113,17 +113,22 @@ def unfold(content: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(content, r"\r\n?", "\n"), r"\n[ \t]", "")
 
 
-def _lines_of(name: str) -> Column:
-    return F.filter("lines", lambda x: F.upper(x).rlike(f"^{name}[;:]"))
+def properties(lines: Column) -> Column:
+    """Lines as ``(name, params, value)``, taken apart once; lines without a name are dropped."""
+    def parts(line):
+        return F.struct(F.upper(F.regexp_extract(line, PROPERTY, 1)).alias("name"),
+                        F.regexp_extract(line, PROPERTY, 2).alias("params"), F.regexp_extract(line, PROPERTY, 3).alias("value"))
 
+    return F.filter(F.transform(lines, lambda x: parts(x)), lambda p: p["name"] != "")
 
-def _value(line: Column) -> Column:
-    return F.regexp_extract(line, PROPERTY, 3)
 
+def first_named(name: str) -> Column:
+    """The first property of a name."""
+    return first_where(F.col("lines"), lambda p: p["name"] == name)
 
-def _param(line: Column, name: str) -> Column:
-    return F.regexp_replace(
-        F.regexp_extract(F.regexp_extract(line, PROPERTY, 2), rf'(?i);{name}=("[^"]*"|[^;]*)', 1), '"', "")
+
+def _param(prop: Column, name: str) -> Column:
+    return F.replace(F.regexp_extract(prop["params"], rf'(?i);{name}=("[^"]*"|[^;]*)', 1), F.lit('"'), F.lit(""))
 
 
 def unescaped(value: Column) -> Column:
@@ -133,13 +138,16 @@ def unescaped(value: Column) -> Column:
         t.startswith("\\"), F.substring(t, 2, 1_000_000)).otherwise(t)), "")
 
 
-def _moment(line: Column, zone: Column) -> Column:
+def _moment(prop: Column, zone: Column) -> Column:
     """A date or a UTC time as ISO text; NULL where there is none."""
-    value = _value(line)
-    day = F.regexp_replace(value, r"^(\d{4})(\d{2})(\d{2})$", "$1-$2-$3")
-    clock = F.regexp_replace(value, r"^(\d{4})(\d{2})(\d{2})T(\d{2})(\d{2})(\d{2})(Z?)$", "$1-$2-$3T$4:$5:$6$7")
-    own = either(_param(line, "TZID"), zone, F.lit("UTC"))
-    return F.when(value.rlike(r"^\d{8}$"), day).when(value.rlike(r"^\d{8}T\d{6}Z?$"), dates.to_utc_iso(clock, own))
+    def read(value):
+        day = F.regexp_replace(value, r"^(\d{4})(\d{2})(\d{2})$", "$1-$2-$3")
+        clock = F.regexp_replace(value, r"^(\d{4})(\d{2})(\d{2})T(\d{2})(\d{2})(\d{2})(Z?)$", "$1-$2-$3T$4:$5:$6$7")
+        own = either(_param(prop, "TZID"), zone, F.lit("UTC"))
+        return F.when(value.rlike(r"^\d{8}$"), day).when(
+            value.rlike(r"^\d{8}T\d{6}Z?$"), once(clock, lambda c: dates.to_utc_iso(c, own)))
+
+    return once(prop["value"], read)
 
 
 def _seconds(duration: Column) -> Column:
@@ -161,44 +169,48 @@ def ical_events(raw: DataFrame, detail: bool = False) -> DataFrame:
     events = raw.select("source", "seq", "timezone", "owner", F.posexplode(blocks).alias("pos", "block"))
     inner = F.regexp_replace(
         F.regexp_replace("block", r"(?is)\nEND:VEVENT.*$", "\n"), r"(?ims)^BEGIN:(\w+).*?^END:\1\s*$", "")
-    events = events.withColumn("lines", F.filter(
-        F.transform(F.split(inner, "\n"), lambda x: F.trim(x)), lambda x: x != "")).drop("block")
+    events = events.withColumn("lines", properties(F.split(inner, "\n"))).drop("block")
     names = ("UID", "DTSTART", "DTEND", "DURATION", "SUMMARY", "STATUS", "LOCATION", "ORGANIZER",
              "RECURRENCE-ID", "DESCRIPTION", "URL", "RRULE", "CREATED", "LAST-MODIFIED")
-    events = events.withColumns({n: F.get(_lines_of(n), F.lit(0)) for n in names}).withColumn(
-        "ATTENDEE", _lines_of("ATTENDEE"))
     zone = F.col("timezone")
-    events = events.withColumn("begin", _moment(F.col("DTSTART"), zone))
-    begin = F.col("begin")
+    events = events.select(
+        "source", "owner", "timezone", F.filter("lines", lambda p: p["name"] == "ATTENDEE").alias("ATTENDEE"),
+        *[first_named(n).alias(n) for n in names])
+    events = events.withColumns({
+        "begin": _moment(F.col("DTSTART"), zone), "stated_end": _moment(F.col("DTEND"), zone),
+        "instance": _moment(F.col("RECURRENCE-ID"), zone), "length": _seconds(F.col("DURATION.value"))})
+    begin, length, instance = F.col("begin"), F.col("length"), F.col("instance")
     all_day = F.coalesce(F.length(begin) == 10, F.lit(False))
-    length = _seconds(_value(F.col("DURATION")))
     later = F.when(all_day, F.date_format(F.date_add(begin.try_cast("date"), (length / 86400).cast("int")), "yyyy-MM-dd")).otherwise(
         dates.iso_offset(F.timestamp_seconds(F.unix_seconds(dates.parse_iso(begin)) + length)))
-    end = F.coalesce(_moment(F.col("DTEND"), zone), F.when(F.col("DURATION").isNotNull(), later), begin, F.lit(""))
+    end = F.coalesce("stated_end", F.when(F.col("DURATION").isNotNull(), later), begin, F.lit(""))
 
-    def address(line):
-        return strip_mailto(_value(line))
+    def address(prop):
+        return strip_mailto(prop["value"])
 
-    def answer(line):
-        status = F.upper(either(_param(line, "PARTSTAT"), F.lit("NEEDS-ACTION")))
+    def answer(prop):
+        status = F.upper(either(_param(prop, "PARTSTAT"), F.lit("NEEDS-ACTION")))
         return F.coalesce(F.try_element_at(lit_map(P.PARTSTAT), status), F.lower(status))
 
+    def value(name):
+        return text(F.col(f"`{name}`.value"))
+
+    def shown(name):
+        return F.when(value(name).contains("\\"), unescaped(value(name))).otherwise(value(name))
+
     mine = first_where(F.col("ATTENDEE"), lambda x: F.lower(address(x)) == F.lower("owner"))
-    uid = text(_value(F.col("UID")))
-    instance = _moment(F.col("RECURRENCE-ID"), zone)
-    said = text(unescaped(_value(F.col("SUMMARY"))))
-    rule = text(_value(F.col("RRULE")))
+    uid, rule = value("UID"), value("RRULE")
     rows = events.select(
         prefixed(F.col("source"), F.when(instance.isNotNull(), F.concat(uid, F.lit("::"), instance)).otherwise(uid)).alias("id"),
-        "source", either(said, F.lit("(No title)")).alias("title"), all_day.alias("all_day"),
-        text(begin).alias("start"), end.alias("end"), text(unescaped(_value(F.col("LOCATION")))).alias("location"),
+        "source", either(shown("SUMMARY"), F.lit("(No title)")).alias("title"), all_day.alias("all_day"),
+        text(begin).alias("start"), end.alias("end"), shown("LOCATION").alias("location"),
         text(address(F.col("ORGANIZER"))).alias("organizer"), people_count(F.size("ATTENDEE")).alias("attendees_summary"),
-        F.lower(either(_value(F.col("STATUS")), F.lit("confirmed"))).alias("status"),
+        F.lower(either(value("STATUS"), F.lit("confirmed"))).alias("status"),
         F.when(mine.isNotNull(), answer(mine)).alias("your_status"),
         F.when(instance.isNotNull(), prefixed(F.col("source"), uid)).alias("recurring_event_id"),
         F.transform("ATTENDEE", lambda x: F.struct(
             either(_param(x, "CN"), address(x)).alias("name"), address(x).alias("email"), answer(x).alias("status"))).alias("attendees"),
-        text(unescaped(_value(F.col("DESCRIPTION")))).alias("description"), text(_value(F.col("URL"))).alias("meeting_link"),
+        shown("DESCRIPTION").alias("description"), value("URL").alias("meeting_link"),
         rule.alias("recurrence"), F.when(rule != "", rule_text(rule)).otherwise("").alias("recurrence_summary"),
         text(_moment(F.col("CREATED"), zone)).alias("created"), text(_moment(F.col("LAST-MODIFIED"), zone)).alias("updated"))
     return _finish(rows, detail)
