@@ -55,45 +55,41 @@ def siblings(sources: DataFrame) -> DataFrame:
     return left.join(right, "_provider").drop("_provider")
 
 
-def resolve_senders(pairs: DataFrame, contacts: DataFrame, sources: DataFrame) -> DataFrame:
-    """The alias, or the raw sender, for each distinct ``(source, sender)``.
+def named(rows: DataFrame, contacts: DataFrame, sources: DataFrame) -> DataFrame:
+    """Rows that no two agree in, with the ``name`` of their sender: an alias, or the sender.
 
     Keys in falling priority: the sender itself; the part after its colon, where it has one;
     else the sender under its own source, under sibling sources, under the canonical ones.
+    The keys of a row are laid out side by side and looked up in one join, and the best hit
+    is taken with map-side partials.
     """
-    pairs = pairs.select(F.coalesce("source", F.lit("")).alias("source"),
-                         F.coalesce("sender", F.lit("")).alias("sender")).distinct()
     sender = F.col("sender")
-    key = F.struct
-    direct = F.array(key(F.lit(0).alias("prio"), sender.alias("key")))
-    stripped = F.array(key(F.lit(1).alias("prio"), after_colon(sender).alias("key")))
-    own = F.array(
-        F.when(F.col("source") != "", key(
-            F.lit(2).alias("prio"), F.concat("source", F.lit(":"), "sender").alias("key"))),
-        *[key(F.lit(FAR + i).alias("prio"), F.concat(F.lit(f"{p}:"), sender).alias("key"))
-          for i, p in enumerate(P.SOURCE_LABELS)])
-    colon = F.instr(sender, ":") > 0
-    candidates = pairs.select(
-        "source", "sender",
-        F.inline(F.filter(F.concat(direct, F.when(colon, stripped).otherwise(own)),
-                          lambda x: x.isNotNull())))
-    related = pairs.where(~colon).join(
-        siblings(sources).withColumnRenamed("prefix", "source"), "source"
-    ).select("source", "sender", (F.col("sibling_ord") + 3).alias("prio"),
-             F.concat("sibling", F.lit(":"), "sender").alias("key"))
-    known = candidates.unionByName(related).join(
-        aliases(contacts).withColumnRenamed("identifier", "key"), "key")
-    best = known.groupBy("source", "sender").agg(F.min_by("alias", "prio").alias("alias"))
-    return pairs.join(best, ["source", "sender"], "left").select(
-        "source", "sender", F.coalesce("alias", "sender").alias("name"))
+    related = siblings(sources).groupBy("prefix").agg(
+        F.collect_list(F.struct((F.col("sibling_ord") + 3).alias("prio"), "sibling")).alias("_siblings"))
+
+    def key(prio, value):
+        return F.struct(F.lit(prio).alias("prio"), value.alias("key"))
+
+    known = F.transform(F.coalesce("_siblings", F.array().cast("array<struct<prio:int,sibling:string>>")),
+                        lambda x: F.struct(x["prio"], F.concat(x["sibling"], F.lit(":"), sender).alias("key")))
+    own = F.concat(
+        F.filter(F.array(F.when(F.col("source") != "", key(2, F.concat("source", F.lit(":"), sender)))), lambda x: x.isNotNull()),
+        known, F.array(*[key(FAR + i, F.concat(F.lit(f"{p}:"), sender)) for i, p in enumerate(P.SOURCE_LABELS)]))
+    keys = F.concat(F.array(key(0, sender)), F.when(F.instr(sender, ":") > 0, F.array(key(1, after_colon(sender)))).otherwise(own))
+    asked = rows.join(related, F.col("source") == F.col("prefix"), "left").select(
+        *rows.columns, F.inline(keys).alias("_prio", "_key"))
+    found = asked.join(aliases(contacts).select(F.col("identifier").alias("_key"), F.col("alias").alias("_alias")), "_key", "left")
+    hit = F.when(F.col("_alias").isNotNull(), F.struct("_prio", "_alias"))
+    return found.groupBy(*rows.columns).agg(F.min(hit).alias("_hit")).select(
+        *rows.columns, F.coalesce("_hit._alias", "sender").alias("name"))
 
 
 def with_aliases(df: DataFrame, contacts: DataFrame, sources: DataFrame) -> DataFrame:
-    """Messages with the resolved ``name`` of their sender."""
-    names = resolve_senders(df.select("source", "sender"), contacts, sources)
+    """Messages with the resolved ``name`` of their sender; each distinct sender is looked up once."""
+    pairs = df.select(F.coalesce("source", F.lit("")).alias("source"), F.coalesce("sender", F.lit("")).alias("sender")).distinct()
+    names = named(pairs, contacts, sources).withColumnsRenamed({"source": "_source", "sender": "_sender"})
     return df.join(
-        names.withColumnsRenamed({"source": "_source", "sender": "_sender"}),
-        (F.coalesce("source", F.lit("")) == F.col("_source"))
+        names, (F.coalesce("source", F.lit("")) == F.col("_source"))
         & (F.coalesce("sender", F.lit("")) == F.col("_sender")), "left").drop("_source", "_sender")
 
 

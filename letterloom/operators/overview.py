@@ -13,7 +13,7 @@ from letterloom.functions import dates
 from letterloom.functions import patterns as P
 from letterloom.functions.headers import lit_map
 from letterloom.operators import filters
-from letterloom.operators.lookups import live_meters, resolve_senders
+from letterloom.operators.lookups import live_meters, named
 from letterloom.operators.ordering import top_in_groups
 
 
@@ -47,8 +47,7 @@ def sender_counts(messages: DataFrame, contacts: DataFrame, sources: DataFrame)
     counts = messages.groupBy(
         F.coalesce("source", F.lit("")).alias("source"), F.coalesce("sender", F.lit("")).alias("sender")
     ).agg(F.count("*").alias("n"))
-    names = resolve_senders(counts, contacts, sources)
-    return counts.join(names, ["source", "sender"]).groupBy("source", "name").agg(F.sum("n").alias("count"))
+    return named(counts, contacts, sources).groupBy("source", "name").agg(F.sum("n").alias("count"))
 
 
 def top_senders(messages: DataFrame, contacts: DataFrame, sources: DataFrame, k: int) -> DataFrame:
@@ -79,14 +78,13 @@ def quarters(messages: DataFrame, *by: str) -> DataFrame:
 def contact_activity(messages: DataFrame, contacts: DataFrame, sources: DataFrame) -> DataFrame:
     """Quarterly messages of every contact by source.
 
-    The period is part of the first count, so the alias lookup meets each source and sender
-    once.
+    The period is part of the first count, so only counts meet the alias lookup.
     """
     counts = messages.withColumn("period", dates.quarter_label(F.col("date"))).where("period IS NOT NULL").groupBy(
         F.coalesce("source", F.lit("")).alias("source"), F.coalesce("sender", F.lit("")).alias("sender"), "period",
     ).agg(F.count("*").alias("n"))
-    names = resolve_senders(counts, contacts, sources).where("name <> sender")
-    return counts.join(names, ["source", "sender"]).groupBy("name", "source", "period").agg(F.sum("n").alias("count"))
+    return named(counts, contacts, sources).where("name <> sender").groupBy(
+        "name", "source", "period").agg(F.sum("n").alias("count"))
 
 
 def overview(cached: DataFrame, contacts: DataFrame, sources: DataFrame, meters: DataFrame | None = None, *,

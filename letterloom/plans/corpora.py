@@ -35,8 +35,16 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return widen(spark.read.parquet(f"{folder}/{name}.parquet"))
 
 
+def constant(spark: SparkSession, rows: list[tuple], ddl: str) -> DataFrame:
+    """A few rows of configuration as an inline table, whose size the optimiser knows."""
+    fields = struct(ddl).fields
+    cells = F.array(*[
+        F.struct(*[F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip(row, fields)]) for row in rows])
+    return spark.range(1).select(F.inline(cells))
+
+
 def sources(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(SOURCE_ROWS, struct(SOURCES))
+    return constant(spark, SOURCE_ROWS, SOURCES)
 
 
 def raw_messages(spark: SparkSession, folder: str) -> DataFrame:

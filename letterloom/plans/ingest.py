@@ -81,7 +81,7 @@ def mime_pick(spark, folder):
     raw = gmail_raw(spark, folder)
     kind = gmail.message_type()
     full = gmail.messages(raw)
-    html = raw.withColumn("m", F.from_json("payload", kind)).select("seq", gmail.body_text(F.col("m.payload"), True).alias("html_body"))
+    html = raw.withColumn("m", F.from_json("payload", kind)).select("seq", gmail.body_text("m.payload", True).alias("html_body"))
     listed = F.array_join(F.transform("attachments", lambda a: F.concat(a["filename"], F.lit(":"), a["size"].cast("string"))), ",")
     return full.join(html, "seq").select("id", "body", "html_body", listed.alias("attachments"), "message_id", "mime_overflow")
 

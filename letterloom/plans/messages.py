@@ -245,7 +245,7 @@ SELECT id, CASE k WHEN 0 THEN 'g' WHEN 1 THEN 'gw' WHEN 2 THEN 'gw:x' WHEN 3 THE
 def longest_prefix(spark, folder):
     ids = C.table(spark, folder, "orders").selectExpr(
         "concat(CASE o_orderkey % 5 WHEN 0 THEN 'g:' WHEN 1 THEN 'gw:' WHEN 2 THEN 'gw:x:' WHEN 3 THEN 'zz:' ELSE '' END, o_orderkey) AS id")
-    known = C.sources(spark).select("prefix").unionByName(spark.createDataFrame([("gw:x",)], "prefix string"))
+    known = C.sources(spark).select("prefix").unionByName(C.constant(spark, [("gw:x",)], "prefix string"))
     return lookups.source_by_prefix(ids, known)
 
 

@@ -216,7 +216,7 @@ def meter_full_outer(spark, folder):
         "CASE user_id % 5 WHEN 0 THEN 'h' WHEN 1 THEN 'g' WHEN 2 THEN 'h2' WHEN 3 THEN 'gone' ELSE 'h3' END AS source",
         "struct(ts, event_id) AS polled_at", "array(struct(event_type AS label, CAST(value AS BIGINT) AS count, '' AS link)) AS meters")
     known = C.sources(spark).select("prefix", "provider").union(
-        spark.createDataFrame([("h2", "http"), ("h3", "carddav")], "prefix string, provider string"))
+        C.constant(spark, [("h2", "http"), ("h3", "carddav")], "prefix string, provider string"))
     totals = overview.with_meters(overview.source_totals(C.messages(spark, folder)), polls, known)
     first = F.col("meters")[0]
     return totals.select("source", "count", F.concat(first["label"], F.lit("="), first["count"].cast("string")).alias("meter"))

@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 
 from letterloom.functions import dates
 from letterloom.functions.headers import human_size
+from letterloom.schema import ATTACHMENTS
 from letterloom.sources.landing import first_where, mapper, prefixed, text
 
 # Levels of nested parts that are looked into; ``mime_overflow`` marks messages with more.
-DEPTH = 8
+DEPTH = 6
 HEADERS = "headers:ARRAY<STRUCT<name:STRING,value:STRING>>"
 BODY = "body:STRUCT<data:STRING,size:BIGINT,attachmentId:STRING>"
 
@@ -30,76 +31,65 @@ def header(headers: Column, name: str) -> Column:
     return text(first_where(headers, lambda h: F.lower(h["name"]) == name.lower())["value"])
 
 
-def decoded(data: Column) -> Column:
-    """Text of base64url data; broken UTF-8 becomes replacement marks."""
-    return F.make_valid_utf8(F.unbase64(F.translate(data, "-_", "+/")).cast("string"))
+# The tree is walked by nested array functions, written as SQL: one level per depth.
 
+def _attached(part: str) -> str:
+    disposition = f"get(filter({part}.headers, h -> lower(h.name) = 'content-disposition'), 0).value"
+    return f"(coalesce({part}.filename, '') <> '' OR coalesce(lower({disposition}) LIKE 'attachment%', false))"
 
-def _attached(part: Column) -> Column:
-    return (text(part["filename"]) != "") | F.lower(header(part["headers"], "content-disposition")).startswith("attachment")
 
+def _container(part: str) -> str:
+    return f"(coalesce({part}.mimeType, '') LIKE '%multipart%' AND NOT {_attached(part)})"
 
-def _container(part: Column) -> Column:
-    return text(part["mimeType"]).contains("multipart") & ~_attached(part)
 
+def _decoded(part: str) -> str:
+    return f"nullif(make_valid_utf8(CAST(unbase64(translate({part}.body.data, '-_', '+/')) AS STRING)), '')"
 
-def _pick(parts: Column, mime: str, depth: int) -> Column:
-    """The text of the first part of a type: this level first, then its containers in order."""
-    here = F.transform(
-        F.filter(parts, lambda p: (p["mimeType"] == mime) & ~_attached(p)),
-        lambda p: F.nullif(decoded(p["body"]["data"]), F.lit("")))
-    found = first_where(here, lambda x: x.isNotNull())
+
+def _first(items: str) -> str:
+    return f"get(filter({items}, x -> x IS NOT NULL), 0)"
+
+
+def _pick(parts: str, mime: str, found, depth: int) -> str:
+    """What ``found`` gives for the first part of a type: this level first, then its containers."""
+    here = _first(f"transform(filter({parts}, p -> p.mimeType = '{mime}' AND NOT {_attached('p')}), p -> {found('p')})")
     if not depth:
-        return found
-    below = F.transform(F.filter(parts, _container), lambda p: _pick(p["parts"], mime, depth - 1))
-    return F.coalesce(found, first_where(below, lambda x: x.isNotNull()))
+        return here
+    below = _first(f"transform(filter({parts}, c -> {_container('c')}), c -> {_pick('c.parts', mime, found, depth - 1)})")
+    return f"coalesce({here}, {below})"
 
 
-def body_text(payload: Column, prefer_html: bool = False, depth: int = DEPTH) -> Column:
+def body_text(payload: str, prefer_html: bool = False, depth: int = DEPTH) -> Column:
     """The body of a MIME tree: the preferred type anywhere in it, else the other one."""
     types = ("text/html", "text/plain") if prefer_html else ("text/plain", "text/html")
-    leaf = F.when(~text(payload["mimeType"]).contains("multipart"),
-                  F.nullif(decoded(payload["body"]["data"]), F.lit("")))
-    return F.coalesce(leaf, *[_pick(payload["parts"], t, depth - 1) for t in types], F.lit(""))
+    leaf = f"CASE WHEN coalesce({payload}.mimeType, '') NOT LIKE '%multipart%' THEN {_decoded(payload)} END"
+    picks = ", ".join(_pick(f"{payload}.parts", t, _decoded, depth - 1) for t in types)
+    return F.expr(f"coalesce({leaf}, {picks}, '')")
 
 
-def external_body(payload: Column, mime: str, depth: int = DEPTH) -> Column:
+def external_body(payload: str, mime: str, depth: int = DEPTH) -> Column:
     """Id of the part that holds the body of a type when its data was left out."""
-    def find(parts, level):
-        fits = F.filter(parts, lambda p: (p["mimeType"] == mime) & ~_attached(p) & (
-            F.coalesce(p["body"]["data"], p["body"]["attachmentId"]).isNotNull()))
-        here = F.transform(fits, lambda p: F.struct(p["body"]["data"].alias("data"), p["body"]["attachmentId"].alias("ref")))
-        found = F.get(here, F.lit(0))
-        if not level:
-            return found
-        below = F.transform(F.filter(parts, _container), lambda p: find(p["parts"], level - 1))
-        return F.coalesce(found, first_where(below, lambda x: x.isNotNull()))
+    def found(part):
+        return f"CASE WHEN {part}.body.data IS NOT NULL OR {part}.body.attachmentId IS NOT NULL THEN struct({part}.body.data, {part}.body.attachmentId AS ref) END"
 
-    part = find(payload["parts"], depth - 1)
-    return F.when(part["data"].isNull(), part["ref"])
+    return F.expr(f"transform(array({_pick(f'{payload}.parts', mime, found, depth - 1)}), x -> if(x.data IS NULL, x.ref, NULL))[0]")
 
 
-def attachments(parts: Column, depth: int = DEPTH - 1) -> Column:
+def attachments(parts: str, depth: int = DEPTH - 1) -> str:
     """Name, type and size of every named part, in document order."""
-    def listed(part):
-        named = F.filter(
-            F.array(F.struct(part["filename"].alias("filename"), text(part["mimeType"]).alias("mime_type"),
-                             F.coalesce(part["body"]["size"], F.lit(0)).cast("bigint").alias("size"))),
-            lambda x: text(x["filename"]) != "")
-        if not depth:
-            return named
-        inside = F.when(text(part["mimeType"]).contains("multipart"), attachments(part["parts"], depth - 1))
-        return F.concat(named, F.coalesce(inside, F.slice(named, 1, 0)))
+    none = f"CAST(array() AS {ATTACHMENTS})"
+    own = (f"if(coalesce(a.filename, '') <> '', array(struct(a.filename AS filename, coalesce(a.mimeType, '') AS mime_type, "
+           f"coalesce(a.body.size, 0L) AS size)), {none})")
+    if depth:
+        inside = f"if(coalesce(a.mimeType, '') LIKE '%multipart%', {attachments('a.parts', depth - 1)}, {none})"
+        own = f"concat({own}, {inside})"
+    return f"coalesce(flatten(transform({parts}, a -> {own})), {none})"
 
-    return F.coalesce(F.flatten(F.transform(parts, listed)),
-                      F.array().cast("array<struct<filename:string,mime_type:string,size:bigint>>"))
 
-
-def overflow(parts: Column, depth: int = DEPTH - 1) -> Column:
+def overflow(parts: str, depth: int = DEPTH - 1) -> str:
     """Whether parts lie deeper than the levels that are looked into."""
-    if not depth:
-        return F.coalesce(F.exists(parts, lambda p: p["parts"].isNotNull()), F.lit(False))
-    return F.coalesce(F.exists(parts, lambda p: overflow(p["parts"], depth - 1)), F.lit(False))
+    inside = f"coalesce({overflow('o.parts', depth - 1)}, false)" if depth else "o.parts IS NOT NULL"
+    return f"coalesce(exists({parts}, o -> {inside}), false)"
 
 
 def _columns(message: Column, full: bool, prefer_html: bool, depth: int) -> dict[str, Column]:
@@ -121,9 +111,9 @@ def _columns(message: Column, full: bool, prefer_html: bool, depth: int) -> dict
             "to": F.nullif(header(headers, "to"), F.lit("")),
             "cc": F.nullif(header(headers, "cc"), F.lit("")),
             "message_id": F.nullif(header(headers, "message-id"), F.lit("")),
-            "body": body_text(message["payload"], prefer_html, depth),
-            "attachments": attachments(message["payload"]["parts"], depth - 1),
-            "mime_overflow": overflow(message["payload"]["parts"], depth - 1),
+            "body": body_text("m.payload", prefer_html, depth),
+            "attachments": F.expr(attachments("m.payload.parts", depth - 1)),
+            "mime_overflow": F.expr(overflow("m.payload.parts", depth - 1)),
         }
     return out
 
