@@ -60,40 +60,51 @@ def gate(actions: DataFrame, sources: DataFrame, required: str = "modify") -> Da
     return actions.join(known, "source", "left").withColumn("reason", reason).drop("_provider", "_level", "_known")
 
 
-def expand(actions: DataFrame, messages: DataFrame) -> DataFrame:
-    """Actions per message: an action on a thread reaches every message of it."""
-    single = actions.where("scope = 'message'").select("seq", "action", "label", F.col("target").alias("id"))
-    whole = actions.where("scope = 'thread'").join(
-        messages.where("thread_id <> ''").select("id", F.col("thread_id").alias("target")), "target"
-    ).select("seq", "action", "label", "id")
-    return single.unionByName(whole)
+def _effects(actions: DataFrame) -> DataFrame:
+    """Per target the last word on each label: ``(scope, target, effects)``.
+
+    The log is cut to one action per target and label with map-side partials, so a thread
+    that a third of all actions ask for ends up as one row.
+    """
+    def changes(side: int, add: bool) -> Column:
+        labels = F.array().cast("array<string>")
+        for action, both in EFFECTS.items():
+            named = [F.col("label") if x == "*" else F.lit(x) for x in both[side]]
+            if named:
+                labels = F.when(F.col("action") == action, F.array(*named)).otherwise(labels)
+        return F.transform(labels, lambda x: F.struct(x.alias("label"), F.lit(add).alias("add")))
+
+    every = actions.select("scope", "target", "seq", F.inline(F.concat(changes(0, True), changes(1, False))))
+    last = every.groupBy("scope", "target", "label").agg(F.max(F.struct("seq", "add")).alias("last"))
+    return last.groupBy("scope", "target").agg(
+        F.collect_list(F.struct("label", "last.seq", "last.add")).alias("effects"))
 
 
 def apply_actions(messages: DataFrame, actions: DataFrame) -> DataFrame:
-    """Labels after the log. The last action on each message and label decides.
+    """Labels after the log; the last action on a message and label decides.
 
-    The log is cut to that one action per message and label with map-side partials before it
-    meets the messages.
+    An action on a thread reaches every message of it. Both kinds meet a message as a short
+    list, one from its own row and one from that of its thread, so nothing is paired up.
     """
-    def effects(side: int, add: bool) -> Column:
-        effect = F.array().cast("array<string>")
-        for action, both in EFFECTS.items():
-            labels = [F.col("label") if x == "*" else F.lit(x) for x in both[side]]
-            if labels:
-                effect = F.when(F.col("action") == action, F.array(*labels)).otherwise(effect)
-        return F.transform(effect, lambda x: F.struct(x.alias("label"), F.lit(add).alias("add")))
-
-    changes = expand(actions, messages).select(
-        "id", "seq", F.inline(F.concat(effects(0, True), effects(1, False))))
-    last = changes.groupBy("id", "label").agg(F.max_by("add", "seq").alias("add"))
-    final = last.groupBy("id").agg(
-        F.array_sort(F.collect_set(F.when(F.col("add"), F.col("label")))).alias("_added"),
-        F.collect_set(F.when(~F.col("add"), F.col("label"))).alias("_removed"))
-    none = F.array().cast("array<string>")
-    labels = F.array_except(
-        F.array_union(F.coalesce("labels", none), F.coalesce("_added", none)), F.coalesce("_removed", none))
-    return messages.join(final, "id", "left").withColumn("labels", labels).withColumn(
-        "unread", F.array_contains("labels", "UNREAD")).drop("_added", "_removed")
+    effects = _effects(actions)
+    own = effects.where("scope = 'message'").select(F.col("target").alias("_id"), F.col("effects").alias("_own"))
+    whole = effects.where("scope = 'thread'").select(F.col("target").alias("_thread"), F.col("effects").alias("_whole"))
+    none = F.array().cast("array<struct<label:string,seq:bigint,add:boolean>>")
+    both = F.concat(F.coalesce("_own", none), F.coalesce("_whole", none))
+    final = F.filter("_all", lambda x: ~F.exists("_all", lambda y: (y["label"] == x["label"]) & (y["seq"] > x["seq"])))
+
+    def labels_of(add):
+        kept = F.filter("_final", lambda x: x["add"] if add else ~x["add"])
+        return F.array_sort(F.transform(kept, lambda x: x["label"]))
+
+    stored = F.coalesce("labels", F.array().cast("array<string>"))
+    return (
+        messages.join(own, F.col("id") == F.col("_id"), "left")
+        .join(whole, F.col("thread_id") == F.col("_thread"), "left")
+        .withColumn("_all", both).withColumn("_final", final)
+        .withColumn("labels", F.array_except(F.array_union(stored, labels_of(True)), labels_of(False)))
+        .withColumn("unread", F.array_contains("labels", "UNREAD"))
+        .drop("_id", "_own", "_thread", "_whole", "_all", "_final"))
 
 
 def preview(actions: DataFrame) -> DataFrame:

@@ -87,17 +87,16 @@ def mime_pick(spark, folder):
 
 
 @query("mail_threads", M + """
-, g AS (SELECT * FROM msg WHERE source = 'g' AND thread_id IS NOT NULL)
-SELECT thread_id, id, row_number() OVER w AS idx, count(*) OVER (PARTITION BY thread_id) AS message_count, first_value(raw_subject) OVER w AS thread_subject
-FROM g WINDOW w AS (PARTITION BY thread_id ORDER BY seq)""")
+SELECT 'g:x' || seq AS thread_id, 'g:m' || seq || '-' || i AS id, i + 1 AS idx, seq % 4 + 1 AS message_count, raw_subject AS thread_subject
+FROM msg, range(4) r(i) WHERE source = 'g' AND i <= seq % 4""")
 def mail_threads(spark, folder):
-    """Thread payloads spread into numbered messages."""
-    raw = gmail_raw(spark, folder).join(C.raw_messages(spark, folder).where("thread_id IS NOT NULL").select("seq", "thread_id"), "seq")
-    grouped = raw.groupBy("source", "thread_id").agg(F.min("seq").alias("first"), F.array_sort(F.collect_list(F.struct("seq", "payload"))).alias("m"))
-    payload = F.concat(F.lit('{"id":"'), F.substring("thread_id", 3, 99), F.lit('","messages":['),
-                       F.array_join(F.transform("m", lambda x: x["payload"]), ","), F.lit("]}"))
-    threads = grouped.select("source", F.col("first").alias("seq"), payload.alias("payload"))
-    return gmail.thread_messages(threads).select("thread_id", "id", "idx", "message_count", "thread_subject")
+    """Thread payloads of one to four messages spread into numbered messages."""
+    raw = gmail_raw(spark, folder)
+    one = F.concat(F.lit('"id":"m'), F.col("seq").cast("string"))
+    listed = F.transform(F.sequence(F.lit(0), F.expr("seq % 4")), lambda i: F.replace(
+        F.col("payload"), F.concat(one, F.lit('"')), F.concat(one, F.lit("-"), i.cast("string"), F.lit('"'))))
+    payload = F.concat(F.lit('{"id":"x'), F.col("seq").cast("string"), F.lit('","messages":['), F.array_join(listed, ","), F.lit("]}"))
+    return gmail.thread_messages(raw.withColumn("payload", payload)).select("thread_id", "id", "idx", "message_count", "thread_subject")
 
 
 def person(name: Column, address: Column) -> Column:
@@ -158,18 +157,21 @@ def chat_list(spark, folder):
 
 
 @query("chat_contexts", """
-SELECT 'w:' || conv_id AS thread_id, 'w:' || conv_id || '-' || turn AS id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS idx FROM conversations
-WHERE conv_id IN (SELECT conv_id FROM conversations WHERE turn = 1)""")
+SELECT 'w:' || conv_id AS thread_id, 'w:' || conv_id || '-' || turn || CASE WHEN k < 0 THEN 'b' || -k WHEN k > 0 THEN 'a' || k ELSE '' END AS id,
+  row_number() OVER (PARTITION BY conv_id, turn ORDER BY k) AS idx FROM conversations, range(-3, 3) r(k) WHERE k >= -least(turn, 3)""")
 def chat_contexts(spark, folder):
-    """Context payloads around the second turn: earlier turns come newest first."""
-    turns = C.table(spark, folder, "conversations")
-    item = F.struct(F.concat("conv_id", F.lit("-"), "turn").alias("id"), F.col("role").alias("sender_name"), F.col("conv_id").cast("string").alias("chat_jid"), "turn")
-    grouped = turns.groupBy("conv_id").agg(F.collect_list(item).alias("t"))
-    sort = lambda c, way: F.array_sort(c, lambda a, b: way * (a["turn"] - b["turn"]).cast("int"))
-    payload = F.to_json(F.struct(
-        F.filter("t", lambda x: x["turn"] == 1)[0].alias("message"), sort(F.filter("t", lambda x: x["turn"] < 1), -1).alias("before"),
-        sort(F.filter("t", lambda x: x["turn"] > 1), 1).alias("after")))
-    raw = grouped.where(F.exists("t", lambda x: x["turn"] == 1)).select(F.lit("w").alias("source"), F.col("conv_id").alias("seq"), payload.alias("payload"))
+    """A context payload around every turn: what came before is listed newest first."""
+    base = F.concat("conv_id", F.lit("-"), "turn")
+
+    def item(tail):
+        return F.struct(F.concat(base, tail).alias("id"), F.col("role").alias("sender_name"), F.col("conv_id").cast("string").alias("chat_jid"))
+
+    some = F.least(F.col("turn"), F.lit(3)).cast("int")
+    before = F.transform(F.slice(F.array(F.lit(1), F.lit(2), F.lit(3)), F.lit(1), some), lambda i: item(F.concat(F.lit("b"), i.cast("string"))))
+    after = F.transform(F.array(F.lit(1), F.lit(2)), lambda i: item(F.concat(F.lit("a"), i.cast("string"))))
+    payload = F.to_json(F.struct(item(F.lit("")).alias("message"), before.alias("before"), after.alias("after")))
+    raw = C.table(spark, folder, "conversations").select(
+        F.lit("w").alias("source"), (F.col("conv_id") * 100000 + F.col("turn")).alias("seq"), payload.alias("payload"))
     return chat.contexts(raw).select("thread_id", "id", F.col("idx").cast("bigint").alias("idx"))
 
 

@@ -97,11 +97,16 @@ def render_thread_listing(spark, folder):
     return render.thread_listing(threads.collapse_threads(C.messages(spark, folder)))
 
 
-@query("render_thread_xml", THREADS + """
-SELECT place, '<t id="' || k || '" subject="' || subject || '" who="' || who || '" n="' || n || '" from="' || lo || '" to="' || hi || '"' || CASE WHEN snippet <> '' THEN ' snip="' || replace(snippet, chr(10), '&#10;') || '"' ELSE '' END || '/>' AS line FROM tt""")
+@query("render_thread_xml", M + f"""
+, page AS (SELECT *, coalesce(thread_id, source || ':' || chat_jid, id) AS k, row_number() OVER (ORDER BY {ORDER}) AS p FROM msg QUALIFY p <= 200),
+who AS (SELECT k, string_agg(sender, ',' ORDER BY r) AS who FROM (SELECT k, sender, min(p) AS r FROM page GROUP BY k, sender) GROUP BY k),
+th AS (SELECT k, arg_min(subject, row(date, p)) AS subject, any_value(who) AS who, count(*) AS n, min(date) AS lo, max(date) AS hi,
+  arg_max(CASE WHEN snippet <> '' THEN snippet ELSE body END, row(date, -p)) AS snippet, min(p) AS place FROM page JOIN who USING (k) GROUP BY k)
+SELECT place, '<t id="' || k || '" subject="' || subject || '" who="' || who || '" n="' || n || '" from="' || lo || '" to="' || hi || '"' || CASE WHEN snippet <> '' THEN ' snip="' || replace(snippet, chr(10), '&#10;') || '"' ELSE '' END || '/>' AS line FROM th""")
 def render_thread_xml(spark, folder):
-    df = C.messages(spark, folder)
-    return render.thread_listing(threads.collapse_threads(df), "x", threads.thread_participants(df))
+    """The threads of the newest two hundred messages, with all of their senders."""
+    page = feed.listed(C.messages(spark, folder), 200)
+    return render.thread_listing(threads.collapse_threads(page, "place"), "x", threads.thread_participants(page, "place"))
 
 
 CHATS = with_views(CHAT) + """

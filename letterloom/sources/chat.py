@@ -28,10 +28,10 @@ def iso(stamp: Column) -> Column:
     return F.when(stamp.contains("T"), stamp).otherwise(F.regexp_replace(stamp, "^([^ ]*) ", "$1T"))
 
 
-def _rows(found: DataFrame) -> DataFrame:
+def _rows(found: DataFrame, *keep: str) -> DataFrame:
     m = F.col("m")
     return found.select(
-        "source", "seq", "line_no", "pos", prefixed(F.col("source"), m["id"]).alias("id"),
+        "source", "seq", "line_no", "pos", *keep, prefixed(F.col("source"), m["id"]).alias("id"),
         text(m["sender_name"]).alias("sender"), text(m["sender_jid"]).alias("sender_jid"),
         text(m["chat_name"]).alias("subject"), iso(m["timestamp"]).alias("date"),
         text(m["content"]).alias("body"), F.coalesce(m["is_from_me"], F.lit(False)).alias("is_from_me"),
@@ -78,6 +78,5 @@ def contexts(raw: DataFrame) -> DataFrame:
     found = raw.withColumn("c", F.from_json("payload", kind)).where("c.message IS NOT NULL")
     ordered = F.concat(F.reverse(F.coalesce("c.before", none)), F.array("c.message"), F.coalesce("c.after", none))
     rows = found.select("source", "seq", F.lit(0).alias("line_no"), F.posexplode(ordered).alias("pos", "m"),
-                        F.col("c.message.chat_jid").alias("_jid"))
-    return named(_rows(rows)).withColumn("idx", F.col("pos") + 1).join(
-        found.select("seq", prefixed(F.col("source"), F.col("c.message.chat_jid")).alias("thread_id")), "seq")
+                        prefixed(F.col("source"), F.col("c.message.chat_jid")).alias("thread_id"))
+    return named(_rows(rows, "thread_id")).withColumn("idx", F.col("pos") + 1)
