@@ -23,8 +23,8 @@ def collapse_threads(messages: DataFrame, order: str = "seq") -> DataFrame:
     ``order`` is the place of a message in the listing. The oldest message with a subject
     owns the subject, the newest the snippet. Messages are first merged per thread and
     sender, with map-side partials, and then per thread; no list of a thread's messages or
-    senders is ever built. The first three senders come from a ranked copy of the same
-    shuffle.
+    senders is ever built. The first three senders come from a second, narrow pass over
+    threads and senders that keeps three rows per thread in every task.
     """
     when = F.nullif(F.coalesce("date", F.lit("")), F.lit(""))
     subject = F.nullif(F.coalesce("subject", F.lit("")), F.lit(""))

@@ -33,7 +33,7 @@ def stream_upsert(spark, folder):
     out, checkpoint = jobs.working_paths(spark, "upsert")
     stream = _events(spark, folder).select(F.col("source").alias("id"), F.col("id").alias("last"), F.struct("date", "id").alias("date"))
     jobs.upsert_messages(stream, out, checkpoint)
-    return jobs.snapshot(spark, out).select(F.col("id").alias("source"), F.col("date.date").alias("date"), "last")
+    return jobs.latest(spark, out).select(F.col("id").alias("source"), F.col("date.date").alias("date"), "last")
 
 
 @query("stream_offsets", EV + "SELECT 'reader' AS key, source, max(date) AS ts FROM ev GROUP BY source")
@@ -47,7 +47,7 @@ def stream_offsets(spark, folder):
 def stream_refs(spark, folder):
     out, checkpoint = jobs.working_paths(spark, "refs")
     jobs.number_refs(_events(spark, folder), out, checkpoint)
-    return jobs.snapshot(spark, out)
+    return spark.read.parquet(out).select("id", "ref")
 
 
 @query("stream_usage", LOG + """

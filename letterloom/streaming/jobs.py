@@ -38,14 +38,14 @@ def append(stream: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
 
 
 def snapshot(spark: SparkSession, path: str) -> DataFrame:
-    """The table as the last batch left it."""
+    """A small table as the last batch left it."""
     slots = spark.read.parquet(path)
     latest = slots.agg(F.max("_batch")).first()[0]
     return slots.where(F.col("_batch") == latest).drop("_batch", "slot")
 
 
-def upsert_into(path: str, merge: Callable[[DataFrame | None, DataFrame], DataFrame]) -> Callable[[DataFrame, int], None]:
-    """A ``foreachBatch`` function that replaces the table by ``merge(old, batch)``.
+def replace_into(path: str, merge: Callable[[DataFrame | None, DataFrame], DataFrame]) -> Callable[[DataFrame, int], None]:
+    """A ``foreachBatch`` function for small tables: each batch writes ``merge(old, batch)``.
 
     Batches write to two places in turn and read what the batch before them wrote. A batch
     that is run again after a failure starts from the same table as the first time, so every
@@ -59,13 +59,31 @@ def upsert_into(path: str, merge: Callable[[DataFrame | None, DataFrame], DataFr
     return write
 
 
+def append_into(path: str, rows: Callable[[DataFrame | None, DataFrame], DataFrame]) -> Callable[[DataFrame, int], None]:
+    """A ``foreachBatch`` function for large tables: each batch adds ``rows(old, batch)``.
+
+    What is there is read only as far as ``rows`` asks, and never written again, so a batch
+    costs what it brings. Rows carry the number of their batch; a batch that is run again
+    sees only those before it and replaces its own.
+    """
+    def write(batch: DataFrame, number: int) -> None:
+        old = batch.sparkSession.read.parquet(path).where(F.col("batch") < number).drop("batch") if number else None
+        rows(old, batch).write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    return write
+
+
 def upsert_messages(stream: DataFrame, path: str, checkpoint: str, order: str = "date") -> StreamingQuery:
-    """Keep the latest version of every message id."""
-    def merge(old, batch):
-        rows = batch if old is None else old.unionByName(batch)
-        return top_in_groups(rows, ["id"], [F.desc(order)], 1, "_rank").drop("_rank")
+    """Add the latest version of every message id in a batch; ``latest`` reads the table."""
+    def rows(old, batch):
+        return top_in_groups(batch, ["id"], [F.desc(order)], 1, "_rank").drop("_rank")
+
+    return run(stream.writeStream.foreachBatch(append_into(path, rows)).option("checkpointLocation", checkpoint))
 
-    return run(stream.writeStream.foreachBatch(upsert_into(path, merge)).option("checkpointLocation", checkpoint))
+
+def latest(spark: SparkSession, path: str, order: str = "date") -> DataFrame:
+    """The latest version of every message id; of equal ones that of the later batch."""
+    return top_in_groups(spark.read.parquet(path), ["id"], [F.desc(order), F.desc("batch")], 1, "_rank").drop("_rank", "batch")
 
 
 def follow(stream: DataFrame, key: str, path: str, checkpoint: str) -> StreamingQuery:
@@ -80,16 +98,16 @@ def follow(stream: DataFrame, key: str, path: str, checkpoint: str) -> Streaming
         return feed.merge_offsets(old, seen.join(old.select("key", "source", F.col("ts").alias("_old")), ["key", "source"], "left").select(
             "key", "source", F.greatest("ts", "_old").alias("ts")))
 
-    return run(stream.writeStream.foreachBatch(upsert_into(path, merge)).option("checkpointLocation", checkpoint))
+    return run(stream.writeStream.foreachBatch(replace_into(path, merge)).option("checkpointLocation", checkpoint))
 
 
 def number_refs(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     """Keep the reference numbers: ids that are new in a batch get the next ones."""
-    def merge(old, batch):
+    def rows(old, batch):
         known = batch.sparkSession.createDataFrame([], "id string, ref bigint") if old is None else old
-        return known.unionByName(feed.assign_refs(batch, known, ["date"], newest_first=True))
+        return feed.assign_refs(batch, known, ["date"], newest_first=True)
 
-    return run(stream.writeStream.foreachBatch(upsert_into(path, merge)).option("checkpointLocation", checkpoint))
+    return run(stream.writeStream.foreachBatch(append_into(path, rows)).option("checkpointLocation", checkpoint))
 
 
 def usage_counters(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
@@ -102,7 +120,7 @@ def usage_counters(stream: DataFrame, path: str, checkpoint: str) -> StreamingQu
         rows = new if old is None else old.unionByName(new)
         return rows.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in sums])
 
-    return run(stream.writeStream.foreachBatch(upsert_into(path, merge)).option("checkpointLocation", checkpoint))
+    return run(stream.writeStream.foreachBatch(replace_into(path, merge)).option("checkpointLocation", checkpoint))
 
 
 def last_meters(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
@@ -112,7 +130,7 @@ def last_meters(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery
         rows = new if old is None else old.unionByName(new)
         return rows.groupBy("source").agg(F.max("polled_at").alias("polled_at"), F.max_by("meters", "polled_at").alias("meters"))
 
-    return run(stream.writeStream.foreachBatch(upsert_into(path, merge)).option("checkpointLocation", checkpoint))
+    return run(stream.writeStream.foreachBatch(replace_into(path, merge)).option("checkpointLocation", checkpoint))
 
 
 def deduplicated(stream: DataFrame, delay: str = "1 day") -> DataFrame:

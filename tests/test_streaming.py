@@ -23,7 +23,7 @@ def test_upsert_over_restarts(spark, tmp_path):
     land(spark, src, "b", [("1", "g", "2026-01-03"), ("3", "o", "2026-01-02")])
     jobs.upsert_messages(stream(spark, src), out, mark)
     jobs.upsert_messages(stream(spark, src), out, mark)
-    got = {r.id: r.date for r in jobs.snapshot(spark, out).collect()}
+    got = {r.id: r.date for r in jobs.latest(spark, out).collect()}
     assert got == {"1": "2026-01-03", "2": "2026-01-01", "3": "2026-01-02"}
 
 
@@ -34,7 +34,7 @@ def test_a_repeated_batch_counts_once(spark, tmp_path):
         rows = batch if old is None else old.select("n").unionByName(batch)
         return rows.agg(F.sum("n").alias("n"))
 
-    write = jobs.upsert_into(path, merge)
+    write = jobs.replace_into(path, merge)
     for number in (0, 1, 1, 2):
         write(spark.createDataFrame([(10,)], "n long"), number)
     assert jobs.snapshot(spark, path).first().n == 30
@@ -59,7 +59,7 @@ def test_refs_go_on(spark, tmp_path):
     jobs.number_refs(stream(spark, src), out, mark)
     land(spark, src, "b", [("x", "g", "2026-01-09"), ("z", "g", "2026-01-03")])
     jobs.number_refs(stream(spark, src), out, mark)
-    assert {r.id: r.ref for r in jobs.snapshot(spark, out).collect()} == {"y": 1, "x": 2, "z": 3}
+    assert {r.id: r.ref for r in spark.read.parquet(out).collect()} == {"y": 1, "x": 2, "z": 3}
 
 
 def test_append_is_resumed(spark, tmp_path):
@@ -69,3 +69,11 @@ def test_append_is_resumed(spark, tmp_path):
     land(spark, src, "b", [("2", "g", "2026-01-02")])
     jobs.append(jobs.deduplicated(stream(spark, src)), out, mark)
     assert sorted(r.id for r in spark.read.parquet(out).collect()) == ["1", "2"]
+
+
+def test_a_repeated_batch_adds_once(spark, tmp_path):
+    path = str(tmp_path / "t")
+    write = jobs.append_into(path, lambda old, batch: batch if old is None else batch.join(old, "n", "left_anti"))
+    for number, values in ((0, [1, 2]), (1, [2, 3]), (1, [2, 3]), (2, [3, 4])):
+        write(spark.createDataFrame([(v,) for v in values], "n long"), number)
+    assert sorted(r.n for r in spark.read.parquet(path).collect()) == [1, 2, 3, 4]
