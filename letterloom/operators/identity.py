@@ -78,17 +78,18 @@ def import_plan(cards: DataFrame, contacts: DataFrame, mail_prefixes: list[str],
     claims = materialise(candidates.select("seq", F.concat(F.lit("a:"), "alias").alias("claim")).unionByName(
         candidates.select("seq", F.explode(F.transform("identifiers", lambda x: F.concat(F.lit("i:"), x))).alias("claim"))))
 
-    accepted = None
+    accepted = claims.limit(0)
     undecided = claims
     while not undecided.isEmpty():
         first = undecided.groupBy("claim").agg(F.min("seq").alias("_first"))
-        waiting = undecided.join(first, "claim").where("seq > _first").select("seq").distinct()
-        won = undecided.join(waiting, "seq", "left_anti")
-        lost = undecided.join(won.select("claim"), "claim", "left_semi").select("seq").distinct()
-        accepted = materialise(won if accepted is None else accepted.unionByName(won))
-        undecided = materialise(undecided.join(lost, "seq", "left_anti"))
+        waiting = undecided.join(first, "claim").where("seq > _first").select("seq", F.lit(True).alias("_waits")).distinct()
+        marked = undecided.join(waiting, "seq", "left").withColumn("won", F.col("_waits").isNull()).drop("_waits")
+        beaten = marked.where("NOT won").join(marked.where("won").select("claim"), "claim", "left_semi")
+        lost = beaten.select("seq", F.lit(True).alias("_lost")).distinct()
+        decided = materialise(marked.join(lost, "seq", "left"))
+        accepted = accepted.unionByName(decided.where("won").select("seq", "claim"))
+        undecided = decided.where("NOT won AND _lost IS NULL").select("seq", "claim")
 
-    accepted = claims.limit(0) if accepted is None else accepted
     claimed = accepted.withColumnRenamed("seq", "_by")
     owners = claimed.where(F.col("claim").startswith("i:")).select(
         F.substring("claim", 3, 1_000_000).alias("identifier"), "_by").join(

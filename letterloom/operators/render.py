@@ -333,3 +333,8 @@ def document(lines: DataFrame, *order: str) -> DataFrame:
     """The lines of a bounded page as one text."""
     key = F.struct(*order, "line")
     return lines.agg(F.array_join(F.transform(F.array_sort(F.collect_list(key)), lambda x: x["line"]), "\n").alias("document"))
+
+
+def write_lines(lines: DataFrame, path: str, *order: str) -> None:
+    """Write lines in order to a text sink: the files, by name, follow each other."""
+    lines.orderBy(*order).select("line").write.mode("overwrite").text(path)

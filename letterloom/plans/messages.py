@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from letterloom.functions import dates, headers
-from letterloom.operators import filters, lookups, store
+from letterloom.operators import filters, lookups, ordering, store
 from letterloom.plans import corpora as C
 from letterloom.plans.registry import query
 from letterloom.plans.sql_views import CONTACTS, CUST, MSG, SOURCES, with_views
@@ -279,3 +279,18 @@ SELECT msg.source, sources.provider, ord AS source_ord, count(*) AS messages FRO
 def configured_sources(spark, folder):
     return lookups.configured(C.messages(spark, folder).drop("source_ord"), C.sources(spark)).groupBy(
         "source", "provider", "source_ord").agg(F.count("*").alias("messages"))
+
+
+@query("point_read", M + """
+, known AS (SELECT id, row_number() OVER (ORDER BY seq) AS ref FROM msg WHERE seq % 50 = 0),
+asked AS (SELECT CASE WHEN o_orderkey % 2 = 0 THEN '#' || (o_orderkey % 60) ELSE 'g:m' || o_orderkey END AS asked FROM orders WHERE o_orderkey % 25 < 2)
+SELECT asked, msg.id, subject, body FROM asked LEFT JOIN known ON asked = '#' || ref JOIN msg ON msg.id = coalesce(known.id, asked)""")
+def point_read(spark, folder):
+    """Messages read by id or by short reference, with their bodies."""
+    df = C.messages(spark, folder)
+    asked = C.table(spark, folder, "orders").where("o_orderkey % 25 < 2").selectExpr(
+        "if(o_orderkey % 2 = 0, concat('#', o_orderkey % 60), concat('g:m', o_orderkey)) AS asked")
+    refs = ordering.number_rows(df.where("seq % 50 = 0").select("id", "seq"), ["seq"], "ref").select("id", "ref")
+    wanted = lookups.resolve_refs(asked, refs).select("asked", "id")
+    full = store.read_messages(df.drop("body"), df.select("id", "mailbox", "body"), wanted.select("id").distinct())
+    return wanted.join(full, "id").select("asked", "id", "subject", "body")

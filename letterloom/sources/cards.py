@@ -17,7 +17,7 @@ def _values(name: str) -> Column:
 
 def _structured_name(value: Column) -> Column:
     """``prefix given additional family suffix`` of a structured name."""
-    parts = F.regexp_extract_all(value, F.lit(r"(?s)((?:[^;\\]|\\.|\\$)*)(?:;|$)"), F.lit(1))
+    parts = F.regexp_extract_all(value, F.lit(r"(?s)((?:[^;\\]++|\\.|\\$)*)(?:;|$)"), F.lit(1))
     parts = F.transform(parts, lambda x: strip(unescaped(x)))
     ordered = F.array(*[F.coalesce(F.get(parts, F.lit(i)), F.lit("")) for i in (3, 1, 2, 0, 4)])
     return F.array_join(F.filter(ordered, lambda x: x != ""), " ")

@@ -163,3 +163,9 @@ def test_reduction_of_a_rich_message(spark):
 def test_rules_in_words(apply):
     check(apply, agenda.rule_text, {"FREQ=DAILY": "daily", "FREQ=WEEKLY;BYDAY=MO,WE": "weekly on Mon+Wed", "FREQ=WEEKLY": "weekly",
                                     "FREQ=HOURLY": "FREQ=HOURLY", "": ""})
+
+
+def test_deep_pages():
+    deep = "<div>" * 5000 + "<p>core</p>" + "<img src='x' width=1 height=1>" * 3000
+    assert dom.html_to_text(deep) == "core"
+    assert dom.html_to_text("<b>" * 3000 + "bold") == "bold"

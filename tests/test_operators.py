@@ -353,3 +353,10 @@ def test_compact_forms_are_smaller(spark):
     folded = sum(len(r.line) for r in render.thread_listing(threads.collapse_threads(df)).collect())
     raw_bytes = df.agg(F.sum(usage.json_bytes(df))).first()[0]
     assert folded < 0.25 * listed and listed < 0.3 * raw_bytes
+
+
+def test_lines_go_to_text_files_in_order(spark, tmp_path):
+    df = spark.range(100).select(F.col("id").alias("place"), F.col("id").cast("string").alias("line")).repartition(5)
+    render.write_lines(df, str(tmp_path / "out"), "place")
+    parts = sorted((tmp_path / "out").glob("part-*"))
+    assert [x for p in parts for x in p.read_text().split()] == [str(i) for i in range(100)]
