@@ -388,8 +388,8 @@ def vcards(spark, folder):
     """Address-book text: folded lines, groups, parameters, escapes, names without FN."""
     c = C.table(spark, folder, "customer")
     k = F.col("c_custkey").cast("string")
-    name = (F.when(F.expr("c_custkey % 4 = 0"), F.concat(F.lit("FN:Full\; Na\r\n me "), k, F.lit("\r\nN:Other;Name;;;")))
-            .when(F.expr("c_custkey % 4 = 1"), F.lit("N;CHARSET=UTF-8:Doe\;S;Ann;Mid;Dr.;Jr."))
+    name = (F.when(F.expr("c_custkey % 4 = 0"), F.concat(F.lit("FN:Full\\; Na\r\n me "), k, F.lit("\r\nN:Other;Name;;;")))
+            .when(F.expr("c_custkey % 4 = 1"), F.lit("N;CHARSET=UTF-8:Doe\\;S;Ann;Mid;Dr.;Jr."))
             .when(F.expr("c_custkey % 4 = 2"), F.concat(F.lit("item1.fn:"), "c_name")).otherwise("N:;;;;"))
     mail = F.when(F.expr("c_custkey % 3 <> 0"), F.concat(F.lit("EMAIL;type=HOME:Me@X.org\r\nemail:o"), k, F.lit("@Y.ORG\r\nEMAIL:Me@x.ORG")))
     text = F.concat_ws("\r\n", F.lit("TEL:000\r\nBEGIN:VCARD\r\nVERSION:3.0"), name, F.concat(F.lit("item2.TEL;type=CELL:+31 "), k, F.lit("\r\nTEL:010\r\nTEL;x=y:010\r\nTEL:")), mail, F.lit("END:VCARD\r\nTEL:999"))
