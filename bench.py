@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import os
 import sys
+import tempfile
 import time
 
 from pyspark.sql import SparkSession
@@ -33,6 +34,7 @@ def main() -> None:
         SparkSession.builder.master(f"local[{cpus}]").appName("letterloom-bench")
         .config("spark.sql.shuffle.partitions", cpus).config("spark.driver.memory", "8g")
         .config("spark.python.sql.dataFrameDebugging.enabled", "false")
+        .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="spark-"))
         .config("spark.ui.enabled", "false").getOrCreate())
     spark.sparkContext.setLogLevel("ERROR")
     # One untimed query loads and compiles what every Spark session has to.

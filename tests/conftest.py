@@ -8,12 +8,13 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 
 @pytest.fixture(scope="session")
-def spark():
+def spark(tmp_path_factory):
     from letterloom.session import configure
     session = (
         SparkSession.builder.master("local[4]").config("spark.sql.shuffle.partitions", "4")
         .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .config("spark.sql.maxMetadataStringLength", "1000")
+        .config("spark.checkpoint.dir", str(tmp_path_factory.mktemp("shared")))
         .config("spark.ui.enabled", "false").getOrCreate())
     session.sparkContext.setLogLevel("ERROR")
     yield configure(session)
