@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from letterloom.llm import lines, neardup
+from letterloom.llm import bpe, decontam, langid, lines, neardup
 from letterloom.llm.tables import table
 from letterloom.session import configure
 
@@ -29,8 +29,34 @@ def op3_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, folder, "documents"))
 
 
+def ranks() -> bytes:
+    """The vocabulary that the queries use; the operators take any."""
+    import public_tokenizers
+
+    return bpe.read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+
+
+@query("op4_bpe")
+def op4_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    vocabulary = ranks()
+    both = bpe.decode(bpe.encode(table(spark, folder, "documents"), vocabulary), vocabulary)
+    return both.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 @query("op7_line_dedup", "SELECT doc_id, n_lines, n_dropped, sha256(kept) AS kept_sha256 FROM ("
        + lines.LINE_DEDUP_SQL.format(docs="documents") + ")")
 def op7_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return lines.line_dedup(table(spark, folder, "documents")).select(
         "doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query("op9_language_id")
+def op9_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    return langid.predict(docs, langid.train(docs)).select(
+        "doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "bits_per_byte")
+
+
+@query("op10_decontamination")
+def op10_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    return decontam.contaminated(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
