@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from letterloom.llm import bpe, decontam, langid, lines, neardup
+from letterloom.llm import bpe, decontam, langid, lines, neardup, substrings
 from letterloom.llm.tables import table
 from letterloom.session import configure
 
@@ -43,6 +43,11 @@ def op4_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return both.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+@query("op5_substring_dedup")
+def op5_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return substrings.substring_dedup(table(spark, folder, "documents"))
+
+
 @query("op7_line_dedup", "SELECT doc_id, n_lines, n_dropped, sha256(kept) AS kept_sha256 FROM ("
        + lines.LINE_DEDUP_SQL.format(docs="documents") + ")")
 def op7_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
