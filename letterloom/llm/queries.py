@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from letterloom.llm import bpe, decontam, langid, lines, neardup, substrings
+from letterloom.llm import bpe, decontam, langid, lines, neardup, substrings, topk
 from letterloom.llm.tables import table
 from letterloom.session import configure
 
@@ -24,6 +24,13 @@ def query(name: str, sql: str | None = None):
     return register
 
 
+@query("op2_topk", topk.NEAREST_SQL)
+def op2_topk(spark: SparkSession, folder: str) -> DataFrame:
+    """The query set is every row whose id is divisible by 50."""
+    vectors = table(spark, folder, "embeddings")
+    return topk.nearest(vectors, vectors.where("vec_id % 50 = 0"), bits=64)
+
+
 @query("op3_near_dedup")
 def op3_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, folder, "documents"))
