@@ -7,10 +7,11 @@ hashes, banded by five: a pair of similarity 0.75 shares no band with probabilit
 batch a pair goes when the posterior probability that its similarity reaches the bound is
 below ``miss``. Survivors are settled on their full sets.
 
-A band shared by m classes does not give m*m pairs. Rounds of stars link the members with one
-hub a time, the most connected ones first; members that are in one component by then need no
-further pairs, and only pairs across components are left for the last round. It takes them
-all, so components are those of all candidate pairs.
+A band shared by m classes does not give m*m pairs. First its members are compared with one
+hub, the most connected of them; members that are in one component by then need no further
+pairs. Pairs across components that share a band are all tested too, so components are those
+of all candidate pairs; sizes and signatures are compared within the join, which lets only
+survivors through, once each.
 """
 
 from __future__ import annotations
@@ -62,7 +63,9 @@ def _minima(grams: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return out
 
 
-_SIGNED = "doc_id long, k1 long, k2 long, n_shingles long, bands array<long>, sig binary"
+_SIGNED = "doc_id long, k1 long, k2 long, n_shingles long, bands array<long>, sig array<long>"
+#: Minimum hashes are compared by their last 8 bits, eight to a 64-bit number.
+LANES = 8
 
 
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -82,12 +85,12 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 low = _minima(grams, bounds)
                 band = W.mix((low.astype(np.uint64).reshape(len(full), BANDS, ROWS) * W.powers(W.BASE, ROWS)).sum(axis=2, dtype=np.uint64)
                              + np.arange(BANDS, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)).view(np.int64)
-                cut = low.astype(np.uint16)
+                lanes = np.ascontiguousarray(low.astype(np.uint8)).view(np.int64)
                 for i, r in enumerate(full):
-                    bands[r], sigs[r] = band[i], cut[i].tobytes()
+                    bands[r], sigs[r] = band[i], lanes[i]
             yield pa.RecordBatch.from_arrays([
                 rows.column("doc_id"), pa.array(keys[0].view(np.int64)), pa.array(keys[1].view(np.int64)),
-                pa.array(np.diff(bounds)), pa.array(bands, pa.list_(pa.int64())), pa.array(sigs, pa.binary())],
+                pa.array(np.diff(bounds)), pa.array(bands, pa.list_(pa.int64())), pa.array(sigs, pa.list_(pa.int64()))],
                 names=["doc_id", "k1", "k2", "n_shingles", "bands", "sig"])
 
 
@@ -112,25 +115,22 @@ def batch_bounds(similarity: float, miss: float, n: int = BANDS * ROWS, batch: i
     return bounds
 
 
-def _survivors(pairs: DataFrame, signed: DataFrame, bounds: list[int]) -> DataFrame:
-    """Pairs that no batch rules out."""
-    def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            a, b = (np.frombuffer(b"".join(c.to_pylist()), np.uint16).reshape(len(batch), -1) for c in (batch.column("sig_a"), batch.column("sig_b")))
-            live, same = np.arange(len(batch)), np.zeros(len(batch), np.int64)
-            for k, least in enumerate(bounds):
-                part = slice(k * BATCH, (k + 1) * BATCH)
-                same[live] += (a[live, part] == b[live, part]).sum(axis=1)
-                live = live[same[live] >= least]
-            yield batch.select(["a", "b"]).take(pa.array(live))
-
-    left = signed.select(F.col("doc_id").alias("a"), F.col("sig").alias("sig_a"))
-    right = signed.select(F.col("doc_id").alias("b"), F.col("sig").alias("sig_b"))
-    return pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "sig_a", "sig_b").mapInArrow(test, "a long, b long")
+def survives(a: str, b: str, bounds: list[int]) -> str:
+    """SQL: no batch rules out the pair of signatures ``a`` and ``b``."""
+    # Eight lanes at once: the bits of each lane of x ^ y are folded into its lowest one.
+    tests = []
+    for k, least in enumerate(bounds):
+        part = f"slice({{}}, 1, {(k + 1) * BATCH // LANES})"
+        folded = (f"zip_with({part.format(a)}, {part.format(b)}, (x, y) -> "
+                  f"((x ^ y) | shiftrightunsigned(x ^ y, 4)) & {0x0F0F0F0F0F0F0F0F}L)")
+        folded = f"transform({folded}, v -> (v | shiftrightunsigned(v, 2)) & {0x0303030303030303}L)"
+        unequal = f"aggregate({folded}, 0, (n, v) -> n + bit_count((v | shiftrightunsigned(v, 1)) & {0x0101010101010101}L))"
+        tests.append(f"{unequal} <= {(k + 1) * BATCH - least}")
+    return " AND ".join(tests)
 
 
 def _linked(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
-    """Pairs whose full shingle sets meet the bound."""
+    """(a, b) of the pairs (hub, doc_id) whose full shingle sets meet the bound."""
     def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, held_set = None, None
         for batch in batches:
@@ -145,6 +145,7 @@ def _linked(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
                     keep.append(i)
             yield batch.select(["a", "b"]).take(pa.array(keep, pa.int64()))
 
+    pairs = pairs.select(F.col("hub").alias("a"), F.col("doc_id").alias("b"))
     right = pairs.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
     whole = right.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
     return whole.select("a", "b", "text_a", "text_b").mapInArrow(test, "a long, b long")
@@ -157,7 +158,7 @@ def shingles(text: str) -> np.ndarray:
     return _text_shingles(hashes, at)[0]
 
 
-def near_duplicates(docs: DataFrame, percent: int = 75, miss: float = 1e-6, stars: int = 2) -> DataFrame:
+def near_duplicates(docs: DataFrame, percent: int = 75, miss: float = 1e-4) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every row of ``docs``.
 
     Words are [^\\x20\\x09-\\x0D]+ of the whole text with A-Z in lower case. Documents are
@@ -182,36 +183,31 @@ def near_duplicates(docs: DataFrame, percent: int = 75, miss: float = 1e-6, star
     texts = stored(plain.join(weight.select("doc_id"), "doc_id").dropDuplicates(["doc_id"]), "candidate-texts")
 
     near = f"100 * least(n_a, n_shingles) >= {percent} * greatest(n_a, n_shingles)"
-    bounds = batch_bounds(percent / 100, miss)
-    tested = links = found = None
-    for turn in range(stars + 1):
-        open_ = members
-        if found is not None:
-            held = members.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("root", F.coalesce("root", "doc_id"))
-            split = held.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("band")
-            open_ = stored(held.join(split, "band"), "open-members")
-        else:
-            open_ = open_.withColumn("root", F.col("doc_id"))
-        if turn < stars:
-            # A hub a band: the most connected member of this turn's choice.
-            rank = F.col("weight") if turn == 0 else F.xxhash64(F.lit(turn), "doc_id")
-            hubs = open_.groupBy("band").agg(F.max(F.struct(rank.alias("rank"), F.col("doc_id").alias("hub"), F.col("n_shingles").alias("n_a"), F.col("root").alias("root_a"))).alias("h")).select("band", "h.hub", "h.n_a", "h.root_a")
-        else:
-            hubs = open_.select("band", F.col("doc_id").alias("hub"), F.col("n_shingles").alias("n_a"), F.col("root").alias("root_a"))
-        across = "root < root_a" if turn == stars else "root <> root_a"
-        pairs = open_.join(hubs, "band").where(f"{across} AND {near}").select(
-            F.least("hub", "doc_id").alias("a"), F.greatest("hub", "doc_id").alias("b")).distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = stored(pairs, "pairs")
-        if turn and pairs.isEmpty():
-            if turn == stars:
-                break
-            continue
-        alive = stored(_survivors(pairs, signed, bounds), "survivors")
-        fresh = stored(_linked(alive, texts, percent), "confirmed")
-        links = fresh if links is None else links.unionAll(fresh)
-        tested = pairs if tested is None else tested.unionAll(pairs)
+    alive = survives("sig_a", "sig", batch_bounds(percent / 100, miss))
+    left = signed.select(F.col("doc_id").alias("hub"), F.col("sig").alias("sig_a"))
+    right = signed.select("doc_id", "sig")
+
+    # A star a band: its hub is the most connected member.
+    best = F.max(F.struct("weight", F.col("doc_id").alias("hub"), F.col("n_shingles").alias("n_a"))).alias("h")
+    hubs = members.groupBy("band").agg(best).select("band", "h.hub", "h.n_a")
+    pairs = members.join(hubs, "band").where(f"hub <> doc_id AND {near}").select("hub", "doc_id").distinct()
+    pairs = stored(pairs.join(left, "hub").join(right, "doc_id").where(alive).select("hub", "doc_id"), "star-pairs")
+    links = stored(_linked(pairs, texts, percent), "star-links")
+    found = stored(components(links), "star-components")
+
+    # What no star has joined: all pairs across components, in the first band they share.
+    held = members.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("root", F.coalesce("root", "doc_id"))
+    split = held.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("band")
+    open_ = held.join(split, "band").join(signed.select("doc_id", "bands", "sig"), "doc_id")
+    open_ = stored(open_.select("band", "doc_id", "n_shingles", "root", "sig", F.expr("transform(bands, x -> cast(x & 2147483647L AS INT))").alias("bands"),
+                                F.expr("array_position(bands, band)").alias("at")), "open-members")
+    other = open_.select("band", F.col("doc_id").alias("hub"), F.col("n_shingles").alias("n_a"), F.col("root").alias("root_a"),
+                         F.col("sig").alias("sig_a"), F.col("bands").alias("bands_a"))
+    first = "NOT exists(zip_with(slice(bands, 1, int(at) - 1), slice(bands_a, 1, int(at) - 1), (x, y) -> x = y), x -> x)"
+    across = open_.join(other, (open_["band"] == other["band"]) & F.expr(f"root_a < root AND {near} AND {alive} AND {first}"))
+    pairs = stored(across.select("hub", "doc_id"), "cross-pairs")
+    if not pairs.isEmpty():
+        links = links.unionAll(stored(_linked(pairs, texts, percent), "cross-links"))
         found = stored(components(links), "components")
 
     named = classes.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("k1", "k2", F.coalesce("root", "rep").alias("component"))
