@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from letterloom.llm import bpe, decontam, langid, lines, neardup, substrings, topk
+from letterloom.llm import bpe, decontam, langid, lines, neardup, quality, substrings, token_counts, topk, urls
 from letterloom.llm.tables import table
 from letterloom.session import configure
 
@@ -24,6 +24,15 @@ def query(name: str, sql: str | None = None):
     return register
 
 
+#: Personal data that the token counts take out: mail addresses and long numbers.
+PERSONAL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+|[0-9][0-9 -]{5,}[0-9]"
+
+
+@query("op1_url_filter")
+def op1_url_filter(spark: SparkSession, folder: str) -> DataFrame:
+    return urls.url_filter(table(spark, folder, "pages"))
+
+
 @query("op2_topk", topk.NEAREST_SQL)
 def op2_topk(spark: SparkSession, folder: str) -> DataFrame:
     """The query set is every row whose id is divisible by 50."""
@@ -55,6 +64,14 @@ def op5_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return substrings.substring_dedup(table(spark, folder, "documents"))
 
 
+@query("op6_quality")
+def op6_quality(spark: SparkSession, folder: str) -> DataFrame:
+    """Grades are 0 toxic, 1 of low quality, 2 good; kept documents are probably good."""
+    docs = table(spark, folder, "documents")
+    model = quality.train(docs, quality.grades_of(table(spark, folder, "labels")), grades=3)
+    return quality.selected(quality.rate(docs, model, grades=3), grade=2)
+
+
 @query("op7_line_dedup", "SELECT doc_id, n_lines, n_dropped, sha256(kept) AS kept_sha256 FROM ("
        + lines.LINE_DEDUP_SQL.format(docs="documents") + ")")
 def op7_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
@@ -62,6 +79,13 @@ def op7_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
         "doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+@query("op8_token_counts")
+def op8_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    """Tokens of each document before and after its personal data are taken out."""
+    edits = token_counts.redactions(table(spark, folder, "documents"), PERSONAL, "[removed]")
+    return token_counts.counted(edits, ranks())
+
+
 @query("op9_language_id")
 def op9_language_id(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")

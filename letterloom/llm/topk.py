@@ -69,7 +69,8 @@ def nearest(vectors: DataFrame, queries: DataFrame, bits: int, k: int = 10, segm
             .withColumn("value", _segment("q", F.col("segment"), segment_bits)) \
             .select("q", "bound", "segment", "value", F.explode(flips).alias("flip")) \
             .select("q", "bound", "segment", F.col("value").bitwiseXOR(F.col("flip")).alias("value"))
-        met = probes.join(by_segment, (probes["segment"] == by_segment["segment"]) & (probes["value"] == by_segment["value"])
+        # Probes are many times what is known of their size beforehand: both sides are sorted.
+        met = probes.hint("merge").join(by_segment, (probes["segment"] == by_segment["segment"]) & (probes["value"] == by_segment["value"])
                           & (_distance("q", "code") <= F.col("bound"))).select("q", "code", "ids", _distance("q", "code").alias("distance")).distinct()
         if found is not None:
             met = met.join(found.select("q", "code"), ["q", "code"], "left_anti").unionAll(found)
