@@ -1,9 +1,9 @@
 """Near-duplicates by MinHash bands with sequential Bayesian verification.
 
 A document's set holds its distinct five-word shingles. Texts with the same words are one
-class from the start, and only classes take part in the search. Each class gets 200 minimum
-hashes, banded by five: a pair of similarity 0.75 shares no band with probability
-(1 - 0.75**5)**40 = 2e-5. Candidates compare their minimum hashes batch by batch; after each
+class from the start, and only classes take part in the search. Each class gets 400 minimum
+hashes; the first 200 are banded by five: a pair of similarity 0.75 shares no band with
+probability (1 - 0.75**5)**40 = 2e-5. Candidates compare their minimum hashes batch by batch; after each
 batch a pair goes when the posterior probability that its similarity reaches the bound is
 below ``miss``. Survivors are settled on their full sets.
 
@@ -29,8 +29,9 @@ from letterloom.llm.tables import pick, stored
 
 SHINGLE = 5
 BANDS, ROWS = 40, 5
-BATCH = 40
-_SEEDS = np.random.default_rng(71).integers(1, 2**32, size=(BANDS * ROWS, 2), dtype=np.uint64).astype(np.uint32) | np.uint32(1)
+#: Minimum hashes that candidates are compared by, and how many at a time; bands use the first.
+HASHES, BATCH = 400, 80
+_SEEDS = np.random.default_rng(71).integers(1, 2**32, size=(HASHES, 2), dtype=np.uint64).astype(np.uint32) | np.uint32(1)
 
 
 def _text_shingles(hashes: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -83,7 +84,7 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             bands, sigs = [None] * n, [None] * n
             if len(full):
                 low = _minima(grams, bounds)
-                band = W.mix((low.astype(np.uint64).reshape(len(full), BANDS, ROWS) * W.powers(W.BASE, ROWS)).sum(axis=2, dtype=np.uint64)
+                band = W.mix((low[:, :BANDS * ROWS].astype(np.uint64).reshape(len(full), BANDS, ROWS) * W.powers(W.BASE, ROWS)).sum(axis=2, dtype=np.uint64)
                              + np.arange(BANDS, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)).view(np.int64)
                 lanes = np.ascontiguousarray(low.astype(np.uint8)).view(np.int64)
                 for i, r in enumerate(full):
@@ -94,7 +95,7 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 names=["doc_id", "k1", "k2", "n_shingles", "bands", "sig"])
 
 
-def batch_bounds(similarity: float, miss: float, n: int = BANDS * ROWS, batch: int = BATCH) -> list[int]:
+def batch_bounds(similarity: float, miss: float, n: int = HASHES, batch: int = BATCH) -> list[int]:
     """Fewest equal hashes, after each batch, at which a pair goes on.
 
     With a uniform prior the posterior of the similarity after m of n equal hashes is
