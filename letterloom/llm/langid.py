@@ -27,6 +27,9 @@ from letterloom.llm.tables import pick
 
 ORDER = 3
 PAD = 10  # texts begin as after line breaks
+#: A-Z count as a-z, so that texts in capitals are known by the same contexts.
+FOLD = np.arange(256, dtype=np.uint8)
+FOLD[65:91] = FOLD[97:123]
 UNKNOWN = "und"
 
 
@@ -46,6 +49,7 @@ def held_out(doc_id: Column) -> Column:
 def _grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for rows, raw, offsets in W.runs(batch):
+            raw = FOLD[raw]
             code = _history(raw.astype(np.int64), offsets, 256, PAD) << 8 | raw
             lang = rows.column("lang").dictionary_encode()
             owner = np.repeat(lang.indices.to_numpy(), np.diff(offsets)).astype(np.int64)
@@ -160,7 +164,7 @@ def fit(lang: np.ndarray, gram: np.ndarray, n: np.ndarray, contexts: int, least:
 def code_lengths(model: Model, raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Bits that each text takes in each language."""
     size = int(model.symbols.max()) + 1
-    s = model.symbols[raw]
+    s = model.symbols[FOLD[raw]]
     row = model.context[_history(s, offsets, size, int(model.symbols[PAD]))]
     row *= size
     row += s
