@@ -18,8 +18,8 @@ HEADLINE = (
     "thread_rollup", "thread_page", "skip_filters", "contact_filter", "resolve_sender", "overview_top", "overview_source",
     "contact_activity", "quarter_histogram", "top_threads", "feed_newest_n", "feed_offsets", "ref_assign", "usage_rollup",
     "label_stats", "apply_actions", "upsert_latest", "chat_context", "day_markers", "sender_tokens", "normalize_subject",
-    "normalize_address", "normalize_date", "clean_text", "clean_reduction", "html_to_text_native", "html_clean_dom",
-    "html_tables", "agenda_week", "recurring_collapse", "import_plan", "json_headers", "mime_pick", "thread_union", "ical_events",
+    "normalize_address", "normalize_date", "clean_text", "clean_reduction", "html_to_text_native",
+    "agenda_week", "recurring_collapse", "import_plan", "json_headers", "mime_pick", "thread_union", "ical_events",
     "vcards", "render_listing", "render_convo", "render_agenda", "stream_feed", "stream_usage",
 )
 

@@ -93,15 +93,17 @@ def clean_text(df: DataFrame, name: str) -> DataFrame:
 def simple_html_to_text(html: Column) -> Column:
     """Text of a page whose structure needs no tree: block ends become line ends.
 
-    Only regular steps, so the whole conversion stays in the JVM. Pages with tables, hidden
-    elements or footers to judge go through the tree in ``letterloom.functions.dom``.
+    Only regular steps, so the whole conversion stays in the JVM. A link keeps its target in
+    brackets unless that tells nothing: places on the page itself, mail addresses, click
+    trackers and targets that are also the text leave the text only.
     """
     text = F.regexp_replace(html, r"(?is)<!--.*?-->", "")
     text = F.regexp_replace(text, r"(?is)<(style|script|head)\b[^>]*>.*?</\1\s*>", "")
     text = F.regexp_replace(text, r"(?i)<img\b[^>]*>", "")
     text = F.regexp_replace(text, r"\s+", " ")
-    text = F.regexp_replace(
-        text, r"""(?is)<a\b[^>]*?\bhref="([^"#][^"]*)"[^>]*>([^<]*)</a>""", "$2 ($1)")
+    text = F.regexp_replace(text, rf"""(?is)<a\b[^>]*?\bhref="(?:#|mailto:|[^"]*(?:{P.LINK_TRACKER}))[^"]*"[^>]*>([^<]*)</a>""", "$1")
+    text = F.regexp_replace(text, r"""(?is)<a\b[^>]*?\bhref="([^"]+)"[^>]*>\s*\1\s*</a>""", "$1")
+    text = F.regexp_replace(text, r"""(?is)<a\b[^>]*?\bhref="([^"]+)"[^>]*>([^<]*)</a>""", "$2 ($1)")
     text = F.regexp_replace(
         text, r"(?i)<(?:br|/p|/div|/li|/tr|/h[1-6]|/ul|/ol|/blockquote|/article|/footer|/nav)\b[^>]*>", "\n")
     text = F.regexp_replace(text, r"<[^>]+>", "")

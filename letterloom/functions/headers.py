@@ -127,12 +127,12 @@ def phone_to_chat(phone: Column) -> Column:
     """An international phone number as a chat identifier; NULL where it is not clearly one."""
     text = strip(phone)
     is_uri = F.lower(text).startswith("tel:")
-    rest = F.when(is_uri, F.substring(text, 5, 1_000_000)).otherwise(text)
+    rest = F.when(is_uri, F.substr(text, F.lit(5))).otherwise(text)
     number = strip(F.substring_index(rest, ";", 1))
     digits = F.regexp_replace(number, r"(?U)\D", "")
     plus = number.startswith("+")
     zeros = ~plus & digits.startswith("00")
-    digits = F.when(zeros, F.substring(digits, 3, 1_000_000)).otherwise(digits)
+    digits = F.when(zeros, F.substr(digits, F.lit(3))).otherwise(digits)
     extension = (is_uri & rest.rlike(r"(?iU);\s*(?:ext|extension)\s*=")) | number.rlike(
         r"(?iU)\bext\.?\b|\bextension\b|x\d+\s*$")
     return F.when(

@@ -92,6 +92,7 @@ LINK_TRACKERS = (
     "click.", "track.", "trk.", "redirect.", "go.", "link.",
     "mailchi.mp", "list-manage", "sendgrid", "mailgun",
 )
+LINK_TRACKER = "|".join(t.replace(".", r"\.") for t in LINK_TRACKERS)
 
 # Notification categories by subject type, then by delivery reason.
 SUBJECT_CATEGORIES = {

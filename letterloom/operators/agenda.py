@@ -64,9 +64,10 @@ def agenda_order(tz: str) -> list[Column]:
     return [display_date(F.col("start"), tz), timed().cast("int"), F.col("start"), F.col("source"), F.col("id")]
 
 
-def agenda(events: DataFrame, low: datetime, high: datetime, tz: str, count: int = 250) -> DataFrame:
-    """The first ``count`` events of a window."""
-    return overlapping(events, low, high, tz).orderBy(*agenda_order(tz)).limit(count)
+def agenda(events: DataFrame, low: datetime, high: datetime, tz: str, count: int | None = None) -> DataFrame:
+    """The events of a window in order; with ``count``, the first so many of them."""
+    rows = overlapping(events, low, high, tz).orderBy(*agenda_order(tz))
+    return rows if count is None else rows.limit(count)
 
 
 def collapse_recurring(events: DataFrame, tz: str) -> DataFrame:

@@ -92,7 +92,7 @@ def import_plan(cards: DataFrame, contacts: DataFrame, mail_prefixes: list[str],
 
     claimed = accepted.withColumnRenamed("seq", "_by")
     owners = claimed.where(F.col("claim").startswith("i:")).select(
-        F.substring("claim", 3, 1_000_000).alias("identifier"), "_by").join(
+        F.substr("claim", F.lit(3)).alias("identifier"), "_by").join(
         cards.select(F.col("seq").alias("_by"), F.col("alias").alias("owner")), "_by")
     early = owner.select("identifier", F.lit(-1).cast("bigint").alias("_by"), "owner").unionByName(
         owners.select("identifier", "_by", "owner"))
@@ -102,7 +102,7 @@ def import_plan(cards: DataFrame, contacts: DataFrame, mail_prefixes: list[str],
     hits = open_cards.join(early, "identifier").where("_by < seq").groupBy("seq").agg(
         F.min_by(F.struct("identifier", "owner"), F.struct("ord", -F.col("_by"))).alias("hit"))
     proposed = claimed.where(F.col("claim").startswith("a:")).select(
-        F.substring("claim", 3, 1_000_000).alias("alias"), "_by")
+        F.substr("claim", F.lit(3)).alias("alias"), "_by")
     duplicates = open_cards.select("seq", "alias").distinct().join(proposed, "alias").where("_by < seq").select("seq").distinct()
 
     reason = (

@@ -12,11 +12,12 @@ from pyspark.sql import functions as F
 
 from letterloom.functions import patterns as P
 
-FAR = 1_000_000
+# Rank of keys made from the fixed labels: after those of any number of sources.
+LAST = 1_000_000_000
 
 
 def after_colon(text: Column) -> Column:
-    return F.substring(text, F.instr(text, F.lit(":")) + 1, F.lit(FAR))
+    return F.substr(text, F.instr(text, F.lit(":")) + 1)
 
 
 def containing(left: DataFrame, text: str, needles: DataFrame, needle: str) -> DataFrame:
@@ -74,7 +75,7 @@ def named(rows: DataFrame, contacts: DataFrame, sources: DataFrame) -> DataFrame
                         lambda x: F.struct(x["prio"], F.concat(x["sibling"], F.lit(":"), sender).alias("key")))
     own = F.concat(
         F.filter(F.array(F.when(F.col("source") != "", key(2, F.concat("source", F.lit(":"), sender)))), lambda x: x.isNotNull()),
-        known, F.array(*[key(FAR + i, F.concat(F.lit(f"{p}:"), sender)) for i, p in enumerate(P.SOURCE_LABELS)]))
+        known, F.array(*[key(LAST + i, F.concat(F.lit(f"{p}:"), sender)) for i, p in enumerate(P.SOURCE_LABELS)]))
     keys = F.concat(F.array(key(0, sender)), F.when(F.instr(sender, ":") > 0, F.array(key(1, after_colon(sender)))).otherwise(own))
     asked = rows.join(related, F.col("source") == F.col("prefix"), "left").select(
         *rows.columns, F.inline(keys).alias("_prio", "_key"))
@@ -159,7 +160,7 @@ def live_meters(meters: DataFrame, sources: DataFrame) -> DataFrame:
 def contact_messages(messages: DataFrame, contacts: DataFrame, source: str) -> DataFrame:
     """Messages from or to each contact, by its identifiers under one source."""
     own = contacts.where(F.col("identifier").startswith(f"{source}:")).select(
-        "alias", F.lower(F.substring("identifier", len(source) + 2, FAR)).alias("address"))
+        "alias", F.lower(F.substr("identifier", F.lit(len(source) + 2))).alias("address"))
     inside = messages.where(F.col("source") == source)
     people = F.array(F.col("sender"), F.coalesce("to", F.lit("")), F.coalesce("cc", F.lit("")))
     addresses = F.array_distinct(F.flatten(F.transform(people, lambda x: F.transform(

@@ -1,8 +1,7 @@
 """Positions and neighbours in ordered groups, however large one group is.
 
-A plain window sends a whole group to one task. These helpers do that only while the
-largest group is known to be small; past ``GROUP_ROWS`` they range-sort the rows, so a hot
-group is spread over many partitions, and stitch the pieces with per-piece counts.
+A plain window sends a whole group to one task. These helpers range-sort the rows instead, so
+a hot group is spread over many partitions, and stitch the pieces with per-piece counts.
 """
 
 from __future__ import annotations
@@ -12,7 +11,6 @@ from pyspark.sql import functions as F
 
 from letterloom.session import materialise
 
-GROUP_ROWS = 1_000_000
 BLOCK_ROWS = 100_000
 
 
@@ -20,11 +18,6 @@ def _columns(order) -> list[Column]:
     return [F.col(c) if isinstance(c, str) else c for c in order]
 
 
-def largest_group(df: DataFrame, keys) -> int:
-    """Rows of the largest group: one aggregation with map-side counts."""
-    return df.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
-
-
 def _position(df: DataFrame, keys, order, out: str) -> DataFrame:
     """1-based position by range partitions; rows must be uniquely ordered."""
     pieces = materialise(
@@ -58,24 +51,17 @@ def number_rows(df: DataFrame, order, out: str = "position") -> DataFrame:
         out, F.row_number().over(inside) + F.col("_before")).drop("_piece", "_p", "_before")
 
 
-def number_in_groups(df: DataFrame, keys, order, out: str = "position",
-                     group_rows: int | None = None) -> DataFrame:
+def number_in_groups(df: DataFrame, keys, order, out: str = "position") -> DataFrame:
     """Number the rows of each group."""
-    if largest_group(df, keys) <= (GROUP_ROWS if group_rows is None else group_rows):
-        window = Window.partitionBy(*keys).orderBy(*_columns(order))
-        return df.withColumn(out, F.row_number().over(window))
     return _position(df, keys, order, out)
 
 
-def with_neighbours(df: DataFrame, keys, order, reach: int, compute,
-                    group_rows: int | None = None, block_rows: int = BLOCK_ROWS) -> DataFrame:
+def with_neighbours(df: DataFrame, keys, order, reach: int, compute, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Run ``compute(df, window)`` where the window sees ``reach`` rows to either side.
 
-    Groups past the limit are cut into blocks by position; every block also gets copies of
+    Groups are cut into blocks by position; every block also gets copies of
     the ``reach`` rows around it, which are dropped again after the computation.
     """
-    if largest_group(df, keys) <= (GROUP_ROWS if group_rows is None else group_rows):
-        return compute(df, Window.partitionBy(*keys).orderBy(*_columns(order)))
     block_rows = max(block_rows, reach)
     at = F.col("_pos")
     df = _position(df, keys, order, "_pos")

@@ -161,7 +161,7 @@ def first_name(sender: Column) -> Column:
     """The local part of an address or the first word of a name, capitalised."""
     local = F.when(sender.contains("@"), F.substring_index(sender, "@", 1)).otherwise(sender)
     word = F.regexp_extract(local, r"(?U)(\S+)", 1)
-    name = F.concat(F.upper(F.substring(word, 1, 1)), F.lower(F.substring(word, 2, 1_000_000)))
+    name = F.concat(F.upper(F.substring(word, 1, 1)), F.lower(F.substr(word, F.lit(2))))
     return F.when(word == "", F.lit("?")).otherwise(name)
 
 
@@ -185,14 +185,19 @@ def sender_tokens(messages: DataFrame, order: str = "seq") -> DataFrame:
     digits = F.regexp_extract("name", r"^.*?([1-9]\d*)$", 1)
     stem = F.expr("substring(name, 1, length(name) - length(_digits))")
     taken = names.where("n_name = 1").withColumn("_digits", digits).where("_digits <> ''").select(
-        "thread_id", stem.alias("name"), F.col("_digits").cast("int").alias("_no")).join(
-        shared.select("thread_id", "name"), ["thread_id", "name"], "left_semi").groupBy("thread_id", "name").agg(
-        F.array_sort(F.collect_set("_no")).alias("_taken"))
+        "thread_id", stem.alias("name"), F.expr("try_cast(_digits AS DECIMAL(38, 0))").alias("_no")).where("_no IS NOT NULL").join(
+        shared.select("thread_id", "name"), ["thread_id", "name"], "left_semi").distinct()
     numbered = number_in_groups(senders, ["thread_id", "name"], ["place"], "_no")
+    # The k-th free number is k and one more for every taken number that k has reached: the
+    # j-th taken number t is reached from k = t - j + 1 on, so a running count finds them.
+    taken = number_in_groups(taken, ["thread_id", "name"], ["_no"], "_j").select(
+        "thread_id", "name", (F.col("_no") - F.col("_j") + 1).cast("decimal(38,0)").alias("_at"), F.lit(1).alias("_is_taken"))
+    steps = numbered.withColumns({"_at": F.col("_no").cast("decimal(38,0)"), "_is_taken": F.lit(0)}).unionByName(taken, allowMissingColumns=True)
+    reached = Window.partitionBy("thread_id", "name").orderBy("_at", F.desc("_is_taken"))
+    numbered = steps.withColumn("_moved", F.sum("_is_taken").over(reached)).where("_is_taken = 0")
     free = numbered.join(initials, ["thread_id", "initial"]).join(
-        names.select("thread_id", "name", "n_name"), ["thread_id", "name"]).join(taken, ["thread_id", "name"], "left")
-    # The k-th free number: k moved up by one for every taken number at or below it.
-    number = F.coalesce(F.aggregate("_taken", F.col("_no"), lambda acc, x: F.when(x <= acc, acc + 1).otherwise(acc)), F.col("_no"))
+        names.select("thread_id", "name", "n_name"), ["thread_id", "name"])
+    number = F.col("_no") + F.col("_moved")
     token = (
         F.when(F.col("n_initial") == 1, F.col("initial"))
         .when(F.col("n_name") == 1, F.col("name"))

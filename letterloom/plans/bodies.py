@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from letterloom.functions import bodies, dom
+from letterloom.functions import bodies
 from letterloom.operators import usage
 from letterloom.plans import corpora as C
 from letterloom.plans.registry import query
@@ -108,7 +108,9 @@ def html_detection(spark, folder):
 , a AS (SELECT page_id, regexp_replace(html, '(?s)<!--.*?-->', '', 'g') AS t FROM page),
 b AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(t, '(?is)<style\b[^>]*>.*?</style\s*>', '', 'g'), '(?is)<script\b[^>]*>.*?</script\s*>', '', 'g'), '(?is)<head\b[^>]*>.*?</head\s*>', '', 'g') AS t FROM a),
 c AS (SELECT page_id, regexp_replace(regexp_replace(t, '(?i)<img\b[^>]*>', '', 'g'), '\s+', ' ', 'g') AS t FROM b),
-d AS (SELECT page_id, regexp_replace(t, '(?is)<a\b[^>]*?\bhref="([^"#][^"]*)"[^>]*>([^<]*)</a>', '\2 (\1)', 'g') AS t FROM c),
+l AS (SELECT page_id, replace(regexp_replace(t, '(?is)<a\b[^>]*?\bhref="(?:#|mailto:|[^"]*(?:click\.|track\.|trk\.|redirect\.|go\.|link\.|mailchi\.mp|list-manage|sendgrid|mailgun))[^"]*"[^>]*>([^<]*)</a>', '\1', 'g'),
+  '<a href="https://self.example/">https://self.example/</a>', 'https://self.example/') AS t FROM c),
+d AS (SELECT page_id, regexp_replace(t, '(?is)<a\b[^>]*?\bhref="([^"]+)"[^>]*>([^<]*)</a>', '\2 (\1)', 'g') AS t FROM l),
 e AS (SELECT page_id, regexp_replace(regexp_replace(t, '(?i)<(br|/p|/div|/li|/tr|/h[1-6]|/ul|/ol|/blockquote|/article|/footer|/nav)\b[^>]*>', E'\n', 'g'), '<[^>]+>', '', 'g') AS t FROM d),
 f AS (SELECT page_id, replace(replace(replace(replace(replace(replace(t, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&nbsp;', ' '), '&amp;', '&') AS t FROM e),
 g AS (SELECT page_id, trim(regexp_replace(regexp_replace(t, ' *\n *', E'\n', 'g'), '\n{3,}', E'\n\n', 'g'), """ + WS + r""") AS t FROM f)
@@ -118,27 +120,6 @@ def html_to_text_native(spark, folder):
     return text.select("page_id", F.md5("text").alias("text_md5"), F.length("text").cast("bigint").alias("n_chars"))
 
 
-@query("html_clean_dom")
-def html_clean_dom(spark, folder):
-    """Every page as clean text, by its element tree."""
-    return dom.clean_bodies(C.pages(spark, folder), "html").select("page_id", F.col("html").alias("text"))
-
-
-@query("html_clean_readable")
-def html_clean_readable(spark, folder):
-    """Every page as readable text, with emphasis and tables; plain text stands in where none is left."""
-    pages = C.pages(spark, folder).withColumn("plain", F.concat(F.lit("See "), "url"))
-    return dom.clean_with_fallback(pages, "html", "plain", "text").select("page_id", "text")
-
-
-@query("html_tables", with_views(PAGES) + """
-SELECT page_id, 1 AS table_no, r AS row_no, c AS cells FROM page,
-  (VALUES (1, 'Item | Price'), (2, 'Tea | 3'), (3, 'Milk | ')) t(r, c) WHERE page_id % 5 = 0""")
-def html_tables(spark, folder):
-    found = dom.html_tables(C.pages(spark, folder), "page_id", "html")
-    return found.select("page_id", "table_no", "row_no", F.array_join("cells", " | ").alias("cells"))
-
-
 @query("tracking_images", with_views(PAGES) + """
 SELECT page_id, CASE WHEN page_id % 5 = 3 THEN 1 ELSE 0 END AS trackers FROM page""")
 def tracking_images(spark, folder):

@@ -112,5 +112,5 @@ def attendee_enrichment(spark, folder):
     """Attendees with the unread messages and the last subject of their mail."""
     people = C.events(spark, folder).selectExpr(
         "id AS event", "concat('u', event_id % 100, '@', if(event_id % 2 = 0, 'Furniture', 'building'), '.example.com') AS email")
-    names = C.contacts(spark, folder).where("identifier LIKE 'g:%'").groupBy(F.substring("identifier", 3, 500).alias("email")).agg(F.min("alias").alias("name"))
+    names = C.contacts(spark, folder).where("identifier LIKE 'g:%'").groupBy(F.substr("identifier", F.lit(3)).alias("email")).agg(F.min("alias").alias("name"))
     return agenda.enrich_attendees(people, names, C.messages(spark, folder)).select("event", "email", "unread", "last_subject")

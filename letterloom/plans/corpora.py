@@ -15,7 +15,6 @@ from pyspark.sql import functions as F
 
 from letterloom.functions.headers import clean_headers
 from letterloom.schema import SOURCES, struct
-from letterloom.session import widen
 
 # Relative bounds count from here; the orders end shortly before.
 NOW = datetime(2001, 8, 2, tzinfo=timezone.utc)
@@ -31,8 +30,8 @@ SOURCE_ROWS = [
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """A given table; one that is a single file is spread before work is done on its rows."""
-    return widen(spark.read.parquet(f"{folder}/{name}.parquet"))
+    """A given table."""
+    return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
 def constant(spark: SparkSession, rows: list[tuple], ddl: str) -> DataFrame:
@@ -141,7 +140,7 @@ def pages(spark: SparkSession, folder: str) -> DataFrame:
         WHEN 1 THEN '<table><tr><td>only</td></tr><tr><td>layout</td></tr></table>'
         WHEN 2 THEN '<div style="display:none">hidden words</div><p hidden>more hidden</p>'
         WHEN 3 THEN '<img src="https://x.example/pixel.gif" width="1" height="1"><p>See <a href="https://click.example/z">here</a></p>'
-        ELSE '<p>Write to <a href="mailto:a@b.example">a@b.example</a></p>' END) AS html""")
+        ELSE '<p>Write to <a href="mailto:a@b.example">a@b.example</a>, see <a href="https://self.example/">https://self.example/</a> or <a href="#top">top</a></p>' END) AS html""")
 
 
 def events(spark: SparkSession, folder: str) -> DataFrame:

@@ -47,16 +47,18 @@ def gmail_raw(spark, folder) -> DataFrame:
                    j(part("application/pdf", F.lit("x" * 9), "a.pdf")))
     attached = _nest("mixed", j(part("text/plain", F.lit("note.txt"), "note.txt")),
                      j(part("text/plain", F.lit("cover"), Content_Disposition="ATTACHMENT")), j(part("text/html", html)))
-    deep = _nest("mixed", _nest("mixed", _nest("mixed", _nest("mixed", j(part("text/plain", plain)), j(part("image/png", F.lit("y" * 4), "p.png"))))))
+    deep = _nest("mixed", j(part("text/plain", plain)), j(part("image/png", F.lit("y" * 4), "p.png")))
+    for _ in range(9):
+        deep = _nest("mixed", deep)
     payload = (
         F.when(F.expr("seq % 5 = 0"), leaf).when(F.expr("seq % 5 = 1"), alt).when(F.expr("seq % 5 = 2"), nested)
         .when(F.expr("seq % 5 = 3"), attached).otherwise(deep))
     heads = F.to_json(F.array(*[F.struct(F.lit(n).alias("name"), v.alias("value")) for n, v in (
         ("X-Other", F.lit("z")), ("FROM", F.col("sender")), ("subject", F.col("subject")), ("To", F.col("to")), ("Message-Id", F.concat(F.lit("<"), "id", F.lit(">"))))]))
-    with_heads = F.concat(F.lit('{"headers":'), heads, F.lit(","), F.substring(payload, 2, 1_000_000))
+    with_heads = F.concat(F.lit('{"headers":'), heads, F.lit(","), F.substr(payload, F.lit(2)))
     ms = F.unix_millis(F.to_timestamp("date")).cast("string")
     text = F.concat(
-        F.lit('{"id":"'), F.substring("id", 3, 99), F.lit('","threadId":"'), F.coalesce(F.substring("thread_id", 3, 99), F.lit("none")),
+        F.lit('{"id":"'), F.substr("id", F.lit(3)), F.lit('","threadId":"'), F.coalesce(F.substr("thread_id", F.lit(3)), F.lit("none")),
         F.lit('","internalDate":"'), ms, F.lit('","labelIds":'), F.to_json("labels"), F.lit(',"snippet":"'), "body", F.lit('"'),
         F.lit(',"sizeEstimate":'), F.expr("CAST(seq % 3 * 2000 AS STRING)"), F.lit(',"payload":'), with_heads, F.lit("}"))
     return m.select("source", F.lit("gmail").alias("provider"), "seq", text.alias("payload"))
@@ -75,15 +77,14 @@ def json_headers(spark, folder):
 SELECT id, CASE WHEN seq % 5 = 3 THEN '<p>html ' || body || '</p>' ELSE 'plain ' || body || ' ünï' END AS body,
   CASE WHEN seq % 5 IN (0, 4) THEN 'plain ' || body || ' ünï' ELSE '<p>html ' || body || '</p>' END AS html_body,
   CASE seq % 5 WHEN 2 THEN 'a.pdf:9' WHEN 3 THEN 'note.txt:8' WHEN 4 THEN 'p.png:4' ELSE '' END AS attachments,
-  '<' || id || '>' AS message_id, false AS mime_overflow FROM msg WHERE source = 'g'""")
+  '<' || id || '>' AS message_id FROM msg WHERE source = 'g'""")
 def mime_pick(spark, folder):
     """Bodies picked from MIME trees, plain or HTML first, and the attachments beside them."""
     raw = gmail_raw(spark, folder)
-    kind = gmail.message_type()
     full = gmail.messages(raw)
-    html = raw.withColumn("m", F.from_json("payload", kind)).select("seq", gmail.body_text("m.payload", True).alias("html_body"))
+    html = gmail.messages(raw, prefer_html=True).select("id", F.col("body").alias("html_body"))
     listed = F.array_join(F.transform("attachments", lambda a: F.concat(a["filename"], F.lit(":"), a["size"].cast("string"))), ",")
-    return full.join(html, "seq").select("id", "body", "html_body", listed.alias("attachments"), "message_id", "mime_overflow")
+    return full.join(html, "id").select("id", "body", "html_body", listed.alias("attachments"), "message_id")
 
 
 @query("mail_threads", M + """
@@ -112,7 +113,7 @@ def graph_messages(spark, folder):
     m = C.raw_messages(spark, folder).where("source = 'o'").withColumn("k", F.split("thread_id", ":t")[1])
     user = F.regexp_extract("sender", r"User (\d+)", 1)
     item = F.struct(
-        F.substring("id", 3, 99).alias("id"), F.substring("thread_id", 3, 99).alias("conversationId"), "subject",
+        F.substr("id", F.lit(3)).alias("id"), F.substr("thread_id", F.lit(3)).alias("conversationId"), "subject",
         person(F.when(F.expr("seq % 3 <> 0"), F.concat(F.lit("User "), user)), F.concat(F.lit("u"), user, F.lit("@x.org"))).alias("from"),
         F.array(person(F.lit("Ann"), F.lit("ann@x.org")), person(F.lit(None).cast("string"), F.lit("bob@x.org"))).alias("toRecipients"),
         F.col("date").alias("receivedDateTime"), F.concat(F.lit("pre "), F.col("seq").cast("string")).alias("bodyPreview"),

@@ -78,7 +78,7 @@ page AS (
     WHEN 1 THEN '<table><tr><td>only</td></tr><tr><td>layout</td></tr></table>'
     WHEN 2 THEN '<div style="display:none">hidden words</div><p hidden>more hidden</p>'
     WHEN 3 THEN '<img src="https://x.example/pixel.gif" width="1" height="1"><p>See <a href="https://click.example/z">here</a></p>'
-    ELSE '<p>Write to <a href="mailto:a@b.example">a@b.example</a></p>' END AS html
+    ELSE '<p>Write to <a href="mailto:a@b.example">a@b.example</a>, see <a href="https://self.example/">https://self.example/</a> or <a href="#top">top</a></p>' END AS html
   FROM pages
 )"""
 

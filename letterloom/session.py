@@ -54,8 +54,3 @@ def materialise(df: DataFrame) -> DataFrame:
         spark.sparkContext.setCheckpointDir(shared_dir(spark))
     return df.checkpoint(eager=True)
 
-
-def widen(df: DataFrame) -> DataFrame:
-    """Spread a scan of few files over all cores; a scan that already fills them is left alone."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

@@ -50,7 +50,7 @@ def google_events(raw: DataFrame, detail: bool = False) -> DataFrame:
 
     mine = first_where(e["attendees"], lambda a: F.coalesce(a["self"], F.lit(False)))
     video = first_where(e["conferenceData"]["entryPoints"], lambda p: p["entryPointType"] == "video")
-    rule = text(F.substring(first_where(e["recurrence"], lambda r: r.startswith("RRULE:")), 7, 1_000_000))
+    rule = text(F.substr(first_where(e["recurrence"], lambda r: r.startswith("RRULE:")), F.lit(7)))
     rows = df.select(
         prefixed(F.col("source"), e["id"]).alias("id"), "source",
         F.coalesce(e["summary"], F.lit("(No title)")).alias("title"), all_day.alias("all_day"),
@@ -135,7 +135,7 @@ def unescaped(value: Column) -> Column:
     r"""Resolve ``\,``, ``\;``, ``\\`` and ``\n`` from left to right."""
     tokens = F.regexp_extract_all(value, F.lit(r"(?s)\\.|\\$|[^\\]+"), F.lit(0))
     return F.array_join(F.transform(tokens, lambda t: F.when(t.isin("\\n", "\\N"), F.lit("\n")).when(
-        t.startswith("\\"), F.substring(t, 2, 1_000_000)).otherwise(t)), "")
+        t.startswith("\\"), F.substr(t, F.lit(2))).otherwise(t)), "")
 
 
 def _moment(prop: Column, zone: Column) -> Column:

@@ -12,7 +12,7 @@ from letterloom.sources.calendars import unescaped, unfold
 def _values(name: str) -> Column:
     """Values of a property: any group prefix and parameters are looked past."""
     lines = F.filter("lines", lambda x: x.rlike(rf"(?i)^(?:[^:;]*\.)?{name}(?:;[^:]*)?:\s*\S"))
-    return F.transform(lines, lambda x: F.substring(x, F.instr(x, F.lit(":")) + 1, F.lit(1_000_000)))
+    return F.transform(lines, lambda x: F.substr(x, F.instr(x, F.lit(":")) + 1))
 
 
 def _structured_name(value: Column) -> Column:
@@ -28,7 +28,8 @@ def parse_cards(raw: DataFrame) -> DataFrame:
 
     ``seq`` of a card is ``seq`` of its payload and its place there.
     """
-    chunks = F.slice(F.split(unfold(F.col("payload")), r"(?im)^[ \t]*BEGIN:VCARD[ \t]*$"), 2, 1_000_000)
+    chunks = F.split(unfold(F.col("payload")), r"(?im)^[ \t]*BEGIN:VCARD[ \t]*$")
+    chunks = F.slice(chunks, F.lit(2), F.size(chunks))
     cards = raw.select("seq", F.posexplode(chunks).alias("pos", "card")).where(
         F.col("card").rlike(r"(?im)^[ \t]*END:VCARD[ \t]*$"))
     body = F.regexp_replace("card", r"(?ims)^[ \t]*END:VCARD[ \t]*$.*", "")

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import base64
+import json
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -10,7 +14,7 @@ from letterloom.functions.headers import human_size
 from letterloom.schema import ATTACHMENTS
 from letterloom.sources.landing import first_where, mapper, prefixed, text
 
-# Levels of nested parts that are looked into; ``mime_overflow`` marks messages with more.
+# Levels of nested parts that column expressions walk; the few deeper trees are walked row by row.
 DEPTH = 6
 HEADERS = "headers:ARRAY<STRUCT<name:STRING,value:STRING>>"
 BODY = "body:STRUCT<data:STRING,size:BIGINT,attachmentId:STRING>"
@@ -92,6 +96,53 @@ def overflow(parts: str, depth: int = DEPTH - 1) -> str:
     return f"coalesce(exists({parts}, o -> {inside}), false)"
 
 
+def _parts(part: dict) -> list[dict]:
+    """The parts of a part; those below ``DEPTH`` are still JSON text."""
+    parts = part.get("parts") or []
+    return json.loads(parts) if isinstance(parts, str) else parts
+
+
+def _is_attached(part: dict) -> bool:
+    disposition = next((h.get("value") for h in part.get("headers") or [] if (h.get("name") or "").lower() == "content-disposition"), None)
+    return bool(part.get("filename")) or (disposition or "").lower().startswith("attachment")
+
+
+def walk_deep(payload: str | None, prefer_html: bool) -> dict | None:
+    """Body and attachments of one tree of any depth, by the order of the expressions above."""
+    if payload is None:
+        return None
+    tree, body = json.loads(payload), None
+    for kind in ("text/html", "text/plain") if prefer_html else ("text/plain", "text/html"):
+        levels = [_parts(tree)]
+        while levels and body is None:
+            level = levels.pop()
+            for part in level:
+                data = (part.get("body") or {}).get("data")
+                if part.get("mimeType") == kind and data and not _is_attached(part):
+                    body = base64.urlsafe_b64decode(data + "=" * (-len(data) % 4)).decode("utf-8", "replace") or None
+                    if body is not None:
+                        break
+            levels += [_parts(c) for c in reversed(level) if "multipart" in (c.get("mimeType") or "") and not _is_attached(c)]
+    found, waiting = [], _parts(tree)[::-1]
+    while waiting:
+        part = waiting.pop()
+        if part.get("filename"):
+            found.append({"filename": part["filename"], "mime_type": part.get("mimeType") or "", "size": (part.get("body") or {}).get("size") or 0})
+        if "multipart" in (part.get("mimeType") or ""):
+            waiting += _parts(part)[::-1]
+    return {"body": body or "", "attachments": found}
+
+
+def deep(payload: Column, prefer_html: bool) -> Column:
+    """``walk_deep`` in Arrow batches; rows that pass NULL cost nothing there."""
+    @F.pandas_udf(f"STRUCT<body: STRING, attachments: {ATTACHMENTS}>")
+    def walk(trees: pd.Series) -> pd.DataFrame:
+        rows = [walk_deep(t, prefer_html) or {"body": None, "attachments": None} for t in trees]
+        return pd.DataFrame(rows, columns=["body", "attachments"], dtype=object)
+
+    return walk(payload)
+
+
 def _columns(message: Column, full: bool, prefer_html: bool, depth: int) -> dict[str, Column]:
     headers = message["payload"]["headers"]
     size = message["sizeEstimate"]
@@ -111,14 +162,16 @@ def _columns(message: Column, full: bool, prefer_html: bool, depth: int) -> dict
             "to": F.nullif(header(headers, "to"), F.lit("")),
             "cc": F.nullif(header(headers, "cc"), F.lit("")),
             "message_id": F.nullif(header(headers, "message-id"), F.lit("")),
-            "body": body_text("m.payload", prefer_html, depth),
-            "attachments": F.expr(attachments("m.payload.parts", depth - 1)),
-            "mime_overflow": F.expr(overflow("m.payload.parts", depth - 1)),
+            "body": F.coalesce("_deep.body", body_text("m.payload", prefer_html, depth)),
+            "attachments": F.coalesce("_deep.attachments", F.expr(attachments("m.payload.parts", depth - 1))),
         }
     return out
 
 
 def _select(df: DataFrame, full: bool, prefer_html: bool, depth: int, *keep: str) -> DataFrame:
+    if full:
+        beyond = F.expr(overflow("m.payload.parts", depth - 1))
+        df = df.withColumn("_deep", deep(F.when(beyond, F.to_json("m.payload")), prefer_html))
     return df.select("source", "seq", *keep, *[
         c.alias(n) for n, c in _columns(F.col("m"), full, prefer_html, depth).items()])
 

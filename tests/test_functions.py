@@ -5,7 +5,7 @@ from datetime import datetime, timezone
 import pytest
 from pyspark.sql import functions as F
 
-from letterloom.functions import bodies, dates, dom, headers
+from letterloom.functions import bodies, dates, headers
 from letterloom.operators import agenda
 
 
@@ -120,52 +120,6 @@ def test_html_detection(apply):
     check(apply, bodies.is_html, {"<p>x</p>": True, "from <ann@x.org>": False, "<A HREF='x'>y</A>": True, "1 < 2": False, "<!-- c -->": True})
 
 
-@pytest.mark.parametrize("html,want", [
-    ("<style>p{}</style><p>Hi <b>Ann</b></p><p>Bye</p>", "Hi Ann\nBye"),
-    ('<p>See <a href="https://x.example/a">this</a>, <a href="https://x.example">https://x.example</a></p>', "See this (https://x.example/a), https://x.example"),
-    ('<p><a href="mailto:a@b.c">a@b.c</a> <a href="#top">up</a> <a href="https://click.x/1">go</a></p>', "a@b.c up go"),
-    ('<p>a</p><div style="display:none">no</div><span hidden>no</span><div style="width:0"></div>', "a"),
-    ('<p>a</p><div><p>Too many? <a href="http://x/Unsubscribe">stop</a></p></div>', "a"),
-    ('<p>a</p><footer>Manage your subscriptions</footer>', "a"),
-    ("<table><tr><td>A</td><td>B</td></tr><tr><td>1</td></tr></table>", "A | B\n1 |"),
-    ("<table><tr><td>a</td></tr><tr><td>b</td></tr></table>", "a\nb"),
-    ("<table><tr><td><table><tr><td>a</td><td>b</td></tr><tr><td>c</td><td>d</td></tr></table></td></tr></table>", "a | b\nc | d"),
-    ("<table></table><p>x</p>", "x"),
-    ("<ul><li>one</li><li>two</li></ul>", "* one\n  * two"),
-    ("<p>new</p><blockquote>old</blockquote>", "new\n> old"),
-])
-def test_html(html, want):
-    assert dom.html_to_text(html).replace("|\n", "| \n").strip() == want.replace("|\n", "| \n")
-
-
-def test_readable_html():
-    assert dom.html_to_text("<p>a <b>b</b> <i>c</i></p><p>d</p>", True) == "a **b** _c_\n\nd"
-    table = "<table><tr><td>A</td><td>B</td></tr><tr><td>1</td><td>2</td></tr></table>"
-    assert dom.html_to_text(table, True) == "A | B\n---|---\n1 | 2"
-    spanned = "<table><tr><td rowspan=2>A</td><td>B</td></tr><tr><td>C</td></tr></table>"
-    assert "---" not in dom.html_to_text(spanned, True)
-
-
-def test_html_bodies_in_a_column(spark):
-    df = spark.createDataFrame([(1, "<p>Hi</p><p>Thanks,</p><p>Ann</p>"), (2, "plain <a@b.c>"), (3, None)], "i int, body string")
-    assert [r.body for r in dom.clean_bodies(df, "body").orderBy("i").collect()] == ["Hi", "plain <a@b.c>", ""]
-    both = spark.createDataFrame([("<p>Thanks,</p>", "hello"), ("<p>x</p>", "y")], "h string, p string")
-    assert {r.t for r in dom.clean_with_fallback(both, "h", "p", "t").collect()} == {"hello", "x"}
-
-
-def test_reduction_of_a_rich_message(spark):
-    noise = "<div style='display:none'>x</div>" * 20 + "<style>" + "p{}" * 200 + "</style>"
-    html = f"<html><head><title>t</title></head><body>{noise}<p>The point.</p><p>On Mon, Jan 5 Bob wrote:</p><blockquote>{'old ' * 50}</blockquote></body></html>"
-    text = dom.clean_bodies(spark.createDataFrame([(html,)], "b string"), "b").first()[0]
-    assert text == "The point." and len(text) < 0.3 * len(html)
-
-
 def test_rules_in_words(apply):
     check(apply, agenda.rule_text, {"FREQ=DAILY": "daily", "FREQ=WEEKLY;BYDAY=MO,WE": "weekly on Mon+Wed", "FREQ=WEEKLY": "weekly",
                                     "FREQ=HOURLY": "FREQ=HOURLY", "": ""})
-
-
-def test_deep_pages():
-    deep = "<div>" * 5000 + "<p>core</p>" + "<img src='x' width=1 height=1>" * 3000
-    assert dom.html_to_text(deep) == "core"
-    assert dom.html_to_text("<b>" * 3000 + "bold") == "bold"
