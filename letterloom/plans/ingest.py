@@ -110,6 +110,13 @@ SELECT id, coalesce(thread_id, '') AS thread_id, CASE WHEN seq % 3 = 0 THEN 'u'
   'Ann <ann@x.org>, bob@x.org' AS recipients, CASE WHEN seq % 2 = 0 THEN 'list' ELSE 'bare' END AS form FROM msg WHERE source = 'o'""")
 def graph_messages(spark, folder):
     """Office mail: headers from lists of both forms, bodies from single messages of both forms."""
+    lists, singles = graph_raw(spark, folder)
+    heads = graph.headers(lists).select("id", "thread_id", "sender", "subject", "date", "unread", F.when(F.expr("seq % 2 = 0"), F.lit("list")).otherwise("bare").alias("form"))
+    return heads.join(graph.messages(singles).select("id", "body", F.col("to").alias("recipients")), "id")
+
+
+def graph_raw(spark, folder) -> tuple[DataFrame, DataFrame]:
+    """Office mail as lists of one message and as single ones, each in both forms."""
     m = C.raw_messages(spark, folder).where("source = 'o'").withColumn("k", F.split("thread_id", ":t")[1])
     user = F.regexp_extract("sender", r"User (\d+)", 1)
     item = F.struct(
@@ -123,8 +130,7 @@ def graph_messages(spark, folder):
     lists = m.select("source", "seq", F.when(F.expr("seq % 2 = 0"), F.concat(F.lit('{"value":['), one, F.lit("]}"))).otherwise(
         F.concat(F.lit("["), one, F.lit("]"))).alias("payload"))
     singles = m.select("source", "seq", F.when(F.expr("seq % 2 = 0"), F.concat(F.lit('{"value":'), one, F.lit("}"))).otherwise(one).alias("payload"))
-    heads = graph.headers(lists).select("id", "thread_id", "sender", "subject", "date", "unread", F.when(F.expr("seq % 2 = 0"), F.lit("list")).otherwise("bare").alias("form"))
-    return heads.join(graph.messages(singles).select("id", "body", F.col("to").alias("recipients")), "id")
+    return lists, singles
 
 
 @query("chat_messages", """
@@ -298,13 +304,44 @@ def meter_snapshots(spark, folder):
     return live_meters(polls, C.sources(spark)).select("source", listed.alias("meters"))
 
 
+def mixed_raw(spark, folder) -> DataFrame:
+    """Payloads of four providers, some broken, and some of a provider that nobody knows."""
+    mail = gmail_raw(spark, folder)
+    raw = mail.unionByName(notification_raw(spark, folder)).unionByName(notice_raw(spark, folder).drop("polled_at"))
+    raw = raw.unionByName(graph_raw(spark, folder)[1].withColumn("provider", F.lit("o365")))
+    bad = mail.where("seq % 10 = 0").withColumn("payload", F.expr("if(seq % 4 = 0, '{broken', NULL)"))
+    return raw.unionByName(bad).unionByName(mail.where("seq % 10 = 2").withColumn("provider", F.expr("if(seq % 4 = 0, 'pigeon', NULL)")))
+
+
 @query("landed_messages", with_views(MSG) + f"""
 SELECT 'gmail' AS provider, count(*) AS messages, min(date) AS first, max(date) AS last FROM msg WHERE source = 'g'
-UNION ALL SELECT 'github', count(*), min(date), max(date) FROM ({NOTIFIED}) UNION ALL SELECT 'http', count(*), min(date), max(date) FROM ({NOTICES})""")
+UNION ALL SELECT 'github', count(*), min(date), max(date) FROM ({NOTIFIED}) UNION ALL SELECT 'http', count(*), min(date), max(date) FROM ({NOTICES})
+UNION ALL SELECT 'o365', count(*), min(date), max(date) FROM msg WHERE source = 'o'""")
 def landed_messages(spark, folder):
-    """Payloads of three providers as one table of messages."""
-    raw = gmail_raw(spark, folder).unionByName(notification_raw(spark, folder)).unionByName(notice_raw(spark, folder).drop("polled_at"))
-    return landing.land(raw).groupBy("provider").agg(F.count("*").alias("messages"), F.min("date").alias("first"), F.max("date").alias("last"))
+    """Payloads of four providers as one table of messages; broken and unknown ones make no rows."""
+    return landing.land(mixed_raw(spark, folder)).groupBy("provider").agg(
+        F.count("*").alias("messages"), F.min("date").alias("first"), F.max("date").alias("last"))
+
+
+@query("landing_rejects", with_views(MSG) + """
+SELECT 'gmail' AS provider, 'payload is not JSON' AS error, count(*) AS payloads FROM msg WHERE source = 'g' AND seq % 10 = 0 HAVING count(*) > 0
+UNION ALL SELECT CASE WHEN seq % 4 = 0 THEN 'pigeon' END, 'unknown provider', count(*) FROM msg WHERE source = 'g' AND seq % 10 = 2 GROUP BY 1""")
+def landing_rejects(spark, folder):
+    """What landing leaves out, by provider and reason."""
+    return landing.rejects(mixed_raw(spark, folder)).groupBy("provider", "error").agg(F.count("*").alias("payloads"))
+
+
+@query("landed_events", """
+SELECT 'gcal' AS provider, count(*) AS events, count(*) FILTER (event_type = 'signup') AS all_day FROM events
+UNION ALL SELECT 'o365cal', count(*), count(*) FILTER (event_type = 'signup') FROM events
+UNION ALL SELECT 'ical', count(*), count(*) FILTER (event_type = 'signup') FROM events""")
+def landed_events(spark, folder):
+    """Events of three calendar forms as one table, with broken payloads among them."""
+    raw = google_raw(spark, folder).withColumn("provider", F.lit("gcal"))
+    raw = raw.unionByName(office_raw(spark, folder).withColumn("provider", F.lit("o365cal")), allowMissingColumns=True)
+    raw = raw.unionByName(ical_raw(spark, folder).withColumn("provider", F.lit("ical")), allowMissingColumns=True)
+    raw = raw.unionByName(raw.where("provider = 'gcal' AND seq % 10 = 0").withColumn("payload", F.lit("{")))
+    return landing.land_events(raw).groupBy("provider").agg(F.count("*").alias("events"), F.count_if("all_day").alias("all_day"))
 
 
 @query("source_failures", """
@@ -329,15 +366,18 @@ SELECT 'gc:' || event_id AS id, CASE WHEN event_type = 'view' THEN '(No title)'
 FROM (SELECT *, date_trunc('second', ts) AS t FROM events)""")
 def google_events(spark, folder):
     """Events with offsets, own zones and the zone of their source; attendees, links and rules."""
-    raw = C.table(spark, folder, "events").selectExpr("'gc' AS source", "'Asia/Tokyo' AS timezone", """concat('{', if(event_type = 'view', '', concat('"summary":"', event_type, '",')), substring(to_json(named_struct('id', CAST(event_id AS STRING),
+    who = F.array_join(F.transform("attendees", lambda a: F.concat(a["name"], F.lit(":"), a["status"])), ",")
+    return calendars.google_events(google_raw(spark, folder), detail=True).select(
+        "id", "title", "all_day", "start", "duration_minutes", "attendees_summary", "your_status", F.coalesce(who, F.lit("")).alias("attendees"), "meeting_link", "recurrence_summary")
+
+
+def google_raw(spark, folder) -> DataFrame:
+    return C.table(spark, folder, "events").selectExpr("'gc' AS source", "event_id AS seq", "'Asia/Tokyo' AS timezone", """concat('{', if(event_type = 'view', '', concat('"summary":"', event_type, '",')), substring(to_json(named_struct('id', CAST(event_id AS STRING),
         'start', named_struct('date', if(event_type = 'signup', date_format(ts, 'yyyy-MM-dd'), NULL), 'dateTime', if(event_type = 'signup', NULL, concat(date_format(ts, "yyyy-MM-dd'T'HH:mm:ss"), if(event_id % 3 = 2, 'Z', ''))), 'timeZone', if(event_id % 3 = 1, 'Europe/Amsterdam', NULL)),
         'end', named_struct('date', if(event_type = 'signup', date_format(ts, 'yyyy-MM-dd'), NULL), 'dateTime', if(event_type = 'signup', NULL, concat(date_format(CAST(ts AS TIMESTAMP) + interval 45 minutes, "yyyy-MM-dd'T'HH:mm:ss"), if(event_id % 3 = 2, 'Z', ''))), 'timeZone', if(event_id % 3 = 1, 'Europe/Amsterdam', NULL)),
         'attendees', if(event_id % 2 = 0, array(named_struct('email', 'ann@x.org', 'displayName', 'Ann', 'self', false, 'responseStatus', 'declined'), named_struct('email', 'me@x.org', 'displayName', NULL, 'self', true, 'responseStatus', 'accepted')), NULL),
         'conferenceData', if(event_id % 4 = 0, named_struct('entryPoints', array(named_struct('entryPointType', 'phone', 'uri', 'tel:1'), named_struct('entryPointType', 'video', 'uri', concat('http://v/', event_id)))), NULL),
         'recurrence', if(event_id % 5 = 0, array('EXDATE:1', 'RRULE:FREQ=WEEKLY;BYDAY=MO,WE'), NULL))), 2)) AS payload""")
-    who = F.array_join(F.transform("attendees", lambda a: F.concat(a["name"], F.lit(":"), a["status"])), ",")
-    return calendars.google_events(raw, detail=True).select(
-        "id", "title", "all_day", "start", "duration_minutes", "attendees_summary", "your_status", F.coalesce(who, F.lit("")).alias("attendees"), "meeting_link", "recurrence_summary")
 
 
 @query("graph_events", """
@@ -345,11 +385,14 @@ SELECT 'oc:' || event_id AS id, event_type = 'signup' AS all_day, CASE WHEN even
   ELSE strftime(t, '%Y-%m-%dT%H:%M:%S+00:00') END AS start, CASE WHEN user_id % 2 = 0 THEN 'cancelled' ELSE 'confirmed' END AS status, CASE user_id % 3 WHEN 2 THEN 'accepted' END AS your_status,
   CASE WHEN event_id % 3 = 0 THEN 'oc:m' || user_id END AS recurring_event_id, CASE WHEN event_id % 3 = 0 THEN 'every 2 weekly on Mon' ELSE '' END AS recurrence_summary FROM (SELECT *, date_trunc('second', ts) AS t FROM events)""")
 def graph_events(spark, folder):
-    raw = C.table(spark, folder, "events").selectExpr("'oc' AS source", """to_json(named_struct('id', CAST(event_id AS STRING), 'subject', event_type, 'isAllDay', event_type = 'signup', 'isCancelled', user_id % 2 = 0,
+    return calendars.graph_events(office_raw(spark, folder), detail=True).select("id", "all_day", "start", "status", "your_status", "recurring_event_id", "recurrence_summary")
+
+
+def office_raw(spark, folder) -> DataFrame:
+    return C.table(spark, folder, "events").selectExpr("'oc' AS source", "event_id AS seq", """to_json(named_struct('id', CAST(event_id AS STRING), 'subject', event_type, 'isAllDay', event_type = 'signup', 'isCancelled', user_id % 2 = 0,
         'start', named_struct('dateTime', date_format(ts, "yyyy-MM-dd'T'HH:mm:ss'.0000000'"), 'timeZone', if(event_id % 2 = 0, 'Asia/Tokyo', 'UTC')), 'end', named_struct('dateTime', date_format(ts, "yyyy-MM-dd'T'HH:mm:ss'.0000000'"), 'timeZone', 'UTC'),
         'responseStatus', named_struct('response', CASE user_id % 3 WHEN 0 THEN 'none' WHEN 1 THEN 'organizer' ELSE 'accepted' END), 'seriesMasterId', if(event_id % 3 = 0, concat('m', user_id), NULL),
         'recurrence', if(event_id % 3 = 0, named_struct('pattern', named_struct('type', 'weekly', 'interval', 2, 'daysOfWeek', array('monday'))), NULL))) AS payload""")
-    return calendars.graph_events(raw, detail=True).select("id", "all_day", "start", "status", "your_status", "recurring_event_id", "recurrence_summary")
 
 
 @query("ical_events", """
@@ -359,6 +402,10 @@ SELECT 'cc:' || event_id || CASE WHEN event_id % 4 = 0 THEN '::' || strftime(t,
 FROM (SELECT *, date_trunc('second', ts) AS t FROM events)""")
 def ical_events(spark, folder):
     """iCalendar text: folded lines, escapes, zones, durations, instances and nested alarms."""
+    return calendars.ical_events(ical_raw(spark, folder)).select("id", "title", "all_day", "start", "duration_minutes", "your_status", "attendees_summary", "organizer")
+
+
+def ical_raw(spark, folder) -> DataFrame:
     e = C.table(spark, folder, "events").selectExpr("*", "date_format(ts, \"yyyyMMdd'T'HHmmss\") AS c")
     start = F.expr("CASE WHEN event_type = 'signup' THEN concat('DTSTART;VALUE=DATE:', substring(c, 1, 8)) WHEN event_id % 3 = 0 THEN concat('DTSTART;TZID=Asia/Tokyo:', c) WHEN event_id % 3 = 1 THEN concat('DTSTART:', c, 'Z') ELSE concat('DTSTART:', c) END")
     text = F.concat_ws("\r\n", F.lit("BEGIN:VCALENDAR\r\nBEGIN:VEVENT"), F.concat(F.lit("UID:"), "event_id"), start,
@@ -368,8 +415,7 @@ def ical_events(spark, folder):
                        F.when(F.expr("user_id % 2 = 0"), F.lit("ATTENDEE;PARTSTAT=TENTATIVE:MAILTO:Me@x.org")).otherwise("ATTENDEE:mailto:me@x.org"),
                        F.when(F.expr("event_id % 4 = 0"), F.concat(F.lit("RECURRENCE-ID:"), "c", F.lit("Z"))),
                        F.lit("BEGIN:VALARM\r\nDESCRIPTION:ring\r\nDURATION:PT9M\r\nSUMMARY:no\r\nEND:VALARM\r\nEND:VEVENT\r\nEND:VCALENDAR"))
-    raw = e.select(F.lit("cc").alias("source"), F.col("event_id").alias("seq"), F.lit("UTC").alias("timezone"), F.lit("me@x.org").alias("owner"), text.alias("payload"))
-    return calendars.ical_events(raw).select("id", "title", "all_day", "start", "duration_minutes", "your_status", "attendees_summary", "organizer")
+    return e.select(F.lit("cc").alias("source"), F.col("event_id").alias("seq"), F.lit("UTC").alias("timezone"), F.lit("me@x.org").alias("owner"), text.alias("payload"))
 
 
 @query("usable_calendars", """

@@ -10,7 +10,7 @@ from letterloom.functions import patterns as P
 from letterloom.functions.headers import either, lit_map, once, strip_mailto
 from letterloom.operators.agenda import duration_minutes, pattern_text, rule_text
 from letterloom.schema import EVENT_DETAILS, EVENTS, conform
-from letterloom.sources.landing import first_where, prefixed, text
+from letterloom.sources.landing import first_where, mapper, prefixed, text
 
 MOMENT = "STRUCT<dateTime:STRING,date:STRING,timeZone:STRING>"
 GOOGLE = (
@@ -38,6 +38,7 @@ def _finish(df: DataFrame, detail: bool) -> DataFrame:
     return conform(df.withColumn("duration_minutes", timed), EVENT_DETAILS if detail else EVENTS)
 
 
+@mapper("gcal", events=True)
 def google_events(raw: DataFrame, detail: bool = False) -> DataFrame:
     """Events; a floating time is read in its own zone, else in the ``timezone`` of its source."""
     e = F.col("e")
@@ -69,6 +70,7 @@ def google_events(raw: DataFrame, detail: bool = False) -> DataFrame:
     return _finish(rows, detail)
 
 
+@mapper("o365cal", events=True)
 def graph_events(raw: DataFrame, detail: bool = False) -> DataFrame:
     """Events; the zone of a time stands beside it, all-day events keep their dates."""
     e = F.col("e")
@@ -159,6 +161,7 @@ def _seconds(duration: Column) -> Column:
     return F.when(duration.startswith("-"), -total).otherwise(total)
 
 
+@mapper("ical", events=True, json=False)
 def ical_events(raw: DataFrame, detail: bool = False) -> DataFrame:
     """Events of iCalendar text. ``owner`` is the address whose answer counts.
 

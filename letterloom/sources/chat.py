@@ -55,7 +55,7 @@ def messages(raw: DataFrame, contacts: DataFrame | None = None) -> DataFrame:
     return named(_rows(items(raw, MESSAGE)), contacts)
 
 
-@mapper("whatsapp")
+@mapper("whatsapp", json=False)
 def landed(raw: DataFrame) -> DataFrame:
     """Messages without a contact map at hand, in payload order."""
     return messages(raw)

@@ -9,26 +9,30 @@ from pyspark.sql import functions as F
 
 from letterloom.functions import dates
 from letterloom.functions.headers import clean_headers
-from letterloom.schema import MESSAGES, RAW, conform, struct
+from letterloom.schema import EVENTS, MESSAGES, RAW, conform, struct
 
-# A mapper turns raw payloads of one provider into message rows.
+# A mapper turns raw payloads of one provider into message rows, or into event rows.
 Mapper = Callable[[DataFrame], DataFrame]
 MAPPERS: dict[str, Mapper] = {}
+EVENT_MAPPERS: dict[str, Mapper] = {}
+# Providers whose payloads are text of another form, which their mappers check line by line.
+TEXT_FORMS: set[str] = set()
 
 
-def mapper(provider: str) -> Callable[[Mapper], Mapper]:
+def mapper(provider: str, events: bool = False, json: bool = True) -> Callable[[Mapper], Mapper]:
     """Register the mapper of a provider; users add their own the same way."""
     def register(function: Mapper) -> Mapper:
-        MAPPERS[provider] = function
+        (EVENT_MAPPERS if events else MAPPERS)[provider] = function
+        if not json:
+            TEXT_FORMS.add(provider)
         return function
 
     return register
 
 
 def read_raw(spark: SparkSession, path: str) -> DataFrame:
-    """Raw payload rows; files that cannot be read are left out, not fatal."""
-    return spark.read.schema(struct(RAW)).option("ignoreCorruptFiles", "true").option(
-        "mode", "PERMISSIVE").json(path)
+    """Raw payload rows, best kept partitioned by provider; a file that cannot be read is an error."""
+    return spark.read.schema(struct(RAW)).option("mode", "PERMISSIVE").json(path)
 
 
 def split_malformed(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -58,15 +62,38 @@ def as_messages(df: DataFrame) -> DataFrame:
     })
 
 
-def land(raw: DataFrame) -> DataFrame:
-    """Messages of all providers in one table; each mapper sees its own payloads only."""
+def _broken() -> Column:
+    """Whether a payload is not JSON where it has to be."""
+    return ~F.coalesce(F.col("provider").isin(*TEXT_FORMS), F.lit(False)) & F.try_parse_json("payload").isNull()
+
+
+def rejects(raw: DataFrame) -> DataFrame:
+    """Payloads that ``land`` and ``land_events`` leave out, and why: source, provider, seq, error."""
+    known = F.coalesce(F.col("provider").isin(*MAPPERS, *EVENT_MAPPERS), F.lit(False))
+    error = F.when(~known, F.lit("unknown provider")).when(_broken(), F.lit("payload is not JSON"))
+    return raw.select("source", "provider", "seq", error.alias("error")).where("error IS NOT NULL")
+
+
+def _landed(raw: DataFrame, mappers: dict[str, Mapper], finish: Mapper) -> DataFrame:
+    """The rows of all mappers; each sees the sound payloads of its own provider only."""
     out = None
-    for provider, function in MAPPERS.items():
-        part = as_messages(function(raw.where(F.col("provider") == provider))).withColumn("provider", F.lit(provider))
+    for provider, function in mappers.items():
+        part = finish(function(raw.where((F.col("provider") == provider) & ~_broken()))).withColumn("provider", F.lit(provider))
         out = part if out is None else out.unionByName(part)
     return out
 
 
+def land(raw: DataFrame) -> DataFrame:
+    """Messages of all providers in one table; see ``rejects`` for the payloads left out."""
+    return _landed(raw, MAPPERS, as_messages)
+
+
+def land_events(raw: DataFrame) -> DataFrame:
+    """Calendar events of all providers in one table; the raw rows may name ``timezone`` and ``owner``."""
+    raw = raw.withColumns({c: F.lit(None).cast("string") for c in ("timezone", "owner") if c not in raw.columns})
+    return _landed(raw, EVENT_MAPPERS, lambda df: conform(df, EVENTS))
+
+
 def prefixed(source: Column, id_: Column) -> Column:
     return F.concat(source, F.lit(":"), F.coalesce(id_.cast("string"), F.lit("")))
 

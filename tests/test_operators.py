@@ -360,3 +360,24 @@ def test_lines_go_to_text_files_in_order(spark, tmp_path):
     render.write_lines(df, str(tmp_path / "out"), "place")
     parts = sorted((tmp_path / "out").glob("part-*"))
     assert [x for p in parts for x in p.read_text().split()] == [str(i) for i in range(100)]
+
+
+def test_tokens_of_names_that_end_in_digits(spark):
+    """Long runs of digits are no numbers to avoid; short ones are."""
+    names = ["Ann A", "Ann B", "Ann C", "Ann2 X", "Ann007 X", "Ann123456789012 X", "Ann1234567890123456789012345 X", "Ann" + "9" * 60 + " X"]
+    df = spark.createDataFrame([("t", n, i) for i, n in enumerate(names)], "thread_id string, sender string, seq long")
+    got = {r.sender: r.token for r in threads.sender_tokens(df).collect()}
+    assert [got[n] for n in names[:3]] == ["Ann1", "Ann3", "Ann4"]
+    assert len(set(got.values())) == len(names) and got["Ann2 X"] == "Ann2"
+
+
+def test_landing_leaves_nothing_out_in_silence(spark):
+    rows = [("s", "gmail", 1, "{broken"), ("s", "pigeon", 2, "{}"), ("s", None, 3, "{}"), ("s", "o365", 4, '{"id":"a","subject":"x"}'), ("s", "gmail", 5, None), ("c", "ical", 6, "no json")]
+    df = spark.createDataFrame(rows, "source string, provider string, seq long, payload string")
+    assert rows_of(landing.rejects(df)) == [(1, "payload is not JSON"), (2, "unknown provider"), (3, "unknown provider"), (5, "payload is not JSON")]
+    assert [r.id for r in landing.land(df).collect()] == ["s:a"]
+    assert landing.land_events(df).count() == 0
+
+
+def rows_of(df):
+    return sorted((r.seq, r.error) for r in df.collect())
