@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from letterloom.operators.ordering import number_rows, top_in_groups
+from letterloom.operators.ordering import number_in_groups, number_rows, top_in_groups
 
 
 def newest_first() -> list[Column]:
@@ -24,33 +24,51 @@ def listed(messages: DataFrame, count: int) -> DataFrame:
         page(messages, count).withColumn("_all", F.lit(0)), ["_all"], newest_first(), count, "place").drop("_all")
 
 
-def due(messages: DataFrame, offsets: DataFrame, keys: DataFrame, sources: DataFrame,
-        default_since: str) -> DataFrame:
-    """Per consumer key the messages at or after its offset of their source.
+def followed(keys: DataFrame, offsets: DataFrame, sources: DataFrame, default_since: str) -> DataFrame:
+    """(key, source, source_ord, since): from where each consumer key reads each source.
 
-    A source the key has not seen yet starts at ``default_since``. The bound is inclusive,
-    so the row on it is delivered again.
+    A source the key has not seen yet starts at ``default_since``.
     """
-    # The source list is configuration: it rides along with each key as a short array.
-    listed = [F.struct(F.lit(p).alias("source"), F.lit(o).alias("source_ord"))
-              for p, o in sources.select("prefix", "ord").collect()]
-    followed = keys.select("key", F.inline(F.array(*listed))).join(
-        offsets.select("key", "source", "ts"), ["key", "source"], "left").select(
-        "key", "source", "source_ord", F.coalesce("ts", F.lit(default_since)).alias("_since"))
-    return messages.join(followed, "source").where(F.col("date") >= F.col("_since")).drop("_since")
+    # The source list is configuration: one short array, which Spark fetches as it runs.
+    listed = sources.agg(F.collect_list(F.struct(F.col("prefix").alias("source"), F.col("ord").alias("source_ord")))).scalar()
+    return keys.select("key", F.inline(listed)).join(offsets.select("key", "source", "ts"), ["key", "source"], "left").select(
+        "key", "source", "source_ord", F.coalesce("ts", F.lit(default_since)).alias("since"))
 
 
-def feed_pages(pending: DataFrame, count: int) -> DataFrame:
-    """The newest ``count`` messages of every key."""
-    return top_in_groups(pending, ["key"], newest_first(), count, "place")
+def feed_pages(messages: DataFrame, follows: DataFrame, count: int) -> DataFrame:
+    """The newest ``count`` messages of every key, at or after its offsets.
+
+    The bound is inclusive, so the row on it is delivered again. It only cuts off old rows,
+    so no page needs more than the newest ``count`` rows of a source, and only those meet
+    the consumers.
+    """
+    heads = top_in_groups(messages.where("date IS NOT NULL"), ["source"], [F.desc("date"), F.col("seq")], count, "_nth").drop("_nth")
+    rows = heads.join(follows, "source").where(F.col("date") >= F.col("since")).drop("since")
+    return top_in_groups(rows, ["key"], newest_first(), count, "place")
+
+
+def available(messages: DataFrame, follows: DataFrame) -> DataFrame:
+    """(source, since, available): messages at or after each offset that any consumer has.
+
+    Messages and offsets are sorted together once: an offset's place, less the offsets before
+    it, is the number of messages it leaves. Consumers of equal offset share a row.
+    """
+    bounds = follows.select("source", F.col("since").alias("date")).distinct()
+    low = bounds.groupBy("source").agg(F.min("date").alias("_low"))
+    recent = messages.select("source", "date").join(low, "source").where("date >= _low")
+    both = recent.select("source", "date", F.lit(0).alias("_mark")).unionAll(bounds.select("source", "date", F.lit(1)))
+    at = number_in_groups(both, ["source"], [F.desc("date"), "_mark"], "_at").where("_mark = 1")
+    before = number_in_groups(bounds, ["source"], [F.desc("date")], "_nth")
+    return at.join(before, ["source", "date"]).select(
+        "source", F.col("date").alias("since"), (F.col("_at") - F.col("_nth")).cast("bigint").alias("available"))
 
 
-def truncation(pending: DataFrame, pages: DataFrame) -> DataFrame:
+def truncation(messages: DataFrame, follows: DataFrame, pages: DataFrame) -> DataFrame:
     """Per key and source: rows available, rows on the page, and the dates on the page."""
-    available = pending.groupBy("key", "source").agg(F.count("*").alias("available"))
+    there = follows.join(available(messages, follows), ["source", "since"]).where("available > 0").select("key", "source", "available")
     shown = pages.groupBy("key", "source").agg(
         F.count("*").alias("returned"), F.min("date").alias("oldest"), F.max("date").alias("newest"))
-    return available.join(shown, ["key", "source"], "left").select(
+    return there.join(shown, ["key", "source"], "left").select(
         "key", "source", "available", F.coalesce("returned", F.lit(0)).alias("returned"),
         (F.col("available") - F.coalesce("returned", F.lit(0))).alias("dropped"), "oldest", "newest")
 

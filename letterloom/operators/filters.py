@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from datetime import datetime
 
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -83,11 +84,13 @@ def subject_contains(query: str) -> Column:
 
 def usable_patterns(spark: SparkSession, patterns: list[str]) -> list[str]:
     """The patterns that compile; the others are left out, as a user may have mistyped them."""
+    regex = spark.sparkContext._jvm.java.util.regex.Pattern
+
     def compiles(pattern):
         try:
-            spark.range(1).select(F.lit("x").rlike(f"(?iUd){pattern}")).collect()
+            regex.compile(f"(?iUd){pattern}")
             return True
-        except PySparkException:
+        except (Py4JJavaError, PySparkException):
             return False
 
     return [p for p in patterns if compiles(p)]

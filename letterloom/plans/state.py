@@ -50,14 +50,15 @@ def _offsets(spark, folder):
 
 def _due(spark, folder):
     keys = C.table(spark, folder, "region").selectExpr("r_name AS key")
-    pending = feed.due(C.messages(spark, folder).drop("source_ord"), _offsets(spark, folder), keys, C.sources(spark), "2001-07-26T00:00:00Z")
-    return pending, feed.feed_pages(pending, 60)
+    messages = C.messages(spark, folder).drop("source_ord")
+    follows = feed.followed(keys, _offsets(spark, folder), C.sources(spark), "2001-07-26T00:00:00Z")
+    return messages, follows, feed.feed_pages(messages, follows, 60)
 
 
 @query("feed_pages", FEED + "SELECT key, id, place FROM placed WHERE place <= 60")
 def feed_pages(spark, folder):
     """The page of every consumer: messages at or after its offsets, newest first."""
-    return _due(spark, folder)[1].select("key", "id", F.col("place").cast("bigint").alias("place"))
+    return _due(spark, folder)[2].select("key", "id", F.col("place").cast("bigint").alias("place"))
 
 
 @query("truncation_report", FEED + """

@@ -95,9 +95,9 @@ def test_feed_offsets_after_a_cut(spark):
     messages = spark.createDataFrame(data, "id string, source string, date string, seq long")
     offsets = spark.createDataFrame([("k", "g", "2026-01-05"), ("other", "g", "2026-01-01")], "key string, source string, ts string")
     sources = C.constant(spark, [("g", 1), ("o", 2)], "prefix string, ord int")
-    pending = feed.due(messages, offsets, spark.createDataFrame([("k",)], "key string"), sources, "2026-01-03")
-    pages = feed.feed_pages(pending, 3)
-    report = feed.truncation(pending, pages)
+    follows = feed.followed(spark.createDataFrame([("k",)], "key string"), offsets, sources, "2026-01-03")
+    pages = feed.feed_pages(messages, follows, 3)
+    report = feed.truncation(messages, follows, pages)
     assert rows(feed.advanced(report), "source") == [("k", "g", "2026-01-08"), ("k", "o", "2026-01-07")]
     assert rows(feed.advanced(report, "lossless"), "source") == [("k", "o", "2026-01-07")]
     page = feed.page_report(report).first()
@@ -381,3 +381,16 @@ def test_landing_leaves_nothing_out_in_silence(spark):
 
 def rows_of(df):
     return sorted((r.seq, r.error) for r in df.collect())
+
+
+def test_many_consumers_of_one_source(spark):
+    """Ten thousand consumers with offsets of their own: counts come from one sort, not from pairs."""
+    messages = spark.range(2000).selectExpr("concat('g:', id) AS id", "'g' AS source", "concat('2026-01-01T', lpad(id, 6, '0')) AS date", "id AS seq")
+    keys = spark.range(10_000).selectExpr("concat('k', id) AS key")
+    offsets = spark.range(10_000).selectExpr("concat('k', id) AS key", "'g' AS source", "concat('2026-01-01T', lpad(id % 2500, 6, '0')) AS ts")
+    sources = spark.createDataFrame([("g", 1)], "prefix string, ord int")
+    follows = feed.followed(keys, offsets, sources, "2026")
+    pages = feed.feed_pages(messages, follows, 5)
+    assert pages.count() == 4 * sum(min(5, 2000 - k) for k in range(2000))
+    report = {r.key: (r.available, r.returned) for r in feed.truncation(messages, follows, pages).collect()}
+    assert report == {f"k{i}": (2000 - i % 2500, min(5, 2000 - i % 2500)) for i in range(10_000) if i % 2500 < 2000}
