@@ -67,9 +67,10 @@ def fit(number: np.ndarray, bounds: np.ndarray, grade: np.ndarray, grades: int,
 
     Features in fewer than ``least`` texts keep weight 0.
     """
-    owner = np.repeat(np.arange(len(grade)), np.diff(bounds))
-    pairs = np.unique(owner << np.int64(BITS) | number)
-    common = np.bincount(pairs & (1 << BITS) - 1, minlength=1 << BITS) >= least
+    texts = np.zeros(1 << BITS, np.int64)
+    for a, b in zip(bounds[:-1], bounds[1:]):
+        texts[np.unique(number[a:b])] += 1
+    common = texts >= least
     weights, seen = np.zeros(1 << BITS), np.full(1 << BITS, 1e-6)
     share = np.array([(grade > j).mean() for j in range(grades - 1)]).clip(1e-3, 1 - 1e-3)
     thresholds = -np.log(share / (1 - share))
@@ -131,7 +132,7 @@ def train(docs: DataFrame, ratings: DataFrame, grades: int, limit: int = 8_000)
     if len(np.unique(grade)) < 2:
         return None
     sizes = np.array([len(b) // 4 for b in sample.column("numbers").to_pylist()])
-    number = np.frombuffer(b"".join(sample.column("numbers").to_pylist()), np.int32).astype(np.int64)
+    number = np.frombuffer(b"".join(sample.column("numbers").to_pylist()), np.int32)
     return fit(number, np.concatenate([[0], np.cumsum(sizes)]), grade, grades)
 
 
