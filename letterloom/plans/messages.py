@@ -138,7 +138,7 @@ def skip_filters(spark, folder):
     customer = C.table(spark, folder, "customer")
     rules = customer.where("c_custkey % 9 = 0").selectExpr(
         "'sender' AS rule_type", "concat('U', c_custkey, '@', c_mktsegment, '.example.com') AS value").unionByName(
-        customer.limit(1).selectExpr("'domain' AS rule_type", "'MACHINERY.example.com' AS value"))
+        C.constant(spark, [("domain", "MACHINERY.example.com")], "rule_type STRING, value STRING"))
     patterns = filters.usable_patterns(spark, [r"#1[0-4]\b", r"body 2\d+ 1-", "(broken"])
     return filters.skip(C.messages(spark, folder), rules, groups=True, patterns=patterns, categories=["CI"]).select("id")
 
@@ -294,3 +294,13 @@ def point_read(spark, folder):
     wanted = lookups.resolve_refs(asked, refs).select("asked", "id")
     full = store.read_messages(df.drop("body"), df.select("id", "mailbox", "body"), wanted.select("id").distinct())
     return wanted.join(full, "id").select("asked", "id", "subject", "body")
+
+
+@query("provider_ids", M + """
+SELECT id, substr(id, 3) AS own_id, regexp_replace(id, '[^A-Za-z0-9._-]', '_', 'g') AS file_id, id AS kept FROM msg""")
+def provider_ids(spark, folder):
+    """Ids without their source, and as file names; an id of another source stays whole."""
+    from letterloom.functions.headers import path_id, strip_source
+    return C.messages(spark, folder).select(
+        "id", strip_source(F.col("id"), F.col("source")).alias("own_id"), path_id(F.col("id")).alias("file_id"),
+        strip_source(F.col("id"), F.lit("zz")).alias("kept"))

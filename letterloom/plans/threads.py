@@ -70,9 +70,9 @@ def chat_context(spark, folder):
 
 @query("last_n_per_chat", M + """
 SELECT id, row_number() OVER (PARTITION BY source, chat_jid ORDER BY date DESC, seq DESC) AS rank
-FROM msg WHERE chat_jid IS NOT NULL QUALIFY rank <= 3""")
+FROM msg WHERE chat_jid IS NOT NULL QUALIFY rank <= 20""")
 def last_n_per_chat(spark, folder):
-    return threads.last_per_chat(C.messages(spark, folder), 3).select("id", F.col("rank").cast("bigint").alias("rank"))
+    return threads.last_per_chat(C.messages(spark, folder)).select("id", F.col("rank").cast("bigint").alias("rank"))
 
 
 @query("day_markers", CHATS + """
