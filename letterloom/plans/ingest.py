@@ -334,12 +334,12 @@ def landing_rejects(spark, folder):
 @query("landed_events", """
 SELECT 'gcal' AS provider, count(*) AS events, count(*) FILTER (event_type = 'signup') AS all_day FROM events
 UNION ALL SELECT 'o365cal', count(*), count(*) FILTER (event_type = 'signup') FROM events
-UNION ALL SELECT 'ical', count(*), count(*) FILTER (event_type = 'signup') FROM events""")
+UNION ALL SELECT 'caldav', count(*), count(*) FILTER (event_type = 'signup') FROM events""")
 def landed_events(spark, folder):
     """Events of three calendar forms as one table, with broken payloads among them."""
     raw = google_raw(spark, folder).withColumn("provider", F.lit("gcal"))
     raw = raw.unionByName(office_raw(spark, folder).withColumn("provider", F.lit("o365cal")), allowMissingColumns=True)
-    raw = raw.unionByName(ical_raw(spark, folder).withColumn("provider", F.lit("ical")), allowMissingColumns=True)
+    raw = raw.unionByName(ical_raw(spark, folder).withColumn("provider", F.lit("caldav")), allowMissingColumns=True)
     raw = raw.unionByName(raw.where("provider = 'gcal' AND seq % 10 = 0").withColumn("payload", F.lit("{")))
     return landing.land_events(raw).groupBy("provider").agg(F.count("*").alias("events"), F.count_if("all_day").alias("all_day"))
 
@@ -442,3 +442,20 @@ def vcards(spark, folder):
     text = F.concat_ws("\r\n", F.lit("TEL:000\r\nBEGIN:VCARD\r\nVERSION:3.0"), name, F.concat(F.lit("item2.TEL;type=CELL:+31 "), k, F.lit("\r\nTEL:010\r\nTEL;x=y:010\r\nTEL:")), mail, F.lit("END:VCARD\r\nTEL:999"))
     found = cards.parse_cards(c.select(F.col("c_custkey").alias("seq"), text.alias("payload")))
     return found.select(F.col("seq").alias("c_custkey"), "display_name", F.array_join("phones", "|").alias("phones"), F.array_join("emails", "|").alias("emails"))
+
+
+@query("listing_providers", with_views(MSG) + f"""
+, n AS (SELECT date, sender FROM ({NOTIFIED})),
+seen AS (SELECT 'mail' AS kind, date, sender FROM msg UNION ALL SELECT 'github', date, sender FROM n)
+SELECT 'all' AS scan, kind, count(*) AS n, max(date) AS newest FROM seen GROUP BY ALL
+UNION ALL SELECT 'sender', kind, count(*), max(date) FROM seen WHERE contains(lower(sender), '1') AND kind = 'mail' GROUP BY ALL""")
+def listing_providers(spark, folder):
+    """Calendars and contacts are in no message scan, notifications in none that asks for a sender."""
+    from letterloom.operators import filters
+    mail = C.messages(spark, folder).select("provider", "date", "sender", F.lit("mail").alias("kind"))
+    notes = tracker.notifications(notification_raw(spark, folder)).select(F.lit("github").alias("provider"), "date", "sender", F.lit("github").alias("kind"))
+    events = C.events(spark, folder).select(F.lit("gcal").alias("provider"), F.col("start").alias("date"), F.col("organizer").alias("sender"), F.lit("event").alias("kind"))
+    people = C.contacts(spark, folder).select(F.lit("carddav").alias("provider"), F.lit("2001").alias("date"), F.col("alias").alias("sender"), F.lit("contact").alias("kind"))
+    rows = mail.unionByName(notes).unionByName(events).unionByName(people)
+    counted = lambda df, scan: df.groupBy("kind").agg(F.count("*").alias("n"), F.max("date").alias("newest")).select(F.lit(scan).alias("scan"), "*")
+    return counted(filters.listing(rows, now=C.NOW), "all").unionByName(counted(filters.listing(rows, now=C.NOW, sender="1"), "sender"))

@@ -161,7 +161,7 @@ def _seconds(duration: Column) -> Column:
     return F.when(duration.startswith("-"), -total).otherwise(total)
 
 
-@mapper("ical", events=True, json=False)
+@mapper("caldav", events=True, json=False)
 def ical_events(raw: DataFrame, detail: bool = False) -> DataFrame:
     """Events of iCalendar text. ``owner`` is the address whose answer counts.
 

@@ -372,7 +372,7 @@ def test_tokens_of_names_that_end_in_digits(spark):
 
 
 def test_landing_leaves_nothing_out_in_silence(spark):
-    rows = [("s", "gmail", 1, "{broken"), ("s", "pigeon", 2, "{}"), ("s", None, 3, "{}"), ("s", "o365", 4, '{"id":"a","subject":"x"}'), ("s", "gmail", 5, None), ("c", "ical", 6, "no json")]
+    rows = [("s", "gmail", 1, "{broken"), ("s", "pigeon", 2, "{}"), ("s", None, 3, "{}"), ("s", "o365", 4, '{"id":"a","subject":"x"}'), ("s", "gmail", 5, None), ("c", "caldav", 6, "no json")]
     df = spark.createDataFrame(rows, "source string, provider string, seq long, payload string")
     assert rows_of(landing.rejects(df)) == [(1, "payload is not JSON"), (2, "unknown provider"), (3, "unknown provider"), (5, "payload is not JSON")]
     assert [r.id for r in landing.land(df).collect()] == ["s:a"]
