@@ -14,6 +14,8 @@ SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
+    # Rows of whole texts: smaller batches keep Python workers and Arrow buffers small.
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "4000",
 }
 
 
