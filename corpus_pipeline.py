@@ -19,11 +19,13 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language that was learned; see ``langid.recognised`` for those that go."""
+    configure(spark)
     return langid.recognised(docs, langid.train(docs), COLUMNS)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without lines that at least five hold; ``n_chars`` follows the text."""
+    configure(spark)
     docs = pick(docs, *COLUMNS)
     left = lines.apply_bitmaps(docs, lines.keep_bitmaps(docs))
     return left.withColumns({"text": F.col("kept"), "n_chars": F.length("kept").cast("long")}).select(*COLUMNS)
@@ -31,6 +33,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group: the one of smallest doc_id, once if its row is repeated."""
+    configure(spark)
     docs = pick(docs, *COLUMNS)
     gone = neardup.near_duplicates(docs).where("NOT kept").select("doc_id").distinct()
     left = docs.join(gone, "doc_id", "left_anti")
@@ -43,11 +46,13 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that contain no item of the benchmark."""
+    configure(spark)
     return decontam.clean(pick(docs, *COLUMNS), table(spark, sf_dir, "benchmark"))
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, the ids, and a digest of what they decode to."""
+    configure(spark)
     vocabulary = ranks()
     return bpe.decode(bpe.encode(docs, vocabulary), vocabulary).select(
         "doc_id", "n_tokens", "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
@@ -62,7 +67,6 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    configure(spark)
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
         docs = stored(stage(spark, docs, sf_dir), f"pipeline-{name}")
