@@ -7,9 +7,10 @@ in both, so a passage without a shared short window is repeated nowhere. Matches
 extended: around shared anchors all 50-word windows are hashed, in 128 bits, and each goes
 by whether a smaller document has it.
 
-Rows of one hash that meet in a batch are settled there, and one of them goes on, so a
-passage in any share of the documents reaches a task as one row a batch at most. Texts with
-the same words are settled by a hash of the whole sequence before any window is looked at.
+Rows of one hash that meet in a batch are settled there, and one of them goes on, with all
+places where the batch's smallest document has the hash, so a passage in any share of the
+documents reaches a task as one row a batch at most. Texts with the same words are settled
+by a hash of the whole sequence before any window is looked at.
 """
 
 from __future__ import annotations
@@ -28,6 +29,7 @@ from letterloom.llm.tables import pick, stored
 #: Perfect difference sets by their period.
 COVERS = {31: (1, 5, 11, 24, 25, 27), 13: (0, 1, 3, 9), 7: (1, 2, 4)}
 OTHER_BASE = 0xC2B2AE3D27D4EB4F
+MORE = "more array<struct<row: long, pos: int>>"
 
 
 def period_of(window: int) -> int:
@@ -55,18 +57,24 @@ def _whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 names=["doc_id", "row", "n_words", "k1", "k2", "digest"])
 
 
-def _local(hashes: list[np.ndarray], doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each row, whether another row of the batch has its hash and a smaller document, and
-    whether it stands for its hash: the row of the smallest document does."""
+def _local(hashes: list[np.ndarray], doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The order of the rows by hash and document; in that order, whether each stands for its
+    hash, as the first row does, and whether the batch has its hash in a smaller document."""
     order = np.lexsort((doc, *hashes[::-1]))
     new = np.ones(len(doc), bool)
     new[1:] = np.any([h[order][1:] != h[order][:-1] for h in hashes], axis=0)
-    group = np.cumsum(new) - 1
-    least = doc[order][new][group]
-    later, stands = np.zeros(len(doc), bool), np.zeros(len(doc), bool)
-    later[order] = doc[order] > least
-    stands[order] = new
-    return later, stands
+    return order, new, doc[order] > doc[order][new][np.cumsum(new) - 1]
+
+
+def _more(order: np.ndarray, stands: np.ndarray, settled: np.ndarray, row: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, pa.Array]:
+    """Which rows, in ``order``, go on, and what else waits for the hash that each stands for:
+    the further places of the smallest document. ``settled`` rows wait for no other batch."""
+    goes = stands | settled
+    group = np.cumsum(stands) - 1
+    size = np.where(stands, np.bincount(group[~goes], minlength=group[-1] + 1)[group], 0)[goes]
+    waits = order[~goes]
+    places = pa.StructArray.from_arrays([pa.array(row[waits]), pa.array(place[waits].astype(np.int32))], names=["row", "pos"])
+    return goes, pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(size)].astype(np.int32)), places, mask=pa.array(size == 0))
 
 
 def _anchors(window: int):
@@ -92,17 +100,14 @@ def _anchors(window: int):
             if not parts:
                 continue
             gram, doc, row, place = (np.concatenate(p) for p in zip(*parts))
-            later, stands = _local([gram], doc)
+            order, stands, later = _local([gram], doc)
             # The smallest document of a shared hash is a hit as well.
-            order = np.argsort(gram, kind="stable")
-            edge = np.r_[True, gram[order][1:] != gram[order][:-1]]
-            group = np.cumsum(edge) - 1
-            shared = np.zeros(len(gram), bool)
-            shared[order] = np.logical_or.reduceat(later[order], np.flatnonzero(edge))[group]
-            keep = shared | stands
+            shared = np.logical_or.reduceat(later, np.flatnonzero(stands))[np.cumsum(stands) - 1]
+            goes, more = _more(order, stands, shared, row, place)
+            sent = order[goes]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(gram[keep].view(np.int64)), pa.array(stands[keep]), pa.array(shared[keep]), pa.array(doc[keep]), pa.array(row[keep]), pa.array(place[keep].astype(np.int32))],
-                names=["gram", "stands", "shared", "doc_id", "row", "pos"])
+                [pa.array(gram[sent].view(np.int64)), pa.array(stands[goes]), pa.array(shared[goes]), pa.array(doc[sent]), pa.array(row[sent]), pa.array(place[sent].astype(np.int32)), more],
+                names=["gram", "stands", "shared", "doc_id", "row", "pos", "more"])
 
     return run
 
@@ -134,15 +139,22 @@ def _extend(window: int):
             if not parts:
                 continue
             first, second, doc, row, place = (np.concatenate(p) for p in zip(*parts))
-            later, stands = _local([first, second], doc)
-            keep = later | stands
+            order, stands, later = _local([first, second], doc)
+            goes, more = _more(order, stands, later, row, place)
+            sent = order[goes]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(first[keep].view(np.int64)), pa.array(second[keep].view(np.int64)), pa.array(stands[keep]), pa.array(later[keep]), pa.array(doc[keep]), pa.array(row[keep]), pa.array(place[keep].astype(np.int32))],
-                names=["w1", "w2", "stands", "later", "doc_id", "row", "pos"])
+                [pa.array(first[sent].view(np.int64)), pa.array(second[sent].view(np.int64)), pa.array(stands[goes]), pa.array(later[goes]), pa.array(doc[sent]), pa.array(row[sent]), pa.array(place[sent].astype(np.int32)), more],
+                names=["w1", "w2", "stands", "later", "doc_id", "row", "pos", "more"])
 
     return run
 
 
+def _places(df: DataFrame, name: str) -> DataFrame:
+    """(doc_id, row) and the set of its places, those in ``more`` counted."""
+    each = df.select("doc_id", F.expr("inline(concat(array(struct(row, pos)), coalesce(more, array())))"))
+    return each.groupBy("doc_id", "row").agg(F.collect_set("pos").alias(name))
+
+
 def _cut(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -179,20 +191,18 @@ def substring_dedup(docs: DataFrame, window: int = 50) -> DataFrame:
     copies = stored(long_.join(firsts, ["k1", "k2"]).where("first < doc_id").select("doc_id", "row").distinct(), "word-copies")
 
     fresh = plain.where("doc_id IS NOT NULL AND text IS NOT NULL").join(copies, ["doc_id", "row"], "left_anti")
-    anchors = fresh.mapInArrow(_anchors(window), "gram long, stands boolean, shared boolean, doc_id long, row long, pos int")
+    anchors = fresh.mapInArrow(_anchors(window), f"gram long, stands boolean, shared boolean, doc_id long, row long, pos int, {MORE}")
     # Rows that stand for no hash are settled; a key of their own keeps them out of its group.
     anchors = anchors.withColumn("gram", F.when(F.col("stands"), F.col("gram")).otherwise(F.xxhash64("doc_id", "row", "pos")))
     met = Window.partitionBy("gram", "stands")
     hits = anchors.withColumn("held", F.count("*").over(met)).where("shared OR (stands AND held > 1)")
-    hits = hits.groupBy("doc_id", "row").agg(F.collect_set("pos").alias("hits"))
-    near = stored(plain.join(hits, ["doc_id", "row"]).dropDuplicates(["doc_id", "row"]).select("doc_id", "row", "text", "hits"), "anchored-texts")
+    near = stored(plain.join(_places(hits, "hits"), ["doc_id", "row"]).dropDuplicates(["doc_id", "row"]).select("doc_id", "row", "text", "hits"), "anchored-texts")
 
-    spans = near.mapInArrow(_extend(window), "w1 long, w2 long, stands boolean, later boolean, doc_id long, row long, pos int")
+    spans = near.mapInArrow(_extend(window), f"w1 long, w2 long, stands boolean, later boolean, doc_id long, row long, pos int, {MORE}")
     spans = spans.withColumn("w1", F.when(F.col("stands"), F.col("w1")).otherwise(F.xxhash64("doc_id", "row", "pos")))
     least = F.min("doc_id").over(Window.partitionBy("w1", "w2", "stands"))
     covered = spans.withColumn("least", least).where("later OR (stands AND least < doc_id)")
-    starts = covered.groupBy("doc_id", "row").agg(F.collect_set("pos").alias("starts"))
-    cut = near.select("doc_id", "row", "text").join(starts, ["doc_id", "row"]).mapInArrow(
+    cut = near.select("doc_id", "row", "text").join(_places(covered, "starts"), ["doc_id", "row"]).mapInArrow(
         _cut(window), "doc_id long, row long, n_removed long, kept string")
     cut = cut.select("doc_id", "row", "n_removed", F.sha2("kept", 256).alias("cut_digest")).unionAll(
         copies.select("doc_id", "row", F.lit(-1).cast("long").alias("n_removed"), F.sha2(F.lit(""), 256).alias("cut_digest")))

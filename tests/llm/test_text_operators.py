@@ -175,6 +175,43 @@ def test_substring_dedup(case):
     assert checked(substrings.substring_dedup(df), ["doc_id", "n_words", "n_removed", "kept_sha256"]) == sorted(want, key=repr)
 
 
+def removed_by_brute_force(rows):
+    """(doc_id, n_words, n_removed, kept_sha256) of each (doc_id, text)."""
+    first, want = {}, []
+    for i, t in rows:
+        w = t.split()
+        for k in range(len(w) - 49):
+            run = tuple(w[k:k + 50])
+            first[run] = min(first.get(run, i), i)
+    for i, t in rows:
+        w, gone = t.split(), set()
+        for k in range(len(w) - 49):
+            if first[tuple(w[k:k + 50])] < i:
+                gone.update(range(k, k + 50))
+        want.append((i, len(w), len(gone), hashlib.sha256(" ".join(x for k, x in enumerate(w) if k not in gone).encode()).hexdigest()))
+    return sorted(want, key=repr)
+
+
+def test_substring_dedup_of_a_passage_repeated_in_one_document(spark):
+    """The smaller document is in another batch than the one that has the passage several times."""
+    rng = random.Random(17)
+    passage, looped = prose(rng, 75), prose(rng, 60)
+    rows = [(1, f"{prose(rng, 20)} {passage} {prose(rng, 9)}"), (2, f"{looped} {prose(rng, 31)}"),
+            (7, " ".join(f"{prose(rng, 5 + 13 * k)} {passage}" for k in range(4)) + f" {looped} {prose(rng, 3)} {looped}"),
+            # One doc_id with two texts, and a later document in the batch of the repeating one.
+            (9, f"{passage} {prose(rng, 40)} {passage}"), (9, f"{prose(rng, 2)} {passage}"), (12, f"{prose(rng, 66)} {passage}")]
+    docs, size = spark.createDataFrame(rows, "doc_id long, text string"), "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(size)
+    try:
+        for rows_a_batch in (1, 2, 100):
+            spark.conf.set(size, rows_a_batch)
+            got = checked(substrings.substring_dedup(docs), ["doc_id", "n_words", "n_removed", "kept_sha256"])
+            assert got == removed_by_brute_force(rows)
+    finally:
+        spark.conf.set(size, before)
+    assert min(x[2] for x in removed_by_brute_force(rows) if x[0] == 7) >= 4 * 75 + 2 * 60
+
+
 def test_difference_covers():
     for period, cover in substrings.COVERS.items():
         for i in range(period):
