@@ -7,23 +7,27 @@ a uniform order. Statistics are frozen after training, so the cost of each byte
 context is fixed and laid out once in a table; the cost of a text is a sum of look-ups, and
 the language with the shortest code wins.
 
-Trees are learned from a bounded sample of labelled documents, ``per_lang`` of each language
-by a hash of their ids, whole texts. Contexts seen fewer than ``least`` times in all, and
-any past the ``contexts`` most frequent, are cut; their bytes are coded by the next shorter one.
+Each language's tree is learned by itself, in a group of its own, from a bounded sample of
+its labelled documents, about ``per_lang`` by a hash of their ids, whole texts. Contexts that
+the language has fewer than ``least`` times, and any past its ``contexts`` most frequent of
+each length, are cut; their bytes are coded by the next shorter one. There is no bound on the
+number of languages: tasks hold the tables of a block of them at a time.
 """
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from letterloom.llm import words as W
-from letterloom.llm.tables import pick
+from letterloom.llm.tables import pick, stored
 
 ORDER = 3
 PAD = 10  # texts begin as after line breaks
@@ -31,6 +35,9 @@ PAD = 10  # texts begin as after line breaks
 FOLD = np.arange(256, dtype=np.uint8)
 FOLD[65:91] = FOLD[97:123]
 UNKNOWN = "und"
+#: Tables that a task holds at a time; languages past this are a further block.
+BLOCK_BYTES = 128 << 20
+PART_BYTES = 1 << 20
 
 
 @dataclass
@@ -41,6 +48,19 @@ class Model:
     bits: np.ndarray      # (context, symbol) -> cost in each language
 
 
+@dataclass
+class Trained:
+    """The models of all languages, as a table; ``blocks`` has their names, in order."""
+    parts: DataFrame
+    blocks: list[list[str]]
+
+    def block(self, k: int) -> list[Model]:
+        parts: dict[str, dict[int, bytes]] = {name: {} for name in self.blocks[k]}
+        for r in self.parts.where(F.col("lang").isin(self.blocks[k])).toLocalIterator():
+            parts[r["lang"]][r["part"]] = bytes(r["data"])
+        return [pickle.loads(b"".join(parts[name][i] for i in range(len(parts[name])))) for name in self.blocks[k]]
+
+
 def held_out(doc_id: Column) -> Column:
     """Documents kept apart from training."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
@@ -87,23 +107,35 @@ def _history(symbols: np.ndarray, offsets: np.ndarray, base: int, pad: int) -> n
     return out
 
 
-def train(docs: DataFrame, per_lang: int = 1500, contexts: int = 20_000, least: int = 3, langs: int = 200) -> Model | None:
+def train(docs: DataFrame, per_lang: int = 1500, contexts: int = 20_000, least: int = 3) -> Trained | None:
     """Trees of every language with labelled documents; None when there are no labels.
 
     Rows of NULL id, text or lang and held-out documents are never learned from.
     """
     known = pick(docs, "doc_id", "text", "lang").where("doc_id IS NOT NULL AND text IS NOT NULL AND lang IS NOT NULL AND lang <> ''")
     known = known.where(~held_out(F.col("doc_id")))
-    # A row a language reaches the driver, and no more than ``langs``.
-    sizes = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(langs).collect()
-    if not sizes:
-        return None
-    share = F.element_at(F.create_map(*[F.lit(x) for r in sizes for x in (r["lang"], min(1.0, per_lang / r["count"]))]), F.col("lang"))
-    sample = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < F.coalesce(share, F.lit(0.0)) * (1 << 20))
-    grams = sample.select("lang", "text").mapInArrow(_grams, "lang string, gram long, n long") \
-        .groupBy("lang", "gram").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "gram", "lang").limit(contexts * 100)
-    rows = grams.toPandas()
-    return fit(rows["lang"].to_numpy(), rows["gram"].to_numpy(np.int64), rows["n"].to_numpy(np.float64), contexts, least) if len(rows) else None
+    # A row a language reaches the driver. Languages of no more than ``per_lang`` are learned whole.
+    large = [F.lit(x) for r in known.groupBy("lang").count().where(F.col("count") > per_lang).collect() for x in (r["lang"], per_lang / r["count"])]
+    share = F.coalesce(F.element_at(F.create_map(*large), F.col("lang")), F.lit(1.0)) if large else F.lit(1.0)
+    sample = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < share * (1 << 20))
+    grams = sample.select("lang", "text").mapInArrow(_grams, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+
+    def learn(rows: pd.DataFrame) -> pd.DataFrame:
+        model = fit(rows["lang"].to_numpy(), rows["gram"].to_numpy(np.int64), rows["n"].to_numpy(np.float64), contexts, least)
+        data = pickle.dumps(model)
+        data = [data[i:i + PART_BYTES] for i in range(0, len(data), PART_BYTES)]
+        return pd.DataFrame({"lang": rows["lang"].iloc[0], "part": range(len(data)), "data": data})
+
+    # A group has what about ``per_lang`` documents hold, however large the language.
+    parts = stored(grams.groupBy("lang").applyInPandas(learn, "lang string, part int, data binary"), "language-models")
+    blocks, held = [], BLOCK_BYTES + 1
+    for name, size in sorted(tuple(r) for r in parts.groupBy("lang").agg(F.sum(F.octet_length("data"))).collect()):
+        if held + size > BLOCK_BYTES:
+            blocks.append([])
+            held = 0
+        blocks[-1].append(name)
+        held += size
+    return Trained(parts, blocks) if blocks else None
 
 
 def fit(lang: np.ndarray, gram: np.ndarray, n: np.ndarray, contexts: int, least: int) -> Model:
@@ -175,38 +207,53 @@ def code_lengths(model: Model, raw: np.ndarray, offsets: np.ndarray) -> np.ndarr
     return out
 
 
-def predict(docs: DataFrame, model: Model | None, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+def predict(docs: DataFrame, model: Trained | None, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The columns ``carry``, lang_pred, score and bits_per_byte of every row, whole texts.
 
     ``score`` is the probability of the language that wins, all being as likely beforehand;
     the first by name wins a tie. A null text or one without letters is ``und`` with score 0;
     so are all texts where nothing was learned.
     """
-    texts = pick(docs, *dict.fromkeys((*carry, "text"))).withColumn("worded", F.coalesce(F.col("text").rlike("\\p{L}"), F.lit(False)))
+    texts = pick(docs, *dict.fromkeys((*carry, "text")))
+    worded = F.coalesce(F.col("text").rlike("\\p{L}"), F.lit(False))
     if model is None:
         return texts.select(*carry, F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(None).cast("double").alias("bits_per_byte"))
-    held = docs.sparkSession.sparkContext.broadcast(model)  # bounded by ``contexts``, ``langs`` and 257 symbols
+    # So far: the best language, its bits, and the sum of 2 ** (those bits - bits) of all languages.
+    schema = ", ".join(f"`{c}` {t}" for c, t in texts.dtypes) + ", _best string, _bits double, _sum double"
+    for k in range(len(model.blocks)):
+        texts = texts.mapInArrow(_coded(docs.sparkSession.sparkContext.broadcast(model.block(k)), k > 0), schema)
+        if k < len(model.blocks) - 1:
+            texts = stored(texts, "language-costs")  # or the tasks of all blocks would run, and hold their tables, at once
+    return texts.select(*carry, F.when(worded, F.col("_best")).otherwise(UNKNOWN).alias("lang_pred"), F.when(worded, 1 / F.col("_sum")).otherwise(0.0).alias("score"),
+                        F.when(F.octet_length("text") > 0, F.col("_bits") / F.octet_length("text")).alias("bits_per_byte"))
+
 
+def _coded(held, further: bool):
+    """Code lengths by the models ``held``; ``further`` batches have those of earlier ones."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = held.value
-        names = np.array(model.langs, object)
+        models = held.value
+        names = np.array([m.langs[0] for m in models], object)
         for batch in batches:
             for rows, raw, offsets in W.runs(batch):
-                bits = code_lengths(model, raw, offsets)
+                bits = np.column_stack([code_lengths(m, raw, offsets)[:, 0] for m in models])
                 best = bits.argmin(axis=1)
                 least = bits[np.arange(len(bits)), best]
-                score = 1 / np.exp2(least[:, None] - bits).sum(axis=1)
-                worded = rows.column("worded").to_numpy(zero_copy_only=False)
-                size = np.diff(offsets)
-                yield pa.RecordBatch.from_arrays([
-                    *[rows.column(c) for c in carry], pa.array(np.where(worded, names[best], UNKNOWN)), pa.array(np.where(worded, score, 0.0)),
-                    pa.array(least / np.maximum(size, 1), mask=size == 0)], names=[*carry, "lang_pred", "score", "bits_per_byte"])
+                total = np.exp2(least[:, None] - bits).sum(axis=1)
+                best = names[best]
+                if further:
+                    past, least_past, total_past = (rows.column(c).to_numpy(zero_copy_only=False) for c in ("_best", "_bits", "_sum"))
+                    best = np.where(least_past <= least, past, best)
+                    both = np.minimum(least, least_past)
+                    total = total * np.exp2(both - least) + total_past * np.exp2(both - least_past)
+                    least = both
+                    rows = rows.select([c for c in rows.schema.names if c not in ("_best", "_bits", "_sum")])
+                yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(best, pa.string()), pa.array(least), pa.array(total)],
+                                                 names=[*rows.schema.names, "_best", "_bits", "_sum"])
 
-    kinds = dict(texts.dtypes)
-    return texts.mapInArrow(run, ", ".join(f"`{c}` {kinds[c]}" for c in carry) + ", lang_pred string, score double, bits_per_byte double")
+    return run
 
 
-def recognised(docs: DataFrame, model: Model | None, carry: tuple[str, ...], most_bits: float = 6.5) -> DataFrame:
+def recognised(docs: DataFrame, model: Trained | None, carry: tuple[str, ...], most_bits: float = 6.5) -> DataFrame:
     """The columns ``carry`` of the rows in a language that was learned.
 
     Texts without letters go, and those that no tree brings below ``most_bits`` a byte: prose

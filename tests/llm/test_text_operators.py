@@ -345,6 +345,39 @@ def test_language_id(spark):
     assert langid.predict(docs.limit(0), model).count() == 0
 
 
+def test_no_language_pays_for_the_size_of_another(spark):
+    """A rare language costs the same beside a large one as alone, when table bounds are reached."""
+    rng = random.Random(21)
+    other = [w[::-1] + "ü" for w in WORDS]
+    rows = [(i, " ".join(rng.choice(WORDS) for _ in range(60)), "aa") for i in range(300)]
+    rows += [(i, " ".join(rng.choice(other) for _ in range(9)), "bb") for i in range(300, 312)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    rare = docs.where("lang = 'bb'")
+    alone, beside = (checked(langid.predict(rare, langid.train(d, contexts=10)), ["doc_id", "lang_pred", "bits_per_byte"]) for d in (rare, docs))
+    assert [x[:2] for x in beside] == [(i, "bb") for i in range(300, 312)]
+    assert all(abs(a[2] - b[2]) < 1e-4 for a, b in zip(alone, beside))
+
+
+def test_more_languages_than_a_block_holds(spark, monkeypatch):
+    rng = random.Random(22)
+    rows = []
+    for k in range(205):
+        vocabulary = ["".join(rng.choice("abcdefghijklmnop") for _ in range(5)) for _ in range(4)]
+        rows += [(10 * k + j, " ".join(rng.choice(vocabulary) for _ in range(30)), f"l{k:03}") for j in range(4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").where(~langid.held_out(F.col("doc_id")))
+    whole = langid.train(docs)
+    size = whole.parts.agg(F.sum(F.octet_length("data"))).first()[0]
+    monkeypatch.setattr(langid, "BLOCK_BYTES", size // 2)
+    split = langid.train(docs)
+    assert len(whole.blocks) == 1 and len(split.blocks) in (2, 3)
+    columns = ["doc_id", "lang_pred", "score", "bits_per_byte"]
+    one, more = (checked(langid.predict(docs, m), columns) for m in (whole, split))
+    names = {i: lang for i, _, lang in rows}
+    assert len({names[x[0]] for x in one}) > 200
+    assert all(x[1] == names[x[0]] for x in one)
+    assert [x[:2] for x in one] == [x[:2] for x in more] and all(abs(a[k] - b[k]) < 1e-9 for a, b in zip(one, more) for k in (2, 3))
+
+
 def test_quality(spark):
     rng = random.Random(6)
     docs, ratings = [], []
