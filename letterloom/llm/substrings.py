@@ -97,7 +97,7 @@ def _anchors(window: int):
                 good = cover[place % period] & (place + short <= counts[text]) & (counts[text] >= window)
                 text = text[good]
                 parts.append((grams[good], rows.column("doc_id").to_numpy()[text], rows.column("row").to_numpy()[text], place[good]))
-            if not parts:
+            if not any(len(p[0]) for p in parts):
                 continue
             gram, doc, row, place = (np.concatenate(p) for p in zip(*parts))
             order, stands, later = _local([gram], doc)
@@ -136,7 +136,7 @@ def _extend(window: int):
                 good = (np.cumsum(mark)[:len(first)] > 0) & (place + window <= counts[text])
                 text = text[good]
                 parts.append((first[good], second[good], rows.column("doc_id").to_numpy()[text], rows.column("row").to_numpy()[text], place[good]))
-            if not parts:
+            if not any(len(p[0]) for p in parts):
                 continue
             first, second, doc, row, place = (np.concatenate(p) for p in zip(*parts))
             order, stands, later = _local([first, second], doc)

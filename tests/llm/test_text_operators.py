@@ -456,3 +456,11 @@ def test_url_filter_learns_from_seeds(spark):
     bad = [r.verdict for r in got if r.page_id % 9 == 0]
     good = [r.verdict for r in got if r.page_id % 9]
     assert bad.count("block") >= 0.95 * len(bad) and good.count("block") <= 0.03 * len(good)
+
+
+def test_substring_dedup_of_short_texts(spark):
+    """Batches without a text of one window: one row, two rows, none."""
+    for texts in ([], ["a b c"], ["w " * 10, "x " * 10], [None], [""], ["y " * 49, "y " * 49], ["z " * 50, "z " * 50, "short text of few words " * 4]):
+        docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+        got = {r.doc_id: r.n_removed for r in substrings.substring_dedup(docs).collect()}
+        assert got == {i: 50 if i and t and t.split() == ["z"] * 50 else 0 for i, t in enumerate(texts)}
