@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from letterloom.llm import bpe, decontam, langid, lines, neardup, quality, substrings, token_counts, topk, urls
+from letterloom.llm import bpe, decontam, langid, lines, neardup, quality, resample, secret_scan, substrings, token_counts, topk, turn_trie, urls
 from letterloom.llm.tables import table
 from letterloom.session import configure
 
@@ -96,3 +96,26 @@ def op9_language_id(spark: SparkSession, folder: str) -> DataFrame:
 @query("op10_decontamination")
 def op10_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return decontam.contaminated(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+@query("op11_resample", resample.RESAMPLE_SQL)
+def op11_resample(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents drawn for their likeness to the benchmark."""
+    drawn = resample.resample(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+@query("op12_secrets")
+def op12_secrets(spark: SparkSession, folder: str) -> DataFrame:
+    """Secrets of each document, plain and wrapped."""
+    found = secret_scan.secrets(table(spark, folder, "documents"))
+    return found.select(
+        "doc_id", *[secret_scan.count_of(k).alias(f"n_{k}") for k in secret_scan.KINDS],
+        F.sha2(secret_scan.spans(plain=True), 256).alias("base_sha256"), secret_scan.spans().alias("spans"), "n_closed")
+
+
+@query("op13_turn_trie", turn_trie.TRIE_SQL)
+def op13_turn_trie(spark: SparkSession, folder: str) -> DataFrame:
+    """Prefixes that conversations share, after each took its opening from the first of its twenty."""
+    turns = turn_trie.numbered(table(spark, folder, "conversations"))
+    return turn_trie.trie(*turn_trie.with_shared_openings(turns))
