@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from letterloom.functions.headers import collapse_spaces, phone_to_chat
+from letterloom.operators.components import components
 from letterloom.session import materialise
 
 NO_COUNTRY = "phone number without a country code (+ or 00)"
@@ -54,14 +58,55 @@ def card_identifiers(cards: DataFrame, mail_prefixes: list[str], chat_prefixes:
         F.array_distinct(F.concat(mail, chat)).alias("identifiers"), bad.alias("bad_phones"))
 
 
+def _settled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The accepted cards of groups sorted by card; a claim is let go after the last card that holds it."""
+    group, taken = None, set()
+    for batch in batches:
+        accepted = []
+        for row in batch.to_pylist():
+            if row["component"] != group:
+                group, taken = row["component"], set()
+            claims = [c["claim"] for c in row["claims"]]
+            if taken.isdisjoint(claims):
+                accepted.append(row["seq"])
+                taken.update(claims)
+            taken.difference_update(c["claim"] for c in row["claims"] if c["last"] == row["seq"])
+        yield pa.RecordBatch.from_arrays([pa.array(accepted, pa.int64())], names=["seq"])
+
+
+def _round(claims: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The claims of cards that come first on all of theirs, and of those that nothing decides yet."""
+    first = claims.groupBy("claim").agg(F.min("seq").alias("_first"))
+    waiting = claims.join(first, "claim").where("seq > _first").select("seq").distinct()
+    won = materialise(claims.join(waiting, "seq", "left_anti"))
+    rest = claims.join(waiting, "seq", "left_semi")
+    lost = rest.join(won.select("claim"), "claim", "left_semi").select("seq").distinct()
+    return won, materialise(rest.join(lost, "seq", "left_anti"))
+
+
+def first_come(claims: DataFrame) -> DataFrame:
+    """The rows of ``claims`` (seq, claim) whose card is accepted.
+
+    Cards come in the order of ``seq``; one is accepted if no accepted card before it holds
+    any of its claims. Two rounds take all cards at once; they settle what many cards want,
+    as one aggregate by claim, and leave chains in which one decision hangs on another. The
+    groups that hang together are found in rounds by the logarithm of the longest chain, and
+    each is settled card by card.
+    """
+    won, rest = _round(materialise(claims.distinct()))
+    more, rest = _round(rest)
+    last = rest.groupBy("claim").agg(F.max("seq").alias("last"))
+    cards = rest.join(last, "claim").groupBy("seq").agg(F.collect_list(F.struct("claim", "last")).alias("claims")).join(
+        components(rest, "seq", "claim"), "seq")
+    settled = cards.repartition("component").sortWithinPartitions("component", "seq").mapInArrow(_settled, "seq bigint")
+    return won.unionAll(more).unionAll(rest.join(settled, "seq", "left_semi").select("seq", "claim"))
+
+
 def import_plan(cards: DataFrame, contacts: DataFrame, mail_prefixes: list[str], chat_prefixes: list[str]) -> DataFrame:
     """The outcome of every card: ``link``, ``conflict`` or ``skip``, with the reason.
 
-    Cards claim their alias and identifiers in order, and only accepted cards claim. A card
-    is accepted once it is the earliest undecided one on all of its claims; cards that share
-    a claim with an earlier accepted one fall out. Rounds go on until all are decided. Each
-    round looks at claims one by one, so a claim that a third of all cards share costs one
-    aggregate, not their pairs.
+    Cards claim their alias and identifiers in order, and only accepted cards claim; see
+    ``first_come``.
     """
     cards = card_identifiers(cards, mail_prefixes, chat_prefixes)
     owner = contacts.groupBy("identifier").agg(F.max("alias").alias("owner"))
@@ -75,20 +120,9 @@ def import_plan(cards: DataFrame, contacts: DataFrame, mail_prefixes: list[str],
     taken_now = idents.join(owner, "identifier").join(aliases, "alias", "left_anti").groupBy("seq").agg(
         F.min_by(F.struct("identifier", "owner"), "ord").alias("hit"))
     candidates = named.join(existing.select("seq"), "seq", "left_anti").join(taken_now.select("seq"), "seq", "left_anti")
-    claims = materialise(candidates.select("seq", F.concat(F.lit("a:"), "alias").alias("claim")).unionByName(
-        candidates.select("seq", F.explode(F.transform("identifiers", lambda x: F.concat(F.lit("i:"), x))).alias("claim"))))
-
-    accepted = claims.limit(0)
-    undecided = claims
-    while not undecided.isEmpty():
-        first = undecided.groupBy("claim").agg(F.min("seq").alias("_first"))
-        waiting = undecided.join(first, "claim").where("seq > _first").select("seq", F.lit(True).alias("_waits")).distinct()
-        marked = undecided.join(waiting, "seq", "left").withColumn("won", F.col("_waits").isNull()).drop("_waits")
-        beaten = marked.where("NOT won").join(marked.where("won").select("claim"), "claim", "left_semi")
-        lost = beaten.select("seq", F.lit(True).alias("_lost")).distinct()
-        decided = materialise(marked.join(lost, "seq", "left"))
-        accepted = accepted.unionByName(decided.where("won").select("seq", "claim"))
-        undecided = decided.where("NOT won AND _lost IS NULL").select("seq", "claim")
+    claims = candidates.select("seq", F.concat(F.lit("a:"), "alias").alias("claim")).unionByName(
+        candidates.select("seq", F.explode(F.transform("identifiers", lambda x: F.concat(F.lit("i:"), x))).alias("claim")))
+    accepted = materialise(first_come(claims))
 
     claimed = accepted.withColumnRenamed("seq", "_by")
     owners = claimed.where(F.col("claim").startswith("i:")).select(
@@ -147,6 +181,8 @@ def skipped(plan: DataFrame) -> DataFrame:
 def plan_report(plan: DataFrame, applied: bool = False) -> DataFrame:
     """The plan as numbered lines per section, ready to be sorted and written as text."""
     head = "LINKED" if applied else "LINKS"
+    # Every section reads the plan twice; it is made once.
+    plan = materialise(plan)
     # A section opens with its own line, so it shows only where it has content.
     links = plan.where("outcome = 'link'").select(
         F.lit(1).alias("section"), F.col("seq").alias("line_no"),
