@@ -200,15 +200,13 @@ def from_contact(df: DataFrame, contacts: DataFrame, contact: str) -> DataFrame:
     their source prefix. An unknown contact is looked for in the sender itself.
     """
     term = contact.lower().strip()
-    exact = contacts.where(F.col("alias") == term)
-    found = contacts.where(F.col("alias").contains(term) | F.lower("identifier").contains(term))
-    alias = exact.agg(F.min("alias")).first()[0] or found.agg(F.min("alias")).first()[0]
-    if alias is None:
-        return df.where(sender_contains(contact))
+    alias = contacts.agg(F.coalesce(
+        F.min(F.when(F.col("alias") == term, F.col("alias"))),
+        F.min(F.when(F.col("alias").contains(term) | F.lower("identifier").contains(term), F.col("alias"))))).scalar()
     own = contacts.where(F.col("alias") == alias).select(F.lower("identifier").alias("needle"))
     bare = own.where(F.instr("needle", ":") > 0).select(
         F.expr("substring(needle, instr(needle, ':') + 1)").alias("needle"))
-    needles = own.union(bare).distinct()
+    unknown = df.sparkSession.range(1).where(alias.isNull()).select(F.lit(contact.lower()).alias("needle"))
     senders = df.select(F.lower(_text("sender")).alias("_sender")).distinct()
-    hits = containing(senders, "_sender", needles, "needle").select("_sender").distinct()
+    hits = containing(senders, "_sender", own.union(bare).union(unknown), "needle").select("_sender").distinct()
     return df.join(hits, F.lower(_text("sender")) == F.col("_sender"), "left_semi")

@@ -14,32 +14,44 @@ from letterloom.functions import patterns as P
 
 # Rank of keys made from the fixed labels: after those of any number of sources.
 LAST = 1_000_000_000
+# Length of the pieces by which substrings are looked up.
+GRAM = 3
 
 
 def after_colon(text: Column) -> Column:
     return F.substr(text, F.instr(text, F.lit(":")) + 1)
 
 
-def containing(left: DataFrame, text: str, needles: DataFrame, needle: str) -> DataFrame:
-    """Rows of ``left`` with each needle that their text contains, as an equi-join.
+def _grams(text: Column, sizes: Column) -> Column:
+    """The distinct pieces of a text that have one of the sizes."""
+    return F.array_distinct(F.flatten(F.transform(sizes, lambda n: F.transform(
+        F.when(F.length(text) >= n, F.sequence(F.lit(1), F.length(text) - n + 1)).otherwise(F.array().cast("array<int>")),
+        lambda i: F.substring(text, i, n)))))
+
+
+def candidates(texts: DataFrame, text: str, needles: DataFrame, needle: str) -> DataFrame:
+    """(text, needle) of distinct texts and needles that may be in them.
 
-    The pieces of a text that have the length of some needle are all the needles it could
-    contain, so they are joined by value; nothing is compared pairwise.
+    Needles are indexed by one piece each, of GRAM characters or their whole length if that is
+    less: the piece that the fewest texts have. A text meets a needle only through that piece,
+    and a needle with a piece that no text has meets none.
     """
-    needles = needles.where(F.length(needle) > 0).select(F.col(needle).alias("_needle")).distinct()
-    lengths = needles.agg(
-        F.array_sort(F.collect_set(F.length("_needle"))).alias("_lengths"))
-    sizes = (lengths.first() or [[]])[0]
-    if not sizes:
-        return left.limit(0).withColumn(needle, F.lit(None).cast("string"))
-    pieces = F.array_distinct(F.flatten(F.transform(
-        F.array(*[F.lit(n) for n in sizes]),
-        lambda n: F.transform(
-            F.when(F.length(text) >= n, F.sequence(F.lit(1), F.length(text) - n + 1)).otherwise(
-                F.array().cast("array<int>")),
-            lambda i: F.substring(F.col(text), i, n)))))
-    return left.withColumn("_needle", F.explode(pieces)).join(needles, "_needle").withColumnRenamed(
-        "_needle", needle)
+    wanted = needles.where(F.length(needle) > 0).select(F.col(needle).alias(needle)).distinct()
+    size = F.least(F.length(needle), F.lit(GRAM))
+    index = wanted.select(needle, F.explode(_grams(F.col(needle), F.array(size))).alias("_gram"))
+    sizes = wanted.agg(F.collect_set(size)).scalar()
+    pieces = texts.select(text).distinct().withColumn("_sizes", sizes).select(text, F.explode(_grams(F.col(text), F.col("_sizes"))).alias("_gram")).join(
+        index.select("_gram").distinct(), "_gram", "left_semi")
+    held = pieces.groupBy("_gram").agg(F.count("*").alias("_n"))
+    rarest = index.join(held, "_gram", "left").groupBy(needle).agg(
+        F.min(F.struct(F.coalesce("_n", F.lit(0)).alias("n"), "_gram")).alias("_best")).select(needle, F.col("_best._gram").alias("_gram"))
+    return pieces.join(rarest, "_gram").select(text, needle)
+
+
+def containing(left: DataFrame, text: str, needles: DataFrame, needle: str) -> DataFrame:
+    """Rows of ``left`` with each needle that their text contains; nothing is compared pairwise."""
+    hits = candidates(left, text, needles, needle).where(F.contains(F.col(text), F.col(needle)))
+    return left.join(hits, text)
 
 
 def aliases(contacts: DataFrame) -> DataFrame:
