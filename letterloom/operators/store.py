@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from letterloom.functions import patterns as P
 from letterloom.operators.filters import expected_mailboxes
 from letterloom.operators.ordering import top_in_groups
+from letterloom.session import materialise
+
+BUCKETS = 32
 
 
 def stamped(messages: DataFrame, sources: DataFrame, now: Column) -> DataFrame:
@@ -29,10 +32,52 @@ def live_bodies(bodies: DataFrame, headers: DataFrame) -> DataFrame:
     return bodies.join(headers.select("id", "mailbox"), ["id", "mailbox"], "left_semi")
 
 
+def _month(date: Column) -> Column:
+    """The partition of a date; undated rows have one of their own."""
+    return F.coalesce(F.substring(date, 1, 7), F.lit("none"))
+
+
+def create(headers: DataFrame, name: str, path: str, buckets: int = BUCKETS) -> None:
+    """Headers as a table by source and month, bucketed by id and sorted by date in each file."""
+    headers.withColumn("month", _month(F.col("date"))).write.partitionBy("source", "month").bucketBy(buckets, "id").sortBy("date").option(
+        "path", path).saveAsTable(name)
+
+
+def merge(name: str, new: DataFrame) -> None:
+    """Put newer versions of headers into a table made by ``create``.
+
+    Old versions are found by id, a join that leaves the buckets of the table where they are,
+    and only the months that gain or lose a version are written again.
+    """
+    spark = new.sparkSession
+    old = spark.table(name)
+    new = materialise(upsert(new.withColumn("month", _month(F.col("date"))), new.limit(0).withColumn("month", F.lit(""))))
+    stale = old.select("id", "source", "month").join(new.select("id"), "id", "left_semi").select("source", "month")
+    touched = materialise(stale.unionAll(new.select("source", "month")).distinct())
+    kept = old.join(touched, ["source", "month"], "left_semi")
+    # Months that only lost versions come out without rows and have to go as partitions.
+    merged = materialise(upsert(kept, new).select(old.columns))
+    emptied = touched.join(merged.select("source", "month").distinct(), ["source", "month"], "left_anti").collect()
+    before = spark.conf.get("spark.sql.sources.partitionOverwriteMode")
+    spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
+    try:
+        merged.write.mode("overwrite").insertInto(name)
+    finally:
+        spark.conf.set("spark.sql.sources.partitionOverwriteMode", before)
+    for row in emptied:
+        spark.sql(f"ALTER TABLE {name} DROP PARTITION (source = :source, month = :month)", {"source": row.source, "month": row.month})
+
+
 def scan(headers: DataFrame, source: str | None = None, since: str | None = None,
          sender: str | None = None) -> DataFrame:
-    """Current headers; the conditions on version, source and date reach the Parquet scan."""
+    """Current headers of a stored table.
+
+    The conditions on version and date reach the Parquet reader; source and, where the table
+    has it, month choose its folders.
+    """
     df = headers.where(F.col("_schema_version") >= P.SCHEMA_VERSION)
+    if since and "month" in headers.columns:
+        df = df.where(F.col("month") >= since[:7])
     if source:
         df = df.where(F.col("source") == source)
     if since:

@@ -9,6 +9,7 @@ from letterloom.operators import filters, lookups, ordering, store
 from letterloom.plans import corpora as C
 from letterloom.plans.registry import query
 from letterloom.plans.sql_views import CONTACTS, CUST, MSG, SOURCES, with_views
+from letterloom.session import fresh_path
 
 M = with_views(MSG)
 MC = with_views(MSG, CUST, CONTACTS)
@@ -204,7 +205,15 @@ def mailbox_validity(spark, folder):
 @query("cache_scan", M + """
 SELECT id, date FROM msg WHERE schema_version >= 3 AND source = 'o' AND date >= '2000-01-01' AND contains(sender, 'u3')""")
 def cache_scan(spark, folder):
-    return store.scan(C.messages(spark, folder), source="o", since="2000-01-01", sender="U3").select("id", "date")
+    """A scan of the stored cache: rows of an old version, and what was fetched since."""
+    fetched = C.messages(spark, folder)
+    old = fetched.where("_schema_version < 3").drop("body").withColumn("_cached_at", F.lit("2001-08-01"))
+    new = fetched.where("_schema_version >= 3").drop("_schema_version")
+    path = fresh_path(spark, "cache")
+    name = path.rsplit("/", 1)[1].replace("-", "_")
+    store.create(old, name, path, buckets=4)
+    store.merge(name, store.stamped(new, C.sources(spark), F.lit("2001-08-02")))
+    return store.scan(spark.table(name), source="o", since="2000-01-01", sender="U3").select("id", "date")
 
 
 RESOLVED = MCS + """
