@@ -105,15 +105,18 @@ def clear_offsets(offsets: DataFrame, key: str) -> DataFrame:
     return offsets.where(F.col("key") != key)
 
 
-def assign_refs(listing: DataFrame, refs: DataFrame, order: list[str], newest_first: bool = False) -> DataFrame:
+def assign_refs(listing: DataFrame, refs: DataFrame, order: list[str], newest_first: bool = False, start: int | None = None) -> DataFrame:
     """Known ids keep their number, new ids get the next ones in listing order.
 
+    ``start`` is the last number given so far; without it, it is looked up in ``refs``.
+
     Returns only the new rows. The listing may be a whole corpus: it is range-sorted, and
     the numbers of a partition follow from the sizes of those before it.
     """
     first = listing.where("id <> ''").select("id", *order).dropDuplicates(["id"])
     fresh = first.join(refs.select("id"), "id", "left_anti")
-    start = refs.agg(F.coalesce(F.max("ref"), F.lit(0))).first()[0]
+    if start is None:
+        start = refs.agg(F.coalesce(F.max("ref"), F.lit(0))).first()[0]
     way = [F.desc(c) if newest_first else F.asc(c) for c in order]
     return number_rows(fresh, [*way, F.asc("id")], "ref").select("id", (F.col("ref") + start).cast("bigint").alias("ref"))
 

@@ -39,7 +39,8 @@ placed AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY date DESC, sou
 FEED = with_views(MSG, SOURCES) + OFFSETS
 
 
-def _offsets(spark, folder):
+def page_offsets(spark, folder):
+    """The offsets that consumers have before they read."""
     region = C.table(spark, folder, "region")
     known = C.sources(spark).where("prefix IN ('g', 'o', 'gw')").select("prefix", "ord")
     pairs = region.select("r_name", "r_regionkey", F.explode(F.array(*[F.lit(p) for p in ("g", "o", "gw")])).alias("prefix"))
@@ -51,7 +52,7 @@ def _offsets(spark, folder):
 def _due(spark, folder):
     keys = C.table(spark, folder, "region").selectExpr("r_name AS key")
     messages = C.messages(spark, folder).drop("source_ord")
-    follows = feed.followed(keys, _offsets(spark, folder), C.sources(spark), "2001-07-26T00:00:00Z")
+    follows = feed.followed(keys, page_offsets(spark, folder), C.sources(spark), "2001-07-26T00:00:00Z")
     return messages, follows, feed.feed_pages(messages, follows, 60)
 
 
@@ -81,19 +82,19 @@ FROM offsets o FULL JOIN new n ON n.key = o.key AND n.source = o.source"""
 @query("feed_offsets", FEED + ADVANCED.format(and_=""))
 def feed_offsets(spark, folder):
     """Offsets after every consumer read its page."""
-    return feed.merge_offsets(_offsets(spark, folder), feed.advanced(feed.truncation(*_due(spark, folder))))
+    return feed.merge_offsets(page_offsets(spark, folder), feed.advanced(feed.truncation(*_due(spark, folder))))
 
 
 @query("feed_offsets_lossless", FEED + ADVANCED.format(and_="AND d = 0"))
 def feed_offsets_lossless(spark, folder):
     """The same, but a source with dropped rows keeps its offset."""
     moved = feed.advanced(feed.truncation(*_due(spark, folder)), "lossless")
-    return feed.merge_offsets(_offsets(spark, folder), moved)
+    return feed.merge_offsets(page_offsets(spark, folder), moved)
 
 
 @query("offset_summary", with_views(MSG, SOURCES) + OFFSETS + "SELECT key, count(*) AS sources, max(ts) AS latest FROM offsets GROUP BY key")
 def offset_summary(spark, folder):
-    return usage.offset_summary(_offsets(spark, folder))
+    return usage.offset_summary(page_offsets(spark, folder))
 
 
 REFS = "known AS (SELECT id, row_number() OVER (ORDER BY seq) AS ref FROM msg WHERE seq % 40 = 0)"

@@ -4,9 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from letterloom.operators import feed
+from letterloom.plans import corpora as C
 from letterloom.plans.registry import query
-from letterloom.plans.state import LOG
-from letterloom.streaming import jobs
+from letterloom.plans.sql_views import MSG, SOURCES, with_views
+from letterloom.plans.state import LOG, OFFSETS, page_offsets
+from letterloom.session import fresh_path
+from letterloom.streaming import consumers, jobs
 
 
 def _events(spark, folder):
@@ -47,7 +51,7 @@ def stream_offsets(spark, folder):
 def stream_refs(spark, folder):
     out, checkpoint = jobs.working_paths(spark, "refs")
     jobs.number_refs(_events(spark, folder), out, checkpoint)
-    return spark.read.parquet(out).select("id", "ref")
+    return jobs.refs(spark, out)
 
 
 @query("stream_usage", LOG + """
@@ -94,3 +98,45 @@ def stream_sessions(spark, folder):
     found = jobs.sessions(_events(spark, folder))
     jobs.append(found.select("thread_id", F.date_format("session_window.start", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("first"), "count"), out, checkpoint)
     return spark.read.parquet(out)
+
+
+# Polls: the messages land in three files, one after the other, and all consumers read after each.
+POLLS = 3
+
+
+def _poll_sql(polls: int) -> str:
+    """Polls one by one: what is due by the offsets so far, the page, and where the offsets go."""
+    ctes = ["seen0 AS (SELECT key, source, ts FROM offsets)"]
+    for n in range(1, polls + 1):
+        ctes.append(f"""page{n} AS (SELECT keys.key, k, msg.*, row_number() OVER (PARTITION BY keys.key ORDER BY date DESC, source_ord, seq) AS place
+  FROM keys CROSS JOIN msg LEFT JOIN seen{n - 1} o ON o.key = keys.key AND o.source = msg.source WHERE seq % {polls} < {n} AND date >= coalesce(o.ts, '2001-07-26T00:00:00Z')),
+per{n} AS (SELECT key, source, any_value(k) AS k, count(*) FILTER (place <= 60) AS r, count(*) FILTER (place > 60) AS d, min(date) FILTER (place <= 60) AS lo, max(date) FILTER (place <= 60) AS hi FROM page{n} GROUP BY key, source),
+new{n} AS (SELECT key, source, CASE WHEN d > 0 THEN lo ELSE hi END AS ts FROM per{n} WHERE r > 0 AND (d = 0 OR k % 2 = 0)),
+seen{n} AS (SELECT coalesce(n.key, o.key) AS key, coalesce(n.source, o.source) AS source, coalesce(n.ts, o.ts) AS ts FROM seen{n - 1} o FULL JOIN new{n} n ON n.key = o.key AND n.source = o.source)""")
+    return with_views(MSG, SOURCES) + OFFSETS.replace("due AS", "due0 AS").replace("FROM due)", "FROM due0)") + ", " + ", ".join(ctes)
+
+
+def _polled(spark, folder):
+    """What all consumers read over the polls, restarted after each. Every other one is lossless."""
+    base = fresh_path(spark, "polls")
+    keys = C.table(spark, folder, "region").selectExpr("r_name AS key", "if(r_regionkey % 2 = 0, 'compatible', 'lossless') AS policy")
+    follows = feed.followed(keys, page_offsets(spark, folder), C.sources(spark), "2001-07-26T00:00:00Z").join(keys, "key")
+    messages = C.messages(spark, folder).select("source", "date", "seq", "id")
+    for n in range(POLLS):
+        messages.where(F.col("seq") % POLLS == n).write.parquet(f"{base}/landed/{n}")
+        stream = spark.readStream.schema(messages.schema).option("recursiveFileLookup", "true").parquet(f"{base}/landed")
+        consumers.read_pages(stream, follows, 60, f"{base}/table", f"{base}/checkpoint")
+    return spark.read.parquet(f"{base}/table")
+
+
+@query("stream_pages", _poll_sql(POLLS) + " UNION ALL ".join(
+    f" SELECT key, {n} AS poll, id, place FROM page{n} WHERE place <= 60" for n in range(1, POLLS + 1)))
+def stream_pages(spark, folder):
+    """The page of every consumer at each of three polls."""
+    return consumers.delivered(_polled(spark, folder)).select("key", F.col("poll").cast("int").alias("poll"), "id", "place")
+
+
+@query("stream_page_offsets", _poll_sql(POLLS) + f" SELECT key, source, ts FROM seen{POLLS}")
+def stream_page_offsets(spark, folder):
+    """The offsets after three polls."""
+    return consumers.offsets(_polled(spark, folder), page_offsets(spark, folder))

@@ -14,7 +14,8 @@ from pyspark.sql.streaming import StreamingQuery
 
 from letterloom.operators import feed
 from letterloom.operators.ordering import top_in_groups
-from letterloom.session import fresh_path
+from letterloom.session import fresh_path, materialise
+from letterloom.streaming import levels
 
 
 def stream_table(spark: SparkSession, folder: str, name: str, files: int = 1000) -> DataFrame:
@@ -38,23 +39,25 @@ def append(stream: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
 
 
 def snapshot(spark: SparkSession, path: str) -> DataFrame:
-    """A small table as the last batch left it."""
-    slots = spark.read.parquet(path)
-    latest = slots.agg(F.max("_batch")).first()[0]
-    return slots.where(F.col("_batch") == latest).drop("_batch", "slot")
+    """A small table as the last complete batch left it.
+
+    Only that batch's folder is read; it stays until two more batches are complete.
+    """
+    folders = levels.finished(spark, f"{path}/batch=*")
+    return spark.read.parquet(max(folders, key=lambda f: int(f.rsplit("=", 1)[1])))
 
 
 def replace_into(path: str, merge: Callable[[DataFrame | None, DataFrame], DataFrame]) -> Callable[[DataFrame, int], None]:
     """A ``foreachBatch`` function for small tables: each batch writes ``merge(old, batch)``.
 
-    Batches write to two places in turn and read what the batch before them wrote. A batch
-    that is run again after a failure starts from the same table as the first time, so every
-    batch counts once.
+    Every batch has a folder of its own and reads that of the batch before it, so a batch that
+    is run again after a failure starts from the same table as the first time and counts once.
     """
     def write(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        old = spark.read.parquet(f"{path}/slot={(number - 1) % 2}").drop("_batch") if number else None
-        merge(old, batch).withColumn("_batch", F.lit(number)).write.mode("overwrite").parquet(f"{path}/slot={number % 2}")
+        old = spark.read.parquet(f"{path}/batch={number - 1}") if number else None
+        merge(old, batch).write.mode("overwrite").parquet(f"{path}/batch={number}")
+        levels.remove(spark, f"{path}/batch={number - 2}")
 
     return write
 
@@ -73,17 +76,27 @@ def append_into(path: str, rows: Callable[[DataFrame | None, DataFrame], DataFra
     return write
 
 
+def _newest(rows: DataFrame, order: str) -> DataFrame:
+    return top_in_groups(rows, ["id"], [F.desc(order), F.desc("batch")], 1, "_rank").drop("_rank")
+
+
+def upsert_into(path: str, order: str = "date", fan: int = levels.FAN) -> Callable[[DataFrame, int], None]:
+    """A ``foreachBatch`` function that adds the latest version of every message id of a batch."""
+    return levels.add_run(path, "id", lambda batch, number: _newest(batch.withColumn("batch", F.lit(number).cast("bigint")), order),
+                          lambda rows: _newest(rows, order), fan)
+
+
 def upsert_messages(stream: DataFrame, path: str, checkpoint: str, order: str = "date") -> StreamingQuery:
-    """Add the latest version of every message id in a batch; ``latest`` reads the table."""
-    def rows(old, batch):
-        return top_in_groups(batch, ["id"], [F.desc(order)], 1, "_rank").drop("_rank")
+    """Keep the latest version of every message id; ``latest`` reads the table."""
+    return run(stream.writeStream.foreachBatch(upsert_into(path, order)).option("checkpointLocation", checkpoint))
 
-    return run(stream.writeStream.foreachBatch(append_into(path, rows)).option("checkpointLocation", checkpoint))
 
+def latest(spark: SparkSession, path: str, order: str = "date", fan: int = levels.FAN) -> DataFrame:
+    """The latest version of every message id; of equal ones that of the later batch.
 
-def latest(spark: SparkSession, path: str, order: str = "date") -> DataFrame:
-    """The latest version of every message id; of equal ones that of the later batch."""
-    return top_in_groups(spark.read.parquet(path), ["id"], [F.desc(order), F.desc("batch")], 1, "_rank").drop("_rank", "batch")
+    An id has at most one version in each run, and the runs grow with the logarithm of the batches.
+    """
+    return _newest(levels.read(spark, path, levels.complete(spark, path, fan)), order).drop("batch", "bucket")
 
 
 def follow(stream: DataFrame, key: str, path: str, checkpoint: str) -> StreamingQuery:
@@ -101,13 +114,43 @@ def follow(stream: DataFrame, key: str, path: str, checkpoint: str) -> Streaming
     return run(stream.writeStream.foreachBatch(replace_into(path, merge)).option("checkpointLocation", checkpoint))
 
 
+def refs_into(path: str, fan: int = levels.FAN, buckets: int = levels.BUCKETS) -> Callable[[DataFrame, int], None]:
+    """A ``foreachBatch`` function that numbers the ids that are new in a batch.
+
+    Known ids are looked for in the buckets that the ids of the batch fall into, and the last
+    number is a row of its own, so a batch never reads the whole table.
+    """
+    def rows(batch: DataFrame, number: int) -> DataFrame:
+        spark = batch.sparkSession
+        asked = [r[0] for r in batch.select(levels.bucket_of("id", buckets)).distinct().collect()]
+        known = levels.read(spark, path, levels.cover(number, fan), asked)
+        if known is None:
+            known = spark.createDataFrame([], "id string, ref bigint")
+        start = spark.read.parquet(f"{path}-last/batch={number - 1}").first()["last"] if number else 0
+        return materialise(feed.assign_refs(batch, known, ["date"], newest_first=True, start=start))
+
+    def last(old: DataFrame | None, fresh: DataFrame) -> DataFrame:
+        most = fresh.select(F.col("ref").alias("last"))
+        return (most if old is None else most.unionAll(old)).agg(F.coalesce(F.max("last"), F.lit(0)).alias("last"))
+
+    keep_last = replace_into(f"{path}-last", last)
+
+    def write(batch: DataFrame, number: int) -> None:
+        fresh = rows(batch, number)
+        levels.add_run(path, "id", lambda *_: fresh, lambda runs: runs, fan, buckets)(batch, number)
+        keep_last(fresh, number)
+
+    return write
+
+
 def number_refs(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Keep the reference numbers: ids that are new in a batch get the next ones."""
-    def rows(old, batch):
-        known = batch.sparkSession.createDataFrame([], "id string, ref bigint") if old is None else old
-        return feed.assign_refs(batch, known, ["date"], newest_first=True)
+    """Keep the reference numbers: ids that are new in a batch get the next ones; ``refs`` reads them."""
+    return run(stream.writeStream.foreachBatch(refs_into(path)).option("checkpointLocation", checkpoint))
+
 
-    return run(stream.writeStream.foreachBatch(append_into(path, rows)).option("checkpointLocation", checkpoint))
+def refs(spark: SparkSession, path: str, fan: int = levels.FAN) -> DataFrame:
+    """(id, ref) of all that is numbered."""
+    return levels.read(spark, path, levels.complete(spark, path, fan)).select("id", "ref")
 
 
 def usage_counters(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
