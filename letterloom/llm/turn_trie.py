@@ -31,6 +31,8 @@ from letterloom.operators.ordering import number_in_groups, number_rows, with_ne
 RUN = 10_000
 #: Arcs of a block; an even number, so that both arcs of a node are in one.
 BLOCK = 1 << 13
+#: Children of one node whose neighbours one group of a window finds.
+SIBLINGS = 1 << 8
 #: Hashes of a text and of its place; the seed sets the second 64 bits apart from the first.
 SEED = 7
 
@@ -167,7 +169,7 @@ def list_rank(arcs: DataFrame, sums: list[str], block: int = BLOCK) -> DataFrame
 def _subtrees(nodes: DataFrame, parents: DataFrame, children: DataFrame) -> DataFrame:
     """(id, n_leaves, saved_tokens) from the tour; the arcs of node n are 2n, in, and 2n + 1, out."""
     siblings = with_neighbours(parents.select("id", "parent_id"), ["parent_id"], ["id"], 1,
-                               lambda df, w: df.withColumn("sibling", F.lead("id").over(w)))
+                               lambda df, w: df.withColumn("sibling", F.lead("id").over(w)), block_rows=SIBLINGS)
     tree = nodes.select("id", ((F.col("n_convs") - 1) * F.col("n_words")).alias("saved")).join(
         children.withColumnRenamed("parent_id", "id"), "id", "left").join(siblings, "id", "left")
     into = F.struct((2 * F.col("id")).alias("arc"), F.coalesce(2 * F.col("first_child"), 2 * F.col("id") + 1).alias("after"),
