@@ -156,3 +156,6 @@ COUNTED_LABELS = (
 # Access levels in rising order.
 LEVELS = ("readonly", "modify", "draft", "send")
 SCHEMA_VERSION = 3
+
+# Where a forwarded message begins; what follows is not the sender's own text.
+FORWARD_MARK = r"(?is)(?:^|\n)[ \t]*(?:-+ ?forwarded message ?-+|begin forwarded message:).*$"

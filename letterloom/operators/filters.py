@@ -140,23 +140,37 @@ def remove_rules(rules: DataFrame, gone: DataFrame) -> DataFrame:
     return rules.join(gone.select("rule_type", value.alias("value")), ["rule_type", "value"], "left_anti")
 
 
+def own_text(body: Column) -> Column:
+    """A body up to the mark of a forwarded message."""
+    return F.trim(F.regexp_replace(body, P.FORWARD_MARK, ""))
+
+
 def noise_flags(df: DataFrame, *, automated: list[str] = (), labels: list[str] = (),
                 allowed: DataFrame | None = None) -> DataFrame:
     """Mark each row with the first noise layer that catches it, or NULL.
 
-    Layers: a label, an automated sender by ``LIKE`` pattern, an unknown contact, a trivial
-    body of under 20 characters.
+    Layers: a label, an automated sender by ``LIKE`` pattern, an unknown contact, nothing but
+    attachments, nothing but a forwarded message, a body of under 20 characters.
     """
     layer = F.when(F.arrays_overlap(F.coalesce("labels", F.array().cast("array<string>")),
                                     F.array(*[F.lit(x) for x in labels]).cast("array<string>")), "label")
     for pattern in automated:
         layer = layer.when(F.lower(_text("sender")).like(pattern.lower()), "automated")
-    trivial = F.length(F.trim(either("body", "snippet"))) < 20
     if allowed is not None:
         known = allowed.select(F.lower("identifier").alias("_known")).distinct()
         df = df.join(known, F.lower(_text("sender")) == F.col("_known"), "left")
         layer = layer.when(F.col("_known").isNull(), "unknown")
-    return df.withColumn("noise", layer.when(trivial, "trivial")).drop("_known")
+    body = F.trim(either("body", "snippet"))
+    if "attachments" in df.columns:
+        layer = layer.when((body == "") & (F.size("attachments") > 0), "attachments")
+    layer = layer.when(body.rlike(P.FORWARD_MARK) & (own_text(body) == ""), "forwarded")
+    return df.withColumn("noise", layer.when(F.length(body) < 20, "trivial")).drop("_known")
+
+
+def noise_report(flagged: DataFrame) -> DataFrame:
+    """How many rows each layer caught, and how many are left of all: (layer, messages)."""
+    layers = flagged.groupBy(F.coalesce("noise", F.lit("processed")).alias("layer")).agg(F.count("*").alias("messages"))
+    return layers.unionByName(flagged.agg(F.count("*").alias("messages")).select(F.lit("total").alias("layer"), "messages"))
 
 
 # Sources, mailboxes and contacts

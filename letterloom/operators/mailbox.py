@@ -61,10 +61,10 @@ def gate(actions: DataFrame, sources: DataFrame, required: str = "modify") -> Da
 
 
 def _effects(actions: DataFrame) -> DataFrame:
-    """Per target the last word on each label: ``(scope, target, effects)``.
+    """The last word per target and label: ``(scope, target, label, code)``, an odd code adds.
 
-    The log is cut to one action per target and label with map-side partials, so a thread
-    that a third of all actions ask for ends up as one row.
+    The log is cut to one row per target and label with map-side partials over numbers, so a
+    thread that a third of all actions ask for ends up as its labels.
     """
     def changes(side: int, add: bool) -> Column:
         labels = F.array().cast("array<string>")
@@ -72,39 +72,37 @@ def _effects(actions: DataFrame) -> DataFrame:
             named = [F.col("label") if x == "*" else F.lit(x) for x in both[side]]
             if named:
                 labels = F.when(F.col("action") == action, F.array(*named)).otherwise(labels)
-        return F.transform(labels, lambda x: F.struct(x.alias("label"), F.lit(add).alias("add")))
+        return F.transform(labels, lambda x: F.struct(x.alias("label"), F.lit(int(add)).alias("add")))
 
     every = actions.select("scope", "target", "seq", F.inline(F.concat(changes(0, True), changes(1, False))))
-    last = every.groupBy("scope", "target", "label").agg(F.max(F.struct("seq", "add")).alias("last"))
-    return last.groupBy("scope", "target").agg(
-        F.collect_list(F.struct("label", "last.seq", "last.add")).alias("effects"))
+    return every.groupBy("scope", "target", "label").agg(F.max(F.col("seq") * 2 + F.col("add")).alias("code"))
 
 
 def apply_actions(messages: DataFrame, actions: DataFrame) -> DataFrame:
     """Labels after the log; the last action on a message and label decides.
 
-    An action on a thread reaches every message of it. Both kinds meet a message as a short
-    list, one from its own row and one from that of its thread, so nothing is paired up.
+    An action on a thread reaches every message of it. Labels are rows until the end: stored
+    ones, those of actions on a message and on its thread are merged by message and label,
+    and each message then gets its own labels back, stored ones in their order, then new ones.
     """
     effects = _effects(actions)
-    own = effects.where("scope = 'message'").select(F.col("target").alias("_id"), F.col("effects").alias("_own"))
-    whole = effects.where("scope = 'thread'").select(F.col("target").alias("_thread"), F.col("effects").alias("_whole"))
-    none = F.array().cast("array<struct<label:string,seq:bigint,add:boolean>>")
-    both = F.concat(F.coalesce("_own", none), F.coalesce("_whole", none))
-    final = F.filter("_all", lambda x: ~F.exists("_all", lambda y: (y["label"] == x["label"]) & (y["seq"] > x["seq"])))
-
-    def labels_of(add):
-        kept = F.filter("_final", lambda x: x["add"] if add else ~x["add"])
-        return F.array_sort(F.transform(kept, lambda x: x["label"]))
-
-    stored = F.coalesce("labels", F.array().cast("array<string>"))
-    return (
-        messages.join(own, F.col("id") == F.col("_id"), "left")
-        .join(whole, F.col("thread_id") == F.col("_thread"), "left")
-        .withColumn("_all", both).withColumn("_final", final)
-        .withColumn("labels", F.array_except(F.array_union(stored, labels_of(True)), labels_of(False)))
-        .withColumn("unread", F.array_contains("labels", "UNREAD"))
-        .drop("_id", "_own", "_thread", "_whole", "_all", "_final"))
+    touched = effects.select("scope", "target").distinct()
+    ids = messages.select("id", "thread_id", "labels")
+    reached = ids.join(touched.where("scope = 'message'").select(F.col("target").alias("id")), "id", "left_semi").select("id").unionAll(
+        ids.join(touched.where("scope = 'thread'").select(F.col("target").alias("thread_id")), "thread_id", "left_semi").select("id")).distinct()
+    nothing, place = F.lit(None).cast("bigint"), F.lit(None).cast("int")
+    stored = ids.join(reached, "id", "left_semi").select("id", F.posexplode("labels").alias("pos", "label"), nothing.alias("code"))
+    own = effects.where("scope = 'message'").select(F.col("target").alias("id"), place.alias("pos"), "label", "code")
+    whole = ids.select("id", "thread_id").join(
+        effects.where("scope = 'thread'").select(F.col("target").alias("thread_id"), "label", "code"), "thread_id").select("id", place.alias("pos"), "label", "code")
+    merged = stored.unionAll(own).unionAll(whole).groupBy("id", "label").agg(F.max("code").alias("code"), F.min("pos").alias("pos"))
+    kept = merged.where("code IS NULL OR code & 1 = 1").groupBy("id").agg(
+        F.array_sort(F.collect_list(F.struct(F.coalesce("pos", F.lit(2**31 - 1)).alias("pos"), "label"))).alias("_labels"))
+    after = reached.join(kept, "id", "left").select(
+        F.col("id").alias("_id"), F.coalesce(F.transform("_labels", lambda x: x["label"]), F.array().cast("array<string>")).alias("_labels"))
+    return messages.join(after, F.col("id") == F.col("_id"), "left").withColumn(
+        "labels", F.coalesce("_labels", "labels", F.array().cast("array<string>"))).withColumn(
+        "unread", F.array_contains("labels", "UNREAD")).drop("_id", "_labels")
 
 
 def preview(actions: DataFrame) -> DataFrame:

@@ -75,6 +75,28 @@ def with_neighbours(df: DataFrame, keys, order, reach: int, compute, block_rows:
         "_home", "_block", "_pos")
 
 
+def number_runs(df: DataFrame, order, label: str, out: str = "run") -> DataFrame:
+    """Number the runs of equal labels in a total order; a label can come back in a later run.
+
+    Rows are sorted by range and each piece finds where labels change inside it. Whether a
+    piece goes on with the run of the piece before it, and how many runs there were before,
+    is settled over one row a piece.
+    """
+    pieces = materialise(df.orderBy(*_columns(order)).withColumns({"_piece": F.spark_partition_id(), "_all": F.lit(0)}))
+    inside = Window.partitionBy("_piece").orderBy(*_columns(order))
+    marked = pieces.withColumns({
+        "_new": (F.col(label) != F.lag(label).over(inside)).cast("int"), "_end": F.lead(label).over(inside).isNull()})
+    sizes = marked.groupBy("_all", "_piece").agg(F.coalesce(F.sum("_new"), F.lit(0)).alias("_inner"))
+    edges = marked.where("_new IS NULL OR _end").groupBy("_piece").agg(
+        F.max(F.when(F.col("_new").isNull(), F.col(label))).alias("_first"), F.max(F.when(F.col("_end"), F.col(label))).alias("_last"))
+    along = Window.partitionBy("_all").orderBy("_piece")
+    opens = F.coalesce((F.col("_first") != F.lag("_last").over(along)).cast("int"), F.lit(1))
+    carried = sizes.join(edges, "_piece").withColumn("_opens", opens).select(
+        F.col("_piece").alias("_p"), (F.sum(F.col("_opens") + F.col("_inner")).over(along) - F.col("_inner")).alias("_before"))
+    return marked.join(carried, F.col("_piece") == F.col("_p")).withColumn(
+        out, F.coalesce(F.sum("_new").over(inside), F.lit(0)) + F.col("_before")).drop("_piece", "_p", "_all", "_new", "_end", "_before")
+
+
 def top_in_groups(df: DataFrame, keys, order, k: int, out: str = "rank") -> DataFrame:
     """The first ``k`` rows of each group.
 

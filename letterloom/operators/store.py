@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from letterloom.functions import patterns as P
 from letterloom.operators.filters import expected_mailboxes
+from letterloom.operators.lookups import thread_of
 from letterloom.operators.ordering import top_in_groups
+from letterloom.operators.threads import in_thread, thread_key
 from letterloom.session import materialise
 
 BUCKETS = 32
@@ -108,3 +110,19 @@ def read_messages(headers: DataFrame, bodies: DataFrame, ids: DataFrame | None =
     if ids is not None:
         headers = headers.join(ids.select("id"), "id", "left_semi")
     return headers.join(bodies.select("id", "mailbox", "body"), ["id", "mailbox"], "left")
+
+
+def read_threads(ids: DataFrame, messages: DataFrame) -> DataFrame:
+    """For each asked id the messages of its thread, by date, numbered from 1 by ``idx``.
+
+    The id may be that of a message or of a thread. Only the threads asked for are put in order.
+    """
+    wanted = thread_of(ids.select(F.col("id").alias("asked"), "id"), messages).select("asked", F.col("thread_id").alias("_thread"))
+    keyed = messages.withColumn("_thread", thread_key())
+    found = in_thread(keyed.join(wanted.select("_thread").distinct(), "_thread", "left_semi"))
+    return wanted.join(found, "_thread").drop("_thread")
+
+
+def read_events(ids: DataFrame, events: DataFrame) -> DataFrame:
+    """The events of the asked ids, with all their fields."""
+    return events.join(ids.select("id").distinct(), "id", "left_semi")

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from letterloom.functions import dates
 from letterloom.functions.headers import either, participants, source_of
-from letterloom.operators.ordering import number_in_groups, top_in_groups, with_neighbours
+from letterloom.operators.ordering import number_in_groups, number_runs, top_in_groups, with_neighbours
 
 
 def thread_key() -> Column:
@@ -144,17 +144,11 @@ def day_marks(messages: DataFrame) -> DataFrame:
         "left").withColumn("new_day", F.col("_t").isNotNull()).drop("_t", "_s", "_d")
 
 
-def date_runs(page: DataFrame, order, precision: Column | None = None) -> DataFrame:
-    """Runs of equal day labels in listing order; a label can come back later.
-
-    Meant for a page, which its limit bounds: the order runs over all of its rows.
-    """
+def date_runs(rows: DataFrame, order, precision: Column | None = None) -> DataFrame:
+    """Runs of equal day labels in the order of a listing of any length; a label can come back later."""
     precision = F.lit("year") if precision is None else precision
     label = F.coalesce(dates.day_label(dates.parse_iso(F.col("date")), precision), F.lit("?"))
-    window = Window.partitionBy(F.lit(0)).orderBy(*order)
-    changed = F.coalesce((F.col("label") != F.lag("label").over(window)).cast("int"), F.lit(1))
-    return page.withColumn("label", label).withColumn("_changed", changed).withColumn(
-        "run", F.sum("_changed").over(window)).drop("_changed")
+    return number_runs(rows.withColumn("label", label), order, "label")
 
 
 def first_name(sender: Column) -> Column:
@@ -192,9 +186,10 @@ def sender_tokens(messages: DataFrame, order: str = "seq") -> DataFrame:
     # j-th taken number t is reached from k = t - j + 1 on, so a running count finds them.
     taken = number_in_groups(taken, ["thread_id", "name"], ["_no"], "_j").select(
         "thread_id", "name", (F.col("_no") - F.col("_j") + 1).cast("decimal(38,0)").alias("_at"), F.lit(1).alias("_is_taken"))
+    # A step's place among all, less its place among its own, is how many taken numbers it has reached.
     steps = numbered.withColumns({"_at": F.col("_no").cast("decimal(38,0)"), "_is_taken": F.lit(0)}).unionByName(taken, allowMissingColumns=True)
-    reached = Window.partitionBy("thread_id", "name").orderBy("_at", F.desc("_is_taken"))
-    numbered = steps.withColumn("_moved", F.sum("_is_taken").over(reached)).where("_is_taken = 0")
+    reached = number_in_groups(steps, ["thread_id", "name"], ["_at", F.desc("_is_taken")], "_all")
+    numbered = reached.where("_is_taken = 0").withColumn("_moved", F.col("_all") - F.col("_no"))
     free = numbered.join(initials, ["thread_id", "initial"]).join(
         names.select("thread_id", "name", "n_name"), ["thread_id", "name"])
     number = F.col("_no") + F.col("_moved")

@@ -222,12 +222,12 @@ def tracker_unread(spark, folder):
 
 @query("tracker_ids", """
 SELECT l_orderkey, l_linenumber, CASE k WHEN 0 THEN 'notification' WHEN 1 THEN 'issue' WHEN 2 THEN 'comment' WHEN 3 THEN 'review_comment' WHEN 4 THEN 'review' END AS kind,
-  CASE WHEN k BETWEEN 1 AND 4 THEN 'own' WHEN k = 0 THEN '' END AS owner, CASE WHEN k < 5 THEN CAST(l_orderkey AS VARCHAR) END AS number FROM (SELECT *, (l_orderkey + l_linenumber) % 6 AS k FROM lineitem)""")
+  CASE WHEN k BETWEEN 1 AND 4 THEN 'own' WHEN k = 0 THEN '' END AS owner, CASE WHEN k = 4 THEN CAST(l_linenumber AS VARCHAR) WHEN k < 4 THEN '' END AS pull, CASE WHEN k < 5 THEN CAST(l_orderkey AS VARCHAR) END AS number FROM (SELECT *, (l_orderkey + l_linenumber) % 6 AS k FROM lineitem)""")
 def tracker_ids(spark, folder):
     """Kinds of ids; those of no kind are rejects."""
     ids = C.table(spark, folder, "lineitem").selectExpr("l_orderkey", "l_linenumber", """concat(CASE (l_orderkey + l_linenumber) % 6 WHEN 0 THEN '' WHEN 1 THEN 'own/rep#'
-        WHEN 2 THEN 'own/rep/comments/' WHEN 3 THEN 'own/rep/pull-comments/' WHEN 4 THEN 'own/rep/pulls/7/reviews/' ELSE 'own/' END, l_orderkey) AS id""")
-    return tracker.classify_ids(ids).select("l_orderkey", "l_linenumber", "kind", "owner", "number")
+        WHEN 2 THEN 'own/rep/comments/' WHEN 3 THEN 'own/rep/pull-comments/' WHEN 4 THEN concat('own/rep/pulls/', l_linenumber, '/reviews/') ELSE 'own/' END, l_orderkey) AS id""")
+    return tracker.classify_ids(ids).select("l_orderkey", "l_linenumber", "kind", "owner", "pull", "number")
 
 
 def _discussion(spark, folder) -> dict[str, DataFrame]:

@@ -8,7 +8,7 @@ from letterloom.functions import dates, headers
 from letterloom.operators import filters, lookups, ordering, store
 from letterloom.plans import corpora as C
 from letterloom.plans.registry import query
-from letterloom.plans.sql_views import CONTACTS, CUST, MSG, SOURCES, with_views
+from letterloom.plans.sql_views import CONTACTS, CUST, EVENTS, MSG, SOURCES, with_views
 from letterloom.session import fresh_path
 
 M = with_views(MSG)
@@ -173,12 +173,35 @@ def contact_filter(spark, folder):
     return filters.from_contact(C.messages(spark, folder), C.contacts(spark, folder), "AA3").select("id", "sender")
 
 
-@query("noise_layers", M + """
-SELECT id, CASE WHEN list_contains(labels, 'CATEGORY_SOCIAL') THEN 'label' WHEN sender LIKE '%@household.%' THEN 'automated'
-  WHEN length(trim(body)) < 20 THEN 'trivial' END AS noise FROM msg""")
+NOISE = MC + """
+, known AS (SELECT DISTINCT lower(identifier[position(':' IN identifier) + 1:]) AS sender FROM contact_ids),
+shown AS (SELECT id, sender, labels, CASE WHEN seq % 19 = 0 THEN 'forwarded' WHEN seq % 23 = 0 THEN 'attachments' WHEN seq % 19 <> 1 AND length(trim(body)) < 20 THEN 'trivial' END AS kind FROM msg),
+flagged AS (SELECT id, CASE WHEN list_contains(labels, 'CATEGORY_SOCIAL') THEN 'label' WHEN sender LIKE '%@household.%' THEN 'automated'
+  WHEN lower(sender) NOT IN (SELECT sender FROM known) THEN 'unknown' ELSE kind END AS noise FROM shown)
+"""
+
+
+def _flagged(spark, folder):
+    df = C.messages(spark, folder).withColumns({
+        "body": F.expr("""CASE WHEN seq % 19 = 0 THEN concat(' \n---------- Forwarded message ---------\n', body) WHEN seq % 23 = 0 THEN ' '
+            WHEN seq % 19 = 1 THEN concat('see below please\nBegin forwarded message:\n', body) ELSE body END"""),
+        "snippet": F.lit(None).cast("string"),
+        "attachments": F.expr("if(seq % 23 = 0, array(struct('a.pdf' AS filename, 'application/pdf' AS mime_type, 9L AS size)), NULL)")})
+    allowed = C.contacts(spark, folder).selectExpr("substring(identifier, instr(identifier, ':') + 1) AS identifier")
+    return filters.noise_flags(df, automated=["%@household.%"], labels=["CATEGORY_SOCIAL"], allowed=allowed)
+
+
+@query("noise_layers", NOISE + "SELECT id, noise FROM flagged")
 def noise_layers(spark, folder):
-    return filters.noise_flags(
-        C.messages(spark, folder), automated=["%@household.%"], labels=["CATEGORY_SOCIAL"]).select("id", "noise")
+    """The first layer of noise that catches each message."""
+    return _flagged(spark, folder).select("id", "noise")
+
+
+@query("noise_report", NOISE + """
+SELECT coalesce(noise, 'processed') AS layer, count(*) AS messages FROM flagged GROUP BY 1 UNION ALL SELECT 'total', count(*) FROM flagged""")
+def noise_report(spark, folder):
+    """What each layer caught, what is left, and all."""
+    return filters.noise_report(_flagged(spark, folder))
 
 
 @query("source_selection", with_views(MSG, SOURCES) + """
@@ -276,11 +299,13 @@ def thread_of_id(spark, folder):
 
 
 @query("contact_messages", MC + """
-SELECT DISTINCT id, alias FROM (
-  SELECT id, alias FROM msg JOIN contact_ids ON identifier = 'g:' || sender WHERE source = 'g')""")
+SELECT DISTINCT id, alias, CASE WHEN seq % 4 = 0 THEN 'x@y.org, ' || sender ELSE '' END AS cc FROM msg JOIN contact_ids ON identifier = 'g:' || sender WHERE source = 'g'""")
 def contact_messages(spark, folder):
-    return lookups.contact_messages(
-        C.messages(spark, folder).withColumn("cc", F.lit("")), C.contacts(spark, folder), "g").select("id", "alias")
+    """Messages from a contact, or with the contact among those who got a copy."""
+    copied = F.col("seq") % 4 == 0
+    df = C.messages(spark, folder).withColumn("cc", F.when(copied, F.concat(F.lit("x@y.org, "), "sender")).otherwise(""))
+    df = df.withColumn("sender", F.when(copied, F.lit("list@example.org")).otherwise(F.col("sender")))
+    return lookups.contact_messages(df, C.contacts(spark, folder), "g").select("id", "alias", "cc")
 
 
 @query("configured_sources", with_views(MSG, SOURCES) + """
@@ -313,3 +338,22 @@ def provider_ids(spark, folder):
     return C.messages(spark, folder).select(
         "id", strip_source(F.col("id"), F.col("source")).alias("own_id"), path_id(F.col("id")).alias("file_id"),
         strip_source(F.col("id"), F.lit("zz")).alias("kept"))
+
+
+@query("point_read_threads", M + """
+, asked AS (SELECT CASE WHEN seq % 80 = 0 AND thread_id IS NOT NULL THEN thread_id ELSE id END AS asked,
+    CASE WHEN thread_id IS NOT NULL THEN thread_id WHEN source = 'w' THEN 'w:' || chat_jid ELSE id END AS thread, source FROM msg WHERE seq % 40 = 0 AND source <> 'w'),
+numbered AS (SELECT id, coalesce(thread_id, id) AS thread, row_number() OVER (PARTITION BY coalesce(thread_id, id) ORDER BY date, seq) AS idx FROM msg WHERE source <> 'w')
+SELECT DISTINCT asked, id, idx FROM asked JOIN numbered USING (thread)""")
+def point_read_threads(spark, folder):
+    """Threads read by the id of one of their messages, or by their own."""
+    df = C.messages(spark, folder)
+    asked = df.where("seq % 40 = 0 AND source <> 'w'").selectExpr("if(seq % 80 = 0 AND thread_id IS NOT NULL, thread_id, id) AS id").distinct()
+    return store.read_threads(asked, df).select("asked", "id", F.col("idx").cast("bigint").alias("idx"))
+
+
+@query("point_read_events", with_views(EVENTS) + "SELECT id, title, start FROM cal WHERE event_id % 30 = 0")
+def point_read_events(spark, folder):
+    """Events read by id; ids of no event give nothing."""
+    asked = C.table(spark, folder, "events").where("event_id % 30 = 0").selectExpr("explode(array(concat('c', user_id % 3, ':', event_id), concat('z:', event_id))) AS id")
+    return store.read_events(asked, C.events(spark, folder)).select("id", "title", "start")

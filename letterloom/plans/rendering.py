@@ -9,6 +9,7 @@ from letterloom.plans import corpora as C
 from letterloom.plans.calendar import TZ, WEEK, E, week
 from letterloom.plans.messages import M, RESOLVED
 from letterloom.plans.registry import query
+from letterloom.session import fresh_path
 from letterloom.plans.sql_views import CHAT, with_views
 from letterloom.plans.state import ORDER
 
@@ -29,6 +30,16 @@ def render_listing(spark, folder):
     return render.listing(C.messages(spark, folder).withColumn("place", F.col("seq")))
 
 
+@query("written_listing", ROWS + """
+SELECT mark || '|' || source || '|' || sender || '|' || subject || '|' || date || '|' || id || '|' || size || '|' || s AS line FROM cell
+UNION ALL SELECT ' |SOURCE|FROM|SUBJECT|DATE|ID|SIZE|SNIPPET'""")
+def written_listing(spark, folder):
+    """The listing as text files, read back from there."""
+    path = fresh_path(spark, "listing")
+    render.write_lines(render.listing(C.messages(spark, folder).withColumn("place", F.col("seq"))), path, "place", "part")
+    return spark.read.text(path).withColumnRenamed("value", "line")
+
+
 @query("render_listing_refs", ROWS + f"""
 , page AS (SELECT *, row_number() OVER (ORDER BY {ORDER}) AS place, strftime(CAST(date[1:10] AS DATE), '%-d%b') AS label FROM cell QUALIFY place <= 100),
 runs AS (SELECT *, label <> lag(label, 1, '') OVER (ORDER BY place) AS opens FROM page)

@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from letterloom.operators import feed
+from letterloom.operators import feed, store
 from letterloom.plans import corpora as C
 from letterloom.plans.registry import query
 from letterloom.plans.sql_views import MSG, SOURCES, with_views
 from letterloom.plans.state import LOG, OFFSETS, page_offsets
 from letterloom.session import fresh_path
-from letterloom.streaming import consumers, jobs
+from letterloom.streaming import bulk, consumers, jobs
 
 
 def _events(spark, folder):
@@ -140,3 +140,46 @@ def stream_pages(spark, folder):
 def stream_page_offsets(spark, folder):
     """The offsets after three polls."""
     return consumers.offsets(_polled(spark, folder), page_offsets(spark, folder))
+
+
+# Late rows: the events land in three files by their day; every seventh lands with the next third.
+THIRDS = """, span AS (SELECT min(CAST(ts AS DATE)) AS lo, max(CAST(ts AS DATE)) AS hi FROM events),
+parts AS (SELECT source, ts, least(2, (date_diff('day', lo, CAST(ts AS DATE)) * 3) // (date_diff('day', lo, hi) + 1) + CASE WHEN CAST(id[3:] AS BIGINT) % 7 = 0 THEN 1 ELSE 0 END) AS part FROM ev, span),
+marks AS (SELECT p.part, (SELECT max(ts) FROM parts q WHERE q.part < p.part) - INTERVAL 1 DAY AS before FROM (SELECT DISTINCT part FROM parts) p),
+days AS (SELECT source, date_trunc('day', ts) AS day, coalesce(date_trunc('day', ts) + INTERVAL 1 DAY <= before, false) AS late FROM parts JOIN marks USING (part))
+SELECT source, strftime(day, '%Y-%m-%d') AS day, count(*) FILTER (NOT late) AS count, count(*) FILTER (late) AS late FROM days
+GROUP BY source, day HAVING days.day + INTERVAL 1 DAY <= (SELECT max(ts) FROM parts) - INTERVAL 1 DAY"""
+
+
+@query("stream_late_rows", EV + THIRDS)
+def stream_late_rows(spark, folder):
+    """Notices per source and final day, and how many came when their day was closed already."""
+    base = fresh_path(spark, "late")
+    events = C.table(spark, folder, "events").selectExpr("event_id", "concat('h', user_id % 3) AS source", "CAST(ts AS TIMESTAMP) AS ts")
+    span = events.agg(F.min(F.to_date("ts")).alias("lo"), F.max(F.to_date("ts")).alias("hi"))
+    lo, hi = span.select("lo").scalar(), span.select("hi").scalar()
+    third = F.floor(F.date_diff(F.to_date("ts"), lo) * 3 / (F.date_diff(hi, lo) + 1)).cast("int")
+    parts = events.withColumn("part", F.least(F.lit(2), third + F.when(F.col("event_id") % 7 == 0, 1).otherwise(0)))
+    for n in range(3):
+        parts.where(F.col("part") == n).drop("part").write.parquet(f"{base}/landed/{n}")
+        stream = spark.readStream.schema("event_id bigint, source string, ts timestamp").option("recursiveFileLookup", "true").parquet(f"{base}/landed")
+        jobs.windows_with_late(stream, f"{base}/table", f"{base}/checkpoint")
+    return jobs.windows(spark, f"{base}/table").select("source", F.date_format("start", "yyyy-MM-dd").alias("day"), "count", "late")
+
+
+@query("bulk_load", with_views(MSG) + """
+, pages AS (SELECT *, seq % 50 = 0 AS blank, seq % 9 <> 0 AS has_body FROM msg WHERE source IN ('g', 'o'))
+SELECT 'history' AS job, 'done' AS status, CAST(2 AS BIGINT) AS batches, count(DISTINCT seq % 4) AS pages, count(*) FILTER (NOT blank) AS messages,
+  count(*) FILTER (NOT blank AND has_body) AS bodies, count(*) FILTER (blank) AS skipped FROM pages""")
+def bulk_load(spark, folder):
+    """A load of four pages that is stopped after two and started again."""
+    base = fresh_path(spark, "bulk")
+    messages = C.messages(spark, folder).where("provider IN ('gmail', 'o365')").withColumn("page", (F.col("seq") % 4).cast("string"))
+    texts = messages.where("seq % 9 <> 0").select("id", "body")
+    landed = messages.withColumn("id", F.expr("if(seq % 50 = 0, NULL, id)")).drop("_schema_version")
+    for n in range(2):
+        landed.where(F.col("page").isin(str(2 * n), str(2 * n + 1))).write.parquet(f"{base}/landed/{n}")
+        stream = spark.readStream.schema(landed.schema).option("recursiveFileLookup", "true").parquet(f"{base}/landed")
+        headers = store.stamped(stream, C.sources(spark), F.lit("2001-08-02"))
+        bulk.load(headers, "history", f"{base}/table", f"{base}/checkpoint", lambda rows: rows.select("id", "mailbox").join(texts, "id"))
+    return bulk.report(spark, f"{base}/table").drop("error")

@@ -82,13 +82,11 @@ def day_markers(spark, folder):
 
 
 @query("date_groups", M + """
-, page AS (SELECT * FROM msg ORDER BY date DESC, source_ord, seq LIMIT 500),
-labelled AS (SELECT *, strftime(CAST(date[1:19] AS TIMESTAMP), '%-d%b%y') AS label FROM page),
+, labelled AS (SELECT *, strftime(CAST(date[1:19] AS TIMESTAMP), '%-d%b%y') AS label FROM msg),
 marked AS (SELECT *, CASE WHEN label = lag(label) OVER (ORDER BY date DESC, source_ord, seq) THEN 0 ELSE 1 END AS c FROM labelled)
 SELECT id, label, CAST(sum(c) OVER (ORDER BY date DESC, source_ord, seq) AS BIGINT) AS run FROM marked""")
 def date_groups(spark, folder):
-    page = feed.page(C.messages(spark, folder), 500)
-    return threads.date_runs(page, feed.newest_first()).select("id", "label", "run")
+    return threads.date_runs(C.messages(spark, folder), feed.newest_first()).select("id", "label", "run")
 
 
 NAMED = """

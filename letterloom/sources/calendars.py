@@ -10,7 +10,7 @@ from letterloom.functions import patterns as P
 from letterloom.functions.headers import either, lit_map, once, strip_mailto
 from letterloom.operators.agenda import duration_minutes, pattern_text, rule_text
 from letterloom.schema import EVENT_DETAILS, EVENTS, conform
-from letterloom.sources.landing import first_where, mapper, prefixed, text
+from letterloom.sources.landing import EVENT_FORMS, first_where, form, prefixed, rows_of, text
 
 MOMENT = "STRUCT<dateTime:STRING,date:STRING,timeZone:STRING>"
 GOOGLE = (
@@ -38,11 +38,9 @@ def _finish(df: DataFrame, detail: bool) -> DataFrame:
     return conform(df.withColumn("duration_minutes", timed), EVENT_DETAILS if detail else EVENTS)
 
 
-@mapper("gcal", events=True)
-def google_events(raw: DataFrame, detail: bool = False) -> DataFrame:
-    """Events; a floating time is read in its own zone, else in the ``timezone`` of its source."""
-    e = F.col("e")
-    df = raw.withColumn("e", F.from_json("payload", GOOGLE))
+@form("gcal", GOOGLE, lambda payload: F.array(F.from_json(payload, GOOGLE)), events=True)
+def _google_columns(df: DataFrame, item: str) -> tuple[DataFrame, dict[str, Column]]:
+    e = F.col(item)
     all_day = e["start"]["date"].isNotNull() & e["start"]["dateTime"].isNull()
 
     def moment(side):
@@ -52,29 +50,38 @@ def google_events(raw: DataFrame, detail: bool = False) -> DataFrame:
     mine = first_where(e["attendees"], lambda a: F.coalesce(a["self"], F.lit(False)))
     video = first_where(e["conferenceData"]["entryPoints"], lambda p: p["entryPointType"] == "video")
     rule = text(F.substr(first_where(e["recurrence"], lambda r: r.startswith("RRULE:")), F.lit(7)))
-    rows = df.select(
-        prefixed(F.col("source"), e["id"]).alias("id"), "source",
-        F.coalesce(e["summary"], F.lit("(No title)")).alias("title"), all_day.alias("all_day"),
-        F.when(all_day, e["start"]["date"]).otherwise(moment(e["start"])).alias("start"),
-        F.when(all_day, F.coalesce(e["end"]["date"], e["start"]["date"])).otherwise(moment(e["end"])).alias("end"),
-        text(e["location"]).alias("location"), text(e["organizer"]["email"]).alias("organizer"),
-        people_count(F.coalesce(F.size(e["attendees"]), F.lit(0))).alias("attendees_summary"),
-        F.coalesce(e["status"], F.lit("confirmed")).alias("status"), mine["responseStatus"].alias("your_status"),
-        F.when(text(e["recurringEventId"]) != "", prefixed(F.col("source"), e["recurringEventId"])).alias("recurring_event_id"),
-        F.transform(e["attendees"], lambda a: F.struct(
+    return df, {
+        "id": prefixed(F.col("source"), e["id"]),
+        "title": F.coalesce(e["summary"], F.lit("(No title)")),
+        "all_day": all_day,
+        "start": F.when(all_day, e["start"]["date"]).otherwise(moment(e["start"])),
+        "end": F.when(all_day, F.coalesce(e["end"]["date"], e["start"]["date"])).otherwise(moment(e["end"])),
+        "location": text(e["location"]),
+        "organizer": text(e["organizer"]["email"]),
+        "attendees_summary": people_count(F.coalesce(F.size(e["attendees"]), F.lit(0))),
+        "status": F.coalesce(e["status"], F.lit("confirmed")),
+        "your_status": mine["responseStatus"],
+        "recurring_event_id": F.when(text(e["recurringEventId"]) != "", prefixed(F.col("source"), e["recurringEventId"])),
+        "attendees": F.transform(e["attendees"], lambda a: F.struct(
             F.coalesce(a["displayName"], a["email"], F.lit("")).alias("name"), text(a["email"]).alias("email"),
-            F.coalesce(a["responseStatus"], F.lit("needsAction")).alias("status"))).alias("attendees"),
-        text(e["description"]).alias("description"), text(video["uri"]).alias("meeting_link"), rule.alias("recurrence"),
-        F.when(rule != "", rule_text(rule)).otherwise("").alias("recurrence_summary"),
-        text(e["created"]).alias("created"), text(e["updated"]).alias("updated"))
-    return _finish(rows, detail)
+            F.coalesce(a["responseStatus"], F.lit("needsAction")).alias("status"))),
+        "description": text(e["description"]),
+        "meeting_link": text(video["uri"]),
+        "recurrence": rule,
+        "recurrence_summary": F.when(rule != "", rule_text(rule)).otherwise(""),
+        "created": text(e["created"]),
+        "updated": text(e["updated"]),
+    }
 
 
-@mapper("o365cal", events=True)
-def graph_events(raw: DataFrame, detail: bool = False) -> DataFrame:
-    """Events; the zone of a time stands beside it, all-day events keep their dates."""
-    e = F.col("e")
-    df = raw.withColumn("e", F.from_json("payload", GRAPH))
+def google_events(raw: DataFrame, detail: bool = False) -> DataFrame:
+    """Events; a floating time is read in its own zone, else in the ``timezone`` of its source."""
+    return _finish(rows_of(raw, EVENT_FORMS["gcal"]), detail)
+
+
+@form("o365cal", GRAPH, lambda payload: F.array(F.from_json(payload, GRAPH)), events=True)
+def _graph_columns(df: DataFrame, item: str) -> tuple[DataFrame, dict[str, Column]]:
+    e = F.col(item)
     all_day = F.coalesce(e["isAllDay"], F.lit(False))
 
     def moment(side):
@@ -85,24 +92,34 @@ def graph_events(raw: DataFrame, detail: bool = False) -> DataFrame:
     answer = text(e["responseStatus"]["response"])
     pattern = e["recurrence"]["pattern"]
     words = pattern_text(F.when(pattern.isNotNull(), text(pattern["type"])), pattern["interval"], pattern["daysOfWeek"])
-    rows = df.select(
-        prefixed(F.col("source"), e["id"]).alias("id"), "source",
-        F.coalesce(e["subject"], F.lit("(No title)")).alias("title"), all_day.alias("all_day"),
-        moment(e["start"]).alias("start"), moment(e["end"]).alias("end"),
-        text(e["location"]["displayName"]).alias("location"),
-        text(e["organizer"]["emailAddress"]["address"]).alias("organizer"),
-        people_count(F.coalesce(F.size(e["attendees"]), F.lit(0))).alias("attendees_summary"),
-        F.when(F.coalesce(e["isCancelled"], F.lit(False)), F.lit("cancelled")).otherwise("confirmed").alias("status"),
-        F.when(~answer.isin("none", "organizer", ""), answer).alias("your_status"),
-        F.when(text(e["seriesMasterId"]) != "", prefixed(F.col("source"), e["seriesMasterId"])).alias("recurring_event_id"),
-        F.transform(e["attendees"], lambda a: F.struct(
+    return df, {
+        "id": prefixed(F.col("source"), e["id"]),
+        "title": F.coalesce(e["subject"], F.lit("(No title)")),
+        "all_day": all_day,
+        "start": moment(e["start"]),
+        "end": moment(e["end"]),
+        "location": text(e["location"]["displayName"]),
+        "organizer": text(e["organizer"]["emailAddress"]["address"]),
+        "attendees_summary": people_count(F.coalesce(F.size(e["attendees"]), F.lit(0))),
+        "status": F.when(F.coalesce(e["isCancelled"], F.lit(False)), F.lit("cancelled")).otherwise("confirmed"),
+        "your_status": F.when(~answer.isin("none", "organizer", ""), answer),
+        "recurring_event_id": F.when(text(e["seriesMasterId"]) != "", prefixed(F.col("source"), e["seriesMasterId"])),
+        "attendees": F.transform(e["attendees"], lambda a: F.struct(
             F.coalesce(a["emailAddress"]["name"], a["emailAddress"]["address"], F.lit("")).alias("name"),
             text(a["emailAddress"]["address"]).alias("email"),
-            F.coalesce(a["status"]["response"], F.lit("none")).alias("status"))).alias("attendees"),
-        text(e["body"]["content"]).alias("description"), text(e["onlineMeeting"]["joinUrl"]).alias("meeting_link"),
-        F.to_json(e["recurrence"]).alias("recurrence"), words.alias("recurrence_summary"),
-        text(e["createdDateTime"]).alias("created"), text(e["lastModifiedDateTime"]).alias("updated"))
-    return _finish(rows, detail)
+            F.coalesce(a["status"]["response"], F.lit("none")).alias("status"))),
+        "description": text(e["body"]["content"]),
+        "meeting_link": text(e["onlineMeeting"]["joinUrl"]),
+        "recurrence": F.to_json(e["recurrence"]),
+        "recurrence_summary": words,
+        "created": text(e["createdDateTime"]),
+        "updated": text(e["lastModifiedDateTime"]),
+    }
+
+
+def graph_events(raw: DataFrame, detail: bool = False) -> DataFrame:
+    """Events; the zone of a time stands beside it, all-day events keep their dates."""
+    return _finish(rows_of(raw, EVENT_FORMS["o365cal"]), detail)
 
 
 # iCalendar text
@@ -161,24 +178,24 @@ def _seconds(duration: Column) -> Column:
     return F.when(duration.startswith("-"), -total).otherwise(total)
 
 
-@mapper("caldav", events=True, json=False)
-def ical_events(raw: DataFrame, detail: bool = False) -> DataFrame:
-    """Events of iCalendar text. ``owner`` is the address whose answer counts.
+def _blocks(payload: Column) -> Column:
+    """The text of each event."""
+    return F.filter(F.split(unfold(payload), r"(?im)^BEGIN:VEVENT\s*$"), lambda b: F.upper(b).contains("END:VEVENT"))
+
 
-    The text is cut into events and the events into lines; a property is the first line of
-    its name. Alarms and other parts nested in an event are cut out first.
+@form("caldav", "STRING", _blocks, events=True, json=False)
+def _ical_columns(df: DataFrame, item: str) -> tuple[DataFrame, dict[str, Column]]:
+    """An event is cut into lines; a property is the first line of its name.
+
+    Alarms and other parts nested in an event are cut out first.
     """
-    blocks = F.filter(F.split(unfold(F.col("payload")), r"(?im)^BEGIN:VEVENT\s*$"), lambda b: F.upper(b).contains("END:VEVENT"))
-    events = raw.select("source", "seq", "timezone", "owner", F.posexplode(blocks).alias("pos", "block"))
     inner = F.regexp_replace(
-        F.regexp_replace("block", r"(?is)\nEND:VEVENT.*$", "\n"), r"(?ims)^BEGIN:(\w+).*?^END:\1\s*$", "")
-    events = events.withColumn("lines", properties(F.split(inner, "\n"))).drop("block")
+        F.regexp_replace(item, r"(?is)\nEND:VEVENT.*$", "\n"), r"(?ims)^BEGIN:(\w+).*?^END:\1\s*$", "")
+    events = df.withColumn("lines", properties(F.split(inner, "\n")))
     names = ("UID", "DTSTART", "DTEND", "DURATION", "SUMMARY", "STATUS", "LOCATION", "ORGANIZER",
              "RECURRENCE-ID", "DESCRIPTION", "URL", "RRULE", "CREATED", "LAST-MODIFIED")
     zone = F.col("timezone")
-    events = events.select(
-        "source", "owner", "timezone", F.filter("lines", lambda p: p["name"] == "ATTENDEE").alias("ATTENDEE"),
-        *[first_named(n).alias(n) for n in names])
+    events = events.withColumns({"ATTENDEE": F.filter("lines", lambda p: p["name"] == "ATTENDEE")} | {n: first_named(n) for n in names})
     events = events.withColumns({
         "begin": _moment(F.col("DTSTART"), zone), "stated_end": _moment(F.col("DTEND"), zone),
         "instance": _moment(F.col("RECURRENCE-ID"), zone), "length": _seconds(F.col("DURATION.value"))})
@@ -203,17 +220,29 @@ def ical_events(raw: DataFrame, detail: bool = False) -> DataFrame:
 
     mine = first_where(F.col("ATTENDEE"), lambda x: F.lower(address(x)) == F.lower("owner"))
     uid, rule = value("UID"), value("RRULE")
-    rows = events.select(
-        prefixed(F.col("source"), F.when(instance.isNotNull(), F.concat(uid, F.lit("::"), instance)).otherwise(uid)).alias("id"),
-        "source", either(shown("SUMMARY"), F.lit("(No title)")).alias("title"), all_day.alias("all_day"),
-        text(begin).alias("start"), end.alias("end"), shown("LOCATION").alias("location"),
-        text(address(F.col("ORGANIZER"))).alias("organizer"), people_count(F.size("ATTENDEE")).alias("attendees_summary"),
-        F.lower(either(value("STATUS"), F.lit("confirmed"))).alias("status"),
-        F.when(mine.isNotNull(), answer(mine)).alias("your_status"),
-        F.when(instance.isNotNull(), prefixed(F.col("source"), uid)).alias("recurring_event_id"),
-        F.transform("ATTENDEE", lambda x: F.struct(
-            either(_param(x, "CN"), address(x)).alias("name"), address(x).alias("email"), answer(x).alias("status"))).alias("attendees"),
-        shown("DESCRIPTION").alias("description"), value("URL").alias("meeting_link"),
-        rule.alias("recurrence"), F.when(rule != "", rule_text(rule)).otherwise("").alias("recurrence_summary"),
-        text(_moment(F.col("CREATED"), zone)).alias("created"), text(_moment(F.col("LAST-MODIFIED"), zone)).alias("updated"))
-    return _finish(rows, detail)
+    return events, {
+        "id": prefixed(F.col("source"), F.when(instance.isNotNull(), F.concat(uid, F.lit("::"), instance)).otherwise(uid)),
+        "title": either(shown("SUMMARY"), F.lit("(No title)")),
+        "all_day": all_day,
+        "start": text(begin),
+        "end": end,
+        "location": shown("LOCATION"),
+        "organizer": text(address(F.col("ORGANIZER"))),
+        "attendees_summary": people_count(F.size("ATTENDEE")),
+        "status": F.lower(either(value("STATUS"), F.lit("confirmed"))),
+        "your_status": F.when(mine.isNotNull(), answer(mine)),
+        "recurring_event_id": F.when(instance.isNotNull(), prefixed(F.col("source"), uid)),
+        "attendees": F.transform("ATTENDEE", lambda x: F.struct(
+            either(_param(x, "CN"), address(x)).alias("name"), address(x).alias("email"), answer(x).alias("status"))),
+        "description": shown("DESCRIPTION"),
+        "meeting_link": value("URL"),
+        "recurrence": rule,
+        "recurrence_summary": F.when(rule != "", rule_text(rule)).otherwise(""),
+        "created": text(_moment(F.col("CREATED"), zone)),
+        "updated": text(_moment(F.col("LAST-MODIFIED"), zone)),
+    }
+
+
+def ical_events(raw: DataFrame, detail: bool = False) -> DataFrame:
+    """Events of iCalendar text. ``owner`` is the address whose answer counts."""
+    return _finish(rows_of(raw, EVENT_FORMS["caldav"]), detail)

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from letterloom.functions import dates
 from letterloom.functions.headers import human_size
 from letterloom.schema import ATTACHMENTS
-from letterloom.sources.landing import first_where, mapper, prefixed, text
+from letterloom.sources.landing import first_where, form, prefixed, text
 
 # Levels of nested parts that column expressions walk; the few deeper trees are walked row by row.
 DEPTH = 6
@@ -143,7 +143,8 @@ def deep(payload: Column, prefer_html: bool) -> Column:
     return walk(payload)
 
 
-def _columns(message: Column, full: bool, prefer_html: bool, depth: int) -> dict[str, Column]:
+def _columns(item: str, full: bool, prefer_html: bool, depth: int) -> dict[str, Column]:
+    message = F.col(item)
     headers = message["payload"]["headers"]
     size = message["sizeEstimate"]
     out = {
@@ -162,18 +163,21 @@ def _columns(message: Column, full: bool, prefer_html: bool, depth: int) -> dict
             "to": F.nullif(header(headers, "to"), F.lit("")),
             "cc": F.nullif(header(headers, "cc"), F.lit("")),
             "message_id": F.nullif(header(headers, "message-id"), F.lit("")),
-            "body": F.coalesce("_deep.body", body_text("m.payload", prefer_html, depth)),
-            "attachments": F.coalesce("_deep.attachments", F.expr(attachments("m.payload.parts", depth - 1))),
+            "body": F.coalesce("_deep.body", body_text(f"{item}.payload", prefer_html, depth)),
+            "attachments": F.coalesce("_deep.attachments", F.expr(attachments(f"{item}.payload.parts", depth - 1))),
         }
     return out
 
 
+def _with_deep(df: DataFrame, item: str, prefer_html: bool, depth: int) -> DataFrame:
+    beyond = F.expr(overflow(f"{item}.payload.parts", depth - 1))
+    return df.withColumn("_deep", deep(F.when(beyond, F.to_json(f"{item}.payload")), prefer_html))
+
+
 def _select(df: DataFrame, full: bool, prefer_html: bool, depth: int, *keep: str) -> DataFrame:
     if full:
-        beyond = F.expr(overflow("m.payload.parts", depth - 1))
-        df = df.withColumn("_deep", deep(F.when(beyond, F.to_json("m.payload")), prefer_html))
-    return df.select("source", "seq", *keep, *[
-        c.alias(n) for n, c in _columns(F.col("m"), full, prefer_html, depth).items()])
+        df = _with_deep(df, "m", prefer_html, depth)
+    return df.select("source", "seq", *keep, *[c.alias(n) for n, c in _columns("m", full, prefer_html, depth).items()])
 
 
 def headers(raw: DataFrame) -> DataFrame:
@@ -182,7 +186,11 @@ def headers(raw: DataFrame) -> DataFrame:
     return _select(raw.withColumn("m", F.from_json("payload", kind)), False, False, 0)
 
 
-@mapper("gmail")
+@form("gmail", message_type(), lambda payload: F.array(F.from_json(payload, message_type())))
+def _item_columns(df: DataFrame, item: str) -> tuple[DataFrame, dict[str, Column]]:
+    return _with_deep(df, item, False, DEPTH), _columns(item, True, False, DEPTH)
+
+
 def messages(raw: DataFrame, prefer_html: bool = False, depth: int = DEPTH) -> DataFrame:
     """Full messages."""
     return _select(raw.withColumn("m", F.from_json("payload", message_type(depth))), True, prefer_html, depth)

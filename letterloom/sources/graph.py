@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from letterloom.functions.headers import either
-from letterloom.sources.landing import mapper, prefixed, text
+from letterloom.sources.landing import FORMS, form, prefixed, rows_of, text
 
 PERSON = "STRUCT<emailAddress:STRUCT<name:STRING,address:STRING>,name:STRING,address:STRING>"
 MESSAGE = (
@@ -49,16 +49,21 @@ def headers(raw: DataFrame) -> DataFrame:
     return items.select("source", "seq", "pos", *[c.alias(n) for n, c in _columns(F.col("m")).items()])
 
 
-@mapper("o365")
+def _messages(payload: Column) -> Column:
+    """The message of a payload, wrapped or not, as an array of one; none without an id."""
+    wrapped = F.get_json_object(payload, "$.value")
+    one = F.from_json(F.when(F.ltrim(wrapped).startswith("{"), wrapped).otherwise(payload), MESSAGE)
+    return F.filter(F.array(one), lambda m: m["id"].isNotNull())
+
+
+@form("o365", MESSAGE, _messages)
+def _item_columns(df: DataFrame, item: str) -> tuple[DataFrame, dict[str, Column]]:
+    m = F.col(item)
+    return df, _columns(m) | {
+        "body": either(m["body"]["content"], m["bodyPreview"]), "to": people(m["toRecipients"]), "cc": people(m["ccRecipients"]),
+        "message_id": F.nullif(text(m["internetMessageId"]), F.lit("")), "labels": m["categories"]}
+
+
 def messages(raw: DataFrame) -> DataFrame:
     """Full messages, each a payload of its own, wrapped or not."""
-    wrapped = F.get_json_object("payload", "$.value")
-    one = raw.withColumn("m", F.from_json(
-        F.when(F.ltrim(wrapped).startswith("{"), wrapped).otherwise(F.col("payload")), MESSAGE)).where(
-        "m IS NOT NULL AND m.id IS NOT NULL")
-    m = F.col("m")
-    return one.select("source", "seq", *[c.alias(n) for n, c in _columns(m).items()],
-                      either(m["body"]["content"], m["bodyPreview"]).alias("body"),
-                      people(m["toRecipients"]).alias("to"), people(m["ccRecipients"]).alias("cc"),
-                      F.nullif(text(m["internetMessageId"]), F.lit("")).alias("message_id"),
-                      m["categories"].alias("labels"))
+    return rows_of(raw, FORMS["o365"]).drop("pos")

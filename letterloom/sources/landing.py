@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from letterloom.functions import dates
 from letterloom.functions.headers import clean_headers
+from letterloom.operators.agenda import duration_minutes
 from letterloom.schema import EVENTS, MESSAGES, RAW, conform, struct
 
 # A mapper turns raw payloads of one provider into message rows, or into event rows.
@@ -19,6 +21,35 @@ EVENT_MAPPERS: dict[str, Mapper] = {}
 TEXT_FORMS: set[str] = set()
 
 
+@dataclass(frozen=True)
+class Form:
+    """Payloads of a provider taken apart by columns alone, so that all forms share one scan.
+
+    ``items`` gives the items of a payload, an array of type ``kind``; ``columns`` takes the
+    rows with an item in the named column and gives them, with helper columns if it needs
+    any, and the target's columns as expressions over them.
+    """
+
+    kind: str
+    items: Callable[[Column], Column]
+    columns: Callable[[DataFrame, str], tuple[DataFrame, dict[str, Column]]]
+
+
+FORMS: dict[str, Form] = {}
+EVENT_FORMS: dict[str, Form] = {}
+
+
+def form(provider: str, kind: str, items: Callable[[Column], Column], events: bool = False, json: bool = True):
+    """Register how the payloads of a provider are taken apart; decorates the ``columns`` of the form."""
+    def register(columns):
+        (EVENT_FORMS if events else FORMS)[provider] = Form(kind, items, columns)
+        if not json:
+            TEXT_FORMS.add(provider)
+        return columns
+
+    return register
+
+
 def mapper(provider: str, events: bool = False, json: bool = True) -> Callable[[Mapper], Mapper]:
     """Register the mapper of a provider; users add their own the same way."""
     def register(function: Mapper) -> Mapper:
@@ -69,29 +100,76 @@ def _broken() -> Column:
 
 def rejects(raw: DataFrame) -> DataFrame:
     """Payloads that ``land`` and ``land_events`` leave out, and why: source, provider, seq, error."""
-    known = F.coalesce(F.col("provider").isin(*MAPPERS, *EVENT_MAPPERS), F.lit(False))
+    known = F.coalesce(F.col("provider").isin(*FORMS, *EVENT_FORMS, *MAPPERS, *EVENT_MAPPERS), F.lit(False))
     error = F.when(~known, F.lit("unknown provider")).when(_broken(), F.lit("payload is not JSON"))
     return raw.select("source", "provider", "seq", error.alias("error")).where("error IS NOT NULL")
 
 
-def _landed(raw: DataFrame, mappers: dict[str, Mapper], finish: Mapper) -> DataFrame:
-    """The rows of all mappers; each sees the sound payloads of its own provider only."""
-    out = None
+def _by_provider(values: dict[str, Column]) -> Column:
+    """The value of the row's provider."""
+    out = F.lit(None)
+    for provider, value in values.items():
+        out = F.when(F.col("provider") == provider, value).otherwise(out)
+    return out
+
+
+def _items(forms: dict[str, Form]) -> Column:
+    """The items of a payload, each in the field of its provider."""
+    def tagged(provider):
+        def tag(item):
+            return F.struct(*[(item if p == provider else F.lit(None).cast(f.kind)).alias(p) for p, f in forms.items()])
+        return F.transform(forms[provider].items(F.col("payload")), tag)
+
+    return _by_provider({p: tagged(p) for p in forms})
+
+
+def _taken_apart(raw: DataFrame, forms: dict[str, Form], target: str) -> DataFrame:
+    """The rows of all forms in one pass: a payload is read by its provider's form only."""
+    rows = raw.where(F.col("provider").isin(*forms) & ~_broken())
+    rows = rows.select(*[c for c in rows.columns if c != "payload"], F.posexplode(_items(forms)).alias("pos", "_item"))
+    found = {}
+    for provider, each in forms.items():
+        rows, found[provider] = each.columns(rows.withColumn(f"_{provider}", F.col(f"_item.{provider}")), f"_{provider}")
+    def column(field):
+        own = {p: c[field.name].cast(field.dataType) for p, c in found.items() if field.name in c}
+        return (_by_provider(own) if own else F.col(f"`{field.name}`")).alias(field.name)
+
+    fields = [f for f in struct(target).fields if f.name not in ("source", "seq", "provider")]
+    there = {n for c in found.values() for n in c}
+    return rows.select("source", "seq", "provider", *[column(f) for f in fields if f.name in there])
+
+
+def _landed(raw: DataFrame, forms: dict[str, Form], mappers: dict[str, Mapper], target: str, finish: Mapper) -> DataFrame:
+    """The rows of all forms, and those of mappers, which see the sound payloads of their provider only."""
+    out = finish(_taken_apart(raw, forms, target))
     for provider, function in mappers.items():
-        part = finish(function(raw.where((F.col("provider") == provider) & ~_broken()))).withColumn("provider", F.lit(provider))
-        out = part if out is None else out.unionByName(part)
+        part = raw.where((F.col("provider") == provider) & ~_broken())
+        out = out.unionByName(finish(function(part).withColumn("provider", F.lit(provider))))
     return out
 
 
 def land(raw: DataFrame) -> DataFrame:
     """Messages of all providers in one table; see ``rejects`` for the payloads left out."""
-    return _landed(raw, MAPPERS, as_messages)
+    return _landed(raw, FORMS, MAPPERS, MESSAGES, as_messages)
 
 
 def land_events(raw: DataFrame) -> DataFrame:
     """Calendar events of all providers in one table; the raw rows may name ``timezone`` and ``owner``."""
     raw = raw.withColumns({c: F.lit(None).cast("string") for c in ("timezone", "owner") if c not in raw.columns})
-    return _landed(raw, EVENT_MAPPERS, lambda df: conform(df, EVENTS))
+
+    def finish(df):
+        if "duration_minutes" not in df.columns:
+            df = df.withColumn("duration_minutes", F.when(~F.col("all_day"), duration_minutes(F.col("start"), F.col("end"))))
+        return conform(df, f"{EVENTS}, provider STRING")
+
+    return _landed(raw, EVENT_FORMS, EVENT_MAPPERS, EVENTS, finish)
+
+
+def rows_of(raw: DataFrame, own: Form, *keep: str) -> DataFrame:
+    """The rows of payloads of one form: source, seq, the kept columns, pos and what the form gives."""
+    items = raw.select(*[c for c in raw.columns if c != "payload"], F.posexplode(own.items(F.col("payload"))).alias("pos", "_item"))
+    df, columns = own.columns(items, "_item")
+    return df.select("source", "seq", *keep, "pos", *[c.alias(n) for n, c in columns.items()])
 
 
 def prefixed(source: Column, id_: Column) -> Column:

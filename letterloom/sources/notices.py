@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from letterloom.functions import dates
 from letterloom.functions.headers import either
 from letterloom.schema import METERS, struct
-from letterloom.sources.landing import mapper, prefixed, text
+from letterloom.sources.landing import FORMS, form, prefixed, rows_of, text
 
 NOTICE = "STRUCT<id:STRING,date:STRING,source:STRING,subject:STRING,link:STRING,unread:BOOLEAN>"
 
@@ -19,20 +19,21 @@ def synthetic_id(source: Column, date: Column, subject: Column, link: Column) ->
     return F.substring(F.sha2(basis, 256), 1, 12)
 
 
-@mapper("http")
-def notifications(raw: DataFrame) -> DataFrame:
-    """Notices; each is a thread of its own, its body is its subject and link."""
-    n = F.col("n")
-    found = raw.withColumn("p", F.from_json("payload", f"STRUCT<notifications:ARRAY<{NOTICE}>>")).select(
-        "source", "seq", F.posexplode("p.notifications").alias("pos", "n"))
+@form("http", NOTICE, lambda payload: F.from_json(payload, f"STRUCT<notifications:ARRAY<{NOTICE}>>")["notifications"])
+def _item_columns(df: DataFrame, item: str) -> tuple[DataFrame, dict[str, Column]]:
+    n = F.col(item)
     id_ = prefixed(F.col("source"), either(n["id"], synthetic_id(n["source"], n["date"], n["subject"], n["link"])))
     subject = F.when(text(n["source"]) != "", F.concat(n["source"], F.lit(": "), text(n["subject"]))).otherwise(text(n["subject"]))
     link = text(n["link"])
-    return found.select(
-        "source", "seq", "pos", id_.alias("id"), id_.alias("thread_id"), text(n["source"]).alias("sender"),
-        subject.alias("subject"), dates.to_iso(text(n["date"])).alias("date"), link.alias("link"),
-        F.concat_ws("\n\n", subject, F.nullif(link, F.lit(""))).alias("body"),
-        F.lit("").alias("snippet"), F.coalesce(n["unread"], F.lit(False)).alias("unread"))
+    return df, {
+        "id": id_, "thread_id": id_, "sender": text(n["source"]), "subject": subject, "date": dates.to_iso(text(n["date"])),
+        "link": link, "body": F.concat_ws("\n\n", subject, F.nullif(link, F.lit(""))), "snippet": F.lit(""),
+        "unread": F.coalesce(n["unread"], F.lit(False))}
+
+
+def notifications(raw: DataFrame) -> DataFrame:
+    """Notices; each is a thread of its own, its body is its subject and link."""
+    return rows_of(raw, FORMS["http"])
 
 
 def meters(raw: DataFrame, polled_at: str = "polled_at") -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from letterloom.functions import patterns as P
 from letterloom.functions.headers import either, lit_map
-from letterloom.sources.landing import mapper, prefixed, text
+from letterloom.sources.landing import FORMS, form, prefixed, rows_of, text
 
 NOTIFICATION = ("STRUCT<id:STRING,unread:BOOLEAN,reason:STRING,updated_at:STRING,"
                 "subject:STRUCT<title:STRING,url:STRING,type:STRING>,repository:STRUCT<full_name:STRING>>")
@@ -18,14 +18,15 @@ COMMENT = "STRUCT<id:STRING,user:STRUCT<login:STRING>,body:STRING,created_at:STR
 REVIEW = ("STRUCT<id:STRING,user:STRUCT<login:STRING>,body:STRING,submitted_at:STRING,state:STRING,"
           "html_url:STRING>")
 
-# Kinds of ids, most special first, with their shapes.
+# The kinds of ids, most special first, with their shapes and the names of their parts.
 ID_SHAPES = (
-    ("notification", r"^()()(\d+)$"),
-    ("review_comment", r"^([^/\s]+)/([^/#\s]+)/pull-comments/(\d+)$"),
-    ("review", r"^([^/\s]+)/([^/#\s]+)/pulls/\d+/reviews/(\d+)$"),
-    ("comment", r"^([^/\s]+)/([^/#\s]+)/comments/(\d+)$"),
-    ("issue", r"^([^/\s]+)/([^/#\s]+)#(\d+)$"),
+    ("notification", r"^(\d+)$", ("number",)),
+    ("review_comment", r"^([^/\s]+)/([^/#\s]+)/pull-comments/(\d+)$", ("owner", "repo", "number")),
+    ("review", r"^([^/\s]+)/([^/#\s]+)/pulls/(\d+)/reviews/(\d+)$", ("owner", "repo", "pull", "number")),
+    ("comment", r"^([^/\s]+)/([^/#\s]+)/comments/(\d+)$", ("owner", "repo", "number")),
+    ("issue", r"^([^/\s]+)/([^/#\s]+)#(\d+)$", ("owner", "repo", "number")),
 )
+ID_PARTS = ("owner", "repo", "pull", "number")
 
 
 def category(kind: Column, title: Column, reason: Column) -> Column:
@@ -56,28 +57,36 @@ def issue_ref(url: Column) -> Column:
 
 
 def classify_ids(ids: DataFrame, name: str = "id") -> DataFrame:
-    """The kind and parts of each id; ids of no known shape have a NULL kind: rejects."""
+    """The kind and parts of each id; ids of no known shape have a NULL kind: rejects.
+
+    Parts that a kind does not have are empty; ``pull`` is the pull request of a review.
+    """
     kind = F.lit(None).cast("string")
-    parts = [kind, kind, kind]
-    for label, shape in reversed(ID_SHAPES):
+    parts = dict.fromkeys(ID_PARTS, kind)
+    for label, shape, names in reversed(ID_SHAPES):
         fits = F.col(name).rlike(shape)
         kind = F.when(fits, F.lit(label)).otherwise(kind)
-        parts = [F.when(fits, F.regexp_extract(name, shape, i + 1)).otherwise(p) for i, p in enumerate(parts)]
-    return ids.select("*", kind.alias("kind"), parts[0].alias("owner"), parts[1].alias("repo"), parts[2].alias("number"))
+        for part in ID_PARTS:
+            value = F.regexp_extract(name, shape, names.index(part) + 1) if part in names else F.lit("")
+            parts[part] = F.when(fits, value).otherwise(parts[part])
+    return ids.select("*", kind.alias("kind"), *[value.alias(part) for part, value in parts.items()])
 
 
-@mapper("github")
-def notifications(raw: DataFrame, unread_only: bool = False) -> DataFrame:
-    """Notifications; the sender is the repository, the category leads the subject."""
-    n = F.col("n")
+@form("github", NOTIFICATION, lambda payload: F.array(F.from_json(payload, NOTIFICATION)))
+def _item_columns(df: DataFrame, item: str) -> tuple[DataFrame, dict[str, Column]]:
+    n = F.col(item)
     subject = n["subject"]
     kind = category(subject["type"], subject["title"], n["reason"])
-    ref = issue_ref(subject["url"])
-    rows = raw.withColumn("n", F.from_json("payload", NOTIFICATION)).select(
-        "source", "seq", prefixed(F.col("source"), n["id"]).alias("id"),
-        F.coalesce(F.concat("source", F.lit(":"), ref), F.lit("")).alias("thread_id"), text(n["repository"]["full_name"]).alias("sender"),
-        F.trim(F.concat(F.lit("["), kind, F.lit("] "), text(subject["title"]))).alias("subject"),
-        text(n["updated_at"]).alias("date"), kind.alias("category"), F.coalesce(n["unread"], F.lit(False)).alias("unread"))
+    return df, {
+        "id": prefixed(F.col("source"), n["id"]),
+        "thread_id": F.coalesce(F.concat("source", F.lit(":"), issue_ref(subject["url"])), F.lit("")),
+        "sender": text(n["repository"]["full_name"]), "subject": F.trim(F.concat(F.lit("["), kind, F.lit("] "), text(subject["title"]))),
+        "date": text(n["updated_at"]), "category": kind, "unread": F.coalesce(n["unread"], F.lit(False))}
+
+
+def notifications(raw: DataFrame, unread_only: bool = False) -> DataFrame:
+    """Notifications; the sender is the repository, the category leads the subject."""
+    rows = rows_of(raw, FORMS["github"]).drop("pos")
     return rows.where("unread") if unread_only else rows
 
 

@@ -76,14 +76,15 @@ def append_into(path: str, rows: Callable[[DataFrame | None, DataFrame], DataFra
     return write
 
 
-def _newest(rows: DataFrame, order: str) -> DataFrame:
+def newest(rows: DataFrame, order: str) -> DataFrame:
+    """The version of every id that is greatest in ``order``; of equal ones that of the later batch."""
     return top_in_groups(rows, ["id"], [F.desc(order), F.desc("batch")], 1, "_rank").drop("_rank")
 
 
 def upsert_into(path: str, order: str = "date", fan: int = levels.FAN) -> Callable[[DataFrame, int], None]:
     """A ``foreachBatch`` function that adds the latest version of every message id of a batch."""
-    return levels.add_run(path, "id", lambda batch, number: _newest(batch.withColumn("batch", F.lit(number).cast("bigint")), order),
-                          lambda rows: _newest(rows, order), fan)
+    return levels.add_run(path, "id", lambda batch, number: newest(batch.withColumn("batch", F.lit(number).cast("bigint")), order),
+                          lambda rows: newest(rows, order), fan)
 
 
 def upsert_messages(stream: DataFrame, path: str, checkpoint: str, order: str = "date") -> StreamingQuery:
@@ -96,7 +97,7 @@ def latest(spark: SparkSession, path: str, order: str = "date", fan: int = level
 
     An id has at most one version in each run, and the runs grow with the logarithm of the batches.
     """
-    return _newest(levels.read(spark, path, levels.complete(spark, path, fan)), order).drop("batch", "bucket")
+    return newest(levels.read(spark, path, levels.complete(spark, path, fan)), order).drop("batch", "bucket")
 
 
 def follow(stream: DataFrame, key: str, path: str, checkpoint: str) -> StreamingQuery:
@@ -186,6 +187,52 @@ def window_counts(stream: DataFrame, width: str = "1 day", delay: str = "1 day")
     return stream.withWatermark("ts", delay).groupBy(F.window("ts", width), "source").agg(F.count("*").alias("count"))
 
 
+def closing_windows(path: str, width: str, delay: str) -> Callable[[DataFrame, int], None]:
+    """A ``foreachBatch`` function: final counts per source and window, and the rows that came too late.
+
+    The watermark is the newest time of all batches, less the delay. A window that it has
+    reached is final: its count goes to ``path``/final, and rows of it that come in later
+    batches are counted in ``path``/late. Open windows are a small table that batches replace.
+    """
+    def write(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        kept = f"{path}/open/batch={number}"
+        old = spark.read.parquet(f"{path}/open/batch={number - 1}") if number else None
+        counted = batch.where("ts IS NOT NULL").groupBy(F.window("ts", width).alias("w"), "source").agg(F.count("*").alias("count"), F.max("ts").alias("_ts"))
+        counted = materialise(counted.select("source", F.col("w.start").alias("start"), F.col("w.end").alias("end"), "count", "_ts"))
+        before = old.where("source IS NULL AND start IS NULL").first()["end"] if number else None
+        mark = counted.agg(F.max(F.col("_ts") - F.expr(f"INTERVAL {delay}"))).first()[0]
+        mark = max((m for m in (before, mark) if m is not None), default=None)
+
+        reached = F.lit(False) if before is None else F.col("end") <= F.lit(before)
+        counted.where(reached).select("source", "start", "count").write.mode("overwrite").parquet(f"{path}/late/batch={number}")
+        rows = counted.where(~reached).drop("_ts")
+        if old is not None:
+            rows = rows.unionByName(old.where("start IS NOT NULL"))
+        rows = materialise(rows.groupBy("source", "start", "end").agg(F.sum("count").alias("count")))
+        final = F.lit(False) if mark is None else F.col("end") <= F.lit(mark)
+        rows.where(final).select("source", "start", "count").write.mode("overwrite").parquet(f"{path}/final/batch={number}")
+        # The row without source and start holds the watermark.
+        point = spark.createDataFrame([(None, None, mark, 0)], "source string, start timestamp, end timestamp, count bigint")
+        rows.where(~final).unionByName(point).coalesce(1).write.mode("overwrite").parquet(kept)
+        levels.remove(spark, f"{path}/open/batch={number - 2}")
+
+    return write
+
+
+def windows_with_late(stream: DataFrame, path: str, checkpoint: str, width: str = "1 day", delay: str = "1 day") -> StreamingQuery:
+    """Rows per source and tumbling window, and apart from them the rows behind the watermark."""
+    return run(stream.writeStream.foreachBatch(closing_windows(path, width, delay)).option("checkpointLocation", checkpoint))
+
+
+def windows(spark: SparkSession, path: str) -> DataFrame:
+    """(source, start, count, late) of the windows that are final."""
+    final = spark.read.parquet(f"{path}/final").select("source", "start", "count")
+    late = spark.read.parquet(f"{path}/late").groupBy("source", "start").agg(F.sum("count").alias("late"))
+    return final.join(late, ["source", "start"], "full_outer").select(
+        "source", "start", F.coalesce("count", F.lit(0)).alias("count"), F.coalesce("late", F.lit(0)).alias("late"))
+
+
 def sessions(stream: DataFrame, gap: str = "6 hours", delay: str = "1 day") -> DataFrame:
     """Bursts per thread: rows that follow each other within the gap."""
     return stream.withWatermark("ts", delay).groupBy(F.session_window("ts", gap), "thread_id").agg(F.count("*").alias("count"))
