@@ -45,7 +45,7 @@ OPEN_BYTES = 16 << 20
 PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 ESCAPES = re.compile(
     r"\\u[dD][89abAB][0-9A-Fa-f]{2}\\u[dD][c-fC-F][0-9A-Fa-f]{2}|\\u[0-9A-Fa-f]{4}|\\U[0-9A-Fa-f]{8}|\\u\{[0-9A-Fa-f]{1,6}\}"
-    r"|\\x[0-9A-Fa-f]{2}|&\#[0-9]{1,7};|&\#[xX][0-9A-Fa-f]{1,6};|[！-～]")
+    r"|%u[0-9A-Fa-f]{4}|\\x[0-9A-Fa-f]{2}|&\#[0-9]{1,7};|&\#[xX][0-9A-Fa-f]{1,6};|[！-～]")
 #: An escape of an escape of an escape ...: all its levels but the last two say nothing more.
 DEEP = re.compile(r"%(?:25){2,}|\\u005[cC](?:u005[cC])+|\\x5[cC](?:x5[cC])+|&\#38;(?:\#38;)+")
 BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}(?:\r?\n[A-Za-z0-9+/_-]{16,})*={0,2}")

@@ -8,7 +8,8 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from letterloom.operators import agenda, feed, filters, identity, lookups, mailbox, ordering, store, threads, usage
+from letterloom import schema
+from letterloom.operators import agenda, components, feed, filters, identity, lookups, mailbox, ordering, store, threads, usage
 from letterloom.operators import render
 from letterloom.plans import corpora as C
 from letterloom.sources import calendars, cards, chat, gmail, landing, notices, tracker
@@ -146,6 +147,143 @@ def test_contains_join_matches_pairwise(spark):
     assert got == sorted((t, n) for (t,) in left for (n,) in right if n and n in t)
 
 
+def test_substrings_are_looked_up_by_their_rarest_piece(spark):
+    """A sender meets the needles it may contain, not all that share a common piece with it."""
+    senders = [(f"user{i}@mail.example.com",) for i in range(200)] + [("é", ), ("ab",), ("日本語メール",)]
+    needles = [(f"user{i}@mail",) for i in range(0, 200, 2)] + [("é",), ("b",), ("本語メ",), ("example.com",), ("example.org",)]
+    left, right = spark.createDataFrame(senders, "t string"), spark.createDataFrame(needles, "n string")
+    got = rows(lookups.containing(left, "t", right, "n"), "t", "n")
+    assert got == sorted((t, n) for (t,) in senders for (n,) in needles if n in t)
+    met = rows(lookups.candidates(left, "t", right, "n"), "t", "n")
+    assert set(got) <= set(met) and not any(n == "example.org" for _, n in met)
+    assert sum(t == "user7@mail.example.com" for t, _ in met) <= 12
+
+
+def test_groups_that_hang_together(spark):
+    rng = random.Random(3)
+    edges = [(rng.randrange(80), f"k{rng.randrange(90)}") for _ in range(120)]
+    root = {r: r for r, _ in edges}
+
+    def find(x):
+        return x if root[x] == x else find(root[x])
+
+    for a, k in edges:
+        for b, q in edges:
+            if k == q:
+                x, y = find(a), find(b)
+                root[max(x, y)] = min(x, y)
+    got = components.components(spark.createDataFrame(edges, "r long, k string"), "r", "k")
+    assert {r.r: r.component for r in got.collect()} == {r: find(r) for r in root}
+    assert components.components(spark.createDataFrame([], "r long, k string"), "r", "k").count() == 0
+
+
+def first_come(claims):
+    by, taken, out = {}, set(), set()
+    for seq, claim in claims:
+        by.setdefault(seq, set()).add(claim)
+    for seq in sorted(by):
+        if taken.isdisjoint(by[seq]):
+            out |= {(seq, c) for c in by[seq]}
+            taken |= by[seq]
+    return out
+
+
+def test_first_come_first_served(spark):
+    rng = random.Random(8)
+    hot = [(seq, "hot") for seq in range(0, 400, 3)]
+    claims = hot + [(rng.randrange(400), f"c{rng.randrange(300)}") for _ in range(900)]
+    got = {tuple(r) for r in identity.first_come(spark.createDataFrame(claims, "seq long, claim string")).collect()}
+    assert got == first_come(claims)
+
+
+def test_a_chain_is_settled_in_few_rounds(spark, monkeypatch):
+    """Each of 10,000 cards shares a claim with the next: every second one is accepted."""
+    rounds = []
+    write = components.materialise
+    monkeypatch.setattr(components, "materialise", lambda df: rounds.append(1) or write(df))
+    claims = spark.range(10_000).selectExpr("id AS seq", "explode(array(concat('c', id), concat('c', id + 1))) AS claim")
+    got = identity.first_come(claims).select("seq").distinct()
+    assert got.where("seq % 2 = 0").count() == got.count() == 5000
+    assert len(rounds) <= 20
+
+
+def test_runs_over_many_pieces(spark):
+    rng = random.Random(6)
+    labels = [rng.choice("aab") for _ in range(400)] + ["c"] * 300 + ["a"]
+    df = spark.createDataFrame(list(enumerate(labels)), "n long, label string").repartition(7)
+    want, run = [], 0
+    for n, label in enumerate(labels):
+        run += not n or labels[n - 1] != label
+        want.append((n, run))
+    got = ordering.number_runs(df, ["n"], "label")
+    assert rows(got.select("n", "run"), "n") == want
+    assert "SinglePartition" not in got._jdf.queryExecution().toString()
+    down = ordering.number_runs(df, [F.desc("n")], "label")
+    assert rows(down.agg(F.max("run").alias("m")), "m") == [(run,)]
+    assert ordering.number_runs(df.limit(0), ["n"], "label").count() == 0
+
+
+def test_cache_table(spark, tmp_path):
+    """Merges replace versions also where they move to another month; scans choose folders and row groups."""
+    schema = "id string, source string, date string, mailbox string, _schema_version int, _cached_at string"
+    name, path = "cache_test", str(tmp_path / "cache")
+    old = [(f"g:{k}", "g", f"2026-0{1 + k % 3}-05", "m", 3, "1") for k in range(30)] + [("o:1", "o", None, "m", 3, "1")]
+    store.create(spark.createDataFrame(old, schema), name, path, buckets=4)
+    new = [("g:0", "g", "2026-01-09", "m", 3, "2"), ("g:1", "g", "2026-09-01", "m", 3, "2"), ("g:99", "g", "2026-02-01", "m", 3, "2"), ("o:1", "o", "2026-05-05", "m", 3, "2")]
+    store.merge(name, spark.createDataFrame(new, schema))
+    want = {r[0]: (r[2], r[5]) for r in old} | {r[0]: (r[2], r[5]) for r in new}
+    table = spark.table(name)
+    assert {r.id: (r.date, r["_cached_at"]) for r in table.collect()} == want and table.count() == len(want)
+    assert "month=none" not in " ".join(r.partition for r in spark.sql(f"SHOW PARTITIONS {name}").collect())
+    plan = store.scan(table, source="g", since="2026-02-03")
+    assert plan.count() == sum(i.startswith("g") and d >= "2026-02-03" for i, (d, _) in want.items())
+    text = plan._jdf.queryExecution().executedPlan().toString()
+    pushed = text.split("PushedFilters: [")[1].split("]")[0]
+    assert "GreaterThanOrEqual(date,2026-02-03)" in pushed and "GreaterThanOrEqual(_schema_version,3)" in pushed
+    chosen = text.split("PartitionFilters: [")[1].split("]")[0]
+    assert "source" in chosen and "month" in chosen
+    # A join by id moves the other side to the buckets and leaves the table where it is.
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled")}
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        joined = table.join(spark.createDataFrame([("g:4",)], "id string"), "id")
+        plan = joined._jdf.queryExecution().executedPlan().toString()
+        assert joined.count() == 1 and plan.count("Exchange hashpartitioning") == 1 and "Bucketed: true" in plan
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
+    spark.sql(f"DROP TABLE {name}")
+
+
+def test_stamped_headers(spark):
+    sources = spark.createDataFrame([("g", "gmail", "Me@X.org", None, None, None, None, None, 1)], schema.SOURCES)
+    df = spark.createDataFrame([("g:1", "g", "gmail", "text", "old"), ("w:1", "w", "whatsapp", "text", ""), ("z:1", "z", "gmail", "text", "old")],
+                               "id string, source string, provider string, body string, mailbox string")
+    got = {r.id: (r.mailbox, r["_schema_version"], r["_cached_at"]) for r in store.stamped(df, sources, F.lit("now")).collect()}
+    assert got == {"g:1": ("gmail:Me@X.org", 3, "now"), "z:1": (None, 3, "now")}
+    assert "body" not in store.stamped(df, sources, F.lit("now")).columns
+
+
+def test_cleared_offsets(spark):
+    offsets = spark.createDataFrame([("a", "g", "1"), ("b", "g", "2")], schema.OFFSETS)
+    assert rows(feed.clear_offsets(offsets, "a"), "key") == [("b", "g", "2")]
+
+
+def test_landing_reads_raw_once(spark, tmp_path):
+    chat = '{"id":"1","timestamp":"2026-01-01 10:00:00","sender_jid":"5@s.whatsapp.net","content":"hi","chat_jid":"5@s.whatsapp.net"}\n[{"id":"2","sender_name":"Ann"}]\n5\nbroken'
+    raw = [("w", "whatsapp", 1, chat), ("gh", "github", 2, '{"id":"7","updated_at":"2026-01-02T00:00:00Z","subject":{"title":"t","type":"Issue"}}'),
+           ("g", "gmail", 3, "{broken"), ("h", "http", 4, '{"notifications":[{"id":"a","subject":"s"},{"id":"b"}]}'), ("h", "http", 5, "{}"),
+           ("o", "o365", 6, '{"id":"z","subject":"x"}'), ("o", "o365", 7, '{"subject":"no id"}'), (None, None, 8, "{}")]
+    spark.createDataFrame(raw, "source string, provider string, seq long, payload string").write.json(str(tmp_path / "raw"))
+    landed = landing.land(landing.read_raw(spark, str(tmp_path / "raw")))
+    assert sorted(r.id for r in landed.collect()) == ["gh:7", "h:a", "h:b", "o:z", "w:1", "w:2"]
+    assert {r.id: r.sender for r in landed.where("source = 'w'").collect()} == {"w:1": "5@s.whatsapp.net", "w:2": "Ann"}
+    assert landed._jdf.queryExecution().executedPlan().toString().count("FileScan json") == 1
+    wrong = landing.rejects(landing.read_raw(spark, str(tmp_path / "raw")))
+    assert sorted(r.seq for r in wrong.collect()) == [3, 8]
+
+
 def test_sender_names(spark):
     contacts = spark.createDataFrame([("ann", "gw:ann@x.org", 1), ("bob", "o:bob@x.org", 1), ("zed", "bob2", 1), ("aaa", "g:dup", 1), ("bbb", "g:dup", 1)], "alias string, identifier string, ord int")
     pairs = spark.createDataFrame([("g", "ann@x.org"), ("g", "bob@x.org"), ("w", "k:bob2"), ("w", "k:none"), ("g", "dup"), ("g", "nobody")], "source string, sender string")
