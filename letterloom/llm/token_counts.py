@@ -1,7 +1,8 @@
 """Token counts that follow edits.
 
 Each document has a segment tree over its pre-token pieces: leaves hold the length and the
-token count of a piece, inner nodes the sums below them. An edit replaces a stretch of
+token count of a piece, inner nodes the sums below them. Leaves are kept in a table, and the
+trees of documents that are edited are built from there. An edit replaces a stretch of
 characters. The piece that it begins in is found by walking down the tree, the pieces from a
 little before it are cut and counted again until a cut of the old text is met, and only these
 leaves and their ancestors change. Leaves sit in blocks, so that pieces can be put in and
@@ -22,7 +23,7 @@ from pyspark.sql import functions as F
 
 from letterloom.llm import bpe
 from letterloom.llm import words as W
-from letterloom.llm.tables import pick
+from letterloom.llm.tables import pick, stored
 
 BLOCK = 64
 
@@ -30,14 +31,20 @@ BLOCK = 64
 class Tree:
     """Pieces of one text with their token counts; sums of characters and tokens by subtree."""
 
-    def __init__(self, coder: bpe.Coder, text: str):
+    def __init__(self, coder: bpe.Coder, text: str, leaves: tuple[list[int], list[int]] | None = None):
+        """The tree of a text; from its stored ``leaves`` without cutting or encoding anything."""
         self.coder, self.text = coder, text
-        pieces = coder.pieces(text)
-        coder.learn([pieces])
-        self.lengths = [len(p) for p in pieces]
-        self.tokens = [len(coder.known[p]) // 4 for p in pieces]
+        if leaves is None:
+            pieces = coder.pieces(text)
+            coder.learn([pieces])
+            leaves = [len(p) for p in pieces], [len(coder.known[p]) // 4 for p in pieces]
+        self.lengths, self.tokens = leaves
         self._build()
 
+    def leaves(self) -> tuple[list[int], list[int]]:
+        """Characters and tokens of all pieces in order."""
+        return [x for a, _ in self.blocks for x in a], [x for _, c in self.blocks for x in c]
+
     def _build(self) -> None:
         """Blocks of leaves, and a tree of sums over the blocks."""
         self.blocks = [(self.lengths[k:k + BLOCK], self.tokens[k:k + BLOCK]) for k in range(0, len(self.lengths), BLOCK)] or [([], [])]
@@ -164,39 +171,92 @@ class Tree:
                 self._put(b)
 
 
-def counted(docs: DataFrame, ranks: bytes, pattern: str = bpe.PATTERN) -> DataFrame:
-    """(doc_id, n_pieces, n_tokens, n_edits, n_tokens_after) of every row of ``docs``.
+LEAVES = "n_pieces long, n_tokens long, lengths array<int>, tokens array<int>"
+VALID = "edits, e -> e.start IS NOT NULL AND e.length IS NOT NULL"
 
-    ``docs`` has doc_id, text and ``edits``, an array of (start, length, new): ``length``
-    characters from ``start``, counted from 0 in the text as the edits before have left it,
-    become ``new``. Edits are taken in their order; those beyond the end are cut to it. A null
-    text is empty, null edits are none, and so is an edit with a NULL place; a null ``new``
-    is empty. NULL ids and repeated rows are rows like others; other columns are ignored.
+
+def _leaves(trees: list[tuple[list[int], list[int]]]) -> list[pa.Array]:
+    """The columns of LEAVES."""
+    return [pa.array([len(a) for a, _ in trees], pa.int64()), pa.array([sum(b) for _, b in trees], pa.int64()),
+            pa.array([a for a, _ in trees], pa.list_(pa.int32())), pa.array([b for _, b in trees], pa.list_(pa.int32()))]
+
+
+def _key(docs: DataFrame) -> DataFrame:
+    """Documents with ``key``, which tells texts apart and spreads the copies of one by their ids."""
+    return docs.withColumn("key", F.struct(
+        F.coalesce("doc_id", F.lit(0)).alias("id"), F.xxhash64("text").alias("h1"), F.xxhash64(F.lit(7), "text").alias("h2")))
+
+
+def grown(docs: DataFrame, ranks: bytes, pattern: str = bpe.PATTERN) -> DataFrame:
+    """``docs`` (doc_id, text and whatever else) with ``key`` and the leaves of its tree instead of the text.
+
+    Written to a table it is what later edits start from: counts and lengths, no text.
     """
     held = docs.sparkSession.sparkContext.broadcast(ranks)  # a vocabulary, whatever the corpus
+    keep = [f for f in _key(docs).schema if f.name != "text"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = bpe.coder(held.value, pattern)
         for batch in batches:
             for rows, _, _ in W.runs(batch):
-                texts = [t or "" for t in rows.column("text").to_pylist()]
-                cut = [coder.pieces(t) for t in texts]
+                cut = [coder.pieces(t or "") for t in rows.column("text").to_pylist()]
                 coder.learn(cut)
-                before = [sum(len(coder.known[p]) for p in c) // 4 for c in cut]
-                after, edits = list(before), []
-                for i, todo in enumerate(rows.column("edits").to_pylist()):
-                    todo = [e for e in todo or () if e is not None and e["start"] is not None and e["length"] is not None]
-                    edits.append(len(todo))
-                    if todo:
-                        tree = Tree(coder, texts[i])
-                        for e in todo:
-                            tree.replace(e["start"], e["start"] + e["length"], e["new"] or "")
-                        after[i] = tree.total
+                trees = [([len(p) for p in c], [len(coder.known[p]) // 4 for p in c]) for c in cut]
+                yield pa.RecordBatch.from_arrays([*[rows.column(f.name) for f in keep], *_leaves(trees)],
+                                                 names=[*[f.name for f in keep], "n_pieces", "n_tokens", "lengths", "tokens"])
+
+    return _key(docs).mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in keep) + ", " + LEAVES)
+
+
+def edited(docs: DataFrame, trees: DataFrame, ranks: bytes, pattern: str = bpe.PATTERN) -> DataFrame:
+    """(doc_id, text, n_edits, n_pieces_before, n_tokens_before) of ``docs`` after their edits, with LEAVES.
+
+    ``docs`` has doc_id, text and ``edits``; rows without edits are left out, and their trees
+    are not opened. Trees come from ``grown``; what is given back, without the text and with a
+    key of its own, can take the place of the trees it came from. A text without a tree in
+    ``trees`` is left out.
+    """
+    held = docs.sparkSession.sparkContext.broadcast(ranks)
+    todo = stored(_key(pick(docs, "doc_id", "text", "edits").withColumn("edits", F.expr(f"filter({VALID})")).where("size(edits) > 0")), "token-edits")
+    stored_ = trees.select("key", "lengths", "tokens").join(todo.select("key").distinct(), "key", "left_semi").dropDuplicates(["key"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        coder = bpe.coder(held.value, pattern)
+        for batch in batches:
+            for rows, _, _ in W.runs(batch):
+                after, texts, before = [], [], []
+                for row in rows.select(["text", "edits", "lengths", "tokens"]).to_pylist():
+                    before.append((len(row["lengths"]), sum(row["tokens"])))
+                    tree = Tree(coder, row["text"] or "", (row["lengths"], row["tokens"]))
+                    for e in row["edits"]:
+                        tree.replace(e["start"], e["start"] + e["length"], e["new"] or "")
+                    texts.append(tree.text)
+                    after.append(tree.leaves())
                 yield pa.RecordBatch.from_arrays(
-                    [rows.column("doc_id"), *[pa.array(x, pa.int64()) for x in ([len(c) for c in cut], before, edits, after)]],
-                    names=["doc_id", "n_pieces", "n_tokens", "n_edits", "n_tokens_after"])
+                    [rows.column("doc_id"), pa.array(texts, pa.string()), pa.array([len(e) for e in rows.column("edits").to_pylist()], pa.int64()),
+                     pa.array([n for n, _ in before], pa.int64()), pa.array([n for _, n in before], pa.int64()), *_leaves(after)],
+                    names=["doc_id", "text", "n_edits", "n_pieces_before", "n_tokens_before", "n_pieces", "n_tokens", "lengths", "tokens"])
+
+    return todo.join(stored_, "key").mapInArrow(
+        run, f"doc_id long, text string, n_edits long, n_pieces_before long, n_tokens_before long, {LEAVES}")
 
-    return pick(docs, "doc_id", "text", "edits").mapInArrow(run, "doc_id long, n_pieces long, n_tokens long, n_edits long, n_tokens_after long")
+
+def counted(docs: DataFrame, ranks: bytes, pattern: str = bpe.PATTERN) -> DataFrame:
+    """(doc_id, n_pieces, n_tokens, n_edits, n_tokens_after) of every row of ``docs``.
+
+    ``docs`` has doc_id, text and ``edits``, an array of (start, length, new): ``length``
+    characters from ``start``, counted from 0 in the text as the edits before have left it,
+    become ``new``. Edits are taken in their order; those beyond the end are cut to it. A null
+    text is empty, null edits are none, and so is an edit with a NULL place; a null ``new``
+    is empty. NULL ids and repeated rows are rows like others; other columns are ignored.
+    """
+    docs = pick(docs, "doc_id", "text", "edits")
+    asked = F.coalesce(F.expr(f"exists({VALID})"), F.lit(False)).alias("asked")
+    trees = stored(grown(docs.select("doc_id", "text", asked), ranks, pattern), "token-trees")
+    plain = trees.where("NOT asked").select(
+        "doc_id", "n_pieces", "n_tokens", F.lit(0).cast("long").alias("n_edits"), F.col("n_tokens").alias("n_tokens_after"))
+    return plain.unionAll(edited(docs, trees.where("asked"), ranks, pattern).select(
+        "doc_id", "n_pieces_before", "n_tokens_before", "n_edits", "n_tokens"))
 
 
 def redactions(docs: DataFrame, pattern: str, new: str) -> DataFrame:

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from letterloom.llm.lines import LOWER, UPPER
 from letterloom.llm.tables import pick, stored
+from letterloom.operators.ordering import number_rows
 
 ORDER = 3
 #: Weights go to every task only while there are no more than this; else they are joined by shuffle.
@@ -30,11 +31,12 @@ def _lower(text: Column) -> Column:
 
 
 def parsed(pages: DataFrame) -> DataFrame:
-    """page_id, host and path; both are empty for a URL that is NULL or has no ``://``."""
+    """page_id, host, path and ``tail``, all that follows the host; empty for a URL that is NULL or has no ``://``."""
     at = F.coalesce(F.instr("url", "://"), F.lit(0))
     rest = F.when(at > 0, F.substr(F.col("url"), at + 3)).otherwise("")
     return pick(pages, "page_id", "url").select("page_id", rest.alias("rest")).select(
-        "page_id", _lower(F.regexp_extract("rest", r"^[^/?#]*", 0)).alias("host"), F.regexp_extract("rest", r"^[^/?#]*([^?#]*)", 1).alias("path"))
+        "page_id", _lower(F.regexp_extract("rest", r"^[^/?#]*", 0)).alias("host"), F.regexp_extract("rest", r"^[^/?#]*([^?#]*)", 1).alias("path"),
+        F.regexp_extract("rest", r"(?s)^[^/?#]*(.*)$", 1).alias("tail"))
 
 
 def ruled(urls: DataFrame, rules: tuple[tuple[str, str], ...] = RULES) -> DataFrame:
@@ -102,11 +104,27 @@ def scores(texts: DataFrame, table: DataFrame, each: float) -> DataFrame:
     return summed.select("text", (F.col("w") / (F.length("text") + 1) + F.lit(each)).alias("score"))
 
 
+def quantile(scored: DataFrame, share: float) -> float | None:
+    """The score that ``share`` of the rows (text, score) are below, between two scores in proportion.
+
+    Scores are put in order by range, so no task holds them all; two rows come to the driver.
+    """
+    count = scored.count()
+    if not count:
+        return None
+    at = (count - 1) * share
+    low = int(at)
+    near = number_rows(scored.select("score", "text"), ["score", "text"], "at").where(F.col("at").isin(low + 1, low + 2)).orderBy("at").select("score").collect()
+    first, last = near[0][0], near[-1][0]
+    return first + (last - first) * (at - low)
+
+
 def url_filter(pages: DataFrame, rules: tuple[tuple[str, str], ...] = RULES, seeds: tuple[str, ...] = SEEDS,
                false_rejects: float = 0.01) -> DataFrame:
     """(page_id, host, path, rule, verdict, score) of every row of ``pages``.
 
-    The verdict is the rule's, else ``block`` where the score is over the threshold. Rejected
+    The verdict is the rule's, else ``block`` where the score is over the threshold. The models
+    see whole URLs after ``://``, query and fragment included, with the host in lower case. Rejected
     examples are URLs that a rule blocks or whose host has a seed word; all others are
     accepted ones, each different URL once. A quarter of the accepted, by hash, is kept out of
     training and sets the threshold so that at most ``false_rejects`` of them are over it. A
@@ -114,7 +132,7 @@ def url_filter(pages: DataFrame, rules: tuple[tuple[str, str], ...] = RULES, see
     blocked but by rule. NULL page_ids and repeated rows are rows like others; other columns
     are ignored.
     """
-    urls = stored(ruled(parsed(pages), rules).withColumn("text", F.concat("host", "path")), "urls")
+    urls = stored(ruled(parsed(pages), rules).withColumn("text", F.concat("host", "tail")), "urls")
     seeded = F.col("host").rlike("(^|[.-])(" + "|".join(seeds) + ")([.-]|$)")
     # A URL is one row from here on, however many pages have it.
     texts = urls.where("text <> ''").groupBy("text").agg(
@@ -123,7 +141,7 @@ def url_filter(pages: DataFrame, rules: tuple[tuple[str, str], ...] = RULES, see
     texts = stored(texts.withColumn("apart", ~F.col("rejected") & (F.pmod(F.xxhash64("text"), F.lit(4)) == 0)), "url-texts")
     table, each = weights(texts.where("NOT apart").select("text", "rejected"))
     scored = stored(scores(texts.where("asked OR apart").select("text"), table, each), "url-scores")
-    limit = scored.join(texts.where("apart").select("text"), "text").agg(F.percentile("score", 1 - false_rejects)).first()[0]
+    limit = quantile(scored.join(texts.where("apart").select("text"), "text"), 1 - false_rejects)
     over = F.coalesce(F.col("score") > F.lit(max(limit or 0.0, 0.0)), F.col("text") == "")
     out = urls.join(scored.withColumnRenamed("text", "of"), F.col("text") == F.col("of"), "left")
     return out.select("page_id", "host", "path", "rule", F.coalesce("ruling", F.when(over, "block").otherwise("allow")).alias("verdict"),

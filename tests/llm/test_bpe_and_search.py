@@ -95,6 +95,40 @@ def test_token_counts(spark, ranks, library):
     assert (row.n_edits, row.n_tokens_after) == (2, len(library.encode_ordinary(" def tail")))
 
 
+def test_kept_trees_take_further_edits(spark, ranks, library, monkeypatch):
+    """Trees stored by one run are edited by the next two; no whole text is cut again."""
+    texts = {i: f"number {i} " + "some words follow here, " * 40 for i in range(30)}
+    docs = spark.createDataFrame([(*r, "x") for r in texts.items()], "doc_id long, text string, source string").coalesce(1)
+    trees = token_counts.grown(docs, ranks)
+    assert trees.columns == ["doc_id", "source", "key", "n_pieces", "n_tokens", "lengths", "tokens"]
+    trees = trees.drop("source")
+    for step in range(2):
+        asked = {i: t for i, t in texts.items() if i % 3 == step}
+        rows = [(i, t, [(7, 1, "twelve"), (len(t) + 4, 3, " end")]) for i, t in asked.items()]
+        edits = spark.createDataFrame(rows, "doc_id long, text string, edits array<struct<start: int, length: int, new: string>>")
+        out = token_counts.edited(edits, trees, ranks)
+        want = {i: (t[:7] + "twelve" + t[8:])[:len(t) + 4] + " end" for i, t in asked.items()}
+        got = {r.doc_id: r for r in out.collect()}
+        assert {i: r.text for i, r in got.items()} == want
+        for i, r in got.items():
+            assert (r.n_tokens, r.n_edits) == (len(library.encode_ordinary(want[i])), 2) and r.n_tokens_before == len(library.encode_ordinary(asked[i]))
+            assert r.n_pieces == len(r.lengths) and sum(r.lengths) == len(want[i])
+        texts |= want
+        # The new trees take the place of the old ones.
+        fresh = token_counts._key(out).select("doc_id", "key", "n_pieces", "n_tokens", "lengths", "tokens")
+        trees = trees.join(fresh.select("doc_id"), "doc_id", "left_anti").unionByName(fresh)
+    same = token_counts.grown(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), ranks)
+    of = lambda df: sorted((r.doc_id, r.key, r.lengths, r.tokens) for r in df.collect())
+    assert of(trees) == of(same)
+    cut = []
+    kept = bpe.coder(ranks, bpe.PATTERN)
+    monkeypatch.setattr(kept, "pieces", lambda t, f=kept.pieces: cut.append(len(t)) or f(t))
+    text = "a word or two, " * 5000
+    tree = token_counts.Tree(kept, text, token_counts.Tree(bpe.Coder(ranks), text).leaves())
+    tree.replace(30_000, 30_004, "other")
+    assert sum(cut) < 500
+
+
 def test_nearest(spark):
     rng = random.Random(2)
     centre = [[rng.gauss(0, 1) for _ in range(64)] for _ in range(5)]

@@ -407,6 +407,67 @@ def test_quality(spark):
     assert not any(x.kept for x in quality.selected(quality.rate(d, None, 3), 2).collect())
 
 
+def test_ordinal_fit_climbs_the_likelihood_to_its_top():
+    """The fit against plain gradient ascent on the likelihood, written out document by document."""
+    import math
+
+    import numpy as np
+    rng = random.Random(12)
+    numbers, grades = [], []
+    for _ in range(400):
+        grade = rng.choice([0, 1, 2])
+        kinds = [5, 6, 7, 8][: 2 + grade] if rng.random() < 0.8 else [5, 6, 7, 8]
+        numbers.append([rng.choice(kinds) for _ in range(8)])
+        grades.append(grade)
+    number, bounds = np.array([x for n in numbers for x in n]), np.arange(0, 8 * 400 + 1, 8)
+    model = quality.fit(number, bounds, np.array(grades), 3, rounds=60, decay=0.0, batch=400)
+
+    def s(x):
+        return 1 / (1 + math.exp(-x))
+
+    def likelihood(w, t):
+        total = 0.0
+        for n, g in zip(numbers, grades):
+            z = sum(w[x] for x in n) / 8 ** 0.25
+            total += math.log((s(z - t[g - 1]) if g else 1.0) - (s(z - t[g]) if g < 2 else 0.0))
+        return total / len(grades)
+
+    w, t, h = {k: 0.0 for k in (5, 6, 7, 8)}, [-0.5, 0.5], 1e-5
+    for _ in range(150):
+        base = likelihood(w, t)
+        dw = {k: (likelihood(w | {k: w[k] + h}, t) - base) / h for k in w}
+        dt = [(likelihood(w, [x + h * (i == j) for j, x in enumerate(t)]) - base) / h for i in range(2)]
+        w = {k: w[k] + 1.0 * dw[k] for k in w}
+        t = [x + 1.0 * d for x, d in zip(t, dt)]
+    best, got = likelihood(w, t), likelihood({k: float(model.weights[k]) for k in w}, list(model.thresholds))
+    start = likelihood({k: 0.0 for k in w}, [-0.5, 0.5])
+    assert got >= best - 0.05 * (best - start) and start < best - 0.05
+    # The probabilities that are reported are those of the model.
+    z = quality._linear(model.weights, number, bounds)
+    assert abs(z[0] - sum(float(model.weights[x]) for x in numbers[0]) / 8 ** 0.25) < 1e-6
+
+
+def test_url_quantile_is_that_of_sorting(spark):
+    import numpy as np
+    rng = random.Random(4)
+    values = [rng.choice([rng.random(), 0.5]) for _ in range(301)]
+    df = spark.createDataFrame([(f"t{i}", v) for i, v in enumerate(values)], "text string, score double").repartition(5)
+    for share in (0.0, 0.5, 0.99, 1.0):
+        assert abs(urls.quantile(df, share) - float(np.quantile(values, share))) < 1e-12
+    assert urls.quantile(df.limit(0), 0.99) is None and urls.quantile(df.where("text = 't7'"), 0.99) == values[7]
+
+
+def test_url_scores_see_the_query(spark):
+    rng = random.Random(13)
+    rows = [(i, f"http://{rng.choice(WORDS)}.com/go?to={'casino-' if i % 7 == 0 else ''}{rng.choice(WORDS)}") for i in range(1200)]
+    rows += [(2000 + i, f"http://casino-{rng.choice(WORDS)}.com/") for i in range(60)]
+    got = urls.url_filter(spark.createDataFrame(rows, "page_id long, url string"), false_rejects=0.2).collect()
+    told = [r.score for r in got if r.page_id < 2000 and r.page_id % 7 == 0]
+    plain = [r.score for r in got if r.page_id < 2000 and r.page_id % 7]
+    assert sum(told) / len(told) > sum(plain) / len(plain) + 0.5
+    assert all(r.path == "/go" for r in got if r.page_id < 2000)
+
+
 def test_url_rules(spark):
     rows = [(1, "http://a.NET/x"), (2, "https://sub.example.net/en/5?q"), (3, "http://example.net/fr/"), (4, "http://example.com/de/1"), (5, "http://example.com/den"),
             (6, "http://x.org/fr/#a"), (7, "http://notexample.com/de/1"), (8, None), (9, "no url"), (10, "http://"), (11, "http://q.net"), (12, "x://É.Org/FR/"), (None, "http://a.net/x"), (1, "http://a.NET/x"),
