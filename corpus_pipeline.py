@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from letterloom.llm import bpe, decontam, langid, lines, neardup
 from letterloom.llm.queries import ranks
 from letterloom.llm.tables import pick, stored, table
+from letterloom.operators.ordering import top_in_groups
 from letterloom.session import configure
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -32,16 +33,20 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group: the one of smallest doc_id, once if its row is repeated."""
+    """One document of each group: the one of smallest doc_id, once if its row is repeated.
+
+    Rows of one doc_id and the same text are repeats; which of them stays makes no difference
+    to doc_id and text, and of other columns those that come first by value stay.
+    """
     configure(spark)
     docs = pick(docs, *COLUMNS)
     gone = neardup.near_duplicates(docs).where("NOT kept").select("doc_id").distinct()
-    left = docs.join(gone, "doc_id", "left_anti")
-    repeated = stored(docs.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated-ids")
+    left = docs.join(gone, "doc_id", "left_anti").withColumn("same", F.xxhash64("text"))
+    repeated = stored(left.where("doc_id IS NOT NULL").groupBy("doc_id", "same").count().where("count > 1").select("doc_id", "same"), "repeated-rows")
     if repeated.isEmpty():
         return left.select(*COLUMNS)
-    once = left.join(repeated, "doc_id").dropDuplicates(["doc_id"])
-    return left.join(repeated, "doc_id", "left_anti").select(*COLUMNS).unionAll(once.select(*COLUMNS))
+    once = top_in_groups(left.join(repeated, ["doc_id", "same"]), ["doc_id", "same"], ["lang", "source", "n_chars"], 1)
+    return left.join(repeated, ["doc_id", "same"], "left_anti").select(*COLUMNS).unionAll(once.select(*COLUMNS))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
