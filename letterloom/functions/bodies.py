@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from letterloom.functions import patterns as P
 from letterloom.functions.headers import SPACES, once, strip
+from letterloom.session import spread
 
 
 def is_html(text: Column) -> Column:
@@ -85,6 +86,7 @@ TEXT_STAGES = (
 
 def clean_text(df: DataFrame, name: str) -> DataFrame:
     """Every plain-text stage in order, over the text column ``name``."""
+    df = spread(df)
     for stage in TEXT_STAGES:
         df = stage(df, name)
     return df

@@ -68,24 +68,13 @@ BOILERPLATE_PHRASES = (
 )
 BOILERPLATE_LINE = rf"(?imUd)^.*{any_of(BOILERPLATE_PHRASES)}.*$"
 
-# Wording that marks an HTML block as list-mail footer.
-FOOTER_PHRASES = (
-    r"unsubscribe", r"opt[\s-]?out", r"email\s+preferences",
-    r"manage\s+(?:your\s+)?subscriptions?", r"update\s+(?:your\s+)?preferences",
-    r"notification\s+settings", r"mailing\s+list", r"no\s+longer\s+wish\s+to\s+receive",
-    r"stop\s+receiving\s+these\s+emails",
-)
-FOOTER = any_of(FOOTER_PHRASES)
-
-# Image URLs and inline styles of tracking pixels and hidden elements.
+# Image URLs and inline styles of tracking pixels.
 TRACKER_URLS = (
     "track", "pixel", "beacon", r"open\.", r"\.gif\?", "mailtrack", r"t\.co/", r"click\.",
     r"/o\.gif", "spacer", "transparent", r"/t\?", r"wf\.gif",
 )
 TRACKER_URL = any_of(TRACKER_URLS)
 TINY_STYLE = r"(?:width|height)\s*:\s*[01]px|display\s*:\s*none"
-HIDDEN_STYLE = r"display\s*:\s*none|visibility\s*:\s*hidden"
-ZERO_STYLE = r"(?:width|height)\s*:\s*0"
 
 # Parts of click-tracking link targets; such a link keeps only its text.
 LINK_TRACKERS = (

@@ -95,6 +95,8 @@ def first_come(claims: DataFrame) -> DataFrame:
     """
     won, rest = _round(materialise(claims.distinct()))
     more, rest = _round(rest)
+    if rest.isEmpty():
+        return won.unionAll(more)
     last = rest.groupBy("claim").agg(F.max("seq").alias("last"))
     cards = rest.join(last, "claim").groupBy("seq").agg(F.collect_list(F.struct("claim", "last")).alias("claims")).join(
         components(rest, "seq", "claim"), "seq")

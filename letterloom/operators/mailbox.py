@@ -81,28 +81,23 @@ def _effects(actions: DataFrame) -> DataFrame:
 def apply_actions(messages: DataFrame, actions: DataFrame) -> DataFrame:
     """Labels after the log; the last action on a message and label decides.
 
-    An action on a thread reaches every message of it. Labels are rows until the end: stored
-    ones, those of actions on a message and on its thread are merged by message and label,
-    and each message then gets its own labels back, stored ones in their order, then new ones.
+    An action on a thread reaches every message of it. Actions on a message and on its thread
+    are merged by message and label, as rows, and a message then meets its own changes only:
+    stored labels keep their order, new ones follow by name.
     """
     effects = _effects(actions)
-    touched = effects.select("scope", "target").distinct()
-    ids = messages.select("id", "thread_id", "labels")
-    reached = ids.join(touched.where("scope = 'message'").select(F.col("target").alias("id")), "id", "left_semi").select("id").unionAll(
-        ids.join(touched.where("scope = 'thread'").select(F.col("target").alias("thread_id")), "thread_id", "left_semi").select("id")).distinct()
-    nothing, place = F.lit(None).cast("bigint"), F.lit(None).cast("int")
-    stored = ids.join(reached, "id", "left_semi").select("id", F.posexplode("labels").alias("pos", "label"), nothing.alias("code"))
-    own = effects.where("scope = 'message'").select(F.col("target").alias("id"), place.alias("pos"), "label", "code")
-    whole = ids.select("id", "thread_id").join(
-        effects.where("scope = 'thread'").select(F.col("target").alias("thread_id"), "label", "code"), "thread_id").select("id", place.alias("pos"), "label", "code")
-    merged = stored.unionAll(own).unionAll(whole).groupBy("id", "label").agg(F.max("code").alias("code"), F.min("pos").alias("pos"))
-    kept = merged.where("code IS NULL OR code & 1 = 1").groupBy("id").agg(
-        F.array_sort(F.collect_list(F.struct(F.coalesce("pos", F.lit(2**31 - 1)).alias("pos"), "label"))).alias("_labels"))
-    after = reached.join(kept, "id", "left").select(
-        F.col("id").alias("_id"), F.coalesce(F.transform("_labels", lambda x: x["label"]), F.array().cast("array<string>")).alias("_labels"))
-    return messages.join(after, F.col("id") == F.col("_id"), "left").withColumn(
-        "labels", F.coalesce("_labels", "labels", F.array().cast("array<string>"))).withColumn(
-        "unread", F.array_contains("labels", "UNREAD")).drop("_id", "_labels")
+    own = effects.where("scope = 'message'").select(F.col("target").alias("_id"), "label", "code")
+    whole = messages.select("id", F.col("thread_id").alias("target")).join(
+        effects.where("scope = 'thread'").select("target", "label", "code"), "target").select(F.col("id").alias("_id"), "label", "code")
+    merged = own.unionAll(whole).groupBy("_id", "label").agg(F.max("code").alias("code"))
+    adds = F.col("code").bitwiseAND(1) == 1
+    changes = merged.groupBy("_id").agg(F.array_sort(F.collect_list(F.when(adds, F.col("label")))).alias("_added"),
+                                        F.collect_list(F.when(~adds, F.col("label"))).alias("_gone"))
+    none = F.array().cast("array<string>")
+    stored = F.coalesce("labels", none)
+    return messages.join(changes, F.col("id") == F.col("_id"), "left").withColumn(
+        "labels", F.array_except(F.array_union(stored, F.coalesce("_added", none)), F.coalesce("_gone", none))).withColumn(
+        "unread", F.array_contains("labels", "UNREAD")).drop("_id", "_added", "_gone")
 
 
 def preview(actions: DataFrame) -> DataFrame:

@@ -9,9 +9,11 @@ from letterloom.operators import usage
 from letterloom.plans import corpora as C
 from letterloom.plans.registry import query
 from letterloom.plans.sql_views import BODIES, PAGES, with_views
+from letterloom.session import spread
 
 WS = r"E' \t\n\r\f\x0b '"
 
+# The patterns of ``functions.patterns`` in the dialect of the checking SQL.
 REPLY = r"""(?i)^(On\s+(Mon|Tue|Wed|Thu|Fri|Sat|Sun).*\bwrote:\s*|On\s+\d.*\bwrote:\s*|On\s+(Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)\b.*\bwrote:\s*|-{2,}\s*(Original|Forwarded)\s+message\s*-{2,}\s*)$"""
 SIG = r"""(?i)^(--\s*|---+\s*|_{3,}\s*|Sent from (my )?\w.*|Sent via\b.*|Get Outlook for\b.*|(Best|Kind|Warm)\s+regards?\s*[,.]?\s*|(Thanks|Thank you|Cheers|Regards|Sincerely|Yours truly|With appreciation|All the best|Talk soon)\s*[,.]?\s*)$"""
 CONF = r"""(?i)(this\s+(email|message|communication)\s+is\s+(intended|confidential)|confidentiality\s+notice|privileged\s+and\s+confidential|if\s+you\s+(are\s+not|have\s+received)\s+this\s+(email|message)\s+in\s+error|please\s+notify\s+the\s+sender\s+immediately|unauthorized\s+(use|disclosure|review|distribution))"""
@@ -116,7 +118,7 @@ f AS (SELECT page_id, replace(replace(replace(replace(replace(replace(t, '&lt;',
 g AS (SELECT page_id, trim(regexp_replace(regexp_replace(t, ' *\n *', E'\n', 'g'), '\n{3,}', E'\n\n', 'g'), """ + WS + r""") AS t FROM f)
 SELECT page_id, md5(t) AS text_md5, length(t) AS n_chars FROM g""")
 def html_to_text_native(spark, folder):
-    text = C.pages(spark, folder).withColumn("text", bodies.simple_html_to_text(F.col("html")))
+    text = spread(C.pages(spark, folder)).withColumn("text", bodies.simple_html_to_text(F.col("html")))
     return text.select("page_id", F.md5("text").alias("text_md5"), F.length("text").cast("bigint").alias("n_chars"))
 
 

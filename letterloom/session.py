@@ -56,3 +56,19 @@ def materialise(df: DataFrame) -> DataFrame:
         spark.sparkContext.setCheckpointDir(shared_dir(spark))
     return df.checkpoint(eager=True)
 
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` in as many pieces as there are cores, if its files give fewer; else as it is.
+
+    For the input of work that is costly by row: a file of one row group is one task, however
+    many cores wait. What a shuffle has dealt out, a stream, and a table of enough files stay
+    as they are, so nothing is moved at scale.
+    """
+    if df.isStreaming:
+        return df
+    query = df._jdf.queryExecution()
+    # Plans with a shuffle are adaptive; asking them for their partitions would run them.
+    if query.executedPlan().getClass().getSimpleName() == "AdaptiveSparkPlanExec":
+        return df
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if query.toRdd().getNumPartitions() >= cores else df.repartition(cores)

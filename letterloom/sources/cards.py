@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from letterloom.functions.headers import address, either, strip
+from letterloom.session import spread
 from letterloom.sources.calendars import unescaped, unfold
 
 
@@ -30,7 +31,7 @@ def parse_cards(raw: DataFrame) -> DataFrame:
     """
     chunks = F.split(unfold(F.col("payload")), r"(?im)^[ \t]*BEGIN:VCARD[ \t]*$")
     chunks = F.slice(chunks, F.lit(2), F.size(chunks))
-    cards = raw.select("seq", F.posexplode(chunks).alias("pos", "card")).where(
+    cards = spread(raw).select("seq", F.posexplode(chunks).alias("pos", "card")).where(
         F.col("card").rlike(r"(?im)^[ \t]*END:VCARD[ \t]*$"))
     body = F.regexp_replace("card", r"(?ims)^[ \t]*END:VCARD[ \t]*$.*", "")
     cards = cards.withColumn("lines", F.transform(F.split(body, "\n"), strip)).drop("card")

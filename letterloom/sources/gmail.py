@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from letterloom.functions import dates
 from letterloom.functions.headers import human_size
 from letterloom.schema import ATTACHMENTS
+from letterloom.session import spread
 from letterloom.sources.landing import first_where, form, prefixed, text
 
 # Levels of nested parts that column expressions walk; the few deeper trees are walked row by row.
@@ -183,7 +184,7 @@ def _select(df: DataFrame, full: bool, prefer_html: bool, depth: int, *keep: str
 def headers(raw: DataFrame) -> DataFrame:
     """Header rows; the part tree is not read."""
     kind = message_type(0)
-    return _select(raw.withColumn("m", F.from_json("payload", kind)), False, False, 0)
+    return _select(spread(raw).withColumn("m", F.from_json("payload", kind)), False, False, 0)
 
 
 @form("gmail", message_type(), lambda payload: F.array(F.from_json(payload, message_type())))
@@ -193,13 +194,13 @@ def _item_columns(df: DataFrame, item: str) -> tuple[DataFrame, dict[str, Column
 
 def messages(raw: DataFrame, prefer_html: bool = False, depth: int = DEPTH) -> DataFrame:
     """Full messages."""
-    return _select(raw.withColumn("m", F.from_json("payload", message_type(depth))), True, prefer_html, depth)
+    return _select(spread(raw).withColumn("m", F.from_json("payload", message_type(depth))), True, prefer_html, depth)
 
 
 def thread_messages(raw: DataFrame, depth: int = DEPTH) -> DataFrame:
     """Messages of thread payloads, numbered from 1, under the subject of the first."""
     kind = f"STRUCT<id:STRING,messages:ARRAY<{message_type(depth)}>>"
-    threads = raw.withColumn("t", F.from_json("payload", kind))
+    threads = spread(raw).withColumn("t", F.from_json("payload", kind))
     rows = threads.select(
         "source", "seq", F.col("t.id").alias("_thread"), F.col("t.messages")[0]["payload"]["headers"].alias("_first"),
         F.size("t.messages").cast("bigint").alias("message_count"), F.posexplode("t.messages").alias("pos", "m"))

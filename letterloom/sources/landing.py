@@ -12,6 +12,7 @@ from letterloom.functions import dates
 from letterloom.functions.headers import clean_headers
 from letterloom.operators.agenda import duration_minutes
 from letterloom.schema import EVENTS, MESSAGES, RAW, conform, struct
+from letterloom.session import spread
 
 # A mapper turns raw payloads of one provider into message rows, or into event rows.
 Mapper = Callable[[DataFrame], DataFrame]
@@ -125,7 +126,7 @@ def _items(forms: dict[str, Form]) -> Column:
 
 def _taken_apart(raw: DataFrame, forms: dict[str, Form], target: str) -> DataFrame:
     """The rows of all forms in one pass: a payload is read by its provider's form only."""
-    rows = raw.where(F.col("provider").isin(*forms) & ~_broken())
+    rows = spread(raw.where(F.col("provider").isin(*forms))).where(~_broken())
     rows = rows.select(*[c for c in rows.columns if c != "payload"], F.posexplode(_items(forms)).alias("pos", "_item"))
     found = {}
     for provider, each in forms.items():
@@ -167,6 +168,7 @@ def land_events(raw: DataFrame) -> DataFrame:
 
 def rows_of(raw: DataFrame, own: Form, *keep: str) -> DataFrame:
     """The rows of payloads of one form: source, seq, the kept columns, pos and what the form gives."""
+    raw = spread(raw)
     items = raw.select(*[c for c in raw.columns if c != "payload"], F.posexplode(own.items(F.col("payload"))).alias("pos", "_item"))
     df, columns = own.columns(items, "_item")
     return df.select("source", "seq", *keep, "pos", *[c.alias(n) for n, c in columns.items()])

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from letterloom.functions import patterns as P
 from letterloom.functions.headers import either, lit_map
+from letterloom.session import spread
 from letterloom.sources.landing import FORMS, form, prefixed, rows_of, text
 
 NOTIFICATION = ("STRUCT<id:STRING,unread:BOOLEAN,reason:STRING,updated_at:STRING,"
@@ -94,7 +95,7 @@ def issues(raw: DataFrame) -> DataFrame:
     """Issues and pull requests as the heads of their threads; ``ref`` is ``owner/repo#42``."""
     i = F.col("i")
     thread = F.concat("source", F.lit(":"), "ref")
-    return raw.withColumn("i", F.from_json("payload", ISSUE)).select(
+    return spread(raw).withColumn("i", F.from_json("payload", ISSUE)).select(
         "source", "seq", thread.alias("id"), thread.alias("thread_id"), text(i["user"]["login"]).alias("sender"),
         text(i["title"]).alias("subject"), text(i["created_at"]).alias("date"), text(i["body"]).alias("body"),
         text(i["state"]).alias("state"), text(i["html_url"]).alias("link"),
@@ -115,7 +116,7 @@ def _reply_columns(item: Column, kind: str, date: Column) -> list[Column]:
 def comments(raw: DataFrame, kind: str = "comments") -> DataFrame:
     """Comments on issues; ``kind='pull-comments'`` for those on lines of a pull request."""
     c = F.col("c")
-    return raw.withColumn("c", F.from_json("payload", COMMENT)).select(
+    return spread(raw).withColumn("c", F.from_json("payload", COMMENT)).select(
         *_reply_columns(c, kind, c["created_at"]), text(c["body"]).alias("body"))
 
 
@@ -125,7 +126,7 @@ def reviews(raw: DataFrame) -> DataFrame:
     state = F.upper(text(r["state"]))
     body = F.when(state == "", text(r["body"])).otherwise(
         F.trim(F.concat(F.lit("["), state, F.lit("] "), text(r["body"]))))
-    return raw.withColumn("r", F.from_json("payload", REVIEW)).select(
+    return spread(raw).withColumn("r", F.from_json("payload", REVIEW)).select(
         *_reply_columns(r, "reviews", r["submitted_at"]), body.alias("body"), state.alias("state"))
 
 
@@ -134,7 +135,7 @@ def search_hits(raw: DataFrame) -> DataFrame:
     i = F.col("i")
     ref = F.coalesce(issue_ref(i["url"]), F.concat(repository(i["repository_url"]), F.lit("#"), text(i["number"])))
     thread = F.concat("source", F.lit(":"), "_ref")
-    return raw.withColumn("i", F.from_json("payload", ISSUE)).withColumn("_ref", ref).where("_ref IS NOT NULL").select(
+    return spread(raw).withColumn("i", F.from_json("payload", ISSUE)).withColumn("_ref", ref).where("_ref IS NOT NULL").select(
         "source", "seq", thread.alias("id"), thread.alias("thread_id"), text(i["user"]["login"]).alias("sender"),
         text(i["title"]).alias("subject"), either(i["updated_at"], i["created_at"]).alias("date"),
         F.substring(text(i["body"]), 1, 200).alias("snippet"), text(i["state"]).alias("state"),
