@@ -68,32 +68,44 @@ def siblings(sources: DataFrame) -> DataFrame:
     return left.join(right, "_provider").drop("_provider")
 
 
+def _under_sources(known: DataFrame, sources: DataFrame) -> DataFrame:
+    """(provider, own, prio, alias) of identifiers under a configured source: what follows its prefix.
+
+    Every stretch before a colon may be the prefix, so prefixes are looked up by value.
+    """
+    parts = F.split("identifier", ":", -1)
+    cut = F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda n: F.struct(
+        F.array_join(F.slice(parts, F.lit(1), n), ":").alias("prefix"), F.array_join(F.slice(parts, n + 1, F.size(parts)), ":").alias("own")))
+    return known.where(F.instr("identifier", ":") > 0).select("alias", F.inline(cut)).join(
+        sources.select("prefix", F.lower("provider").alias("provider"), (F.col("ord") + 3).alias("prio")), "prefix").select(
+        "provider", "own", "prio", "alias")
+
+
 def named(rows: DataFrame, contacts: DataFrame, sources: DataFrame) -> DataFrame:
     """Rows that no two agree in, with the ``name`` of their sender: an alias, or the sender.
 
     Keys in falling priority: the sender itself; the part after its colon, where it has one;
-    else the sender under its own source, under sibling sources, under the canonical ones.
-    The keys of a row are laid out side by side and looked up in one join, and the best hit
-    is taken with map-side partials.
+    else the sender under its own source, under sources of the same provider, under the
+    canonical ones. A row asks for a fixed number of keys, and for the sender under its
+    provider, whose sources are taken off the identifiers; so no keys grow with the sources.
+    The best hit is taken with map-side partials.
     """
-    sender = F.col("sender")
-    related = siblings(sources).groupBy("prefix").agg(
-        F.collect_list(F.struct((F.col("sibling_ord") + 3).alias("prio"), "sibling")).alias("_siblings"))
+    sender, known = F.col("sender"), aliases(contacts)
 
     def key(prio, value):
-        return F.struct(F.lit(prio).alias("prio"), value.alias("key"))
+        return F.struct(F.lit(prio).alias("_prio"), value.alias("identifier"))
 
-    known = F.transform(F.coalesce("_siblings", F.array().cast("array<struct<prio:int,sibling:string>>")),
-                        lambda x: F.struct(x["prio"], F.concat(x["sibling"], F.lit(":"), sender).alias("key")))
-    own = F.concat(
-        F.filter(F.array(F.when(F.col("source") != "", key(2, F.concat("source", F.lit(":"), sender)))), lambda x: x.isNotNull()),
-        known, F.array(*[key(LAST + i, F.concat(F.lit(f"{p}:"), sender)) for i, p in enumerate(P.SOURCE_LABELS)]))
+    own = F.filter(
+        F.array(F.when(F.col("source") != "", key(2, F.concat("source", F.lit(":"), sender))),
+                *[key(LAST + i, F.concat(F.lit(f"{p}:"), sender)) for i, p in enumerate(P.SOURCE_LABELS)]), lambda x: x.isNotNull())
     keys = F.concat(F.array(key(0, sender)), F.when(F.instr(sender, ":") > 0, F.array(key(1, after_colon(sender)))).otherwise(own))
-    asked = rows.join(related, F.col("source") == F.col("prefix"), "left").select(
-        *rows.columns, F.inline(keys).alias("_prio", "_key"))
-    found = asked.join(aliases(contacts).select(F.col("identifier").alias("_key"), F.col("alias").alias("_alias")), "_key", "left")
+    direct = rows.select(*rows.columns, F.inline(keys)).join(known, "identifier").select(*rows.columns, "_prio", F.col("alias").alias("_alias"))
+    provider = sources.select(F.col("prefix").alias("_prefix"), F.lower("provider").alias("_provider"))
+    under = _under_sources(known, sources).select(F.col("provider").alias("_provider"), F.col("own").alias("_own"), F.col("prio").alias("_prio"), F.col("alias").alias("_alias"))
+    related = rows.where(F.instr(sender, ":") == 0).join(provider, F.col("source") == F.col("_prefix")).withColumn("_own", sender).join(under, ["_provider", "_own"]).select(*rows.columns, "_prio", "_alias")
+    nothing = rows.select(*rows.columns, F.lit(None).cast("int").alias("_prio"), F.lit(None).cast("string").alias("_alias"))
     hit = F.when(F.col("_alias").isNotNull(), F.struct("_prio", "_alias"))
-    return found.groupBy(*rows.columns).agg(F.min(hit).alias("_hit")).select(
+    return nothing.unionAll(direct).unionAll(related).groupBy(*rows.columns).agg(F.min(hit).alias("_hit")).select(
         *rows.columns, F.coalesce("_hit._alias", "sender").alias("name"))
 
 

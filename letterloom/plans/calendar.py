@@ -91,14 +91,14 @@ def event_times(spark, folder):
 
 
 @query("summer_time", """
-WITH e AS (SELECT event_id, CASE WHEN event_id % 2 = 0 THEN DATE '2026-10-25' ELSE DATE '2026-03-29' END AS day, (event_id * 7) % 240 AS m FROM events)
+WITH e AS (SELECT event_id, CASE WHEN event_id % 2 = 0 THEN DATE '2027-10-31' ELSE DATE '2027-03-28' END AS day, (event_id * 7) % 240 AS m FROM events)
 SELECT event_id, strftime(day + to_minutes(m) - to_hours(CASE WHEN (month(day) = 10) = (m < 180) THEN 2 ELSE 1 END), '%Y-%m-%dT%H:%M:%S+00:00') AS start FROM e""")
 def summer_time(spark, folder):
     """Times in the night in which clocks change: a repeated hour is its first, a skipped one lies an hour on."""
     minutes = F.expr("CAST((event_id * 7) % 240 AS INT)")
-    day = F.expr("if(event_id % 2 = 0, '2026-10-25', '2026-03-29')")
+    day = F.expr("if(event_id % 2 = 0, '2027-10-31', '2027-03-28')")
     local = F.concat(day, F.lit("T"), F.lpad(F.floor(minutes / 60).cast("string"), 2, "0"), F.lit(":"), F.lpad((minutes % 60).cast("string"), 2, "0"), F.lit(":00"))
-    return C.table(spark, folder, "events").select("event_id", dates.to_utc_iso(local, F.lit("Europe/Amsterdam")).alias("start"))
+    return C.table(spark, folder, "events").select("event_id", dates.to_utc_iso(local, F.lit("Europe/Berlin")).alias("start"))
 
 
 @query("rrule_text", """

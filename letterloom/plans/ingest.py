@@ -304,11 +304,17 @@ def meter_snapshots(spark, folder):
     return live_meters(polls, C.sources(spark)).select("source", listed.alias("meters"))
 
 
+def chat_raw(spark, folder) -> DataFrame:
+    """Chat lines, one a payload, with a blank and a broken line."""
+    return C.table(spark, folder, "events").selectExpr("'w' AS source", "'whatsapp' AS provider", "event_id AS seq", """concat('\n', to_json(named_struct(
+        'id', CAST(event_id AS STRING), 'timestamp', date_format(ts, 'yyyy-MM-dd HH:mm:ss'), 'sender_jid', concat(user_id, '@s.whatsapp.net'), 'content', event_type)), '\n{broken') AS payload""")
+
+
 def mixed_raw(spark, folder) -> DataFrame:
-    """Payloads of four providers, some broken, and some of a provider that nobody knows."""
+    """Payloads of five providers, some broken, and some of a provider that nobody knows."""
     mail = gmail_raw(spark, folder)
     raw = mail.unionByName(notification_raw(spark, folder)).unionByName(notice_raw(spark, folder).drop("polled_at"))
-    raw = raw.unionByName(graph_raw(spark, folder)[1].withColumn("provider", F.lit("o365")))
+    raw = raw.unionByName(graph_raw(spark, folder)[1].withColumn("provider", F.lit("o365"))).unionByName(chat_raw(spark, folder))
     bad = mail.where("seq % 10 = 0").withColumn("payload", F.expr("if(seq % 4 = 0, '{broken', NULL)"))
     return raw.unionByName(bad).unionByName(mail.where("seq % 10 = 2").withColumn("provider", F.expr("if(seq % 4 = 0, 'pigeon', NULL)")))
 
@@ -316,9 +322,10 @@ def mixed_raw(spark, folder) -> DataFrame:
 @query("landed_messages", with_views(MSG) + f"""
 SELECT 'gmail' AS provider, count(*) AS messages, min(date) AS first, max(date) AS last FROM msg WHERE source = 'g'
 UNION ALL SELECT 'github', count(*), min(date), max(date) FROM ({NOTIFIED}) UNION ALL SELECT 'http', count(*), min(date), max(date) FROM ({NOTICES})
-UNION ALL SELECT 'o365', count(*), min(date), max(date) FROM msg WHERE source = 'o'""")
+UNION ALL SELECT 'o365', count(*), min(date), max(date) FROM msg WHERE source = 'o'
+UNION ALL SELECT 'whatsapp', count(*), strftime(min(ts), '%Y-%m-%dT%H:%M:%SZ'), strftime(max(ts), '%Y-%m-%dT%H:%M:%SZ') FROM events""")
 def landed_messages(spark, folder):
-    """Payloads of four providers as one table of messages; broken and unknown ones make no rows."""
+    """Payloads of five providers as one table of messages; broken and unknown ones make no rows."""
     return landing.land(mixed_raw(spark, folder)).groupBy("provider").agg(
         F.count("*").alias("messages"), F.min("date").alias("first"), F.max("date").alias("last"))
 

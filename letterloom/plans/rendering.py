@@ -9,9 +9,9 @@ from letterloom.plans import corpora as C
 from letterloom.plans.calendar import TZ, WEEK, E, week
 from letterloom.plans.messages import M, RESOLVED
 from letterloom.plans.registry import query
-from letterloom.session import fresh_path
 from letterloom.plans.sql_views import CHAT, with_views
 from letterloom.plans.state import ORDER
+from letterloom.session import fresh_path
 
 
 SNIP = r"replace(regexp_replace(trim(snippet, E' \n'), E'[\r\n]+', ' ', 'g'), '|', '/')"
@@ -133,6 +133,21 @@ def render_thread(spark, folder):
     return render.full_threads(C.chat(spark, folder))
 
 
+@query("render_thread_lines_json", CHATS + """
+SELECT thread_id, idx, '{"from":' || to_json(sender)::VARCHAR || ',"date":' || to_json(date)::VARCHAR || ',"body":' || to_json(body)::VARCHAR || ',"subject":' || to_json(subject)::VARCHAR || '}' AS line FROM num
+UNION ALL SELECT thread_id, 0, '{"thread_id":"' || thread_id || '","subject":"' || head || '","message_count":' || n || '}' FROM num WHERE idx = 1""")
+def render_thread_lines_json(spark, folder):
+    return render.full_threads(C.chat(spark, folder), "json")
+
+
+@query("render_thread_lines_xml", CHATS + """
+SELECT thread_id, idx, '<m from="' || sender || '" date="' || date || '">' || chr(10) || replace(replace(replace(body, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') || chr(10) || '</m>' AS line FROM num
+UNION ALL SELECT thread_id, 0, '<thread id="' || thread_id || '" subject="' || head || '" count="' || n || '">' FROM num WHERE idx = 1
+UNION ALL SELECT thread_id, n + 1, '</thread>' FROM num WHERE idx = 1""")
+def render_thread_lines_xml(spark, folder):
+    return render.full_threads(C.chat(spark, folder), "xml")
+
+
 @query("render_convo", CHATS + r"""
 , tok AS (SELECT thread_id, sender, CASE WHEN count(*) OVER (PARTITION BY thread_id, sender[1]) = 1 THEN upper(sender[1]) ELSE upper(sender[1]) || sender[2:] END AS token FROM (SELECT DISTINCT thread_id, sender FROM chat)),
 flat AS (SELECT *, trim(replace(regexp_replace(body, '\s+', ' ', 'g'), '|', '/')) AS f, coalesce(date[1:10] <> lag(date[1:10]) OVER (PARTITION BY thread_id ORDER BY idx), true) AS opens,
@@ -171,14 +186,17 @@ def render_overview_contact(spark, folder):
     return render.overview_drill(parts, "u77")
 
 
-@query("render_overview_source", M + """
+@query("render_overview_source", RESOLVED + """
 , o AS (SELECT * FROM msg WHERE source = 'o' AND schema_version >= 3 AND mailbox LIKE '%me@example.com'),
-th AS (SELECT thread_id, count(*) AS n, arg_min(subject, seq) AS subject, row_number() OVER (ORDER BY count(*) DESC, thread_id) AS r FROM o WHERE thread_id IS NOT NULL GROUP BY thread_id QUALIFY r <= 10)
+th AS (SELECT thread_id, count(*) AS n, arg_min(subject, seq) AS subject, row_number() OVER (ORDER BY count(*) DESC, thread_id) AS r FROM o WHERE thread_id IS NOT NULL GROUP BY thread_id QUALIFY r <= 10),
+sn AS (SELECT name, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, name) AS r FROM o JOIN resolved USING (source, sender) GROUP BY name QUALIFY r <= 10)
 SELECT 0::BIGINT AS part, '0' AS rank, '<overview level="source" prefix="o" label="o365" total="' || count(*) || '">' AS line FROM o
+UNION ALL SELECT 1, lpad(CAST(r AS VARCHAR), 9, '0'), '<sender name="' || name || '" count="' || n || '"/>' FROM sn
 UNION ALL SELECT 2, lpad(CAST(r AS VARCHAR), 9, '0'), '<thread subject="' || subject || '" count="' || n || '" id="' || thread_id || '"/>' FROM th""")
 def render_overview_source(spark, folder):
+    """One source: its head, its ten busiest senders and its ten longest threads."""
     parts = overview.overview(C.messages(spark, folder), C.contacts(spark, folder), C.sources(spark), source="o")
-    return render.overview_drill(parts, "o", "xml").where("part <> 1")
+    return render.overview_drill(parts, "o", "xml")
 
 
 @query("render_label_stats", M + """
@@ -192,6 +210,17 @@ def render_label_stats(spark, folder):
     return render.mailbox_stats(mailbox.label_stats(C.messages(spark, folder)), C.sources(spark))
 
 
+@query("render_label_stats_xml", M + """
+, l AS (SELECT source, unread, unnest(labels) AS label FROM msg),
+s AS (SELECT source, CASE label WHEN 'INBOX' THEN 'Inbox' WHEN 'CATEGORY_SOCIAL' THEN 'Social' WHEN 'CATEGORY_UPDATES' THEN 'Updates' ELSE 'Trash' END AS name,
+  CASE label WHEN 'INBOX' THEN 0 WHEN 'CATEGORY_SOCIAL' THEN 2 WHEN 'CATEGORY_UPDATES' THEN 4 ELSE 7 END AS ord, count(*) AS t, count(*) FILTER (unread) AS u FROM l WHERE label <> 'UNREAD' GROUP BY source, label)
+SELECT source, ord, '<label name="' || name || '" total="' || t || '" unread="' || u || '"/>' AS line FROM s
+UNION ALL SELECT * FROM (VALUES ('g', -1, '<src prefix="g" provider="gmail">'), ('o', -1, '<src prefix="o" provider="o365">'), ('w', -1, '<src prefix="w" provider="whatsapp">'),
+  ('gw', -1, '<src prefix="gw" error="offline"/>'), ('h', -1, '<src prefix="h" error="offline"/>'), ('gc', -1, '<src prefix="gc" error="offline"/>'))""")
+def render_label_stats_xml(spark, folder):
+    return render.mailbox_stats(mailbox.label_stats(C.messages(spark, folder)), C.sources(spark), "xml")
+
+
 @query("render_agenda", E + WEEK + """
 SELECT day, CASE WHEN all_day THEN 0 ELSE 1 END AS clock, start, id, '0|' || source || '|' || CASE WHEN all_day THEN CASE WHEN after_day - 1 <> first_day THEN strftime(first_day, '%b %-d') || '-' || date_part('day', after_day - 1) ELSE strftime(first_day, '%b %-d all-day') END
     ELSE strftime(start_utc + INTERVAL 9 HOUR, '%b %-d %H:%M-') || strftime(end_utc + INTERVAL 9 HOUR, '%H:%M') END

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from letterloom.operators import feed, store
@@ -13,8 +14,31 @@ from letterloom.session import fresh_path
 from letterloom.streaming import bulk, consumers, jobs
 
 
+BATCHES = 3
+
+
+def _thirds(df) -> Column:
+    """Which third of its days a row falls into, from 0."""
+    span = df.agg(F.min(F.to_date("ts")).alias("lo"), F.max(F.to_date("ts")).alias("hi"))
+    lo, hi = span.select("lo").scalar(), span.select("hi").scalar()
+    return F.floor(F.date_diff(F.to_date("ts"), lo) * BATCHES / (F.date_diff(hi, lo) + 1)).cast("int")
+
+
+def _landed(spark, df, part):
+    """``df`` as a stream of three files, landed one after the other and read one a batch."""
+    base = fresh_path(spark, "landed")
+    for n in range(BATCHES):
+        df.where(part == n).coalesce(1).write.parquet(f"{base}/{n}")
+    return spark.readStream.schema(df.schema).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", 1).parquet(base)
+
+
+def _table_stream(spark, folder):
+    events = C.table(spark, folder, "events")
+    return _landed(spark, events, _thirds(events))
+
+
 def _events(spark, folder):
-    return jobs.stream_table(spark, folder, "events").selectExpr(
+    return _table_stream(spark, folder).selectExpr(
         "concat('h:', event_id) AS id", "concat('h', user_id % 3) AS source", "concat('t', user_id) AS thread_id",
         "CAST(ts AS TIMESTAMP) AS ts", "date_format(ts, \"yyyy-MM-dd'T'HH:mm:ss'Z'\") AS date", "event_type AS subject")
 
@@ -47,8 +71,14 @@ def stream_offsets(spark, folder):
     return jobs.snapshot(spark, out)
 
 
-@query("stream_refs", EV + "SELECT id, row_number() OVER (ORDER BY date DESC, id) AS ref FROM ev")
+PARTS = """, span AS (SELECT min(CAST(ts AS DATE)) AS lo, max(CAST(ts AS DATE)) AS hi FROM events),
+parts AS (SELECT ev.*, (date_diff('day', lo, CAST(ts AS DATE)) * 3) // (date_diff('day', lo, hi) + 1) AS part FROM ev, span)
+"""
+
+
+@query("stream_refs", EV + PARTS + "SELECT id, row_number() OVER (ORDER BY part, date DESC, id) AS ref FROM parts")
 def stream_refs(spark, folder):
+    """Numbers batch by batch, newest first in each."""
     out, checkpoint = jobs.working_paths(spark, "refs")
     jobs.number_refs(_events(spark, folder), out, checkpoint)
     return jobs.refs(spark, out)
@@ -58,7 +88,7 @@ def stream_refs(spark, folder):
 SELECT command, source, count(*) AS calls, CAST(sum(bytes_in) AS BIGINT) AS bytes_in, CAST(sum(bytes_out) AS BIGINT) AS bytes_out, CAST(sum(messages) AS BIGINT) AS messages FROM log GROUP BY ALL""")
 def stream_usage(spark, folder):
     out, checkpoint = jobs.working_paths(spark, "usage")
-    log = jobs.stream_table(spark, folder, "lineitem").selectExpr(
+    log = _landed(spark, C.table(spark, folder, "lineitem"), F.col("l_orderkey") % BATCHES).selectExpr(
         "l_returnflag AS command", "l_linestatus AS source", "CAST(l_extendedprice AS BIGINT) AS bytes_in",
         "CAST(l_extendedprice * l_discount AS BIGINT) AS bytes_out", "CAST(l_quantity AS BIGINT) AS messages")
     jobs.usage_counters(log, out, checkpoint)
@@ -69,7 +99,7 @@ def stream_usage(spark, folder):
 SELECT 'h' || (user_id % 4) AS source, arg_max(event_type || '=' || event_id, row(ts, event_id)) AS meters FROM events GROUP BY 1""")
 def stream_meters(spark, folder):
     out, checkpoint = jobs.working_paths(spark, "meters")
-    polls = jobs.stream_table(spark, folder, "events").selectExpr(
+    polls = _table_stream(spark, folder).selectExpr(
         "concat('h', user_id % 4) AS source", "struct(ts, event_id) AS polled_at", "array(struct(event_type AS label, event_id AS count, '' AS link)) AS meters")
     jobs.last_meters(polls, out, checkpoint)
     first = F.col("meters")[0]
@@ -143,28 +173,21 @@ def stream_page_offsets(spark, folder):
 
 
 # Late rows: the events land in three files by their day; every seventh lands with the next third.
-THIRDS = """, span AS (SELECT min(CAST(ts AS DATE)) AS lo, max(CAST(ts AS DATE)) AS hi FROM events),
-parts AS (SELECT source, ts, least(2, (date_diff('day', lo, CAST(ts AS DATE)) * 3) // (date_diff('day', lo, hi) + 1) + CASE WHEN CAST(id[3:] AS BIGINT) % 7 = 0 THEN 1 ELSE 0 END) AS part FROM ev, span),
-marks AS (SELECT p.part, (SELECT max(ts) FROM parts q WHERE q.part < p.part) - INTERVAL 1 DAY AS before FROM (SELECT DISTINCT part FROM parts) p),
-days AS (SELECT source, date_trunc('day', ts) AS day, coalesce(date_trunc('day', ts) + INTERVAL 1 DAY <= before, false) AS late FROM parts JOIN marks USING (part))
+THIRDS = PARTS + """, shifted AS (SELECT source, ts, least(2, part + CASE WHEN CAST(id[3:] AS BIGINT) % 7 = 0 THEN 1 ELSE 0 END) AS part FROM parts),
+marks AS (SELECT p.part, (SELECT max(ts) FROM shifted q WHERE q.part < p.part) - INTERVAL 1 DAY AS before FROM (SELECT DISTINCT part FROM shifted) p),
+days AS (SELECT source, date_trunc('day', ts) AS day, coalesce(date_trunc('day', ts) + INTERVAL 1 DAY <= before, false) AS late FROM shifted JOIN marks USING (part))
 SELECT source, strftime(day, '%Y-%m-%d') AS day, count(*) FILTER (NOT late) AS count, count(*) FILTER (late) AS late FROM days
-GROUP BY source, day HAVING days.day + INTERVAL 1 DAY <= (SELECT max(ts) FROM parts) - INTERVAL 1 DAY"""
+GROUP BY source, day HAVING days.day + INTERVAL 1 DAY <= (SELECT max(ts) FROM shifted) - INTERVAL 1 DAY"""
 
 
 @query("stream_late_rows", EV + THIRDS)
 def stream_late_rows(spark, folder):
     """Notices per source and final day, and how many came when their day was closed already."""
-    base = fresh_path(spark, "late")
     events = C.table(spark, folder, "events").selectExpr("event_id", "concat('h', user_id % 3) AS source", "CAST(ts AS TIMESTAMP) AS ts")
-    span = events.agg(F.min(F.to_date("ts")).alias("lo"), F.max(F.to_date("ts")).alias("hi"))
-    lo, hi = span.select("lo").scalar(), span.select("hi").scalar()
-    third = F.floor(F.date_diff(F.to_date("ts"), lo) * 3 / (F.date_diff(hi, lo) + 1)).cast("int")
-    parts = events.withColumn("part", F.least(F.lit(2), third + F.when(F.col("event_id") % 7 == 0, 1).otherwise(0)))
-    for n in range(3):
-        parts.where(F.col("part") == n).drop("part").write.parquet(f"{base}/landed/{n}")
-        stream = spark.readStream.schema("event_id bigint, source string, ts timestamp").option("recursiveFileLookup", "true").parquet(f"{base}/landed")
-        jobs.windows_with_late(stream, f"{base}/table", f"{base}/checkpoint")
-    return jobs.windows(spark, f"{base}/table").select("source", F.date_format("start", "yyyy-MM-dd").alias("day"), "count", "late")
+    part = F.least(F.lit(BATCHES - 1), _thirds(events) + F.when(F.col("event_id") % 7 == 0, 1).otherwise(0))
+    out, checkpoint = jobs.working_paths(spark, "late")
+    jobs.windows_with_late(_landed(spark, events, part), out, checkpoint)
+    return jobs.windows(spark, out).select("source", F.date_format("start", "yyyy-MM-dd").alias("day"), "count", "late")
 
 
 @query("bulk_load", with_views(MSG) + """

@@ -18,13 +18,6 @@ from letterloom.session import fresh_path, materialise
 from letterloom.streaming import levels
 
 
-def stream_table(spark: SparkSession, folder: str, name: str, files: int = 1000) -> DataFrame:
-    """A given table as a stream of its files; the schema is the one that is stored."""
-    schema = spark.read.parquet(f"{folder}/{name}.parquet").schema
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).option(
-        "pathGlobFilter", f"{name}.parquet").parquet(folder)
-
-
 def run(query) -> StreamingQuery:
     """Start a configured stream and wait until all that is there is read."""
     started = query.trigger(availableNow=True).start()

@@ -35,7 +35,7 @@ def test_mail_dates(apply):
 
 
 def test_zones_and_summer_time(spark):
-    rows = [("2026-10-25T02:30:00", "Europe/Amsterdam", "2026-10-25T00:30:00+00:00"),
+    rows = [("2027-10-31T02:10:00", "Europe/Berlin", "2027-10-31T00:10:00+00:00"), ("2027-03-28T02:10:00", "Europe/Berlin", "2027-03-28T01:10:00+00:00"),
             ("2026-03-10T09:00:00", "America/New_York", "2026-03-10T13:00:00+00:00"),
             ("2026-03-10T09:00:00Z", "America/New_York", "2026-03-10T09:00:00+00:00"),
             ("2026-03-10T09:00:00.250000+02:00", "UTC", "2026-03-10T07:00:00.250000+00:00"), ("noon", "UTC", "noon")]

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from letterloom import schema
+from letterloom import schema, session
 from letterloom.operators import agenda, components, feed, filters, identity, lookups, mailbox, ordering, store, threads, usage
 from letterloom.operators import render
 from letterloom.plans import corpora as C
@@ -265,6 +265,19 @@ def test_stamped_headers(spark):
     assert "body" not in store.stamped(df, sources, F.lit("now")).columns
 
 
+def test_rows_are_spread_only_where_files_are_few(spark, tmp_path):
+    path, cores = str(tmp_path / "one"), spark.sparkContext.defaultParallelism
+    spark.range(100).coalesce(1).write.parquet(path)
+    one = spark.read.parquet(path)
+    assert session.spread(one).rdd.getNumPartitions() == cores and session.spread(one).count() == 100
+    many = spark.range(0, 100, 1, cores)
+    assert session.spread(many) is many
+    counted = one.groupBy("id").count()
+    assert session.spread(counted) is counted
+    stream = spark.readStream.schema("id long").parquet(path)
+    assert session.spread(stream) is stream
+
+
 def test_cleared_offsets(spark):
     offsets = spark.createDataFrame([("a", "g", "1"), ("b", "g", "2")], schema.OFFSETS)
     assert rows(feed.clear_offsets(offsets, "a"), "key") == [("b", "g", "2")]
@@ -291,6 +304,16 @@ def test_sender_names(spark):
     assert got == {"ann@x.org": "ann", "bob@x.org": "bob", "k:bob2": "zed", "k:none": "k:none", "dup": "aaa", "nobody": "nobody"}
 
 
+def test_names_under_a_provider(spark):
+    """Sources with colons, several sources of a provider, and the order of keys."""
+    sources = spark.createDataFrame([("g", "Gmail", None, None, None, None, None, None, 3), ("g:x", "gmail", None, None, None, None, None, None, 1), ("o", "o365", None, None, None, None, None, None, 2)], schema.SOURCES)
+    contacts = spark.createDataFrame([("first", "g:x:a@b", 1), ("second", "g:a@b", 1), ("other", "o:a@b", 1), ("colon", "g:x:y", 1), ("own", "g:x:c@d", 1), ("sib", "g:c@d", 1), ("fixed", "w:e@f", 1)], "alias string, identifier string, ord int")
+    pairs = spark.createDataFrame([("g", "a@b"), ("g:x", "a@b"), ("o", "a@b"), ("o", "c@d"), ("zz", "a@b"), ("", "c@d"), ("g", "e@f"), ("g", "x:y"), ("g", "y")], "source string, sender string")
+    got = {(r.source, r.sender): r.name for r in lookups.named(pairs, contacts, sources).collect()}
+    assert got == {("g", "a@b"): "second", ("g:x", "a@b"): "first", ("o", "a@b"): "other", ("o", "c@d"): "sib", ("zz", "a@b"): "second",
+                   ("", "c@d"): "sib", ("g", "e@f"): "fixed", ("g", "x:y"): "x:y", ("g", "y"): "colon"}
+
+
 def plan_by_hand(cards_, existing):
     owner = {i: a for a, ids in existing.items() for i in ids}
     taken, out = set(), {}
