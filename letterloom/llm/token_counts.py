@@ -208,24 +208,16 @@ def grown(docs: DataFrame, ranks: bytes, pattern: str = bpe.PATTERN) -> DataFram
     return _key(docs).mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in keep) + ", " + LEAVES)
 
 
-def edited(docs: DataFrame, trees: DataFrame, ranks: bytes, pattern: str = bpe.PATTERN) -> DataFrame:
-    """(doc_id, text, n_edits, n_pieces_before, n_tokens_before) of ``docs`` after their edits, with LEAVES.
-
-    ``docs`` has doc_id, text and ``edits``; rows without edits are left out, and their trees
-    are not opened. Trees come from ``grown``; what is given back, without the text and with a
-    key of its own, can take the place of the trees it came from. A text without a tree in
-    ``trees`` is left out.
-    """
-    held = docs.sparkSession.sparkContext.broadcast(ranks)
-    todo = stored(_key(pick(docs, "doc_id", "text", "edits").withColumn("edits", F.expr(f"filter({VALID})")).where("size(edits) > 0")), "token-edits")
-    stored_ = trees.select("key", "lengths", "tokens").join(todo.select("key").distinct(), "key", "left_semi").dropDuplicates(["key"])
+def _edit(rows: DataFrame, ranks: bytes, pattern: str) -> DataFrame:
+    """What ``edited`` gives, of rows that have a text, its edits and its leaves."""
+    held = rows.sparkSession.sparkContext.broadcast(ranks)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = bpe.coder(held.value, pattern)
         for batch in batches:
-            for rows, _, _ in W.runs(batch):
+            for part, _, _ in W.runs(batch):
                 after, texts, before = [], [], []
-                for row in rows.select(["text", "edits", "lengths", "tokens"]).to_pylist():
+                for row in part.select(["text", "edits", "lengths", "tokens"]).to_pylist():
                     before.append((len(row["lengths"]), sum(row["tokens"])))
                     tree = Tree(coder, row["text"] or "", (row["lengths"], row["tokens"]))
                     for e in row["edits"]:
@@ -233,14 +225,27 @@ def edited(docs: DataFrame, trees: DataFrame, ranks: bytes, pattern: str = bpe.P
                     texts.append(tree.text)
                     after.append(tree.leaves())
                 yield pa.RecordBatch.from_arrays(
-                    [rows.column("doc_id"), pa.array(texts, pa.string()), pa.array([len(e) for e in rows.column("edits").to_pylist()], pa.int64()),
+                    [part.column("doc_id"), pa.array(texts, pa.string()), pa.array([len(e) for e in part.column("edits").to_pylist()], pa.int64()),
                      pa.array([n for n, _ in before], pa.int64()), pa.array([n for _, n in before], pa.int64()), *_leaves(after)],
                     names=["doc_id", "text", "n_edits", "n_pieces_before", "n_tokens_before", "n_pieces", "n_tokens", "lengths", "tokens"])
 
-    return todo.join(stored_, "key").mapInArrow(
+    return rows.select("doc_id", "text", "edits", "lengths", "tokens").mapInArrow(
         run, f"doc_id long, text string, n_edits long, n_pieces_before long, n_tokens_before long, {LEAVES}")
 
 
+def edited(docs: DataFrame, trees: DataFrame, ranks: bytes, pattern: str = bpe.PATTERN) -> DataFrame:
+    """(doc_id, text, n_edits, n_pieces_before, n_tokens_before) of ``docs`` after their edits, with LEAVES.
+
+    ``docs`` has doc_id, text and ``edits``; rows without edits are left out, and their trees
+    are not opened. Trees come from ``grown``; what is given back, without the text and with a
+    key of its own, can take the place of the trees it came from. A text without a tree in
+    ``trees`` is left out.
+    """
+    todo = stored(_key(pick(docs, "doc_id", "text", "edits").withColumn("edits", F.expr(f"filter({VALID})")).where("size(edits) > 0")), "token-edits")
+    own = trees.select("key", "lengths", "tokens").join(todo.select("key").distinct(), "key", "left_semi").dropDuplicates(["key"])
+    return _edit(todo.join(own, "key"), ranks, pattern)
+
+
 def counted(docs: DataFrame, ranks: bytes, pattern: str = bpe.PATTERN) -> DataFrame:
     """(doc_id, n_pieces, n_tokens, n_edits, n_tokens_after) of every row of ``docs``.
 
@@ -251,12 +256,15 @@ def counted(docs: DataFrame, ranks: bytes, pattern: str = bpe.PATTERN) -> DataFr
     is empty. NULL ids and repeated rows are rows like others; other columns are ignored.
     """
     docs = pick(docs, "doc_id", "text", "edits")
-    asked = F.coalesce(F.expr(f"exists({VALID})"), F.lit(False)).alias("asked")
-    trees = stored(grown(docs.select("doc_id", "text", asked), ranks, pattern), "token-trees")
-    plain = trees.where("NOT asked").select(
+    # Edits go along with the trees, so they are made once; texts are met again by their keys.
+    trees = stored(grown(docs.withColumn("edits", F.expr(f"filter({VALID})")), ranks, pattern), "token-trees")
+    asked = F.coalesce(F.size("edits") > 0, F.lit(False))
+    plain = trees.where(~asked).select(
         "doc_id", "n_pieces", "n_tokens", F.lit(0).cast("long").alias("n_edits"), F.col("n_tokens").alias("n_tokens_after"))
-    return plain.unionAll(edited(docs, trees.where("asked"), ranks, pattern).select(
-        "doc_id", "n_pieces_before", "n_tokens_before", "n_edits", "n_tokens"))
+    texts = _key(docs.select("doc_id", "text")).select("key", "text").join(
+        trees.where(asked).select("key").distinct(), "key", "left_semi").dropDuplicates(["key"])
+    after = _edit(trees.where(asked).join(texts, "key"), ranks, pattern)
+    return plain.unionAll(after.select("doc_id", "n_pieces_before", "n_tokens_before", "n_edits", "n_tokens"))
 
 
 def redactions(docs: DataFrame, pattern: str, new: str) -> DataFrame:
