@@ -41,10 +41,13 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     configure(spark)
     docs = pick(docs, *COLUMNS)
     gone = neardup.near_duplicates(docs).where("NOT kept").select("doc_id").distinct()
-    left = docs.join(gone, "doc_id", "left_anti").withColumn("same", F.xxhash64("text"))
-    repeated = stored(left.where("doc_id IS NOT NULL").groupBy("doc_id", "same").count().where("count > 1").select("doc_id", "same"), "repeated-rows")
+    # Repeats are looked for in the input, where no text has to move for it.
+    same = F.xxhash64("text").alias("same")
+    repeated = stored(docs.where("doc_id IS NOT NULL").groupBy("doc_id", same).count().where("count > 1").select("doc_id", "same"), "repeated-rows")
+    left = docs.join(gone, "doc_id", "left_anti")
     if repeated.isEmpty():
         return left.select(*COLUMNS)
+    left = left.withColumn("same", F.xxhash64("text"))
     once = top_in_groups(left.join(repeated, ["doc_id", "same"]), ["doc_id", "same"], ["lang", "source", "n_chars"], 1)
     return left.join(repeated, ["doc_id", "same"], "left_anti").select(*COLUMNS).unionAll(once.select(*COLUMNS))
 
