@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StreamingQuery
 
+PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 ROWS = "source string, date string, seq long, id string"
 #: Delivered rows have a place and an id; offsets that moved have ``ts`` instead.
@@ -107,10 +108,15 @@ def pages(stream: DataFrame, follows: DataFrame, count: int) -> DataFrame:
 def read_pages(stream: DataFrame, follows: DataFrame, count: int, out: str, checkpoint: str) -> StreamingQuery:
     """Append pages and offsets to a table until all that is there is read; restarts go on."""
     spark = stream.sparkSession
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
-    query = pages(stream, follows, count).writeStream.format("parquet").outputMode("append").option("path", out).option(
-        "checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    query.awaitTermination()
+    before = spark.conf.get(PROVIDER)
+    # Keyed state of several variables needs this store; a query keeps the one it started with.
+    spark.conf.set(PROVIDER, ROCKS)
+    try:
+        query = pages(stream, follows, count).writeStream.format("parquet").outputMode("append").option("path", out).option(
+            "checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        query.awaitTermination()
+    finally:
+        spark.conf.set(PROVIDER, before)
     return query
 
 
