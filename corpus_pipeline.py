@@ -18,15 +18,20 @@ from letterloom.session import configure
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
+def prepare(spark: SparkSession) -> None:
+    """Session settings of a stage. Python workers stay from stage to stage, so their batches are small."""
+    configure(spark).conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+
+
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language that was learned; see ``langid.recognised`` for those that go."""
-    configure(spark)
+    prepare(spark)
     return langid.recognised(docs, langid.train(docs), COLUMNS)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without lines that at least five hold; ``n_chars`` follows the text."""
-    configure(spark)
+    prepare(spark)
     docs = pick(docs, *COLUMNS)
     left = lines.apply_bitmaps(docs, lines.keep_bitmaps(docs))
     return left.withColumns({"text": F.col("kept"), "n_chars": F.length("kept").cast("long")}).select(*COLUMNS)
@@ -38,7 +43,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Rows of one doc_id and the same text are repeats; which of them stays makes no difference
     to doc_id and text, and of other columns those that come first by value stay.
     """
-    configure(spark)
+    prepare(spark)
     docs = pick(docs, *COLUMNS)
     gone = neardup.near_duplicates(docs).where("NOT kept").select("doc_id").distinct()
     # Repeats are looked for in the input, where no text has to move for it.
@@ -54,13 +59,13 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that contain no item of the benchmark."""
-    configure(spark)
+    prepare(spark)
     return decontam.clean(pick(docs, *COLUMNS), table(spark, sf_dir, "benchmark"))
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, the ids, and a digest of what they decode to."""
-    configure(spark)
+    prepare(spark)
     vocabulary = ranks()
     return bpe.decode(bpe.encode(docs, vocabulary), vocabulary).select(
         "doc_id", "n_tokens", "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
