@@ -64,11 +64,12 @@ def _optional(df: DataFrame, *names: str) -> DataFrame:
     return df.withColumns({n: F.lit(None).cast("string") for n in names if n not in df.columns})
 
 
-def listing(rows: DataFrame, fmt: str = "pipe") -> DataFrame:
+def listing(rows: DataFrame, fmt: str = "pipe", precision: str | None = None) -> DataFrame:
     """``(place, part, line)`` of messages that carry their ``place``.
 
     With a ``ref`` column rows show it instead of the id, and a line with the date opens
-    every run of rows of one day.
+    every run of rows of one day. ``precision``, ``day`` or ``year``, fixes how exact these
+    dates are; without it the rows decide, and rows of a single day have no such lines.
     """
     fmt = format_name(fmt)
     rows = _optional(rows, "size", "body", "snippet")
@@ -81,7 +82,8 @@ def listing(rows: DataFrame, fmt: str = "pipe") -> DataFrame:
         line = F.concat(F.lit("<m"), _attrs(id=_text("id"), **{"from": _text("sender")}, subject=_text("subject"),
                                             date=_text("date"), size=_size()), F.lit("/>"))
         return rows.select(place, F.lit(1).cast("bigint").alias("part"), line.alias("line"))
-    snippets, precision = _flags(rows, "date")
+    snippets, needed = _flags(rows, "date")
+    precision = precision or needed
     tail = [snippet_field(_text("snippet"))] if snippets else []
     last = "|SNIPPET" if snippets else ""
     if "ref" not in rows.columns:
