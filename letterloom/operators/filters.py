@@ -136,8 +136,9 @@ def add_rules(rules: DataFrame, new: DataFrame) -> DataFrame:
 
 
 def remove_rules(rules: DataFrame, gone: DataFrame) -> DataFrame:
+    """Rules without those that are gone; a rule may be named as gone many times, and is looked up once."""
     value = F.when(F.col("rule_type") == "pattern", F.col("value")).otherwise(F.lower("value"))
-    return rules.join(gone.select("rule_type", value.alias("value")), ["rule_type", "value"], "left_anti")
+    return rules.join(gone.select("rule_type", value.alias("value")).distinct(), ["rule_type", "value"], "left_anti")
 
 
 def own_text(body: Column) -> Column:

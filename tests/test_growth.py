@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from letterloom.operators import render
+from letterloom.operators import filters, render
 
 MESSAGE = "id string, source string, sender string, subject string, date string, snippet string, body string, unread boolean, seq long"
 
@@ -13,3 +13,12 @@ def test_a_listing_of_one_day_shows_its_date_if_asked(spark):
     shown = [r.line for r in render.listing(page, precision="day").orderBy("place", "part").collect()]
     assert shown[1:] == ["--- 5Jan ---", "*|1|g|ann|A|10:00|1b|s", " |2|g|bo|B|09:00|1b|t"]
     assert [r.line for r in render.listing(page).orderBy("place", "part").collect()] == [shown[0], *shown[2:]]
+
+
+def test_rules_that_are_gone_are_looked_up_once(spark):
+    rules = spark.range(50).select(F.lit("sender").alias("rule_type"), F.concat(F.lit("a"), F.col("id") % 5).alias("value"))
+    gone = spark.range(50).select(F.lit("sender").alias("rule_type"), F.concat(F.lit("A"), F.col("id") % 2).alias("value"))
+    left = filters.remove_rules(filters.add_rules(rules.limit(0), rules), gone)
+    assert sorted(r.value for r in left.collect()) == ["a2", "a3", "a4"]
+    plan = left._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" in plan[plan.index("Range"):]
