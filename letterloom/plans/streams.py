@@ -25,11 +25,15 @@ def _thirds(df) -> Column:
 
 
 def _landed(spark, df, part):
-    """``df`` as a stream of three files, landed one after the other and read one a batch."""
+    """``df`` as a stream that lands in three parts: after each the stream over what is there so far.
+
+    A job is started again for every part and reads what is new as one batch. A part is as many
+    files as tasks wrote it.
+    """
     base = fresh_path(spark, "landed")
     for n in range(BATCHES):
-        df.where(part == n).coalesce(1).write.parquet(f"{base}/{n}")
-    return spark.readStream.schema(df.schema).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", 1).parquet(base)
+        df.where(part == n).write.parquet(f"{base}/{n}")
+        yield spark.readStream.schema(df.schema).option("recursiveFileLookup", "true").parquet(base)
 
 
 def _table_stream(spark, folder):
@@ -38,9 +42,10 @@ def _table_stream(spark, folder):
 
 
 def _events(spark, folder):
-    return _table_stream(spark, folder).selectExpr(
-        "concat('h:', event_id) AS id", "concat('h', user_id % 3) AS source", "concat('t', user_id) AS thread_id",
-        "CAST(ts AS TIMESTAMP) AS ts", "date_format(ts, \"yyyy-MM-dd'T'HH:mm:ss'Z'\") AS date", "event_type AS subject")
+    for stream in _table_stream(spark, folder):
+        yield stream.selectExpr(
+            "concat('h:', event_id) AS id", "concat('h', user_id % 3) AS source", "concat('t', user_id) AS thread_id",
+            "CAST(ts AS TIMESTAMP) AS ts", "date_format(ts, \"yyyy-MM-dd'T'HH:mm:ss'Z'\") AS date", "event_type AS subject")
 
 
 EV = """WITH ev AS (SELECT 'h:' || event_id AS id, 'h' || (user_id % 3) AS source, 't' || user_id AS thread_id, ts, strftime(ts, '%Y-%m-%dT%H:%M:%SZ') AS date FROM events)
@@ -51,7 +56,8 @@ EV = """WITH ev AS (SELECT 'h:' || event_id AS id, 'h' || (user_id % 3) AS sourc
 def stream_feed(spark, folder):
     """Notices appended to a table, each id once."""
     out, checkpoint = jobs.working_paths(spark, "feed")
-    jobs.append(jobs.deduplicated(_events(spark, folder)).select("id", "source", "date"), out, checkpoint)
+    for events in _events(spark, folder):
+        jobs.append(jobs.deduplicated(events).select("id", "source", "date"), out, checkpoint)
     return spark.read.parquet(out)
 
 
@@ -59,15 +65,17 @@ def stream_feed(spark, folder):
 def stream_upsert(spark, folder):
     """The latest notice per source, kept by an upsert."""
     out, checkpoint = jobs.working_paths(spark, "upsert")
-    stream = _events(spark, folder).select(F.col("source").alias("id"), F.col("id").alias("last"), F.struct("date", "id").alias("date"))
-    jobs.upsert_messages(stream, out, checkpoint)
+    for events in _events(spark, folder):
+        stream = events.select(F.col("source").alias("id"), F.col("id").alias("last"), F.struct("date", "id").alias("date"))
+        jobs.upsert_messages(stream, out, checkpoint)
     return jobs.latest(spark, out).select(F.col("id").alias("source"), F.col("date.date").alias("date"), "last")
 
 
 @query("stream_offsets", EV + "SELECT 'reader' AS key, source, max(date) AS ts FROM ev GROUP BY source")
 def stream_offsets(spark, folder):
     out, checkpoint = jobs.working_paths(spark, "offsets")
-    jobs.follow(_events(spark, folder), "reader", out, checkpoint)
+    for events in _events(spark, folder):
+        jobs.follow(events, "reader", out, checkpoint)
     return jobs.snapshot(spark, out)
 
 
@@ -80,7 +88,8 @@ parts AS (SELECT ev.*, (date_diff('day', lo, CAST(ts AS DATE)) * 3) // (date_dif
 def stream_refs(spark, folder):
     """Numbers batch by batch, newest first in each."""
     out, checkpoint = jobs.working_paths(spark, "refs")
-    jobs.number_refs(_events(spark, folder), out, checkpoint)
+    for events in _events(spark, folder):
+        jobs.number_refs(events, out, checkpoint)
     return jobs.refs(spark, out)
 
 
@@ -88,10 +97,10 @@ def stream_refs(spark, folder):
 SELECT command, source, count(*) AS calls, CAST(sum(bytes_in) AS BIGINT) AS bytes_in, CAST(sum(bytes_out) AS BIGINT) AS bytes_out, CAST(sum(messages) AS BIGINT) AS messages FROM log GROUP BY ALL""")
 def stream_usage(spark, folder):
     out, checkpoint = jobs.working_paths(spark, "usage")
-    log = _landed(spark, C.table(spark, folder, "lineitem"), F.col("l_orderkey") % BATCHES).selectExpr(
-        "l_returnflag AS command", "l_linestatus AS source", "CAST(l_extendedprice AS BIGINT) AS bytes_in",
-        "CAST(l_extendedprice * l_discount AS BIGINT) AS bytes_out", "CAST(l_quantity AS BIGINT) AS messages")
-    jobs.usage_counters(log, out, checkpoint)
+    for items in _landed(spark, C.table(spark, folder, "lineitem"), F.col("l_orderkey") % BATCHES):
+        jobs.usage_counters(items.selectExpr(
+            "l_returnflag AS command", "l_linestatus AS source", "CAST(l_extendedprice AS BIGINT) AS bytes_in",
+            "CAST(l_extendedprice * l_discount AS BIGINT) AS bytes_out", "CAST(l_quantity AS BIGINT) AS messages"), out, checkpoint)
     return jobs.snapshot(spark, out)
 
 
@@ -99,9 +108,9 @@ def stream_usage(spark, folder):
 SELECT 'h' || (user_id % 4) AS source, arg_max(event_type || '=' || event_id, row(ts, event_id)) AS meters FROM events GROUP BY 1""")
 def stream_meters(spark, folder):
     out, checkpoint = jobs.working_paths(spark, "meters")
-    polls = _table_stream(spark, folder).selectExpr(
-        "concat('h', user_id % 4) AS source", "struct(ts, event_id) AS polled_at", "array(struct(event_type AS label, event_id AS count, '' AS link)) AS meters")
-    jobs.last_meters(polls, out, checkpoint)
+    for events in _table_stream(spark, folder):
+        jobs.last_meters(events.selectExpr(
+            "concat('h', user_id % 4) AS source", "struct(ts, event_id) AS polled_at", "array(struct(event_type AS label, event_id AS count, '' AS link)) AS meters"), out, checkpoint)
     first = F.col("meters")[0]
     return jobs.snapshot(spark, out).select("source", F.concat(first["label"], F.lit("="), first["count"].cast("string")).alias("meters"))
 
@@ -112,8 +121,9 @@ HAVING date_trunc('day', max(ts)) + INTERVAL 1 DAY <= (SELECT max(ts) FROM ev) -
 def stream_window_counts(spark, folder):
     """Notices per source and day, for the days that are final."""
     out, checkpoint = jobs.working_paths(spark, "windows")
-    counts = jobs.window_counts(_events(spark, folder))
-    jobs.append(counts.select("source", F.date_format("window.start", "yyyy-MM-dd").alias("day"), "count"), out, checkpoint)
+    for events in _events(spark, folder):
+        counts = jobs.window_counts(events)
+        jobs.append(counts.select("source", F.date_format("window.start", "yyyy-MM-dd").alias("day"), "count"), out, checkpoint)
     return spark.read.parquet(out)
 
 
@@ -125,8 +135,9 @@ HAVING max(ts) + INTERVAL 6 HOUR <= (SELECT max(ts) FROM ev) - INTERVAL 1 DAY"""
 def stream_sessions(spark, folder):
     """Bursts of notices per thread, for those that are over."""
     out, checkpoint = jobs.working_paths(spark, "sessions")
-    found = jobs.sessions(_events(spark, folder))
-    jobs.append(found.select("thread_id", F.date_format("session_window.start", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("first"), "count"), out, checkpoint)
+    for events in _events(spark, folder):
+        found = jobs.sessions(events)
+        jobs.append(found.select("thread_id", F.date_format("session_window.start", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("first"), "count"), out, checkpoint)
     return spark.read.parquet(out)
 
 
@@ -186,7 +197,8 @@ def stream_late_rows(spark, folder):
     events = C.table(spark, folder, "events").selectExpr("event_id", "concat('h', user_id % 3) AS source", "CAST(ts AS TIMESTAMP) AS ts")
     part = F.least(F.lit(BATCHES - 1), _thirds(events) + F.when(F.col("event_id") % 7 == 0, 1).otherwise(0))
     out, checkpoint = jobs.working_paths(spark, "late")
-    jobs.windows_with_late(_landed(spark, events, part), out, checkpoint)
+    for stream in _landed(spark, events, part):
+        jobs.windows_with_late(stream, out, checkpoint)
     return jobs.windows(spark, out).select("source", F.date_format("start", "yyyy-MM-dd").alias("day"), "count", "late")
 
 

@@ -1,8 +1,12 @@
 """What holds however large the tables are: plans, pieces of work, and results that size must not change."""
 
+import glob
+
 from pyspark.sql import functions as F
 
 from letterloom.operators import filters, render
+from letterloom.plans import streams
+from letterloom.streaming import jobs
 
 MESSAGE = "id string, source string, sender string, subject string, date string, snippet string, body string, unread boolean, seq long"
 
@@ -22,3 +26,15 @@ def test_rules_that_are_gone_are_looked_up_once(spark):
     assert sorted(r.value for r in left.collect()) == ["a2", "a3", "a4"]
     plan = left._jdf.queryExecution().optimizedPlan().toString()
     assert "Aggregate" in plan[plan.index("Range"):]
+
+
+def test_a_part_of_a_stream_lands_as_the_files_of_its_tasks(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(streams, "fresh_path", lambda spark, label: str(tmp_path / label))
+    log = spark.range(0, 900, 1, 4).select("id", F.lit("c").alias("command"), F.lit("s").alias("source"),
+                                           *[F.lit(1).cast("bigint").alias(c) for c in ("bytes_in", "bytes_out", "messages")])
+    calls = []
+    for stream in streams._landed(spark, log, F.col("id") % 3):
+        jobs.usage_counters(stream.drop("id"), str(tmp_path / "table"), str(tmp_path / "checkpoint"))
+        calls.append(jobs.snapshot(spark, str(tmp_path / "table")).first()["calls"])
+    assert calls == [300, 600, 900]
+    assert [len(glob.glob(f"{tmp_path}/landed/{n}/*.parquet")) for n in range(3)] == [4, 4, 4]
