@@ -39,9 +39,14 @@ def _month(date: Column) -> Column:
     return F.coalesce(F.substring(date, 1, 7), F.lit("none"))
 
 
+def _by_file(headers: DataFrame, buckets: int) -> DataFrame:
+    """Rows dealt out so that one task writes a bucket of a month; else every task opens files for all of them."""
+    return headers.repartition("source", "month", F.pmod(F.hash("id"), F.lit(buckets)))
+
+
 def create(headers: DataFrame, name: str, path: str, buckets: int = BUCKETS) -> None:
     """Headers as a table by source and month, bucketed by id and sorted by date in each file."""
-    headers.withColumn("month", _month(F.col("date"))).write.partitionBy("source", "month").bucketBy(buckets, "id").sortBy("date").option(
+    _by_file(headers.withColumn("month", _month(F.col("date"))), buckets).write.partitionBy("source", "month").bucketBy(buckets, "id").sortBy("date").option(
         "path", path).saveAsTable(name)
 
 
@@ -60,10 +65,11 @@ def merge(name: str, new: DataFrame) -> None:
     # Months that only lost versions come out without rows and have to go as partitions.
     merged = materialise(upsert(kept, new).select(old.columns))
     emptied = touched.join(merged.select("source", "month").distinct(), ["source", "month"], "left_anti").collect()
+    buckets = int(spark.sql(f"DESCRIBE EXTENDED {name}").where("col_name = 'Num Buckets'").first()["data_type"])
     before = spark.conf.get("spark.sql.sources.partitionOverwriteMode")
     spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
     try:
-        merged.write.mode("overwrite").insertInto(name)
+        _by_file(merged, buckets).write.mode("overwrite").insertInto(name)
     finally:
         spark.conf.set("spark.sql.sources.partitionOverwriteMode", before)
     for row in emptied:

@@ -4,7 +4,7 @@ import glob
 
 from pyspark.sql import functions as F
 
-from letterloom.operators import filters, render
+from letterloom.operators import filters, render, store
 from letterloom.plans import streams
 from letterloom.streaming import jobs
 
@@ -38,3 +38,16 @@ def test_a_part_of_a_stream_lands_as_the_files_of_its_tasks(spark, tmp_path, mon
         calls.append(jobs.snapshot(spark, str(tmp_path / "table")).first()["calls"])
     assert calls == [300, 600, 900]
     assert [len(glob.glob(f"{tmp_path}/landed/{n}/*.parquet")) for n in range(3)] == [4, 4, 4]
+
+
+def test_a_month_of_the_cache_is_a_file_a_bucket(spark, tmp_path):
+    headers = spark.range(0, 400, 1, 4).selectExpr(
+        "concat('g:', id) AS id", "'g' AS source", "'me' AS mailbox", "if(id % 2 = 0, '2026-01-05', '2026-02-05') AS date",
+        "3 AS _schema_version", "'2026-03-01' AS _cached_at")
+    store.create(headers, "growth_cache", str(tmp_path / "cache"), buckets=2)
+    files = lambda: [len(glob.glob(f"{tmp_path}/cache/source=g/month=2026-0{m}/*.parquet")) for m in (1, 2)]
+    assert files() == [2, 2]
+    store.merge("growth_cache", headers.withColumn("_cached_at", F.lit("2026-03-02")))
+    assert files() == [2, 2]
+    assert spark.table("growth_cache").where("_cached_at = '2026-03-02'").count() == 400
+    spark.sql("DROP TABLE growth_cache")
