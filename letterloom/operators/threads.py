@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from letterloom.functions import dates
 from letterloom.functions.headers import either, participants, source_of
 from letterloom.operators.ordering import number_in_groups, number_runs, top_in_groups, with_neighbours
+from letterloom.session import materialise
 
 
 def thread_key() -> Column:
@@ -105,8 +106,9 @@ def assemble(heads: DataFrame, comments: DataFrame, reviews: DataFrame, inline:
     messages = heads.withColumn("_reply", F.lit(0)).unionByName(
         replies.withColumn("_reply", F.lit(1)), allowMissingColumns=True)
     by_date = F.when(F.col("is_pull_request"), F.coalesce("date", F.lit(""))).otherwise("")
+    # Sorting by range reads its input twice, once for the bounds, so the joins are done before.
     return number_in_groups(
-        messages.withColumn("_by", by_date), ["thread_id"], ["_reply", "_by", "seq", "id"], "idx",
+        materialise(messages.withColumn("_by", by_date)), ["thread_id"], ["_reply", "_by", "seq", "id"], "idx",
     ).drop("_reply", "_by")
 
 

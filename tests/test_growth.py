@@ -4,7 +4,7 @@ import glob
 
 from pyspark.sql import functions as F
 
-from letterloom.operators import filters, render, store
+from letterloom.operators import filters, render, store, threads
 from letterloom.plans import streams
 from letterloom.streaming import jobs
 
@@ -51,3 +51,20 @@ def test_a_month_of_the_cache_is_a_file_a_bucket(spark, tmp_path):
     assert files() == [2, 2]
     assert spark.table("growth_cache").where("_cached_at = '2026-03-02'").count() == 400
     spark.sql("DROP TABLE growth_cache")
+
+
+def test_discussions_are_put_together_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def body(text):
+        seen.add(1)
+        return text
+
+    columns = "thread_id string, id string, subject string, date string, seq long, state string"
+    heads = spark.createDataFrame([("t", "t", "s", "2026-01-01", 0, None)], columns).selectExpr("*", "true AS is_pull_request", "'' AS body")
+    reply = spark.createDataFrame([("t", f"c{i}", None, f"2026-01-{i + 1:02d}", i, None) for i in range(9)], columns)
+    comments = reply.withColumn("body", body.asNondeterministic()("id"))
+    whole = threads.assemble(heads, comments, reply.limit(0).withColumn("body", F.lit("")), reply.limit(0).withColumn("body", F.lit("")))
+    assert [(r.idx, r.body) for r in whole.orderBy("idx").collect()] == [(1, "")] + [(i + 2, f"c{i}") for i in range(9)]
+    assert seen.value == 9
