@@ -57,12 +57,18 @@ def materialise(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+# Packed columns that one task of costly work reads; a hundred thousand rows or two.
+PIECE_BYTES = 4 << 20
+# What one job can keep track of; beyond it pieces grow.
+MOST_PIECES = 50_000
+
+
 def spread(df: DataFrame) -> DataFrame:
-    """``df`` in as many pieces as there are cores, if its files give fewer; else as it is.
+    """``df`` in as many pieces as its size and the cores call for, if its files give fewer; else as it is.
 
     For the input of work that is costly by row: a file of one row group is one task, however
-    many cores wait. What a shuffle has dealt out, a stream, and a table of enough files stay
-    as they are, so nothing is moved at scale.
+    many cores wait, and a task of as many packed rows as Spark reads at once takes too long.
+    What a shuffle has dealt out, a stream, and a table of enough small files stay as they are.
     """
     if df.isStreaming:
         return df
@@ -70,5 +76,9 @@ def spread(df: DataFrame) -> DataFrame:
     # Plans with a shuffle are adaptive; asking them for their partitions would run them.
     if query.executedPlan().getClass().getSimpleName() == "AdaptiveSparkPlanExec":
         return df
+    size = int(str(query.optimizedPlan().stats().sizeInBytes()))
+    # Rows that are no files have no known size, which Spark takes for the largest there is.
+    known = size if size < 1 << 56 else 0
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if query.toRdd().getNumPartitions() >= cores else df.repartition(cores)
+    pieces = cores * max(1, -(-min(known // PIECE_BYTES, MOST_PIECES) // cores))
+    return df if query.toRdd().getNumPartitions() >= pieces else df.repartition(pieces)

@@ -124,7 +124,8 @@ def graph_events(raw: DataFrame, detail: bool = False) -> DataFrame:
 
 # iCalendar text
 
-PROPERTY = r'(?s)^([^:;]+)((?:;[^=:;]+=(?:"[^"]*"|[^":;]*))*):(.*)$'
+# The name and the parameters of a line, with the colon before the value.
+HEAD = r'^[^:;]+(?:;[^=:;]+=(?:"[^"]*"|[^":;]*))*:'
 
 
 def unfold(content: Column) -> Column:
@@ -134,11 +135,16 @@ def unfold(content: Column) -> Column:
 
 def properties(lines: Column) -> Column:
     """Lines as ``(name, params, value)``, taken apart once; lines without a name are dropped."""
-    def parts(line):
-        return F.struct(F.upper(F.regexp_extract(line, PROPERTY, 1)).alias("name"),
-                        F.regexp_extract(line, PROPERTY, 2).alias("params"), F.regexp_extract(line, PROPERTY, 3).alias("value"))
+    def cut(line):
+        return F.struct(line.alias("line"), F.regexp_extract(line, HEAD, 0).alias("head"),
+                        F.substring_index(F.substring_index(line, ":", 1), ";", 1).alias("name"))
 
-    return F.filter(F.transform(lines, lambda x: parts(x)), lambda p: p["name"] != "")
+    def parts(x):
+        size, named = F.length(x["head"]), F.length(x["name"])
+        return F.struct(F.upper(x["name"]).alias("name"), F.substr(x["head"], named + 1, size - named - 1).alias("params"),
+                        F.substr(x["line"], size + 1).alias("value"))
+
+    return F.transform(F.filter(F.transform(lines, cut), lambda x: x["head"] != ""), parts)
 
 
 def first_named(name: str) -> Column:

@@ -4,6 +4,7 @@ import glob
 
 from pyspark.sql import functions as F
 
+from letterloom import session
 from letterloom.operators import filters, render, store, threads
 from letterloom.plans import streams
 from letterloom.streaming import jobs
@@ -68,3 +69,10 @@ def test_discussions_are_put_together_once(spark):
     whole = threads.assemble(heads, comments, reply.limit(0).withColumn("body", F.lit("")), reply.limit(0).withColumn("body", F.lit("")))
     assert [(r.idx, r.body) for r in whole.orderBy("idx").collect()] == [(1, "")] + [(i + 2, f"c{i}") for i in range(9)]
     assert seen.value == 9
+
+
+def test_costly_work_is_dealt_out_by_its_size(spark, monkeypatch):
+    table = spark.range(0, 1000, 1, 8)
+    assert session.spread(table).rdd.getNumPartitions() == 8
+    monkeypatch.setattr(session, "PIECE_BYTES", 400)
+    assert session.spread(table).rdd.getNumPartitions() == 20
