@@ -2,7 +2,7 @@
 
 Each step is one aggregation and one join of the edges; stars flatten, so the number of
 rounds grows with the logarithm of the longest path, and no node ever gathers its
-neighbours. Edges are written out after each round.
+neighbours. Edges are made distinct and written out once a round.
 """
 
 from __future__ import annotations
@@ -13,20 +13,22 @@ from pyspark.sql import functions as F
 from letterloom.llm.tables import stored
 
 
-def _star(edges: DataFrame, large: bool) -> DataFrame:
-    """Hang neighbours of ``u`` on the smallest of them: the larger ones, or the smaller ones."""
-    if large:
-        both = edges.unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    else:
-        both = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-    hung = both.join(low, "a")
-    if large:
-        out = hung.where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-    else:
-        out = hung.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionAll(
-            low.select("a", F.col("m").alias("b")))
-    return out.where("a <> b").distinct()
+def _hung(edges: DataFrame) -> DataFrame:
+    """(a, b, m) of the edges, m being the smallest of ``a`` and its neighbours."""
+    low = edges.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+    return edges.join(low, "a")
+
+
+def _round(edges: DataFrame) -> DataFrame:
+    """A large-star step, which hangs larger neighbours, and a small-star step, which hangs the smaller ones.
+
+    Edges run from the larger node ``a`` to the smaller ``b``, before and after. The neighbour
+    that is ``m`` hangs the node itself.
+    """
+    both = edges.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("e")).select("e.a", "e.b")
+    large = _hung(both).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    small = _hung(large).select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b"))
+    return small.distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -42,6 +44,6 @@ def components(edges: DataFrame) -> DataFrame:
         if tuple(mark) == last:
             break
         last = tuple(mark)
-        now = stored(_star(_star(now, True), False), "links")
+        now = stored(_round(now), "links")
     return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionAll(
         now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())

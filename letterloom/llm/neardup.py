@@ -131,7 +131,10 @@ def survives(a: str, b: str, bounds: list[int]) -> str:
 
 
 def _linked(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
-    """(a, b) of the pairs (hub, doc_id) whose full shingle sets meet the bound."""
+    """Those of the pairs (hub, doc_id), as (a, b), whose full shingle sets meet the bound; further numbers of a pair go along."""
+    pairs = pairs.withColumnsRenamed({"hub": "a", "doc_id": "b"})
+    carried = pairs.columns
+
     def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, held_set = None, None
         for batch in batches:
@@ -144,12 +147,11 @@ def _linked(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
                 both = len(np.intersect1d(held_set, other, assume_unique=True))
                 if 100 * both >= percent * (len(held_set) + len(other) - both):
                     keep.append(i)
-            yield batch.select(["a", "b"]).take(pa.array(keep, pa.int64()))
+            yield batch.select(carried).take(pa.array(keep, pa.int64()))
 
-    pairs = pairs.select(F.col("hub").alias("a"), F.col("doc_id").alias("b"))
     right = pairs.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
     whole = right.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
-    return whole.select("a", "b", "text_a", "text_b").mapInArrow(test, "a long, b long")
+    return whole.select(*carried, "text_a", "text_b").mapInArrow(test, ", ".join(f"{c} long" for c in carried))
 
 
 def shingles(text: str) -> np.ndarray:
@@ -206,12 +208,14 @@ def near_duplicates(docs: DataFrame, percent: int = 75, miss: float = 1e-4) -> D
                          F.col("sig").alias("sig_a"), F.col("bands").alias("bands_a"))
     first = "NOT exists(zip_with(slice(bands, 1, int(at) - 1), slice(bands_a, 1, int(at) - 1), (x, y) -> x = y), x -> x)"
     across = open_.join(other, (open_["band"] == other["band"]) & F.expr(f"root_a < root AND {near} AND {alive} AND {first}"))
-    pairs = stored(across.select("hub", "doc_id"), "cross-pairs")
-    if not pairs.isEmpty():
-        links = links.unionAll(stored(_linked(pairs, texts, percent), "cross-links"))
-        found = stored(components(links), "components")
+    pairs = stored(across.select("hub", "doc_id", "root_a", "root"), "cross-pairs")
 
     named = classes.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("k1", "k2", F.coalesce("root", "rep").alias("component"))
+    if not pairs.isEmpty():
+        # A component is one node by now, its root, so what is left are few nodes and links.
+        crossed = stored(_linked(pairs, texts, percent), "cross-links").select(F.col("root_a").alias("a"), F.col("root").alias("b"))
+        merged = stored(components(crossed), "components").withColumnRenamed("node", "component")
+        named = named.join(merged, "component", "left").select("k1", "k2", F.coalesce("root", "component").alias("component"))
     out = rows.select("doc_id", "k1", "k2", "n_shingles").join(named, ["k1", "k2"], "left")
     component = F.when(F.col("n_shingles") > 0, F.coalesce("component", "doc_id")).otherwise(F.col("doc_id"))
     component = F.when(F.col("doc_id").isNotNull(), component)
