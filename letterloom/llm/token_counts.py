@@ -16,8 +16,11 @@ the piece before the one they touch, or further back where white space runs on.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -175,10 +178,13 @@ LEAVES = "n_pieces long, n_tokens long, lengths array<int>, tokens array<int>"
 VALID = "edits, e -> e.start IS NOT NULL AND e.length IS NOT NULL"
 
 
-def _leaves(trees: list[tuple[list[int], list[int]]]) -> list[pa.Array]:
-    """The columns of LEAVES."""
-    return [pa.array([len(a) for a, _ in trees], pa.int64()), pa.array([sum(b) for _, b in trees], pa.int64()),
-            pa.array([a for a, _ in trees], pa.list_(pa.int32())), pa.array([b for _, b in trees], pa.list_(pa.int32()))]
+def _leaves(counts: list[int], lengths: np.ndarray, tokens: np.ndarray) -> list[pa.Array]:
+    """The columns of LEAVES, from the leaves of all trees one after the other and how many each has."""
+    at = np.concatenate([[0], np.cumsum(counts, dtype=np.int64)])
+    total = np.concatenate([[0], np.cumsum(tokens, dtype=np.int64)])
+    begin = pa.array(at, pa.int32())
+    return [pa.array(np.diff(at)), pa.array(np.diff(total[at])),
+            pa.ListArray.from_arrays(begin, pa.array(lengths, pa.int32())), pa.ListArray.from_arrays(begin, pa.array(tokens, pa.int32()))]
 
 
 def _key(docs: DataFrame) -> DataFrame:
@@ -187,23 +193,32 @@ def _key(docs: DataFrame) -> DataFrame:
         F.coalesce("doc_id", F.lit(0)).alias("id"), F.xxhash64("text").alias("h1"), F.xxhash64(F.lit(7), "text").alias("h2")))
 
 
-def grown(docs: DataFrame, ranks: bytes, pattern: str = bpe.PATTERN) -> DataFrame:
+def grown(docs: DataFrame, ranks: bytes, pattern: str = bpe.PATTERN, texts_with: str | None = None) -> DataFrame:
     """``docs`` (doc_id, text and whatever else) with ``key`` and the leaves of its tree instead of the text.
 
-    Written to a table it is what later edits start from: counts and lengths, no text.
+    Written to a table it is what later edits start from: counts and lengths, no text. Only rows
+    whose array ``texts_with``, if it is named, has elements keep their text as well.
     """
     held = docs.sparkSession.sparkContext.broadcast(ranks)  # a vocabulary, whatever the corpus
-    keep = [f for f in _key(docs).schema if f.name != "text"]
+    keep = [f for f in _key(docs).schema if f.name != "text" or texts_with]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = bpe.coder(held.value, pattern)
         for batch in batches:
             for rows, _, _ in W.runs(batch):
-                cut = [coder.pieces(t or "") for t in rows.column("text").to_pylist()]
+                texts = rows.column("text").to_pylist()
+                cut = [coder.pieces(t or "") for t in texts]
                 coder.learn(cut)
-                trees = [([len(p) for p in c], [len(coder.known[p]) // 4 for p in c]) for c in cut]
-                yield pa.RecordBatch.from_arrays([*[rows.column(f.name) for f in keep], *_leaves(trees)],
-                                                 names=[*[f.name for f in keep], "n_pieces", "n_tokens", "lengths", "tokens"])
+                counts = list(map(len, cut))
+                n = sum(counts)
+                lengths = np.fromiter(map(len, chain.from_iterable(cut)), np.int32, n)
+                tokens = np.fromiter(map(len, map(coder.known.__getitem__, chain.from_iterable(cut))), np.int32, n) // 4
+                columns = {f.name: rows.column(f.name) for f in keep}
+                if texts_with:
+                    sizes = pc.list_value_length(columns[texts_with]).to_pylist()
+                    columns["text"] = pa.array([t if n else None for t, n in zip(texts, sizes)], pa.string())
+                yield pa.RecordBatch.from_arrays([*columns.values(), *_leaves(counts, lengths, tokens)],
+                                                 names=[*columns, "n_pieces", "n_tokens", "lengths", "tokens"])
 
     return _key(docs).mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in keep) + ", " + LEAVES)
 
@@ -216,28 +231,35 @@ def edited(docs: DataFrame, trees: DataFrame, ranks: bytes, pattern: str = bpe.P
     key of its own, can take the place of the trees it came from. A text without a tree in
     ``trees`` is left out.
     """
-    held = docs.sparkSession.sparkContext.broadcast(ranks)
     todo = stored(_key(pick(docs, "doc_id", "text", "edits").withColumn("edits", F.expr(f"filter({VALID})")).where("size(edits) > 0")), "token-edits")
     stored_ = trees.select("key", "lengths", "tokens").join(todo.select("key").distinct(), "key", "left_semi").dropDuplicates(["key"])
+    return _edited(todo.join(stored_, "key"), ranks, pattern)
+
+
+def _edited(rows: DataFrame, ranks: bytes, pattern: str) -> DataFrame:
+    """What ``edited`` gives, of rows that have a text, its edits and its leaves."""
+    held = rows.sparkSession.sparkContext.broadcast(ranks)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = bpe.coder(held.value, pattern)
         for batch in batches:
-            for rows, _, _ in W.runs(batch):
+            for part, _, _ in W.runs(batch):
                 after, texts, before = [], [], []
-                for row in rows.select(["text", "edits", "lengths", "tokens"]).to_pylist():
+                for row in part.select(["text", "edits", "lengths", "tokens"]).to_pylist():
                     before.append((len(row["lengths"]), sum(row["tokens"])))
                     tree = Tree(coder, row["text"] or "", (row["lengths"], row["tokens"]))
                     for e in row["edits"]:
                         tree.replace(e["start"], e["start"] + e["length"], e["new"] or "")
                     texts.append(tree.text)
                     after.append(tree.leaves())
+                lengths, tokens = (np.array([x for leaves in after for x in leaves[k]], np.int32) for k in (0, 1))
                 yield pa.RecordBatch.from_arrays(
-                    [rows.column("doc_id"), pa.array(texts, pa.string()), pa.array([len(e) for e in rows.column("edits").to_pylist()], pa.int64()),
-                     pa.array([n for n, _ in before], pa.int64()), pa.array([n for _, n in before], pa.int64()), *_leaves(after)],
+                    [part.column("doc_id"), pa.array(texts, pa.string()), pa.array([len(e) for e in part.column("edits").to_pylist()], pa.int64()),
+                     pa.array([n for n, _ in before], pa.int64()), pa.array([n for _, n in before], pa.int64()),
+                     *_leaves([len(a) for a, _ in after], lengths, tokens)],
                     names=["doc_id", "text", "n_edits", "n_pieces_before", "n_tokens_before", "n_pieces", "n_tokens", "lengths", "tokens"])
 
-    return todo.join(stored_, "key").mapInArrow(
+    return rows.select("doc_id", "text", "edits", "lengths", "tokens").mapInArrow(
         run, f"doc_id long, text string, n_edits long, n_pieces_before long, n_tokens_before long, {LEAVES}")
 
 
@@ -250,12 +272,13 @@ def counted(docs: DataFrame, ranks: bytes, pattern: str = bpe.PATTERN) -> DataFr
     text is empty, null edits are none, and so is an edit with a NULL place; a null ``new``
     is empty. NULL ids and repeated rows are rows like others; other columns are ignored.
     """
-    docs = pick(docs, "doc_id", "text", "edits")
-    asked = F.coalesce(F.expr(f"exists({VALID})"), F.lit(False)).alias("asked")
-    trees = stored(grown(docs.select("doc_id", "text", asked), ranks, pattern), "token-trees")
-    plain = trees.where("NOT asked").select(
+    # Edits are made once and go along with the trees; so do the texts that they change, and no others.
+    docs = pick(docs, "doc_id", "text", "edits").withColumn("edits", F.expr(f"filter({VALID})"))
+    trees = stored(grown(docs, ranks, pattern, "edits"), "token-trees")
+    asked = F.coalesce(F.size("edits") > 0, F.lit(False))
+    plain = trees.where(~asked).select(
         "doc_id", "n_pieces", "n_tokens", F.lit(0).cast("long").alias("n_edits"), F.col("n_tokens").alias("n_tokens_after"))
-    return plain.unionAll(edited(docs, trees.where("asked"), ranks, pattern).select(
+    return plain.unionAll(_edited(trees.where(asked), ranks, pattern).select(
         "doc_id", "n_pieces_before", "n_tokens_before", "n_edits", "n_tokens"))
 
 
@@ -268,7 +291,7 @@ def redactions(docs: DataFrame, pattern: str, new: str) -> DataFrame:
     docs = pick(docs, "doc_id", "text")
     found = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(pattern), F.lit(0))
     between = F.split(F.coalesce("text", F.lit("")), pattern, -1)
-    docs = docs.withColumns({"found": found, "between": F.when(F.size(found) > 0, between)})
+    docs = docs.withColumn("found", found).withColumn("between", F.when(F.size("found") > 0, between))
     edits = F.expr(f"""zip_with(found, aggregate(slice(between, 1, size(found)), cast(array() AS ARRAY<INT>), (a, x) ->
         array_append(a, if(size(a) = 0, 0, a[greatest(size(a) - 1, 0)] + {len(new)}) + length(x))), (f, s) -> struct(s AS start, length(f) AS length, '{new}' AS new))""")
     return docs.select("doc_id", "text", F.when(F.size("found") > 0, edits).alias("edits"))

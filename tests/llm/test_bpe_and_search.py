@@ -233,3 +233,24 @@ def test_queries_return_the_agreed_columns(spark):
     native = QUERIES["op7_line_dedup"](spark, "/root/testdata/sf0.001")
     assert "Python" not in native._jdf.queryExecution().toString() and "Arrow" not in native._jdf.queryExecution().toString()
     assert native.where(F.col("kept_sha256").isNull()).count() == 0
+
+
+def test_token_counts_make_their_edits_once(spark, ranks):
+    """Edits may be costly to find, and no text but those to be edited is kept."""
+    calls = spark.sparkContext.accumulator(0)
+
+    @F.udf("array<struct<start:int,length:int,new:string>>")
+    def edits(text):
+        calls.add(1)
+        return [(0, 1, "x")] if text and text.startswith("a") else [] if text else None
+
+    rows = [(1, "apple pie"), (1, "apple pie"), (None, "a"), (2, "banana split"), (3, None), (4, ""), (5, "an  egg\n")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("edits", edits("text"))
+    got = [tuple(r) for r in token_counts.counted(docs, ranks).collect()]
+    assert calls.value == len(rows)
+    coder = bpe.Coder(ranks)
+    count = lambda t: len(coder.encode([t])[0]) // 4
+    want = [(i, len(coder.pieces(t or "")), count(t or ""), int((t or "").startswith("a")), count("x" + t[1:] if t and t[0] == "a" else t or "")) for i, t in rows]
+    assert sorted(got, key=str) == sorted(want, key=str)
+    left = token_counts.grown(docs, ranks, texts_with="edits").select("doc_id", "text").collect()
+    assert sorted(map(str, map(tuple, left))) == sorted(str((i, t if t and t[0] == "a" else None)) for i, t in rows)
