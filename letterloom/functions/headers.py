@@ -57,10 +57,10 @@ def subject(text: Column) -> Column:
 
 def header(name: str, value: Column) -> Column:
     """Clean one header value by the rule its name calls for."""
-    value = collapse_spaces(value)
     name = name.strip().lower()
     if name == "date":
-        return once(value, dates.to_iso)
+        return F.when(value.rlike(dates.CLEAN), value).otherwise(once(collapse_spaces(value), dates.to_iso))
+    value = collapse_spaces(value)
     if name in ("from", "sender", "to", "cc", "bcc"):
         return address(value)
     return subject(value) if name == "subject" else value

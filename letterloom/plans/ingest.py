@@ -14,6 +14,7 @@ from letterloom.plans import corpora as C
 from letterloom.plans.messages import M
 from letterloom.plans.registry import query
 from letterloom.plans.sql_views import EVENTS, MSG, with_views
+from letterloom.session import spread
 from letterloom.sources import calendars, cards, chat, gmail, graph, landing, notices, tracker
 
 
@@ -191,7 +192,7 @@ CATEGORY = f"""CASE WHEN event_id % 6 = 0 THEN 'release' WHEN event_id % 6 = 1 T
 
 def notification_raw(spark, folder) -> DataFrame:
     url = """concat('https://api.example.com/repos/o', user_id % 3, '/r', user_id, CASE event_id % 3 WHEN 0 THEN '/issues/' WHEN 1 THEN '/pulls/' ELSE '/commits/' END, event_id)"""
-    return C.table(spark, folder, "events").selectExpr(
+    return spread(C.table(spark, folder, "events")).selectExpr(
         "'gh' AS source", "'github' AS provider", "event_id AS seq", f"""to_json(named_struct('id', CAST(event_id AS STRING), 'unread', event_id % 2 = 0, 'reason', {REASON},
             'updated_at', date_format(ts, "yyyy-MM-dd'T'HH:mm:ss'Z'"), 'subject', named_struct('title', {TITLE}, 'url', {url}, 'type', {KIND}),
             'repository', named_struct('full_name', concat('o', user_id % 3, '/r', user_id)))) AS payload""")
@@ -283,7 +284,7 @@ NOTICES = """SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 'h:n' || event_id
 
 
 def notice_raw(spark, folder) -> DataFrame:
-    return C.table(spark, folder, "events").selectExpr("'h' AS source", "'http' AS provider", "event_id AS seq", "ts AS polled_at", """to_json(named_struct('notifications', array(named_struct(
+    return spread(C.table(spark, folder, "events")).selectExpr("'h' AS source", "'http' AS provider", "event_id AS seq", "ts AS polled_at", """to_json(named_struct('notifications', array(named_struct(
         'id', if(event_id % 3 = 0, concat('n', event_id), NULL), 'date', date_format(ts, 'yyyy-MM-dd HH:mm:ss'), 'source', event_type, 'subject', concat('user ', user_id),
         'link', if(event_id % 2 = 0, concat('http://x/', event_id), NULL))), 'meters', array(named_struct('label', event_type, 'count', event_id)))) AS payload""")
 
@@ -306,7 +307,7 @@ def meter_snapshots(spark, folder):
 
 def chat_raw(spark, folder) -> DataFrame:
     """Chat lines, one a payload, with a blank and a broken line."""
-    return C.table(spark, folder, "events").selectExpr("'w' AS source", "'whatsapp' AS provider", "event_id AS seq", """concat('\n', to_json(named_struct(
+    return spread(C.table(spark, folder, "events")).selectExpr("'w' AS source", "'whatsapp' AS provider", "event_id AS seq", """concat('\n', to_json(named_struct(
         'id', CAST(event_id AS STRING), 'timestamp', date_format(ts, 'yyyy-MM-dd HH:mm:ss'), 'sender_jid', concat(user_id, '@s.whatsapp.net'), 'content', event_type)), '\n{broken') AS payload""")
 
 

@@ -38,7 +38,7 @@ def _finish(df: DataFrame, detail: bool) -> DataFrame:
     return conform(df.withColumn("duration_minutes", timed), EVENT_DETAILS if detail else EVENTS)
 
 
-@form("gcal", GOOGLE, lambda payload: F.array(F.from_json(payload, GOOGLE)), events=True)
+@form("gcal", GOOGLE, lambda payload: F.from_json(payload, GOOGLE), events=True, one=True)
 def _google_columns(df: DataFrame, item: str) -> tuple[DataFrame, dict[str, Column]]:
     e = F.col(item)
     all_day = e["start"]["date"].isNotNull() & e["start"]["dateTime"].isNull()
@@ -79,7 +79,7 @@ def google_events(raw: DataFrame, detail: bool = False) -> DataFrame:
     return _finish(rows_of(raw, EVENT_FORMS["gcal"]), detail)
 
 
-@form("o365cal", GRAPH, lambda payload: F.array(F.from_json(payload, GRAPH)), events=True)
+@form("o365cal", GRAPH, lambda payload: F.from_json(payload, GRAPH), events=True, one=True)
 def _graph_columns(df: DataFrame, item: str) -> tuple[DataFrame, dict[str, Column]]:
     e = F.col(item)
     all_day = F.coalesce(e["isAllDay"], F.lit(False))

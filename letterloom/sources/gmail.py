@@ -187,7 +187,7 @@ def headers(raw: DataFrame) -> DataFrame:
     return _select(spread(raw).withColumn("m", F.from_json("payload", kind)), False, False, 0)
 
 
-@form("gmail", message_type(), lambda payload: F.array(F.from_json(payload, message_type())))
+@form("gmail", message_type(), lambda payload: F.from_json(payload, message_type()), one=True)
 def _item_columns(df: DataFrame, item: str) -> tuple[DataFrame, dict[str, Column]]:
     return _with_deep(df, item, False, DEPTH), _columns(item, True, False, DEPTH)
 

@@ -51,9 +51,11 @@ def headers(raw: DataFrame) -> DataFrame:
 
 def _messages(payload: Column) -> Column:
     """The message of a payload, wrapped or not, as an array of one; none without an id."""
-    wrapped = F.get_json_object(payload, "$.value")
-    one = F.from_json(F.when(F.ltrim(wrapped).startswith("{"), wrapped).otherwise(payload), MESSAGE)
-    return F.filter(F.array(one), lambda m: m["id"].isNotNull())
+    def read(wrapped):
+        return F.from_json(F.when(F.ltrim(wrapped).startswith("{"), wrapped).otherwise(payload), MESSAGE)
+
+    one = F.transform(F.array(F.get_json_object(payload, "$.value")), read)
+    return F.filter(one, lambda m: m["id"].isNotNull())
 
 
 @form("o365", MESSAGE, _messages)

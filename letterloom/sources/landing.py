@@ -26,24 +26,26 @@ TEXT_FORMS: set[str] = set()
 class Form:
     """Payloads of a provider taken apart by columns alone, so that all forms share one scan.
 
-    ``items`` gives the items of a payload, an array of type ``kind``; ``columns`` takes the
-    rows with an item in the named column and gives them, with helper columns if it needs
-    any, and the target's columns as expressions over them.
+    ``items`` gives the items of a payload, an array of type ``kind``, or the item itself where
+    a payload is always ``one``; ``columns`` takes the rows with an item in the named column and
+    gives them, with helper columns if it needs any, and the target's columns as expressions
+    over them.
     """
 
     kind: str
     items: Callable[[Column], Column]
     columns: Callable[[DataFrame, str], tuple[DataFrame, dict[str, Column]]]
+    one: bool = False
 
 
 FORMS: dict[str, Form] = {}
 EVENT_FORMS: dict[str, Form] = {}
 
 
-def form(provider: str, kind: str, items: Callable[[Column], Column], events: bool = False, json: bool = True):
+def form(provider: str, kind: str, items: Callable[[Column], Column], events: bool = False, json: bool = True, one: bool = False):
     """Register how the payloads of a provider are taken apart; decorates the ``columns`` of the form."""
     def register(columns):
-        (EVENT_FORMS if events else FORMS)[provider] = Form(kind, items, columns)
+        (EVENT_FORMS if events else FORMS)[provider] = Form(kind, items, columns, one)
         if not json:
             TEXT_FORMS.add(provider)
         return columns
@@ -115,22 +117,32 @@ def _by_provider(values: dict[str, Column]) -> Column:
 
 
 def _items(forms: dict[str, Form]) -> Column:
-    """The items of a payload, each in the field of its provider."""
+    """The items of a payload, each in the field of its provider; one without any where the payload is the item."""
+    lists = {p: f for p, f in forms.items() if not f.one}
+
     def tagged(provider):
         def tag(item):
-            return F.struct(*[(item if p == provider else F.lit(None).cast(f.kind)).alias(p) for p, f in forms.items()])
-        return F.transform(forms[provider].items(F.col("payload")), tag)
+            return F.struct(*[(item if p == provider else F.lit(None).cast(f.kind)).alias(p) for p, f in lists.items()])
+        return F.transform(lists[provider].items(F.col("payload")), tag)
 
-    return _by_provider({p: tagged(p) for p in forms})
+    none = F.array(F.lit(None).cast(f"STRUCT<{', '.join(f'`{p}`: {f.kind}' for p, f in lists.items())}>"))
+    return _by_provider({p: none if f.one else tagged(p) for p, f in forms.items()})
 
 
 def _taken_apart(raw: DataFrame, forms: dict[str, Form], target: str) -> DataFrame:
-    """The rows of all forms in one pass: a payload is read by its provider's form only."""
-    rows = spread(raw.where(F.col("provider").isin(*forms))).where(~_broken())
-    rows = rows.select(*[c for c in rows.columns if c != "payload"], F.posexplode(_items(forms)).alias("pos", "_item"))
+    """The rows of all forms in one pass: a payload is read by its provider's form only.
+
+    Broken payloads have no items. A filter on them would move below what makes the payload,
+    which would then be made twice. A payload that is one item is read where its columns are,
+    so of one that few columns are asked of no more is read than those.
+    """
+    rows = spread(raw.where(F.col("provider").isin(*forms)))
+    rows = rows.withColumn("_one", F.when(F.col("provider").isin(*[p for p, f in forms.items() if f.one]), F.col("payload")))
+    rows = rows.select(*[c for c in rows.columns if c != "payload"], F.posexplode(F.when(~_broken(), _items(forms))).alias("pos", "_item"))
     found = {}
     for provider, each in forms.items():
-        rows, found[provider] = each.columns(rows.withColumn(f"_{provider}", F.col(f"_item.{provider}")), f"_{provider}")
+        item = each.items(F.when(F.col("provider") == provider, F.col("_one"))) if each.one else F.col(f"_item.{provider}")
+        rows, found[provider] = each.columns(rows.withColumn(f"_{provider}", item), f"_{provider}")
     def column(field):
         own = {p: c[field.name].cast(field.dataType) for p, c in found.items() if field.name in c}
         return (_by_provider(own) if own else F.col(f"`{field.name}`")).alias(field.name)
@@ -168,8 +180,9 @@ def land_events(raw: DataFrame) -> DataFrame:
 
 def rows_of(raw: DataFrame, own: Form, *keep: str) -> DataFrame:
     """The rows of payloads of one form: source, seq, the kept columns, pos and what the form gives."""
-    raw = spread(raw)
-    items = raw.select(*[c for c in raw.columns if c != "payload"], F.posexplode(own.items(F.col("payload"))).alias("pos", "_item"))
+    raw, items = spread(raw), own.items(F.col("payload"))
+    found = [F.lit(0).alias("pos"), items.alias("_item")] if own.one else [F.posexplode(items).alias("pos", "_item")]
+    items = raw.select(*[c for c in raw.columns if c != "payload"], *found)
     df, columns = own.columns(items, "_item")
     return df.select("source", "seq", *keep, "pos", *[c.alias(n) for n, c in columns.items()])
 

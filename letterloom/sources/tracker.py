@@ -73,7 +73,7 @@ def classify_ids(ids: DataFrame, name: str = "id") -> DataFrame:
     return ids.select("*", kind.alias("kind"), *[value.alias(part) for part, value in parts.items()])
 
 
-@form("github", NOTIFICATION, lambda payload: F.array(F.from_json(payload, NOTIFICATION)))
+@form("github", NOTIFICATION, lambda payload: F.from_json(payload, NOTIFICATION), one=True)
 def _item_columns(df: DataFrame, item: str) -> tuple[DataFrame, dict[str, Column]]:
     n = F.col(item)
     subject = n["subject"]

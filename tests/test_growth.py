@@ -5,8 +5,10 @@ import glob
 from pyspark.sql import functions as F
 
 from letterloom import session
+from letterloom.functions import headers
 from letterloom.operators import filters, render, store, threads
 from letterloom.plans import streams
+from letterloom.sources import landing
 from letterloom.streaming import jobs
 
 MESSAGE = "id string, source string, sender string, subject string, date string, snippet string, body string, unread boolean, seq long"
@@ -76,3 +78,36 @@ def test_costly_work_is_dealt_out_by_its_size(spark, monkeypatch):
     assert session.spread(table).rdd.getNumPartitions() == 8
     monkeypatch.setattr(session, "PIECE_BYTES", 400)
     assert session.spread(table).rdd.getNumPartitions() == 20
+
+
+PAYLOADS = [
+    ("g", "gmail", 1, '{"id":"a","internalDate":"0","sizeEstimate":7}'), ("g", "gmail", 2, "[]"), ("g", "gmail", 3, "null"), ("g", "gmail", 4, "{"),
+    ("o", "o365", 5, '{"value":{"id":"b","receivedDateTime":" 2026-01-05T10:00:00Z "}}'), ("o", "o365", 6, '{"subject":"x"}'),
+    ("h", "http", 7, '{"notifications":[{"id":"c"},{"id":"d"}]}'), ("w", "whatsapp", 8, '\n{broken\n{"id":"e"}\n[{"id":"f"}]'), ("n", "github", 9, '{"id":"i"}')]
+
+
+def test_a_payload_is_made_once_to_be_landed(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def made(payload):
+        seen.add(1)
+        return payload
+
+    raw = spark.createDataFrame(PAYLOADS, "source string, provider string, seq long, payload string").coalesce(1)
+    rows = landing.land(raw.withColumn("payload", made("payload"))).select("seq", "id", "date").collect()
+    assert sorted((r.seq, r.id) for r in rows) == [
+        (1, "g:a"), (2, "g:"), (3, "g:"), (5, "o:b"), (7, "h:c"), (7, "h:d"), (8, "w:e"), (8, "w:f"), (9, "n:i")]
+    assert {r.seq: r.date for r in rows if r.seq in (1, 5)} == {1: "1970-01-01T00:00:00Z", 5: "2026-01-05T10:00:00Z"}
+    assert seen.value == len(PAYLOADS)
+
+
+def test_landing_reads_of_a_payload_what_is_asked_for(spark):
+    raw = spark.createDataFrame(PAYLOADS, "source string, provider string, seq long, payload string")
+    plan = landing.land(raw).select("provider", "date")._jdf.queryExecution().optimizedPlan().toString()
+    assert "internalDate" in plan and "sizeEstimate" not in plan
+
+
+def test_dates_that_are_clean_stay(apply):
+    dates = ["2026-01-05T10:00:00Z", "2026-01-05T10:00:00Z\n", " 2026-01-05T10:00:00Z", "2026-01-05 11:00:00+01:00", "Mon,  5 Jan 2026\t10:00:00 +0000", "soon", "", None]
+    assert apply(lambda c: headers.header("Date", c), dates) == ["2026-01-05T10:00:00Z"] * 5 + ["soon", "", None]
