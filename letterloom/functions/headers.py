@@ -22,6 +22,9 @@ def either(*values) -> Column:
 # Every character that counts as white space, as a trim set and as a pattern.
 SPACES = "".join(map(chr, [*range(9, 14), *range(28, 33), 133, 160, 5760, *range(8192, 8203), 8232, 8233, 8239, 8287, 12288]))
 SPACE = "[" + r"\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000" + "]"
+# Runs of it but for a lone blank, which stays; what is printed in ASCII is ruled out first.
+LOOSE = r"[\x00-\x20\x7f-\uffff&&" + f"{SPACE}](?:{SPACE}+|(?<! ))"
+ADDRESSES = ("from", "sender", "to", "cc", "bcc")
 
 
 def once(value: Column, use) -> Column:
@@ -35,17 +38,23 @@ def strip(text: Column) -> Column:
 
 
 def collapse_spaces(text: Column) -> Column:
-    return F.trim(F.regexp_replace(text, f"{SPACE}+", " "))
+    return F.trim(F.regexp_replace(text, LOOSE, " "))
+
+
+def bare_address(text: Column) -> Column:
+    """The last non-empty ``<...>``, else the whole text."""
+    return strip(F.regexp_replace(text, r"(?s)^.*<([^>]+)>.*$", "$1"))
+
+
+def lower_domain(bare: Column) -> Column:
+    parts = F.split(bare, "@")
+    return F.when(
+        F.size(parts) == 2, F.concat(parts[0], F.lit("@"), F.lower(parts[1]))).otherwise(bare)
 
 
 def address(text: Column) -> Column:
     """The last non-empty ``<...>``, else the whole text, with the domain in lower case."""
-    def lower_domain(bare):
-        parts = F.split(bare, "@")
-        return F.when(
-            F.size(parts) == 2, F.concat(parts[0], F.lit("@"), F.lower(parts[1]))).otherwise(bare)
-
-    return once(strip(F.regexp_replace(text, r"(?s)^.*<([^>]+)>.*$", "$1")), lower_domain)
+    return once(bare_address(text), lower_domain)
 
 
 def subject(text: Column) -> Column:
@@ -61,14 +70,20 @@ def header(name: str, value: Column) -> Column:
     if name == "date":
         return F.when(value.rlike(dates.CLEAN), value).otherwise(once(collapse_spaces(value), dates.to_iso))
     value = collapse_spaces(value)
-    if name in ("from", "sender", "to", "cc", "bcc"):
+    if name in ADDRESSES:
         return address(value)
     return subject(value) if name == "subject" else value
 
 
 def clean_headers(df, names=("sender", "to", "cc", "subject", "date")):
-    """Clean the header columns that ``df`` has."""
-    return df.withColumns({n: header(n, F.col(n)) for n in names if n in df.columns})
+    """Clean the header columns that ``df`` has.
+
+    Addresses take two projections instead of ``once``, whose value is not compiled.
+    """
+    there = [n for n in names if n in df.columns]
+    people = [n for n in there if n in ADDRESSES]
+    df = df.withColumns({n: bare_address(collapse_spaces(F.col(n))) if n in people else header(n, F.col(n)) for n in there})
+    return df.withColumns({n: lower_domain(F.col(n)) for n in people}) if people else df
 
 
 def _cut(text: Column, limit: int) -> Column:

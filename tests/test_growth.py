@@ -1,6 +1,7 @@
 """What holds however large the tables are: plans, pieces of work, and results that size must not change."""
 
 import glob
+import re
 
 from pyspark.sql import functions as F
 
@@ -111,3 +112,18 @@ def test_landing_reads_of_a_payload_what_is_asked_for(spark):
 def test_dates_that_are_clean_stay(apply):
     dates = ["2026-01-05T10:00:00Z", "2026-01-05T10:00:00Z\n", " 2026-01-05T10:00:00Z", "2026-01-05 11:00:00+01:00", "Mon,  5 Jan 2026\t10:00:00 +0000", "soon", "", None]
     assert apply(lambda c: headers.header("Date", c), dates) == ["2026-01-05T10:00:00Z"] * 5 + ["soon", "", None]
+
+
+def test_white_space_is_folded_but_for_lone_blanks(spark, apply):
+    pieces = ["a", "<b@C.D>", " ", "  ", "\t", "\n ", "\x1c", "\x85", "\u3000", "\u200b", "\U0001f600"]
+    texts = [x + y + z for x in pieces for y in pieces for z in pieces] + ["", None]
+    folded = lambda t: t if t is None else re.sub(headers.SPACE + "+", " ", t).strip(" ")
+    assert apply(headers.collapse_spaces, texts) == [folded(t) for t in texts]
+
+
+def test_addresses_of_headers_are_compiled(spark):
+    df = spark.createDataFrame([(" Ann  <ann@X.Org> ", "\tbo@Y.Org", "a@b@C", None)], "sender string, `to` string, cc string, `from` string")
+    clean = headers.clean_headers(df, ("sender", "to", "cc", "from"))
+    assert tuple(clean.first()) == ("ann@x.org", "bo@y.org", "a@b@C", None)
+    assert tuple(df.select(*[headers.header(c, F.col(c)) for c in df.columns]).first()) == tuple(clean.first())
+    assert "lambda" not in clean._jdf.queryExecution().optimizedPlan().toString()
